@@ -20,7 +20,7 @@ BASE_CONF = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "pulseboard") -> SparkSession:
+                app_name: str = "pulseboard", driver_memory: str | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings of ``BASE_CONF``.
 
     On a cluster leave ``master`` unset and let the launcher decide.
@@ -30,6 +30,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.master(master)
     for k, v in BASE_CONF.items():
         b = b.config(k, v)
+    if driver_memory:
+        b = b.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()

@@ -324,17 +324,21 @@ def mapping_rows():
 
 
 def mapping(spark: SparkSession) -> DataFrame:
-    from .tabs import tab_schema
+    from .literal import literal_frame
+    from .tabs import TAB_COLUMNS
 
-    return spark.createDataFrame(mapping_rows(), tab_schema("MappingTable"))
+    cols = [(c, "string") for c in TAB_COLUMNS["MappingTable"]] + [(ROW, "bigint")]
+    return literal_frame(spark, mapping_rows(), cols)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions for the router: user turns of the conversations, plus four fixed ones."""
     cv = read(spark, sf_dir, "conversations").where(F.col("role") == "user")
     asked = cv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
-    fixed = spark.createDataFrame(
-        [(-1, "What is TOTAL revenue?"), (-2, "how many red projects"), (-3, "red project list"),
-         (-4, "total revenue and red project count")],
-        "question_id bigint, question string")
+    from .literal import literal_frame
+
+    fixed = literal_frame(
+        spark, [(-1, "What is TOTAL revenue?"), (-2, "how many red projects"), (-3, "red project list"),
+                (-4, "total revenue and red project count")],
+        [("question_id", "bigint"), ("question", "string")])
     return asked.unionByName(fixed)
