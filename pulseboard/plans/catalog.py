@@ -52,4 +52,4 @@ def activity(spark, sf):
 
 
 # importing the query modules fills QUERIES
-from . import queries_core, queries_join, queries_lists, queries_scenario  # noqa: E402,F401
+from . import queries_core, queries_join, queries_lists, queries_report, queries_scenario  # noqa: E402,F401

@@ -260,7 +260,32 @@ def _questions() -> str:
 )"""
 
 
+def _updates() -> str:
+    def u(cond, key, col, val, off):
+        return (f"SELECT {key} AS key, {lit(col)} AS \"column\", {val} AS value, o_orderkey * 10 + {off} AS seq "
+                f"FROM orders WHERE {cond}")
+    name = "'Project ' || CAST(o_orderkey AS VARCHAR)"
+    parts = [
+        u("o_orderkey % 13 = 0", name, "Status (R/Y/G)", "'G'", 0),
+        u("o_orderkey % 13 = 0", name, "Sponsor Checkin Notes", "''", 1),
+        u("o_orderkey % 13 = 0", name, "Last Sponsor Checkin Date", lit(AS_OF.isoformat()), 2),
+        u("o_orderkey % 26 = 0", name, "Budget Owner", "'x'", 3),
+        u("o_orderkey % 39 = 0", "'Archived ' || CAST(o_orderkey AS VARCHAR)", "Status (R/Y/G)", "'R'", 4),
+        u("o_orderkey % 65 = 0", name, "Status (R/Y/G)", "'Y'", 5),
+        u("o_orderkey % 13 = 1", name, "Budget Owner", "'y'", 6),
+    ]
+    pp = [
+        f"SELECT s_name AS key, {lit(c)} AS \"column\", {v} AS value, s_suppkey * 10 + {i} AS seq FROM supplier WHERE s_suppkey % 3 = 0"
+        for i, (c, v) in enumerate([("Horizon", "'Near-term'"), ("Notes", "''"),
+                                    ("Percieved Annual AMO", "CAST((s_suppkey % 50) * 1000 AS VARCHAR)"),
+                                    ("Deal Registered YN", "'Y'")])
+    ]
+    return ("project_updates AS (\n  " + "\n  UNION ALL ".join(parts) + "\n),\n"
+            "pipeline_updates AS (\n  " + "\n  UNION ALL ".join(pp) + "\n)")
+
+
 CTE_BUILDERS = {
+    "updates": _updates,
     "projects": _projects,
     "pipeline": _pipeline,
     "risks": _risks,

@@ -300,8 +300,10 @@ def q_kpi_exec_cost(spark, sf):
     return K.kpi_exec_cost(cat.activity(spark, sf))
 
 
-KPI_ALL_SQL = (
-    w("projects", "pipeline", "risks", "staff", "exec_activity", frames=[PF, LF, RF, SF]) + "\nSELECT * FROM ("
+KPI_TABS = ("projects", "pipeline", "risks", "staff", "exec_activity")
+KPI_FRAMES = [PF, LF, RF, SF]
+KPI_ALL_SELECT = (
+    "SELECT * FROM ("
     + s_run("pf", s_status(), s_revenue(), s_scores(*S_PROJ_SC), s_extremes(*S_PROJ_EXT), s_nps(), s_next_deal(),
             s_checkins())
     + ") p CROSS JOIN ("
@@ -310,6 +312,7 @@ KPI_ALL_SQL = (
     + s_run("sf", s_pulse(), s_utilization()) + ") s CROSS JOIN ("
     + s_run("exec_activity", s_exec_cost()) + ") e"
 )
+KPI_ALL_SQL = w(*KPI_TABS, frames=KPI_FRAMES) + "\n" + KPI_ALL_SELECT
 
 
 @query("kpi_all", KPI_ALL_SQL)

@@ -342,3 +342,43 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
                 (-4, "total revenue and red project count")],
         [("question_id", "bigint"), ("question", "string")])
     return asked.unionByName(fixed)
+
+
+def project_updates(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFrame:
+    """Project-form updates (key, column, value, seq) derived from orders.
+
+    Includes unknown columns, repeated (key, column) pairs, keys that do not
+    exist and keys with only unknown columns.
+    """
+    o = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("Project "), _s(k))
+
+    def u(cond, key, col, val, off):
+        return F.when(cond, F.struct(key.alias("key"), F.lit(col).alias("column"), val.alias("value"),
+                                     (k * 10 + off).alias("seq")))
+
+    arr = F.array(
+        u(k % 13 == 0, name, "Status (R/Y/G)", F.lit("G"), 0),
+        u(k % 13 == 0, name, "Sponsor Checkin Notes", F.lit(""), 1),
+        u(k % 13 == 0, name, "Last Sponsor Checkin Date", F.lit(as_of.isoformat()), 2),
+        u(k % 26 == 0, name, "Budget Owner", F.lit("x"), 3),
+        u(k % 39 == 0, F.concat(F.lit("Archived "), _s(k)), "Status (R/Y/G)", F.lit("R"), 4),
+        u(k % 65 == 0, name, "Status (R/Y/G)", F.lit("Y"), 5),
+        u(k % 13 == 1, name, "Budget Owner", F.lit("y"), 6),
+    )
+    return o.select(F.explode(F.filter(arr, lambda x: x.isNotNull())).alias("u")).select("u.*")
+
+
+def pipeline_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opportunity-form updates keyed by account (first row of the account only)."""
+    s = read(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+
+    def u(col, val, off):
+        return F.struct(F.col("s_name").alias("key"), F.lit(col).alias("column"), val.alias("value"),
+                        (k * 10 + off).alias("seq"))
+
+    arr = F.array(u("Horizon", F.lit("Near-term"), 0), u("Notes", F.lit(""), 1),
+                  u("Percieved Annual AMO", _s((k % 50) * 1000), 2), u("Deal Registered YN", F.lit("Y"), 3))
+    return s.where(k % 3 == 0).select(F.explode(arr).alias("u")).select("u.*")
