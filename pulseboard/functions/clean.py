@@ -9,8 +9,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-# Characters removed before a text cell is read as a number.
-NUMBER_JUNK = "[$,%()A-Za-z]"
+# Characters removed before a text cell is read as a number: $ , % ( ) and
+# the ASCII letters (the class [$,%()A-Za-z]); ``translate`` removes a fixed
+# character set without running a regular expression per cell.
+NUMBER_JUNK = "$,%()" + "".join(chr(c) for c in range(ord("A"), ord("Z") + 1)) + \
+    "".join(chr(c) for c in range(ord("a"), ord("z") + 1))
+
+
+def _is_numeric(dtype) -> bool:
+    """``dtype`` as a DataType or as the type name of ``df.dtypes``."""
+    if dtype is None:
+        return False
+    if isinstance(dtype, NumericType):
+        return True
+    name = str(dtype)
+    return name in ("double", "float", "int", "bigint", "smallint", "tinyint") or name.startswith("decimal")
 
 
 def _c(c) -> Column:
@@ -24,9 +37,9 @@ def to_number(c, dtype=None) -> Column:
     is trimmed, ``''`` becomes 0, and what still does not parse becomes 0.
     """
     col = _c(c)
-    if dtype is not None and isinstance(dtype, NumericType):
+    if _is_numeric(dtype):
         return F.coalesce(col.cast("double"), F.lit(0.0))
-    s = F.trim(F.regexp_replace(col.cast("string"), NUMBER_JUNK, ""))
+    s = F.trim(F.translate(col.cast("string"), NUMBER_JUNK, ""))
     return F.coalesce(
         F.when(s == "", F.lit(0.0)).otherwise(s.try_cast("double")), F.lit(0.0)
     )
