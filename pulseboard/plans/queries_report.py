@@ -89,7 +89,7 @@ def snapshot_tabs(spark, sf):
         ("Talent Gaps", clean_tab(driver.talent_gaps(spark, sf, AS_OF), "Talent Gaps")),
         ("Operational Gaps", clean_tab(driver.operational_gaps(spark, sf), "Operational Gaps")),
         ("Executive Activity", cat.activity(spark, sf)),
-        ("Scenario Model Inputs", clean_tab(driver.scenario_inputs(spark, sf), "Scenario Model Inputs")),
+        ("Scenario Model Inputs", cat.scenario_inputs(spark, sf)),
         ("Do Nothing Scenario", clean_tab(nothing, "Do Nothing Scenario")),
         ("Proposed Scenario", clean_tab(proposed, "Proposed Scenario")),
         ("MappingTable", driver.mapping(spark)),

@@ -88,7 +88,9 @@ def s_calc_frame(wide: str, keys: str) -> str:
 # -- Spark side helpers --------------------------------------------------------
 
 def _inputs(spark, sf):
-    return clean_tab(driver.scenario_inputs(spark, sf), "Scenario Model Inputs")
+    from . import catalog as cat
+
+    return cat.scenario_inputs(spark, sf)
 
 
 SI = s_inputs("scenario_in", '"Scenario"')

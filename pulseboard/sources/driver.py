@@ -40,10 +40,8 @@ def _fixed(units: Column, decimals: int) -> Column:
 
 
 def _pick(idx: Column, options) -> Column:
-    e = None
-    for i, o in enumerate(options):
-        e = F.when(idx == i, F.lit(o)) if e is None else e.when(idx == i, F.lit(o))
-    return e
+    """Option number ``idx`` (0-based) of a fixed list."""
+    return F.element_at(F.array(*[F.lit(o) for o in options]), (idx + 1).cast("int"))
 
 
 def _money(c: Column) -> Column:
