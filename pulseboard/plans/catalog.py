@@ -32,7 +32,9 @@ def query(name: str, sql: str | None = None):
 # -- cleaned tabs (mapped once per session, then scanned) -------------------
 
 def _tab(spark, sf, name, build, tab):
-    return clean_tab(store.stored(spark, sf, name, build), tab)
+    """The tab cleaned once at ingest (silver layer): header trim, aliases, '' -> null and the
+    blank-row drop run when the tab is stored, so a query scans only the columns it reads."""
+    return store.stored(spark, sf, name, lambda s, d: clean_tab(build(s, d), tab))
 
 
 def projects(spark, sf):

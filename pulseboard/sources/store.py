@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir
 
-MAPPING_VERSION = "2"
+MAPPING_VERSION = "3"
 _PATHS: dict = {}
 INGEST_SECONDS: dict = {}
 
