@@ -61,9 +61,30 @@ def scenario_inputs(spark, sf):
     return _tab(spark, sf, "scenario_inputs", driver.scenario_inputs, "Scenario Model Inputs")
 
 
+def talent_gaps(spark, sf):
+    return _tab(spark, sf, "talent_gaps", lambda s, d: driver.talent_gaps(s, d, AS_OF), "Talent Gaps")
+
+
+def operational_gaps(spark, sf):
+    return _tab(spark, sf, "operational_gaps", driver.operational_gaps, "Operational Gaps")
+
+
+def observations(spark, sf):
+    return _tab(spark, sf, "observations", driver.observations, "Project Observations")
+
+
+def do_nothing(spark, sf):
+    return _tab(spark, sf, "do_nothing", lambda s, d: driver.scenario_impacts(s, d)[0], "Do Nothing Scenario")
+
+
+def proposed(spark, sf):
+    return _tab(spark, sf, "proposed", lambda s, d: driver.scenario_impacts(s, d)[1], "Proposed Scenario")
+
+
 def materialize_all(spark, sf):
     """Map and store every large tab (the one-time ingest); returns seconds per tab."""
-    for f in (projects, pipeline, risks, staff, activity, scenario_inputs):
+    for f in (projects, pipeline, risks, staff, activity, scenario_inputs, talent_gaps, operational_gaps,
+              observations, do_nothing, proposed):
         f(spark, sf)
     return dict(store.INGEST_SECONDS)
 

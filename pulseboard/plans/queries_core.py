@@ -183,8 +183,11 @@ PIPE_ROW = "(r1, r2, r3, r4)"
 
 @query("clean_tab", w("projects") + "\nSELECT * FROM projects")
 def q_clean_tab(spark, sf):
-    """Header trim, accepted spellings, '' -> null, blank rows dropped."""
-    return cat.projects(spark, sf)
+    """Header trim, accepted spellings, '' -> null, blank rows dropped (the ingest step itself)."""
+    from ..sources import driver
+    from ..sources.tabs import clean_tab
+
+    return clean_tab(driver.projects(spark, sf, AS_OF), "Project Inventory")
 
 
 @query("clean_numeric", w("projects") + f"""

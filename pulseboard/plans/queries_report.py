@@ -8,7 +8,7 @@ from ..operators import kpis as K
 from ..operators import report as R
 from ..operators import updates as U
 from ..sources import driver
-from ..sources.tabs import ROW, TAB_COLUMNS, clean_tab, q
+from ..sources.tabs import ROW, TAB_COLUMNS, q
 from . import catalog as cat
 from .catalog import AS_OF, query
 from .driver_sql import lit, qi, with_tabs
@@ -80,20 +80,19 @@ def q_row_update_report(spark, sf):
 # -- snapshot ---------------------------------------------------------------
 
 def snapshot_tabs(spark, sf):
-    nothing, proposed = driver.scenario_impacts(spark, sf)
     return [
         ("Project Inventory", cat.projects(spark, sf)),
         ("Project Risks", cat.risks(spark, sf)),
         ("Pipeline", cat.pipeline(spark, sf)),
         ("Team Utilization", cat.staff(spark, sf)),
-        ("Talent Gaps", clean_tab(driver.talent_gaps(spark, sf, AS_OF), "Talent Gaps")),
-        ("Operational Gaps", clean_tab(driver.operational_gaps(spark, sf), "Operational Gaps")),
+        ("Talent Gaps", cat.talent_gaps(spark, sf)),
+        ("Operational Gaps", cat.operational_gaps(spark, sf)),
         ("Executive Activity", cat.activity(spark, sf)),
         ("Scenario Model Inputs", cat.scenario_inputs(spark, sf)),
-        ("Do Nothing Scenario", clean_tab(nothing, "Do Nothing Scenario")),
-        ("Proposed Scenario", clean_tab(proposed, "Proposed Scenario")),
+        ("Do Nothing Scenario", cat.do_nothing(spark, sf)),
+        ("Proposed Scenario", cat.proposed(spark, sf)),
         ("MappingTable", driver.mapping(spark)),
-        ("Project Observations", clean_tab(driver.observations(spark, sf), "Project Observations")),
+        ("Project Observations", cat.observations(spark, sf)),
     ]
 
 
@@ -150,7 +149,7 @@ def q_context_truncate(spark, sf):
 
 @query("tab_view", with_tabs("talent_gaps") + "\nSELECT * FROM talent_gaps")
 def q_tab_view(spark, sf):
-    return clean_tab(driver.talent_gaps(spark, sf, AS_OF), "Talent Gaps").orderBy(ROW)
+    return cat.talent_gaps(spark, sf).orderBy(ROW)
 
 
 @query("export_roundtrip", with_tabs("projects") + "\nSELECT * FROM projects")

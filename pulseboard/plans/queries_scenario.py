@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..operators import scenario as SC
 from ..sources import driver
-from ..sources.tabs import clean_tab
 from ..targets import SCENARIO_DEFAULTS, SCENARIO_LABELS
 from .catalog import query
 from .driver_sql import lit, with_tabs
@@ -200,5 +199,6 @@ SELECT scenario, total_annualized_impact,
     AS net_incremental_value
 FROM g""")
 def q_scenario_totals(spark, sf):
-    nothing, proposed = driver.scenario_impacts(spark, sf)
-    return SC.scenario_totals(clean_tab(nothing, "Do Nothing Scenario"), clean_tab(proposed, "Proposed Scenario"))
+    from . import catalog as cat
+
+    return SC.scenario_totals(cat.do_nothing(spark, sf), cat.proposed(spark, sf))

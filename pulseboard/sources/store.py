@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,8 @@ from ..session import shared_dir
 
 MAPPING_VERSION = "3"
 _PATHS: dict = {}
+_FRAMES: dict = {}
+_LOCK = threading.Lock()
 INGEST_SECONDS: dict = {}
 
 
@@ -30,6 +33,13 @@ def _key(spark: SparkSession, sf_dir: str, name: str):
 def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Parquet copy of ``build(spark, sf_dir)``, written on first use in this session."""
     k = _key(spark, sf_dir, name)
+    with _LOCK:
+        return _stored(spark, sf_dir, name, build, k)
+
+
+def _stored(spark, sf_dir, name, build, k):
+    if k in _FRAMES:
+        return _FRAMES[k]
     path = _PATHS.get(k)
     if path is None:
         tag = hashlib.sha1(f"{MAPPING_VERSION}|{k[1]}|{k[0]}".encode()).hexdigest()[:12]
@@ -38,4 +48,5 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
         build(spark, sf_dir).write.mode("overwrite").parquet(path)
         INGEST_SECONDS[name] = round(time.perf_counter() - t0, 3)
         _PATHS[k] = path
-    return spark.read.parquet(path)
+    _FRAMES[k] = spark.read.parquet(path)
+    return _FRAMES[k]
