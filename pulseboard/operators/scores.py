@@ -3,10 +3,12 @@ letter bands and margin.
 
 A scorecard cell scores the value of the *first* mapping row (sheet order)
 with the same tab and value; the question is not compared; no hit scores 0.
-Cells are unpivoted into (row, value) pairs, joined once to the deduplicated
-mapping (a lookup table: AQE broadcasts it when its runtime size is under the
-broadcast threshold and falls back to a shuffled join above it), and summed
-back per row with partial aggregation.
+The mapping is deduplicated per value (partial aggregate). When the result is
+checked to be small it becomes one broadcast map column and each row sums its
+lookups in place: no explode and no shuffle of the scored tab. Above the
+limit, cells are unpivoted, joined (AQE picks broadcast or a shuffled join
+from runtime sizes) and summed back per row. Both paths sum in DECIMAL, so
+they return the same values.
 """
 
 from __future__ import annotations
@@ -46,13 +48,48 @@ def pair_key(prefix: str, a: Column, b: Column) -> Column:
     return F.concat_ws("|", F.lit(prefix), a, b)
 
 
+# Largest lookup table turned into a broadcast map column (entries, checked with one count).
+MAX_MAP_ENTRIES = 100_000
+
+
+def fits_in_map(table: DataFrame, limit: int | None = None) -> bool:
+    """Size check of a deduplicated lookup table (one small job over the mapping tab)."""
+    limit = MAX_MAP_ENTRIES if limit is None else limit
+    return table.limit(limit + 1).count() <= limit
+
+
+def lookup_map(table: DataFrame, name: str) -> DataFrame:
+    """One row: map(lookup -> score). Only called after ``fits_in_map``."""
+    return table.agg(F.map_from_entries(F.collect_list(F.struct("lookup", "score"))).alias(name))
+
+
+def map_sum(m: Column, cells) -> Column:
+    """Exact sum (decimal) of the scores of ``cells``; a cell without a hit scores 0."""
+    total = None
+    for c in cells:
+        v = F.coalesce(F.try_element_at(m, c), F.lit(0.0)).cast("decimal(26,6)")
+        total = v if total is None else total + v
+    return total.cast("double") if total is not None else F.lit(0.0)
+
+
 def scorecard(df: DataFrame, mapping: DataFrame, tab: str, cols, name_col: str, out: str = "score",
               ignore_case: bool = False) -> DataFrame:
-    """Sum of first-hit scores over the scorecard ``cols`` of every row."""
+    """Sum of first-hit scores over the scorecard ``cols`` of every row.
+
+    Small mapping (checked): the lookup table becomes one broadcast map and
+    the sum is a per-row expression - no explode, no shuffle of the big tab.
+    Otherwise: unpivot, equi join (AQE picks broadcast or shuffle) and a
+    per-row partial aggregate.
+    """
     present = [c for c in cols if c in df.columns]
+    table = first_value_scores(mapping, tab, ignore_case)
+    if fits_in_map(table):
+        j = df.crossJoin(F.broadcast(lookup_map(table, "__m")))  # one row, size checked above
+        return j.select(F.col(ROW), q(name_col).alias(name_col),
+                        map_sum(F.col("__m"), [_norm(q(c), ignore_case) for c in present]).alias(out))
     cells = df.select(F.col(ROW), q(name_col).alias(name_col), F.explode(F.array(
         *[_norm(q(c), ignore_case) for c in present])).alias("lookup"))
-    j = cells.join(first_value_scores(mapping, tab, ignore_case), "lookup", "left")
+    j = cells.join(table, "lookup", "left")
     return j.groupBy(F.col(ROW), q(name_col)).agg(dsum(F.coalesce(F.col("score"), F.lit(0.0)), 6).alias(out))
 
 
@@ -90,12 +127,20 @@ def weighted_totals(projects: DataFrame, mapping: DataFrame, main_w: float = 0.7
     pair key is one more cell, looked up in the key table.
     """
     cols = [c for c, _ in PROJECT_SCORECARD if c in projects.columns]
+    pair = pair_key("Delivery", q("Delivery Relational Effort"), q("Expansion Yield Tier"))
+    values, keys = first_value_scores(mapping, "Project Inventory"), first_key_scores(mapping)
+    if fits_in_map(values) and fits_in_map(keys):
+        maps = lookup_map(values, "__mv").crossJoin(lookup_map(keys, "__mk"))  # one row each
+        j = projects.crossJoin(F.broadcast(maps))
+        g = j.select(F.col(ROW), q("Project Name"),
+                     map_sum(F.col("__mv"), [q(c) for c in cols]).alias("project_health_score"),
+                     map_sum(F.col("__mk"), [pair]).alias("delivery_efficiency_score"))
+        return g.withColumn("total_project_score",
+                            F.col("project_health_score") * main_w + F.col("delivery_efficiency_score") * eff_w)
     cells = [F.struct(F.lit("value").alias("kind"), q(c).alias("lookup")) for c in cols]
-    cells.append(F.struct(F.lit("pair").alias("kind"),
-                          pair_key("Delivery", q("Delivery Relational Effort"), q("Expansion Yield Tier")).alias("lookup")))
+    cells.append(F.struct(F.lit("pair").alias("kind"), pair.alias("lookup")))
     long = projects.select(F.col(ROW), q("Project Name"), F.inline(F.array(*cells)))
-    table = first_value_scores(mapping, "Project Inventory").withColumn("kind", F.lit("value")).unionByName(
-        first_key_scores(mapping).withColumn("kind", F.lit("pair")))
+    table = values.withColumn("kind", F.lit("value")).unionByName(keys.withColumn("kind", F.lit("pair")))
     j = long.join(table, ["kind", "lookup"], "left")
     s = F.coalesce(F.col("score"), F.lit(0.0))
     g = j.groupBy(F.col(ROW), q("Project Name")).agg(

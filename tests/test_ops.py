@@ -37,6 +37,14 @@ def test_scorecard_first_hit_c5(spark):
                                           "Budget and Scope": "Other"}])
     r = S.project_health_lookup(p, mapping).first()
     assert r.project_health_score == 20.0
+    old = S.MAX_MAP_ENTRIES
+    try:
+        S.MAX_MAP_ENTRIES = 0  # force the join path
+        assert S.project_health_lookup(p, mapping).first().project_health_score == 20.0
+        a = S.weighted_totals(p, mapping).first()
+    finally:
+        S.MAX_MAP_ENTRIES = old
+    assert a == S.weighted_totals(p, mapping).first()
 
 
 def scenario_rows(weeks="50"):
