@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 NA = "N/A"
 
@@ -19,14 +18,10 @@ def band(score: Column, bands) -> Column:
 
 
 def bands_frame(spark: SparkSession, bands, with_na: bool = True):
-    """Literal frame (band, band_order, low, high) - a few rows, broadcast by size."""
+    """Literal frame (band, band_order, low, high): a LocalRelation of a few rows."""
+    from ..sources.literal import literal_frame
+
     rows = [(n, i, float(lo), float(hi)) for i, (n, lo, hi) in enumerate(bands)]
     if with_na:
         rows.append((NA, len(bands), None, None))
-    schema = StructType([
-        StructField("band", StringType(), False),
-        StructField("band_order", IntegerType(), False),
-        StructField("low", DoubleType(), True),
-        StructField("high", DoubleType(), True),
-    ])
-    return spark.createDataFrame(rows, schema)
+    return literal_frame(spark, rows, [("band", "string"), ("band_order", "int"), ("low", "double"), ("high", "double")])

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import scores as S
 from ..operators import staffing as ST
 from ..sources import driver
-from ..sources.tabs import ROW
 from ..targets import PIPELINE_SCORECARD, PROJECT_SCORECARD
 from . import catalog as cat
 from .catalog import AS_OF, query

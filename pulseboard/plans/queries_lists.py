@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import distributions as DI
 from ..operators import lists as L
 from ..sources.tabs import ROW, q

@@ -2,8 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from conftest import tab
 from pulseboard.operators import report as R
 from pulseboard.operators import scenario as SC
