@@ -46,3 +46,39 @@ def median(c: Column, exact: bool = True) -> Column:
 
 def count_if(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
+
+
+def distributed_median(df, col: str, buckets: int = 256, rel_err: float = 0.001):
+    """Exact median of ``col`` (nulls ignored) without a single-task value map.
+
+    The exact ``median`` aggregate merges one value -> count map per group in
+    one task; that is bounded by the number of distinct values, which is
+    small for scores and day counts but not for arbitrary doubles. Here:
+    (1) approximate quantiles give ``buckets`` value bounds (one small job;
+    the bounds become literals, so every later scan sees the same buckets);
+    (2) distinct values are counted (partial aggregation), (3) running counts
+    are taken per bucket and bucket offsets over the bucket totals (at most
+    ``buckets`` rows), (4) the one or two values at the middle ranks are kept.
+    Returns a one-row DataFrame ``median`` (0.0 when there are no values).
+    """
+    from pyspark.sql import Window
+
+    x = F.col(col).cast("double")
+    vals = df.select(x.alias("x")).where(F.col("x").isNotNull())
+    bounds = sorted(set(vals.approxQuantile("x", [i / buckets for i in range(1, buckets)], rel_err)))
+    b = F.lit(0)
+    for v in bounds:
+        b = b + F.when(F.col("x") > F.lit(v), 1).otherwise(0)
+    counts = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c")).withColumn("b", b)
+    run = counts.withColumn("cum", F.sum("c").over(Window.partitionBy("b").orderBy("x")))
+    totals = counts.groupBy("b").agg(F.sum("c").alias("t"))
+    # at most `buckets` rows: offsets of each bucket and the total count n
+    offs = totals.select("b", (F.sum("t").over(Window.orderBy("b")) - F.col("t")).alias("off"),
+                         F.sum("t").over(Window.partitionBy()).alias("n"))
+    ranked = run.join(F.broadcast(offs), "b").withColumn("hi", F.col("off") + F.col("cum")) \
+        .withColumn("lo", F.col("hi") - F.col("c"))
+    k1 = F.floor((F.col("n") - 1) / 2) + 1
+    k2 = F.floor(F.col("n") / 2) + 1
+    pick = ranked.where(((F.col("lo") < k1) & (k1 <= F.col("hi"))) | ((F.col("lo") < k2) & (k2 <= F.col("hi"))))
+    m = pick.agg(((F.min("x") + F.max("x")) / 2.0).alias("median"))
+    return m.select(F.coalesce(F.round(F.col("median"), 9), F.lit(0.0)).alias("median"))

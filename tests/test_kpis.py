@@ -124,3 +124,15 @@ def test_risk_severity_labels(spark):
     assert got == {"High": 10.0, "Medium": 5.0, "Unknown": 1.0}
     k = K.kpi_risk(r).first()
     assert k.high_severity_risk_count == 1 and abs(k.high_risk_impact_as_pct_of_total - 62.5) < 1e-12
+
+
+def test_distributed_median_equals_exact(spark):
+    from pulseboard.functions.stats import distributed_median, median
+
+    for n in (1, 2, 7, 1000):
+        df = spark.range(n).select(((F.col("id") * 7919) % 1013 / 3.0).alias("v"))
+        exact = df.agg(median(F.col("v")).alias("m")).first().m
+        got = distributed_median(df, "v", buckets=8).first().median
+        assert got == exact, (n, got, exact)
+    dup = spark.range(100).select(F.when(F.col("id") < 60, F.lit(5.0)).otherwise(F.col("id").cast("double")).alias("v"))
+    assert distributed_median(dup, "v", buckets=4).first().median == 5.0
