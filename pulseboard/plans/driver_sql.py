@@ -120,7 +120,7 @@ def _pipeline() -> str:
 ),
 pipeline AS (
   SELECT {sel},
-    l_orderkey AS r1, l_linenumber AS r2, l_partkey AS r3, l_suppkey AS r4
+    l_orderkey AS r1, l_linenumber AS r2, l_partkey AS r3, l_suppkey AS r4, l_shipdate AS r5
   FROM l_base
 )"""
 
@@ -134,7 +134,7 @@ def _risks() -> str:
     {money('l_extendedprice')} AS "Impact ($)",
     CAST(NULL AS VARCHAR) AS "Mitigation Plan",
     'Owner ' || CAST(l_suppkey AS VARCHAR) AS "Owner",
-    l_orderkey AS r1, l_linenumber AS r2, l_partkey AS r3, l_suppkey AS r4
+    l_orderkey AS r1, l_linenumber AS r2, l_partkey AS r3, l_suppkey AS r4, l_shipdate AS r5
   FROM lineitem
 )"""
 

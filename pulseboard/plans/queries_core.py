@@ -176,7 +176,7 @@ S_PROJ_SC = ("__health", "avg_project_health_score", "median_project_health_scor
              "__total", "avg_total_project_score", "median_total_project_score")
 S_PIPE_SC = ("__pscore", "avg_pipeline_score", "median_pipeline_score",
              "__tscore", "avg_total_deal_score", "median_total_deal_score")
-PIPE_ROW = "(r1, r2, r3, r4)"
+PIPE_ROW = "(r1, r2, r3, r4, r5)"
 
 
 # -- cleaning ---------------------------------------------------------------

@@ -72,9 +72,9 @@ def q_health_score_lookup(spark, sf):
 
 @query("pipeline_score_lookup", w("pipeline", "mapping") + f"""
 SELECT "Account", {dsum('COALESCE(m.score, 0.0)', 6)} AS pipeline_score
-FROM ({_unpivot('pipeline', [c for c, _ in PIPELINE_SCORECARD], 'r1, r2, r3, r4, "Account"')}) c
+FROM ({_unpivot('pipeline', [c for c, _ in PIPELINE_SCORECARD], 'r1, r2, r3, r4, r5, "Account"')}) c
 LEFT JOIN {_first_value('Pipeline')} m ON c.lookup = m.lookup
-GROUP BY r1, r2, r3, r4, "Account\"""")
+GROUP BY r1, r2, r3, r4, r5, "Account\"""")
 def q_pipeline_score_lookup(spark, sf):
     return S.pipeline_score_lookup(cat.pipeline(spark, sf), driver.mapping(spark))
 

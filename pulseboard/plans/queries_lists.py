@@ -13,7 +13,7 @@ from .queries_core import ACTIVE, LF, OVERDUE_CK, OVERDUE_NEXT, PF, RF, SF, w
 from .sqlfn import cnt, dsum, money0, num
 
 HUNDRED = "CAST(100.0 AS DOUBLE)"
-PIPE_ROW = "r1, r2, r3, r4"
+PIPE_ROW = "r1, r2, r3, r4, r5"
 
 
 def s_band(x: str, bands) -> str:

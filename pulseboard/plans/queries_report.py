@@ -54,7 +54,7 @@ def q_row_updates(spark, sf):
 
 
 @query("row_updates_pipeline", w("pipeline", "updates") + s_apply(
-    "pipeline", "Account", "pipeline_updates", PIPELINE_KNOWN, PIPELINE_OUT, "r1, r2, r3, r4", True,
+    "pipeline", "Account", "pipeline_updates", PIPELINE_KNOWN, PIPELINE_OUT, "r1, r2, r3, r4, r5", True,
     "t.r1 AS l_orderkey, t.r2 AS l_linenumber, t.r3 AS l_partkey, t.r4 AS l_suppkey, "))
 def q_row_updates_pipeline(spark, sf):
     upd = U.form_payload(driver.pipeline_updates(spark, sf), drop_blank=True)
@@ -99,8 +99,8 @@ def snapshot_tabs(spark, sf):
 SNAP_SQL_TABS = [
     ("Project Inventory", "projects", TAB_COLUMNS["Project Inventory"], "_row"),
     ("Project Risks", "risks", ["Project Name", "Risk Description", "Severity", "Impact ($)", "Mitigation Plan", "Owner"],
-     "r1, r2, r3, r4"),
-    ("Pipeline", "pipeline", TAB_COLUMNS["Pipeline"], "r1, r2, r3, r4"),
+     "r1, r2, r3, r4, r5"),
+    ("Pipeline", "pipeline", TAB_COLUMNS["Pipeline"], "r1, r2, r3, r4, r5"),
     ("Team Utilization", "staff", TAB_COLUMNS["Team Utilization"], "_row"),
     ("Talent Gaps", "talent_gaps", TAB_COLUMNS["Talent Gaps"], "_row"),
     ("Operational Gaps", "operational_gaps", TAB_COLUMNS["Operational Gaps"], "_row"),

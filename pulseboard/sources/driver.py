@@ -102,11 +102,11 @@ def projects(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFr
 
 
 def _line_row() -> Column:
-    return F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
 
 
 def pipeline(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFrame:
-    """Pipeline: one row per line item; ``_row`` = the four line keys."""
+    """Pipeline: one row per line item; ``_row`` = the line keys and ship date (unique at every sf)."""
     li = read(spark, sf_dir, "lineitem")
     s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     j = li.join(s, li.l_suppkey == s.s_suppkey, "left")
