@@ -22,7 +22,9 @@ AS_OF = dt.date(1999, 6, 30)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    from ..session import spread
+
+    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
 def _s(c: Column) -> Column:

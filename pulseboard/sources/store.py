@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir
 
-MAPPING_VERSION = "4"
+MAPPING_VERSION = "5"
 _PATHS: dict = {}
 _FRAMES: dict = {}
 _LOCK = threading.Lock()
