@@ -85,7 +85,7 @@ def export_slug(tab: str) -> str:
 def export_roundtrip(spark: SparkSession, tab: str, df: DataFrame) -> DataFrame:
     """Write the tab under the shared folder and read it back as text."""
     path = export_csv(df, new_output_path(spark, export_slug(tab)))
-    back = scan_tab(spark, path, "csv")
+    back = scan_tab(spark, path, "csv", multiline=True)  # free-text cells may hold line breaks
     return back
 
 

@@ -76,16 +76,18 @@ def empty_tab(spark: SparkSession, tab: str) -> DataFrame:
 
 
 def scan_tab(spark: SparkSession, path: str, fmt: str = "parquet", tab: str | None = None,
-             row_col: str = ROW) -> DataFrame:
+             row_col: str = ROW, multiline: bool = False) -> DataFrame:
     """Read one tab. CSV is read with a header and no type inference.
 
     ``row_col`` names the source column that carries sheet order; it is
-    renamed to ``_row``. With a declared ``tab`` the CSV columns are read as
-    text so a cell never changes type at load.
+    renamed to ``_row``. CSV cells are read as text so a cell never changes
+    type at load. ``multiline=True`` accepts quoted cells with line breaks,
+    but then a file is no longer split across tasks - keep it for exports
+    of free-text tabs, not for bulk files.
     """
     r = spark.read
     if fmt == "csv":
-        r = r.option("header", True).option("inferSchema", False).option("multiLine", True)
+        r = r.option("header", True).option("inferSchema", False).option("multiLine", multiline)
         df = r.csv(path)
     else:
         df = r.format(fmt).load(path)

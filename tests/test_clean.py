@@ -76,3 +76,26 @@ def test_formats(spark):
     r = df.select(C.format_currency(F.col("a")).alias("a"), C.format_percentage(F.col("b")).alias("b"),
                   C.format_currency(F.col("c")).alias("c"), C.format_percentage(F.lit(12345.67)).alias("d")).first()
     assert (r.a, r.b, r.c, r.d) == ("$1,234", "0.2%", "$-1,234", "12345.7%")
+
+
+def test_csv_scan_then_clean(spark, tmp_path):
+    from pulseboard.functions.clean import to_number
+    from pulseboard.sources.tabs import scan_tab
+
+    p = tmp_path / "tab.csv"
+    p.write_text(' Project Name ,Revenue,Key Issues,_row\nA,"$1,200",,0\n,,,1\nB,(500),"x, y",2\n')
+    df = clean_tab(scan_tab(spark, str(p), "csv"), "Project Inventory")
+    assert df.columns == ["Project Name", "Revenue", "Key Issues", "_row"]
+    assert dict(df.dtypes)["_row"] == "bigint"
+    got = sorted((r["_row"], r["Project Name"], r.n, r["Key Issues"])
+                 for r in df.select("*", to_number(F.col("Revenue")).alias("n")).collect())
+    assert got == [(0, "A", 1200.0, None), (2, "B", 500.0, "x, y")]
+
+
+def test_export_slug_and_enum_fallback(spark):
+    from pulseboard.operators.report import export_slug
+
+    assert export_slug("Project Inventory") == "project_inventory"
+    df = literal_frame(spark, [("r",), ("X",), (None,)], [("s", "string")])
+    got = [r.v for r in df.select(C.enum_or(F.col("s"), ("R", "Y", "G"), "G").alias("v")).collect()]
+    assert got == ["R", "G", "G"]
