@@ -32,17 +32,21 @@ def tab_snapshot(name: str, order: int, df: DataFrame) -> DataFrame:
     """
     cap = snapshot_cap(name)
     cols = [c for c in df.columns if c != ROW]
+    n = F.col("total")
+
+    def line(cond, no, text):
+        return F.when(cond, F.struct(F.lit(no).alias("line_no"), text.alias("text")))
+
+    # one count per tab gives the two header lines and, when rows were left out, the mark
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    head = total.where(F.col("total") > 0).select(F.inline(F.array(
-        F.struct(F.lit(0).alias("line_no"), F.lit(f"Sheet: {name}").alias("text")),
-        F.struct(F.lit(1).alias("line_no"), F.lit("Columns: " + ", ".join(cols)).alias("text")))))
+    head = total.select(F.inline(F.filter(F.array(
+        line(n > 0, 0, F.lit(f"Sheet: {name}")),
+        line(n > 0, 1, F.lit("Columns: " + ", ".join(cols))),
+        line(n > cap, cap + 2, F.format_string(f"... (showing top {cap} of %d rows)", n))), lambda x: x.isNotNull())))
     top = df.orderBy(F.col(ROW)).limit(cap)
     rows = top.select((F.row_number().over(Window.orderBy(F.col(ROW))) + 1).alias("line_no"),
                       row_text(df).alias("text"))
-    mark = total.where(F.col("total") > cap).select(
-        F.lit(cap + 2).alias("line_no"),
-        F.format_string(f"... (showing top {cap} of %d rows)", F.col("total")).alias("text"))
-    out = head.unionByName(rows).unionByName(mark)
+    out = head.unionByName(rows)
     return out.select(F.lit(order).alias("tab_order"), F.lit(name).alias("tab"), "line_no", "text")
 
 
