@@ -114,3 +114,35 @@ def test_snapshot_caps_and_truncation(spark):
     assert lines[-1] == "... (showing top 15 of 20 rows)"
     t = R.context_text(snap, limit=50).first()
     assert t.truncated and t.context_text.endswith("\n... (data truncated)") and len(t.context_text) == 50 + 21
+
+
+def test_sweep_overrides_only_present_labels(spark):
+    base = SC.scenario_inputs(tab(spark, "Scenario Model Inputs", scenario_rows()))
+    sweep = literal_frame(spark, [(1, 52.0, 0.5), (2, 50.0, 0.5)],
+                          [("Scenario", "bigint"), ("weeks", "double"), ("chief", "double")])
+    got = {r.Scenario: r for r in SC.scenario_sweep(
+        base, sweep, ("Scenario",), {"Work Weeks in a year": "weeks", "Cost of Chief of Staff Salary": "chief"}).collect()}
+    # weeks is present in the baseline (overridden); the salary label is absent, so its default stays
+    assert got[2].net_vs_baseline == 0.0
+    assert got[1].total_negative_impact < got[2].total_negative_impact
+    assert got[2].total_positive_impact == 700000.0
+
+
+def test_updates_need_the_key_column(spark):
+    df = tab(spark, "Project Inventory", [{"Project Name": "K", "Key Issues": "a"}])
+    upd = literal_frame(spark, [("K", "Key Issues", "new", 1)],
+                        [("key", "string"), ("column", "string"), ("value", "string"), ("seq", "bigint")])
+    assert U.apply_updates(df, "Missing Key", upd).first()["Key Issues"] == "a"
+    assert U.update_report(df, "Missing Key", upd).first().status == "key column missing"
+
+
+def test_kpi_all_on_empty_tabs(spark):
+    from pulseboard.operators import kpis as K
+
+    e = {t: tab(spark, t, []) for t in ("Project Inventory", "Pipeline", "Project Risks", "Team Utilization",
+                                        "Executive Activity")}
+    rows = K.kpi_all(e["Project Inventory"], e["Pipeline"], e["Project Risks"], e["Team Utilization"],
+                     e["Executive Activity"], D).collect()
+    assert len(rows) == 1
+    r = rows[0].asDict()
+    assert all(v == 0 or v == "N/A" for v in r.values()), {k: v for k, v in r.items() if v not in (0, "N/A")}
