@@ -95,9 +95,9 @@ def f_revenue(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
     )
 
 
-def _score_stats(df: DataFrame, raw: str, typed: str, avg_name: str, med_name: str) -> Family:
+def _score_stats(df: DataFrame, raw: str, typed: str, avg_name: str, med_name: str, exact: bool = True) -> Family:
     if raw in df.columns:
-        aggs = [dmean(F.col(typed)).alias(avg_name), median(F.col(typed)).alias(med_name)]
+        aggs = [dmean(F.col(typed)).alias(avg_name), median(F.col(typed), exact).alias(med_name)]
     else:
         aggs = [F.lit(0.0).alias(avg_name), F.lit(0.0).alias(med_name)]
     return Family(aggs, [F.col(avg_name), F.col(med_name)])
@@ -116,9 +116,13 @@ def _extremes(df: DataFrame, raw: str, typed: str, name: str, top: str, bottom:
     return Family(aggs, [F.col(top), F.col(bottom)])
 
 
-def f_project_scores(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
-    a = _score_stats(df, "Project Health Score", "__health", "avg_project_health_score", "median_project_health_score")
-    b = _score_stats(df, "Total Project Score", "__total", "avg_total_project_score", "median_total_project_score")
+def f_project_scores(df: DataFrame, t: Targets = DEFAULT_TARGETS, exact_median: bool = True) -> Family:
+    """Mean and median of both project scores. ``exact_median=False`` uses a fixed-size
+    sketch instead of the exact value -> count map (for columns with huge distinct counts)."""
+    a = _score_stats(df, "Project Health Score", "__health", "avg_project_health_score", "median_project_health_score",
+                     exact_median)
+    b = _score_stats(df, "Total Project Score", "__total", "avg_total_project_score", "median_total_project_score",
+                     exact_median)
     return Family(a.aggs + b.aggs, a.post + b.post)
 
 
@@ -222,9 +226,10 @@ def f_pipeline_values(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
     )
 
 
-def f_pipeline_scores(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
-    a = _score_stats(df, "Pipeline Score", "__pscore", "avg_pipeline_score", "median_pipeline_score")
-    b = _score_stats(df, "Total Deal Score", "__tscore", "avg_total_deal_score", "median_total_deal_score")
+def f_pipeline_scores(df: DataFrame, t: Targets = DEFAULT_TARGETS, exact_median: bool = True) -> Family:
+    a = _score_stats(df, "Pipeline Score", "__pscore", "avg_pipeline_score", "median_pipeline_score", exact_median)
+    b = _score_stats(df, "Total Deal Score", "__tscore", "avg_total_deal_score", "median_total_deal_score",
+                     exact_median)
     return Family(a.aggs + b.aggs, a.post + b.post)
 
 
@@ -238,13 +243,13 @@ def cycle_days() -> Column:
     return C.day_diff(F.col("__closed"), F.col("__created"))
 
 
-def f_deal_cycle(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
+def f_deal_cycle(df: DataFrame, t: Targets = DEFAULT_TARGETS, exact_median: bool = True) -> Family:
     names = ("avg_deal_cycle_time_days", "median_deal_cycle_time_days")
     if not _has(df, "Opportunity Created Date", "Closed Won Date"):
         return Family([F.lit(0.0).alias(n) for n in names], [F.col(n) for n in names])
     cyc = cycle_days()
     ok = F.when(cyc >= 0, cyc)
-    return Family([imean(ok).alias(names[0]), median(ok).alias(names[1])], [F.col(n) for n in names])
+    return Family([imean(ok).alias(names[0]), median(ok, exact_median).alias(names[1])], [F.col(n) for n in names])
 
 
 # --------------------------------------------------------------------------
@@ -325,9 +330,9 @@ def kpi_revenue(projects: DataFrame, t: Targets = DEFAULT_TARGETS, by=()) -> Dat
     return run(pf, [f_revenue(pf, t)], by)
 
 
-def project_scores(projects: DataFrame, by=()) -> DataFrame:
+def project_scores(projects: DataFrame, by=(), exact_median: bool = True) -> DataFrame:
     pf = project_frame(projects)
-    return run(pf, [f_project_scores(pf)], by)
+    return run(pf, [f_project_scores(pf, exact_median=exact_median)], by)
 
 
 def project_extremes(projects: DataFrame, by=()) -> DataFrame:
@@ -340,9 +345,9 @@ def kpi_pipeline(pipeline: DataFrame, t: Targets = DEFAULT_TARGETS, by=()) -> Da
     return run(pf, [f_pipeline_values(pf, t)], by)
 
 
-def pipeline_scores(pipeline: DataFrame, by=()) -> DataFrame:
+def pipeline_scores(pipeline: DataFrame, by=(), exact_median: bool = True) -> DataFrame:
     pf = pipeline_frame(pipeline)
-    return run(pf, [f_pipeline_scores(pf)], by)
+    return run(pf, [f_pipeline_scores(pf, exact_median=exact_median)], by)
 
 
 def pipeline_extremes(pipeline: DataFrame, by=()) -> DataFrame:
@@ -363,9 +368,9 @@ def kpi_satisfaction(projects: DataFrame, staff: DataFrame, t: Targets = DEFAULT
     return a.crossJoin(b)  # both sides are global aggregates: exactly one row each
 
 
-def deal_cycle(pipeline: DataFrame, by=()) -> DataFrame:
+def deal_cycle(pipeline: DataFrame, by=(), exact_median: bool = True) -> DataFrame:
     pf = pipeline_frame(pipeline)
-    return run(pf, [f_deal_cycle(pf)], by)
+    return run(pf, [f_deal_cycle(pf, exact_median=exact_median)], by)
 
 
 def deal_cycle_by_tier(pipeline: DataFrame) -> DataFrame:
@@ -398,16 +403,17 @@ def kpi_exec_cost(activity: DataFrame, by=()) -> DataFrame:
 
 
 def kpi_all(projects: DataFrame, pipeline: DataFrame, risks: DataFrame, staff: DataFrame,
-            activity: DataFrame, as_of: dt.date, t: Targets = DEFAULT_TARGETS) -> DataFrame:
+            activity: DataFrame, as_of: dt.date, t: Targets = DEFAULT_TARGETS, exact_median: bool = True) -> DataFrame:
     """Every scalar KPI in one row: one aggregate per tab, five scans in all.
 
     Each part is a global aggregate (exactly one row), so the cross joins
     below combine single rows and never multiply data.
     """
     pf, lf, rf, sf = project_frame(projects), pipeline_frame(pipeline), risk_frame(risks), staff_frame(staff)
-    proj = run(pf, [f_status(pf, t), f_revenue(pf, t), f_project_scores(pf), f_project_extremes(pf),
+    proj = run(pf, [f_status(pf, t), f_revenue(pf, t), f_project_scores(pf, t, exact_median), f_project_extremes(pf),
                     f_nps(pf, t), f_next_deal(pf, as_of, t), f_checkins(pf, as_of, t)])
-    pipe = run(lf, [f_pipeline_values(lf, t), f_pipeline_scores(lf), f_pipeline_extremes(lf), f_deal_cycle(lf)])
+    pipe = run(lf, [f_pipeline_values(lf, t), f_pipeline_scores(lf, t, exact_median), f_pipeline_extremes(lf),
+                    f_deal_cycle(lf, t, exact_median)])
     risk = run(rf, [f_risk(rf, t)])
     team = run(sf, [f_pulse(sf, t), f_utilization(sf)])
     cost = run(activity, [f_exec_cost(activity)])

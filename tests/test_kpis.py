@@ -136,3 +136,10 @@ def test_distributed_median_equals_exact(spark):
         assert got == exact, (n, got, exact)
     dup = spark.range(100).select(F.when(F.col("id") < 60, F.lit(5.0)).otherwise(F.col("id").cast("double")).alias("v"))
     assert distributed_median(dup, "v", buckets=4).first().median == 5.0
+
+
+def test_median_sketch_option(spark):
+    rows = [{"Project Name": str(i), "Project Health Score": str(i)} for i in range(101)]
+    p = tab(spark, "Project Inventory", rows)
+    assert K.project_scores(p).first().median_project_health_score == 50.0
+    assert abs(K.project_scores(p, exact_median=False).first().median_project_health_score - 50.0) <= 1.0
