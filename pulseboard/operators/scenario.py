@@ -170,26 +170,44 @@ def scenario_sweep(base_inputs: DataFrame, sweep: DataFrame, key_cols, set_value
                     (net - F.col("__base_net")).alias("net_vs_baseline"))
 
 
-def sensitivity(inputs: DataFrame, by=(), spread: float = 0.10) -> DataFrame:
-    """Net impact at the low and high end (value * (1 -/+ spread)) of every present assumption.
+def parse_range(text: Column) -> Column:
+    """Sensitivity Range text such as ``±10%`` or ``+/- 15 %`` as a fraction (0.10, 0.15)."""
+    return F.regexp_extract(text, r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double") / 100.0
 
-    One row per (scenario, assumption); both ends are computed in the same row.
+
+def sensitivity(inputs: DataFrame, by=(), spread: float = 0.10, ranges: DataFrame | None = None) -> DataFrame:
+    """Net impact at the low and high end of every present assumption.
+
+    Ends are value * (1 - r) and value * (1 + r), with ``r`` from the
+    Sensitivity tab's range of that assumption (``ranges``: Assumption/Scenario
+    Input, Sensitivity Range) or ``spread`` when the tab has no row for it. One
+    row per (scenario, assumption); both ends are computed in the same row.
     """
     w = wide_inputs(inputs, by)
-    lo_f, hi_f = 1.0 - spread, 1.0 + spread
     idx = F.array(*[F.when(F.col(f"has{i}"), F.lit(i)) for i in range(len(SCENARIO_LABELS))])
     e = w.select("*", F.explode(F.filter(idx, lambda x: x.isNotNull())).alias("__i"))
     labels = F.array(*[F.lit(l) for l in SCENARIO_LABELS])
+    e = e.withColumn("assumption", F.element_at(labels, F.col("__i") + 1))
+    if ranges is not None:
+        r = ranges.select(q("Assumption/Scenario Input").alias("assumption"),
+                          parse_range(q("Sensitivity Range")).alias("__r"), F.col(ROW))
+        r = r.groupBy("assumption").agg(F.min_by("__r", F.col(ROW)).alias("__r"))  # first row per label
+        e = e.join(r, "assumption", "left")  # a few rows per label: AQE broadcasts it
+        rate = F.coalesce(F.col("__r"), F.lit(spread))
+    else:
+        rate = F.lit(spread)
+    e = e.withColumn("__lo", F.lit(1.0) - rate).withColumn("__hi", F.lit(1.0) + rate)
     base = F.element_at(F.array(*[F.col(f"v{i}") for i in range(len(SCENARIO_LABELS))]), F.col("__i") + 1)
 
-    def at(f):
+    def at(f: Column):
         v = [F.when(F.col("__i") == i, F.col(f"v{i}") * f).otherwise(F.col(f"v{i}")) for i in range(len(SCENARIO_LABELS))]
-        r = calc(v, F.col("failed"))
-        return r["total_positive_impact"] + r["total_negative_impact"]
+        r_ = calc(v, F.col("failed"))
+        return r_["total_positive_impact"] + r_["total_negative_impact"]
 
-    return e.select(*[q(b) for b in by], F.element_at(labels, F.col("__i") + 1).alias("assumption"),
-                    base.alias("base_value"), (base * lo_f).alias("low_value"), (base * hi_f).alias("high_value"),
-                    at(lo_f).alias("impact_low"), at(hi_f).alias("impact_high"))
+    return e.select(*[q(b) for b in by], "assumption",
+                    base.alias("base_value"), (base * F.col("__lo")).alias("low_value"),
+                    (base * F.col("__hi")).alias("high_value"),
+                    at(F.col("__lo")).alias("impact_low"), at(F.col("__hi")).alias("impact_high"))
 
 
 def scenario_totals(do_nothing: DataFrame, proposed: DataFrame) -> DataFrame:

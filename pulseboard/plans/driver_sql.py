@@ -284,7 +284,17 @@ def _updates() -> str:
             "pipeline_updates AS (\n  " + "\n  UNION ALL ".join(pp) + "\n)")
 
 
+def _sens_ranges() -> str:
+    rows = []
+    for i, label in enumerate(SCENARIO_LABELS[:9]):
+        rng = "n/a" if i == 8 else f"\u00b1{5 * (i % 4 + 1)}%"
+        rows.append(f"({lit(label)}, {lit(rng)}, {i})")
+    return ("sens_ranges AS (SELECT * FROM (VALUES " + ", ".join(rows)
+            + ') AS t("Assumption/Scenario Input", "Sensitivity Range", _row))')
+
+
 CTE_BUILDERS = {
+    "sens_ranges": _sens_ranges,
     "updates": _updates,
     "projects": _projects,
     "pipeline": _pipeline,

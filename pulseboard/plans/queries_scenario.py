@@ -167,23 +167,27 @@ def q_scenario_sweep(spark, sf):
 
 
 def _sensitivity_sql(spread=0.10):
-    lo, hi = 1.0 - spread, 1.0 + spread
     wide = s_wide(f"({SI})", '"Scenario"')
+    rr = ("(SELECT \"Assumption/Scenario Input\" AS a, arg_min(TRY_CAST(regexp_extract(\"Sensitivity Range\", "
+          "'([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE) / CAST(100.0 AS DOUBLE), _row) AS r FROM sens_ranges GROUP BY 1)")
     parts = []
     for i, label in enumerate(SCENARIO_LABELS):
+        rate = f"COALESCE(rr.r, {dbl(spread)})"
+        lo, hi = f"(CAST(1.0 AS DOUBLE) - {rate})", f"(CAST(1.0 AS DOUBLE) + {rate})"
+
         def at(f):
-            v = [f"(CASE WHEN TRUE THEN v{j} * {dbl(f)} END)" if j == i else f"v{j}" for j in range(N)]
+            v = [f"(v{j} * {f})" if j == i else f"v{j}" for j in range(N)]
             r = s_calc(v, "failed")
             return f"({r['total_positive_impact']} + {r['total_negative_impact']})"
-        parts.append(f"SELECT \"Scenario\", {lit(label)} AS assumption, v{i} AS base_value, v{i} * {dbl(lo)} AS low_value, "
-                     f"v{i} * {dbl(hi)} AS high_value, {at(lo)} AS impact_low, {at(hi)} AS impact_high "
-                     f"FROM w WHERE has{i}")
-    return with_tabs("scenario_in") + f",\nw AS ({wide})\n" + "\nUNION ALL ".join(parts)
+        parts.append(f"SELECT \"Scenario\", {lit(label)} AS assumption, v{i} AS base_value, v{i} * {lo} AS low_value, "
+                     f"v{i} * {hi} AS high_value, {at(lo)} AS impact_low, {at(hi)} AS impact_high "
+                     f"FROM w LEFT JOIN {rr} rr ON rr.a = {lit(label)} WHERE has{i}")
+    return with_tabs("scenario_in", "sens_ranges") + f",\nw AS ({wide})\n" + "\nUNION ALL ".join(parts)
 
 
 @query("sensitivity", _sensitivity_sql())
 def q_sensitivity(spark, sf):
-    return SC.sensitivity(SC.scenario_inputs(_inputs(spark, sf), BY), BY)
+    return SC.sensitivity(SC.scenario_inputs(_inputs(spark, sf), BY), BY, ranges=driver.sensitivity_ranges(spark))
 
 
 @query("scenario_totals", with_tabs("scenario_impacts") + f"""

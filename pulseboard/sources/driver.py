@@ -382,3 +382,17 @@ def pipeline_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     arr = F.array(u("Horizon", F.lit("Near-term"), 0), u("Notes", F.lit(""), 1),
                   u("Percieved Annual AMO", _s((k % 50) * 1000), 2), u("Deal Registered YN", F.lit("Y"), 3))
     return s.where(k % 3 == 0).select(F.explode(arr).alias("u")).select("u.*")
+
+
+def sensitivity_ranges(spark: SparkSession) -> DataFrame:
+    """Sensitivity & Assumption Analysis tab: a range for most assumptions (one unparsable,
+    two absent, so the default spread is used for those)."""
+    from .literal import literal_frame
+    from .tabs import TAB_COLUMNS
+
+    rows = []
+    for i, label in enumerate(SCENARIO_LABELS[:9]):
+        rng = "n/a" if i == 8 else f"\u00b1{5 * (i % 4 + 1)}%"
+        rows.append((label, None, rng, None, None, i))
+    cols = [(c, "string") for c in TAB_COLUMNS["Sensitivity & Assumption Analysis"]] + [(ROW, "bigint")]
+    return literal_frame(spark, rows, cols)

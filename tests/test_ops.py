@@ -146,3 +146,15 @@ def test_kpi_all_on_empty_tabs(spark):
     assert len(rows) == 1
     r = rows[0].asDict()
     assert all(v == 0 or v == "N/A" for v in r.values()), {k: v for k, v in r.items() if v not in (0, "N/A")}
+
+
+def test_sensitivity_ranges_per_assumption(spark):
+    base = SC.scenario_inputs(tab(spark, "Scenario Model Inputs", scenario_rows()))
+    ranges = tab(spark, "Sensitivity & Assumption Analysis", [
+        {"Assumption/Scenario Input": "Work Weeks in a year", "Sensitivity Range": "±20%"},
+        {"Assumption/Scenario Input": "Work Weeks in a year", "Sensitivity Range": "±30%"},
+        {"Assumption/Scenario Input": "% Projects at Risk", "Sensitivity Range": "n/a"}])
+    rows = {r.assumption: r for r in SC.sensitivity(base, ranges=ranges).collect()}
+    assert rows["Work Weeks in a year"].low_value == 40.0  # first range row of the label wins
+    assert rows["% Projects at Risk"].low_value == 27.0  # unparsable range -> default 10%
+    assert rows["VP Hourly Selling Value"].high_value == 550.0
