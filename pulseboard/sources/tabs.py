@@ -149,3 +149,34 @@ def project_existing(df: DataFrame, cols) -> DataFrame:
 def q(c: str) -> Column:
     """Column by a sheet header (headers hold spaces, dots and slashes)."""
     return F.col(f"`{c}`")
+
+
+def load_tab(spark: SparkSession, path: str, tab: str, fmt: str = "parquet", **kw) -> DataFrame:
+    """Scan and clean one tab; a missing or unreadable tab is an empty frame of its schema.
+
+    Only the file listing / schema read can fail here (the scan itself is lazy),
+    so the fallback never hides a failing job.
+    """
+    try:
+        df = scan_tab(spark, path, fmt, tab, **kw)
+    except Exception:  # noqa: BLE001 - any load error means "tab not available"
+        return empty_tab(spark, tab)
+    return clean_tab(df, tab)
+
+
+def load_workbook(spark: SparkSession, folder: str, fmt: str = "parquet", names=None) -> dict:
+    """All tabs of a workbook folder (one file or folder per tab, named like the CSV export:
+    lower case, ``_`` for spaces), as lazy DataFrames in load order."""
+    import os
+
+    from ..targets import TAB_NAMES
+
+    out = {}
+    for name in names or TAB_NAMES:
+        slug = name.lower().replace(" ", "_")
+        ext = "" if fmt == "parquet" else f".{fmt}"
+        path = os.path.join(folder, slug + ext)
+        if not os.path.exists(path) and os.path.exists(os.path.join(folder, slug)):
+            path = os.path.join(folder, slug)
+        out[name] = load_tab(spark, path, name, fmt)
+    return out

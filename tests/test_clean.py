@@ -99,3 +99,12 @@ def test_export_slug_and_enum_fallback(spark):
     df = literal_frame(spark, [("r",), ("X",), (None,)], [("s", "string")])
     got = [r.v for r in df.select(C.enum_or(F.col("s"), ("R", "Y", "G"), "G").alias("v")).collect()]
     assert got == ["R", "G", "G"]
+
+
+def test_load_workbook_missing_tab_is_empty(spark, tmp_path):
+    from pulseboard.sources.tabs import load_workbook
+
+    tab(spark, "Talent Gaps", [{"Skill/Role Needed": "x"}]).write.parquet(str(tmp_path / "talent_gaps"))
+    wb = load_workbook(spark, str(tmp_path), names=["Talent Gaps", "Operational Gaps"])
+    assert wb["Talent Gaps"].count() == 1
+    assert wb["Operational Gaps"].count() == 0 and "Operational Issue" in wb["Operational Gaps"].columns
