@@ -373,14 +373,14 @@ def deal_cycle(pipeline: DataFrame, by=(), exact_median: bool = True) -> DataFra
     return run(pf, [f_deal_cycle(pf, exact_median=exact_median)], by)
 
 
-def deal_cycle_by_tier(pipeline: DataFrame) -> DataFrame:
+def deal_cycle_by_tier(pipeline: DataFrame, exact_median: bool = True) -> DataFrame:
     """Mean and median cycle per tier; negative cycles included, missing tier dropped."""
     pf = pipeline_frame(pipeline)
     if not _has(pf, "Opportunity Created Date", "Closed Won Date", "Pursuit Tier"):
         return pf.sparkSession.createDataFrame([], "`Pursuit Tier` string, mean_days double, median_days double")
     won = pf.where(F.col("__created").isNotNull() & F.col("__closed").isNotNull() & q("Pursuit Tier").isNotNull())
     cyc = cycle_days()
-    return won.groupBy(q("Pursuit Tier")).agg(imean(cyc).alias("mean_days"), median(cyc).alias("median_days"))
+    return won.groupBy(q("Pursuit Tier")).agg(imean(cyc).alias("mean_days"), median(cyc, exact_median).alias("median_days"))
 
 
 def next_deal_gap(projects: DataFrame, as_of: dt.date, t: Targets = DEFAULT_TARGETS, by=()) -> DataFrame:
