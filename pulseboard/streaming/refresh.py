@@ -8,6 +8,11 @@ all of their files (so a snapshot whose files arrive in several batches ends
 complete) and written with dynamic partition overwrite per snapshot id, so a
 replayed batch after a failure rewrites the same partitions (idempotent).
 State lives in the checkpoint folder; nothing is kept on the driver.
+
+At scale, land snapshots partitioned by ``snapshot_id`` (one folder per id)
+and read that layout: the semi join with the batch's few ids then prunes the
+scan to the changed snapshots (dynamic partition pruning) instead of reading
+every snapshot ever written.
 """
 
 from __future__ import annotations
