@@ -158,3 +158,16 @@ def test_sensitivity_ranges_per_assumption(spark):
     assert rows["Work Weeks in a year"].low_value == 40.0  # first range row of the label wins
     assert rows["% Projects at Risk"].low_value == 27.0  # unparsable range -> default 10%
     assert rows["VP Hourly Selling Value"].high_value == 550.0
+
+
+def test_rankings_break_ties_by_sheet_order(spark):
+    from pulseboard.operators import lists as L
+
+    staff = tab(spark, "Team Utilization", [{"Employee Name": n, "Role": "x", "Utilization (%)": u}
+                                            for n, u in (("a", "50%"), ("b", "90%"), ("c", "90%"), ("d", "10%"))])
+    assert [r["Employee Name"] for r in L.utilization_ranking(staff).collect()] == ["b", "c", "a", "d"]
+    pipe = tab(spark, "Pipeline", [{"Account": n, "Pursuit Tier": t, "Percieved Annual AMO": a}
+                                   for n, t, a in (("w", "Tier 1", "$5"), ("x", "TIER 1", "$9"), ("y", "tier 1", "$9"),
+                                                   ("z", "Tier 2", "$99"), ("v", " Tier 1", "$50"))])
+    got = [(r["rank"], r.account) for r in L.top_pursuits(pipe, n=5).orderBy("rank").collect()]
+    assert got == [(1, "x"), (2, "y"), (3, "w")]  # upper-case match, no trim; ties in sheet order
