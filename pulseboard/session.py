@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,20 +47,18 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset
-    (local runs and tests) a folder is made and registered.
+    Reads ``spark.checkpoint.dir`` from the session. Where it is unset, a local
+    master (one machine, as in tests) gets a folder of its own; any other
+    master raises, since executors cannot share a machine-local folder.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
-    d = sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        try:
-            d = spark.conf.get("spark.checkpoint.dir")
-        except Exception:
-            d = None
+    d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="pulseboard-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
@@ -67,10 +66,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_output_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for one written table."""
-    base = shared_dir(spark)
-    import uuid
-
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def spread(df):
