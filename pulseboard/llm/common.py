@@ -34,6 +34,11 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
+def in_one(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct "row", so that no name of theirs meets one of the operator's."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def id_crc32(c: Column) -> Column:
     """crc32 of the decimal text of an id (null id: crc32 of empty text, 0)."""
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_output_path
-from .common import NO_ID, ascii_lower, stored
+from .common import NO_ID, ascii_lower, in_one, stored
 
 SPACE = " \t\n\x0b\x0c\r"
 HASH = ["h1", "h2"]
@@ -67,47 +67,47 @@ class LineRuns:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the order of the document (null doc_id last), a hash that tells apart different
-    texts under one doc_id, and the lines (null text: one empty line)."""
+    """(row, did, th, lines): the columns of ``docs``, the order of the document (null doc_id last), a hash that
+    tells apart different texts under one doc_id, and the lines (null text: one empty line)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "__th": F.xxhash64(text), "__lines": F.split(text, "\n", -1)})
+    return docs.select(in_one(docs), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"), F.split(text, "\n", -1).alias("lines"))
 
 
 def dropped_lines(docs: DataFrame, min_length: int, batches: int, fanout: int) -> DataFrame:
-    """(__did, __th, __drop): the places, in order, of the lines that each document loses."""
+    """(did, th, drop): the places, in order, of the lines that each document loses."""
     spark = docs.sparkSession
     at = [k / batches for k in range(1, batches)]
     cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("bigint"), at, 10000).alias("c")).first()["c"] if at else None
     batch = F.lit(0)
     for c in sorted(set(cuts or [])):
-        batch = batch + (F.col("__did") > F.lit(c)).cast("int")
-    lines = keyed(docs.select("doc_id", "text")).select("__did", "__th", batch.alias("batch"), F.posexplode("__lines").alias("at", "line")) \
+        batch = batch + (F.col("did") > F.lit(c)).cast("int")
+    lines = keyed(docs.select("doc_id", "text")).select("did", "th", batch.alias("batch"), F.posexplode("lines").alias("at", "line")) \
         .withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_length) \
-        .select("__did", "__th", "batch", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2"))
+        .select("did", "th", "batch", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2"))
     lines = stored(lines, "line_hashes", "batch")
     runs, drops = LineRuns(spark, fanout), []
     for k in range(len(set(cuts or [])) + 1):
         mine = lines.where(F.col("batch") == k)
-        owners = stored(mine.groupBy(*HASH).agg(F.min("__did").alias("owner"), F.max("__did").alias("last")), "line_owners")
+        owners = stored(mine.groupBy(*HASH).agg(F.min("did").alias("owner"), F.max("did").alias("last")), "line_owners")
         fresh = stored(runs.unseen(owners).withColumn("new", F.lit(True)), "line_fresh")
         # hashes that cost lines here: seen in an earlier batch (all lines go), or held by two documents of this one
         old = owners.join(fresh.select(*HASH), HASH, "left_anti").select(*HASH, F.lit(None).cast("bigint").alias("owner"))
         shared = fresh.where("owner != last").select(*HASH, "owner")
-        gone = mine.join(old.unionByName(shared), HASH).where(F.col("owner").isNull() | (F.col("__did") != F.col("owner")))
-        drops.append(gone.select("__did", "__th", "at").distinct())
+        gone = mine.join(old.unionByName(shared), HASH).where(F.col("owner").isNull() | (F.col("did") != F.col("owner")))
+        drops.append(gone.select("did", "th", "at").distinct())
         if k < len(set(cuts or [])):
             runs.add(fresh)
     out = drops[0]
     for d in drops[1:]:
         out = out.unionByName(d)
     # written before the run tables are forgotten
-    out = stored(out.groupBy("__did", "__th").agg(F.array_sort(F.collect_list("at")).alias("__drop")), "line_drops")
+    out = stored(out.groupBy("did", "th").agg(F.array_sort(F.collect_list("at")).alias("drop")), "line_drops")
     runs.close()
     return out
 
 
 def dedup_lines(docs: DataFrame, min_length: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
-    """The columns of ``docs`` plus __kept (text left), __n_lines (before) and __n_dropped (long).
+    """(row, kept, n_lines, n_dropped): the columns of ``docs``, the text left, its lines before (long), those gone.
 
     A line's key is the line without white space at both ends, A-Z lower-cased. Lines whose key has at
     least ``min_length`` code points and stands in two or more documents go, except in the smallest
@@ -115,29 +115,25 @@ def dedup_lines(docs: DataFrame, min_length: int = 10, batches: int = 4, fanout:
     doc_id comes after every other. Rows that repeat a doc_id count as one document and each keeps the
     owner's lines. An empty table gives an empty result. Keys are compared by 128-bit hashes."""
     drops = dropped_lines(docs, min_length, batches, fanout)
-    found = keyed(docs).join(drops.withColumnsRenamed({"__did": "__d", "__th": "__t"}), (F.col("__did") == F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
+    found = keyed(docs).join(drops, ["did", "th"], "left")
     # the stretches between dropped places, each cut out once: linear in the lines
-    drop = F.coalesce("__drop", F.array().cast("array<int>"))
-    edges = F.concat(F.array(F.lit(-1)), drop, F.array(F.size("__lines")))
-    found = found.withColumn("__edges", edges)
-    kept = F.expr("if(size(__edges) = 2, __lines, flatten(transform(sequence(1, size(__edges) - 1), "
-                  "i -> slice(__lines, __edges[i - 1] + 2, __edges[i] - __edges[i - 1] - 1))))")
-    return found.select(*docs.columns, F.array_join(kept, "\n").alias("__kept"), F.size("__lines").cast("bigint").alias("__n_lines"),
-                        F.coalesce(F.size(F.col("__drop")), F.lit(0)).cast("bigint").alias("__n_dropped"))
+    found = found.withColumn("edges", F.concat(F.array(F.lit(-1)), F.coalesce("drop", F.array().cast("array<int>")), F.array(F.size("lines"))))
+    kept = F.expr("if(size(edges) = 2, lines, flatten(transform(sequence(1, size(edges) - 1), "
+                  "i -> slice(lines, edges[i - 1] + 2, edges[i] - edges[i - 1] - 1))))")
+    return found.select("row", F.array_join(kept, "\n").alias("kept"), F.size("lines").cast("bigint").alias("n_lines"), (F.size("edges") - 2).cast("bigint").alias("n_dropped"))
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_lines, n_dropped, kept_sha256."""
-    return dedup_lines(docs.select("doc_id", "text")).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
+    return dedup_lines(docs.select("doc_id", "text")).select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with only the lines kept in ``text`` (and ``n_chars`` counted anew where there is one).
     A null text stays null."""
-    out = dedup_lines(docs, **options)
-    text = F.when(F.col("text").isNotNull(), F.col("__kept"))
-    new = {"text": text.alias("text"), "n_chars": F.when(F.col("text").isNotNull(), F.char_length("__kept").cast(dict(docs.dtypes).get("n_chars", "bigint"))).alias("n_chars")}
-    return out.select(*[new.get(c, F.col(c)) for c in docs.columns])
+    there = F.col("row.text").isNotNull()
+    new = {"text": F.when(there, F.col("kept")).alias("text"), "n_chars": F.when(there, F.char_length("kept").cast(dict(docs.dtypes).get("n_chars", "bigint"))).alias("n_chars")}
+    return dedup_lines(docs, **options).select(*[new.get(c, F.col(f"row.`{c}`")) for c in docs.columns])
 
 
 ORACLE = """

@@ -2,8 +2,9 @@
 
 A row's hash has 60 bits. The directory is indexed by a prefix of them: a bucket whose bytes exceed the
 limit, and no other, is split on one more bit, until every bucket fits. Buckets are resolved in strides
-of 16 bits: one aggregate gives the bytes below each prefix of the stride, and the first prefix on the
-way down that fits is the bucket. Rows of prefixes that need more bits go on to the next stride.
+of some bits: one aggregate gives the bytes below each prefix of the stride; a prefix that fits under one
+that doesn't is a bucket, and every directory entry below it points there. Rows of entries that need
+more bits go on to the next stride.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Window as W
 from .common import stored
 
 HASH_BITS = 60
-STRIDE = 15  # directory bits resolved by one aggregate: at most 2^16 prefixes below each open one
+FIRST_STRIDE, STRIDE = 15, 6  # directory bits resolved by one aggregate, and what it multiplies a bucket by at most
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -36,14 +37,17 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
     further bit can split (all its rows share the 60 bits) keeps depth 60."""
     done, left, base = [], rows.withColumn("at", F.lit(0).cast("bigint")), 0
     while base < HASH_BITS:
-        top = min(base + STRIDE, HASH_BITS)
-        # bytes of each prefix of the stride's full depth, then of all the shorter ones above it
+        top = min(base + (STRIDE if base else FIRST_STRIDE), HASH_BITS)
         cells = left.groupBy(F.expr(prefix(top)).alias("cell")).agg(F.sum("n_bytes").alias("b"))
-        levels = F.sequence(F.lit(base), F.lit(top))
-        paths = stored(cells.select("cell", "b", F.explode(levels).alias("depth")).withColumn("prefix", F.expr(f"shiftright(cell, {top} - depth)")), "paths")
-        fits = paths.groupBy("depth", "prefix").agg(F.sum("b").alias("bytes")).where((F.col("bytes") <= limit) | (F.col("depth") == HASH_BITS))
-        leaf = paths.join(fits.select("depth", "prefix"), ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("leaf"))
-        entries = stored(paths.where(F.col("depth") == top).select("cell").join(leaf, "cell", "left"), "entries")  # one per directory entry
+        paths = cells.select("b", "cell", F.explode(F.sequence(F.lit(base), F.lit(top))).alias("depth"))
+        sums = stored(paths.groupBy("depth", F.expr(f"shiftright(cell, {top} - depth)").alias("prefix")).agg(F.sum("b").alias("bytes")), "prefixes")
+        above = sums.select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("up"), F.col("bytes").alias("up_bytes"))
+        split = sums.withColumn("up", F.expr("shiftright(prefix, 1)")).join(above, ["depth", "up"], "left").where(F.col("up_bytes").isNull() | (F.col("up_bytes") > limit))
+        fits = (F.col("bytes") <= limit) | (F.col("depth") == HASH_BITS)
+        # a bucket's entries; a prefix of full depth that is still too large is an entry without bucket
+        buckets = split.where(fits | (F.col("depth") == top)).select(F.when(fits, F.col("depth")).alias("leaf"), F.expr(
+            f"sequence(shiftleft(prefix, {top} - depth), shiftleft(prefix + 1, {top} - depth) - 1)").alias("cells"))
+        entries = stored(buckets.select("leaf", F.explode("cells").alias("cell")), "entries")
         met = stored(left.withColumn("cell", F.expr(prefix(top))).join(entries, "cell"), "sharded")
         done.append(met.where("leaf is not null").select("doc_id", "n_bytes", "h", F.col("leaf").alias("depth"), F.expr(prefix("leaf")).alias("prefix")))
         left, base = met.where("leaf is null").select("doc_id", "n_bytes", "h"), top

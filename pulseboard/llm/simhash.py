@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, out_batch, pieces, stored, text_bytes
+from .common import column, in_one, out_batch, pieces, stored, text_bytes
 
 SEED = 42
 FAN = 16  # members of a leaf node, and children of an upper node
@@ -311,7 +311,6 @@ def keep_one_per_component(docs: DataFrame, size: int = 3, max_bits: int = 3) ->
     Of repeated rows of one doc_id, one stays. Rows without a doc_id stay only where their whole component
     has none (one row of it). The columns are those of ``docs``."""
     found = simhash_components(docs, size, max_bits)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    ids = docs.withColumn("__id", F.col("doc_id").cast("bigint"))
-    out = ids.join(kept.withColumnRenamed("__id", "__kept"), F.col("__id").eqNullSafe(F.col("__kept")), "left_semi")
-    return out.dropDuplicates(["__id"]).select(*docs.columns)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("id"), in_one(docs))
+    return ids.join(kept, F.col("id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["id"]).select("row.*")

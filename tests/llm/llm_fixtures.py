@@ -1,3 +1,5 @@
+"""Fixtures of these tests; imported by name, as the folder above has a conftest of its own."""
+
 import random
 
 import pytest

@@ -5,6 +5,7 @@ import hashlib
 import pytest
 
 from pulseboard.llm import line_dedup as L
+from llm_fixtures import make_docs, rng  # noqa: F401
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -45,15 +46,15 @@ def rows_of(rng):
 @pytest.mark.parametrize("batches,fanout", [(1, 2), (4, 2), (7, 3)])
 def test_matches_brute_force(spark, make_docs, rng, batches, fanout):
     rows = rows_of(rng)
-    docs = make_docs(rows, extra=["owner", "h1", "at", "batch", "__x"])
+    docs = make_docs(rows, extra=["owner", "h1", "at", "batch", "did", "drop", "row"])
     out = L.dedup_lines(docs, 10, batches, fanout)
-    got = sorted(((r.doc_id, r["__n_lines"], r["__n_dropped"], hashlib.sha256(r["__kept"].encode()).hexdigest()) for r in out.collect()), key=str)
+    got = sorted(((r.row.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.kept.encode()).hexdigest()) for r in out.collect()), key=str)
     assert got == brute(rows)
 
 
 def test_digest_and_pipeline_form(spark, make_docs, rng):
     rows = rows_of(rng)
-    docs = make_docs(rows)
+    docs = make_docs(rows, extra=["kept", "row", "lines"])
     assert sorted(map(tuple, L.line_digest(docs).collect()), key=str) == brute(rows)
     out = L.deduplicated(docs)
     assert out.dtypes == docs.dtypes

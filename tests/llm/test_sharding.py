@@ -5,6 +5,7 @@ import hashlib
 import pytest
 
 from pulseboard.llm import sharding as S
+from llm_fixtures import make_docs, rng  # noqa: F401
 
 
 def h60(i):

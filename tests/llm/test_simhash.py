@@ -6,6 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pulseboard.llm import simhash as S
+from llm_fixtures import make_docs, rng  # noqa: F401
 
 
 def brute_fp(text, size=3):
@@ -95,7 +96,7 @@ def test_components_of_documents(spark, make_docs, rng):
 
 def test_one_of_each_group_stays(spark, make_docs, rng):
     rows = docs_of(rng)
-    docs = make_docs(rows, extra=["fp", "root", "__x"])
+    docs = make_docs(rows, extra=["fp", "root", "id", "kept", "row"])
     got = S.keep_one_per_component(docs)
     assert got.columns == docs.columns
     ids = sorted(r.doc_id if r.doc_id is not None else -1 for r in got.collect())
