@@ -5,15 +5,19 @@ Every function maps Columns to a Column; nothing here leaves the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import string
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-# Characters removed before a text cell is read as a number: $ , % ( ) and
-# the ASCII letters (the class [$,%()A-Za-z]); ``translate`` removes a fixed
-# character set without running a regular expression per cell.
-NUMBER_JUNK = "$,%()" + "".join(chr(c) for c in range(ord("A"), ord("Z") + 1)) + \
-    "".join(chr(c) for c in range(ord("a"), ord("z") + 1))
+# Characters removed before a text cell is read as a number (the class [$,%()A-Za-z]);
+# ``translate`` removes them without running a regular expression per cell.
+NUMBER_JUNK = "$,%()" + string.ascii_letters
+# White space at both ends as the reference strips it: Unicode white space and the ASCII separators.
+STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# What reads as a number: no type suffix, nan or infinity.
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def _is_numeric(dtype) -> bool:
@@ -30,19 +34,33 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c) -> Column:
+    """The text without white space at both ends (tabs, line breaks and no-break spaces too)."""
+    return F.regexp_replace(_c(c), STRIP, "")
+
+
+def strict_double(c) -> Column:
+    """The number that a stripped text spells in full, else null."""
+    return F.when(_c(c).rlike(NUMBER), _c(c).try_cast("double"))
+
+
 def to_number(c, dtype=None) -> Column:
     """Lenient number: never null.
 
-    A numeric column is only cast. Text loses ``$ , % ( )`` and ASCII letters,
-    is trimmed, ``''`` becomes 0, and what still does not parse becomes 0.
+    A numeric column is only cast (NaN counts as missing). Text loses ``$ , % ( )`` and ASCII letters,
+    is stripped, ``''`` becomes 0, and what still does not parse becomes 0.
     """
     col = _c(c)
     if _is_numeric(dtype):
-        return F.coalesce(col.cast("double"), F.lit(0.0))
-    s = F.trim(F.translate(col.cast("string"), NUMBER_JUNK, ""))
-    return F.coalesce(
-        F.when(s == "", F.lit(0.0)).otherwise(s.try_cast("double")), F.lit(0.0)
-    )
+        return F.coalesce(F.nanvl(col.cast("double"), F.lit(None).cast("double")), F.lit(0.0))
+    s = strip(F.translate(col.cast("string"), NUMBER_JUNK, ""))
+    return F.coalesce(strict_double(s), F.lit(0.0))
+
+
+def number_of(df: DataFrame, name: str) -> Column:
+    """Lenient number of a column by its type in ``df``; 0 where the column is absent."""
+    kind = dict(df.dtypes).get(name)
+    return to_number(F.col(f"`{name}`"), kind) if kind else F.lit(0.0)
 
 
 def to_date(c) -> Column:
@@ -52,12 +70,12 @@ def to_date(c) -> Column:
 
 def amo_form_number(c) -> Column:
     """Form-side parse: drop ``$`` and ``,`` only; anything else that fails is 0."""
-    return F.coalesce(F.translate(_c(c), "$,", "").try_cast("double"), F.lit(0.0))
+    return F.coalesce(strict_double(strip(F.translate(_c(c).cast("string"), "$,", ""))), F.lit(0.0))
 
 
 def status_kpi(c) -> Column:
-    """Status as the KPI bundle reads it: trimmed and upper case."""
-    return F.upper(F.trim(_c(c)))
+    """Status as the KPI bundle reads it: stripped and upper case."""
+    return F.upper(strip(c))
 
 
 def status_page(c) -> Column:
@@ -80,13 +98,9 @@ def is_executive(role) -> Column:
     return F.coalesce(F.lower(_c(role)).contains("executive"), F.lit(False))
 
 
-def non_blank(c) -> Column:
-    return F.trim(_c(c)) != ""
-
-
 def split_list(c) -> Column:
-    """Comma list to an array of trimmed, distinct names (null cell -> empty)."""
-    parts = F.transform(F.split(F.coalesce(_c(c), F.lit("")), ","), lambda x: F.trim(x))
+    """Comma list to an array of stripped, distinct names (null cell -> empty)."""
+    parts = F.transform(F.split(F.coalesce(_c(c), F.lit("")), ","), lambda x: strip(x))
     return F.array_distinct(parts)
 
 

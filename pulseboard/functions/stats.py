@@ -1,30 +1,39 @@
 """Order-independent aggregates.
 
 Double sums depend on the order rows arrive in, so a re-partitioned input can
-change the last bits of a KPI. Sums go through DECIMAL (exact, and partial
-aggregation still applies) and are turned into DOUBLE once at the end.
+change the last bits of a KPI. Values below 10^17 are summed as decimals with
+ten places (exact, and partial aggregation still applies); larger ones, which
+such a decimal can't hold, are summed as doubles beside them, so no cell ends
+the job or is cut to cents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MONEY_SCALE = 2
-SCORE_SCALE = 6
+DECIMAL = "decimal(28,10)"
+LARGE = 1e17
+
+
+def _total(c: Column) -> Column:
+    """Sum of a DOUBLE column, null when there are no values."""
+    small, large = F.abs(c) < LARGE, F.abs(c) >= LARGE
+    exact = F.sum(F.when(small, c).cast(DECIMAL)).cast("double")
+    rest = F.sum(F.when(large, c))
+    return F.coalesce(exact + rest, exact, rest)
 
 
-def dsum(c: Column, scale: int = MONEY_SCALE) -> Column:
-    """Exact sum of a DOUBLE column at ``scale`` decimals, returned as DOUBLE; 0 when empty."""
-    s = F.sum(c.cast(f"decimal(26,{scale})"))
-    return F.coalesce(s.cast("double"), F.lit(0.0))
+def dsum(c: Column) -> Column:
+    """Sum of a DOUBLE column; 0 when empty."""
+    return F.coalesce(_total(c), F.lit(0.0))
 
 
-def dmean(c: Column, scale: int = SCORE_SCALE) -> Column:
-    """Exact mean (decimal sum / count of non-null values); 0 when there are none."""
-    s = F.sum(c.cast(f"decimal(26,{scale})")).cast("double")
-    n = F.count(c)
-    return F.coalesce(s / n, F.lit(0.0))
+def dmean(c: Column) -> Column:
+    """Mean of the non-null values; 0 when there are none."""
+    return F.coalesce(_total(c) / F.count(c), F.lit(0.0))
 
 
 def imean(c: Column) -> Column:
@@ -32,53 +41,38 @@ def imean(c: Column) -> Column:
     return F.coalesce(F.sum(c).cast("double") / F.count(c), F.lit(0.0))
 
 
-def median(c: Column, exact: bool = True) -> Column:
-    """Median (average of the two middle values), 0 when there are none.
-
-    Exact by default: Spark keeps a value -> count map per group, bounded by
-    the number of distinct values. ``exact=False`` uses a fixed-size sketch.
-    The result is rounded to 9 decimals so that the interpolation formula of
-    an engine cannot leak into the last bits.
-    """
-    m = F.median(c) if exact else F.percentile_approx(c, 0.5, 10000)
-    return F.coalesce(F.round(m.cast("double"), 9), F.lit(0.0))
-
-
 def count_if(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
 
 
-def distributed_median(df, col: str, buckets: int = 256, rel_err: float = 0.001):
-    """Exact median of ``col`` (nulls ignored) without a single-task value map.
-
-    The exact ``median`` aggregate merges one value -> count map per group in
-    one task; that is bounded by the number of distinct values, which is
-    small for scores and day counts but not for arbitrary doubles. Here:
-    (1) approximate quantiles give ``buckets`` value bounds (one small job;
-    the bounds become literals, so every later scan sees the same buckets);
-    (2) distinct values are counted (partial aggregation), (3) running counts
-    are taken per bucket and bucket offsets over the bucket totals (at most
-    ``buckets`` rows), (4) the one or two values at the middle ranks are kept.
-    Returns a one-row DataFrame ``median`` (0.0 when there are no values).
-    """
-    from pyspark.sql import Window
-
-    x = F.col(col).cast("double")
-    vals = df.select(x.alias("x")).where(F.col("x").isNotNull())
-    bounds = sorted(set(vals.approxQuantile("x", [i / buckets for i in range(1, buckets)], rel_err)))
-    b = F.lit(0)
-    for v in bounds:
-        b = b + F.when(F.col("x") > F.lit(v), 1).otherwise(0)
-    counts = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c")).withColumn("b", b)
-    run = counts.withColumn("cum", F.sum("c").over(Window.partitionBy("b").orderBy("x")))
-    totals = counts.groupBy("b").agg(F.sum("c").alias("t"))
-    # at most `buckets` rows: offsets of each bucket and the total count n
-    offs = totals.select("b", (F.sum("t").over(Window.orderBy("b")) - F.col("t")).alias("off"),
-                         F.sum("t").over(Window.partitionBy()).alias("n"))
-    ranked = run.join(F.broadcast(offs), "b").withColumn("hi", F.col("off") + F.col("cum")) \
-        .withColumn("lo", F.col("hi") - F.col("c"))
-    k1 = F.floor((F.col("n") - 1) / 2) + 1
-    k2 = F.floor(F.col("n") / 2) + 1
-    pick = ranked.where(((F.col("lo") < k1) & (k1 <= F.col("hi"))) | ((F.col("lo") < k2) & (k2 <= F.col("hi"))))
-    m = pick.agg(((F.min("x") + F.max("x")) / 2.0).alias("median"))
-    return m.select(F.coalesce(F.round(F.col("median"), 9), F.lit(0.0)).alias("median"))
+def _bucket(x: Column) -> Column:
+    """A number that rises with ``x``: 256 steps an octave, so no bucket holds a large share of unlike values."""
+    size = F.floor(F.log2(F.abs(x)) * 256).cast("bigint") + 300_000
+    return F.when(x == 0, F.lit(0).cast("bigint")).otherwise(F.signum(x).cast("bigint") * size)
+
+
+def medians(df: DataFrame, columns: dict[str, Column], by=()) -> DataFrame:
+    """Exact medians (nulls ignored), one row per group: by..., one column per name (null without values),
+    rounded to 9 decimals.
+
+    Equal values are counted first (partial aggregates), counts run up within buckets of neighbouring
+    values, the buckets' totals run up per group and name, and the one or two values at the middle ranks are
+    kept: no task sees all values of a group, and nothing runs before the result is asked for."""
+    keys = [F.col(f"`{b}`") for b in by]
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("x")) for n, c in columns.items()])
+    long = df.select(F.struct(*keys, F.lit(0).alias("all")).alias("g"), F.inline(pairs)).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    counts = long.groupBy("g", "name", "x").agg(F.count(F.lit(1)).alias("c")).withColumn("bucket", _bucket(F.col("x")))
+    low, high = Window.unboundedPreceding, Window.currentRow
+    run = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("g", "name", "bucket").orderBy("x").rowsBetween(low, high)))
+    totals = counts.groupBy("g", "name", "bucket").agg(F.sum("c").alias("t"))
+    group = Window.partitionBy("g", "name")
+    before = totals.select("g", "name", "bucket", (F.sum("t").over(group.orderBy("bucket").rowsBetween(low, high)) - F.col("t")).alias("before"),
+                           F.sum("t").over(group).alias("n"))
+    ranked = run.join(before, ["g", "name", "bucket"]).withColumn("to", F.col("before") + F.col("upto")).withColumn("from", F.col("to") - F.col("c"))
+    middle = [F.floor((F.col("n") - 1) / 2) + 1, F.floor(F.col("n") / 2) + 1]
+    kept = ranked.where(reduce(Column.__or__, [(F.col("from") < k) & (k <= F.col("to")) for k in middle]))
+    one = kept.groupBy("g", "name").agg(F.round((F.min("x") + F.max("x")) / 2.0, 9).alias("m"))
+    wide = [F.max(F.when(F.col("name") == n, F.col("m"))).alias(n) for n in columns]
+    if not by:
+        return one.agg(*wide)
+    return one.groupBy("g").agg(*wide).select(*[F.col("g")[b].alias(b) for b in by], *columns)

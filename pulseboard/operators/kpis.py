@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
-from ..functions.stats import count_if, dmean, dsum, imean, median
+from ..functions.stats import count_if, dmean, dsum, imean, medians
 from ..sources.tabs import ROW, q
 from ..targets import DEFAULT_TARGETS, Targets
 
@@ -28,14 +28,21 @@ NA = "N/A"
 class Family:
     aggs: list = field(default_factory=list)
     post: list = field(default_factory=list)
+    medians: dict = field(default_factory=dict)
 
 
 def run(df: DataFrame, families, by=()) -> DataFrame:
-    """One aggregate over ``df`` for all ``families``; then the derived columns."""
+    """One aggregate over ``df`` for all ``families``; then the derived columns. Medians come from their own
+    distributed job over the same rows and are joined by group (without groups: two single rows)."""
     aggs = [a for f in families for a in f.aggs]
     post = [p for f in families for p in f.post]
-    g = df.groupBy(*[q(b) for b in by]) if by else df.groupBy()
-    return g.agg(*aggs).select(*[q(b) for b in by], *post)
+    found = {n: c for f in families for n, c in f.medians.items()}
+    g = (df.groupBy(*[q(b) for b in by]) if by else df.groupBy()).agg(*(aggs or [F.count(F.lit(1)).alias("__n")]))
+    if found:
+        m = medians(df, found, by).select(*[q(b).alias(f"__by{i}") for i, b in enumerate(by)], *[F.col(n).alias(f"__{n}") for n in found])
+        same = [q(b).eqNullSafe(F.col(f"__by{i}")) for i, b in enumerate(by)]
+        g = (g.join(m, same, "left") if by else g.crossJoin(m)).withColumns({n: F.coalesce(F.col(f"__{n}"), F.lit(0.0)) for n in found})
+    return g.select(*[q(b) for b in by], *post)
 
 
 def _has(df: DataFrame, *cols) -> bool:
@@ -43,7 +50,7 @@ def _has(df: DataFrame, *cols) -> bool:
 
 
 def _num(df: DataFrame, col: str) -> Column:
-    return C.to_number(q(col), dict(df.dtypes).get(col)) if col in df.columns else F.lit(0.0)
+    return C.number_of(df, col)
 
 
 # --------------------------------------------------------------------------
@@ -95,12 +102,10 @@ def f_revenue(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
     )
 
 
-def _score_stats(df: DataFrame, raw: str, typed: str, avg_name: str, med_name: str, exact: bool = True) -> Family:
-    if raw in df.columns:
-        aggs = [dmean(F.col(typed)).alias(avg_name), median(F.col(typed), exact).alias(med_name)]
-    else:
-        aggs = [F.lit(0.0).alias(avg_name), F.lit(0.0).alias(med_name)]
-    return Family(aggs, [F.col(avg_name), F.col(med_name)])
+def _score_stats(df: DataFrame, raw: str, typed: str, avg_name: str, med_name: str) -> Family:
+    if raw not in df.columns:
+        return Family([F.lit(0.0).alias(avg_name), F.lit(0.0).alias(med_name)], [F.col(avg_name), F.col(med_name)])
+    return Family([dmean(F.col(typed)).alias(avg_name)], [F.col(avg_name), F.col(med_name)], {med_name: F.col(typed)})
 
 
 def _extremes(df: DataFrame, raw: str, typed: str, name: str, top: str, bottom: str) -> Family:
@@ -116,14 +121,14 @@ def _extremes(df: DataFrame, raw: str, typed: str, name: str, top: str, bottom:
     return Family(aggs, [F.col(top), F.col(bottom)])
 
 
-def f_project_scores(df: DataFrame, t: Targets = DEFAULT_TARGETS, exact_median: bool = True) -> Family:
-    """Mean and median of both project scores. ``exact_median=False`` uses a fixed-size
-    sketch instead of the exact value -> count map (for columns with huge distinct counts)."""
-    a = _score_stats(df, "Project Health Score", "__health", "avg_project_health_score", "median_project_health_score",
-                     exact_median)
-    b = _score_stats(df, "Total Project Score", "__total", "avg_total_project_score", "median_total_project_score",
-                     exact_median)
-    return Family(a.aggs + b.aggs, a.post + b.post)
+def _both(a: Family, b: Family) -> Family:
+    return Family(a.aggs + b.aggs, a.post + b.post, a.medians | b.medians)
+
+
+def f_project_scores(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
+    """Mean and median of both project scores."""
+    return _both(_score_stats(df, "Project Health Score", "__health", "avg_project_health_score", "median_project_health_score"),
+                 _score_stats(df, "Total Project Score", "__total", "avg_total_project_score", "median_total_project_score"))
 
 
 def f_project_extremes(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
@@ -167,8 +172,7 @@ def active_cond(as_of: dt.date) -> Column:
 
 def notes_ok(notes: Column, strict: bool = False) -> Column:
     """Non-blank notes. By default a missing note passes, as the reference computes."""
-    stripped = F.regexp_replace(notes, r"(?U)^\s+|\s+$", "")
-    ok = stripped != ""
+    ok = C.strip(notes) != ""
     return F.coalesce(ok, F.lit(not strict))
 
 
@@ -226,11 +230,9 @@ def f_pipeline_values(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
     )
 
 
-def f_pipeline_scores(df: DataFrame, t: Targets = DEFAULT_TARGETS, exact_median: bool = True) -> Family:
-    a = _score_stats(df, "Pipeline Score", "__pscore", "avg_pipeline_score", "median_pipeline_score", exact_median)
-    b = _score_stats(df, "Total Deal Score", "__tscore", "avg_total_deal_score", "median_total_deal_score",
-                     exact_median)
-    return Family(a.aggs + b.aggs, a.post + b.post)
+def f_pipeline_scores(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
+    return _both(_score_stats(df, "Pipeline Score", "__pscore", "avg_pipeline_score", "median_pipeline_score"),
+                 _score_stats(df, "Total Deal Score", "__tscore", "avg_total_deal_score", "median_total_deal_score"))
 
 
 def f_pipeline_extremes(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
@@ -243,13 +245,13 @@ def cycle_days() -> Column:
     return C.day_diff(F.col("__closed"), F.col("__created"))
 
 
-def f_deal_cycle(df: DataFrame, t: Targets = DEFAULT_TARGETS, exact_median: bool = True) -> Family:
+def f_deal_cycle(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
     names = ("avg_deal_cycle_time_days", "median_deal_cycle_time_days")
     if not _has(df, "Opportunity Created Date", "Closed Won Date"):
         return Family([F.lit(0.0).alias(n) for n in names], [F.col(n) for n in names])
     cyc = cycle_days()
     ok = F.when(cyc >= 0, cyc)
-    return Family([imean(ok).alias(names[0]), median(ok, exact_median).alias(names[1])], [F.col(n) for n in names])
+    return Family([imean(ok).alias(names[0])], [F.col(n) for n in names], {names[1]: ok})
 
 
 # --------------------------------------------------------------------------
@@ -330,9 +332,9 @@ def kpi_revenue(projects: DataFrame, t: Targets = DEFAULT_TARGETS, by=()) -> Dat
     return run(pf, [f_revenue(pf, t)], by)
 
 
-def project_scores(projects: DataFrame, by=(), exact_median: bool = True) -> DataFrame:
+def project_scores(projects: DataFrame, by=()) -> DataFrame:
     pf = project_frame(projects)
-    return run(pf, [f_project_scores(pf, exact_median=exact_median)], by)
+    return run(pf, [f_project_scores(pf)], by)
 
 
 def project_extremes(projects: DataFrame, by=()) -> DataFrame:
@@ -345,9 +347,9 @@ def kpi_pipeline(pipeline: DataFrame, t: Targets = DEFAULT_TARGETS, by=()) -> Da
     return run(pf, [f_pipeline_values(pf, t)], by)
 
 
-def pipeline_scores(pipeline: DataFrame, by=(), exact_median: bool = True) -> DataFrame:
+def pipeline_scores(pipeline: DataFrame, by=()) -> DataFrame:
     pf = pipeline_frame(pipeline)
-    return run(pf, [f_pipeline_scores(pf, exact_median=exact_median)], by)
+    return run(pf, [f_pipeline_scores(pf)], by)
 
 
 def pipeline_extremes(pipeline: DataFrame, by=()) -> DataFrame:
@@ -368,19 +370,20 @@ def kpi_satisfaction(projects: DataFrame, staff: DataFrame, t: Targets = DEFAULT
     return a.crossJoin(b)  # both sides are global aggregates: exactly one row each
 
 
-def deal_cycle(pipeline: DataFrame, by=(), exact_median: bool = True) -> DataFrame:
+def deal_cycle(pipeline: DataFrame, by=()) -> DataFrame:
     pf = pipeline_frame(pipeline)
-    return run(pf, [f_deal_cycle(pf, exact_median=exact_median)], by)
+    return run(pf, [f_deal_cycle(pf)], by)
 
 
-def deal_cycle_by_tier(pipeline: DataFrame, exact_median: bool = True) -> DataFrame:
+def deal_cycle_by_tier(pipeline: DataFrame) -> DataFrame:
     """Mean and median cycle per tier; negative cycles included, missing tier dropped."""
     pf = pipeline_frame(pipeline)
     if not _has(pf, "Opportunity Created Date", "Closed Won Date", "Pursuit Tier"):
         return pf.sparkSession.createDataFrame([], "`Pursuit Tier` string, mean_days double, median_days double")
     won = pf.where(F.col("__created").isNotNull() & F.col("__closed").isNotNull() & q("Pursuit Tier").isNotNull())
     cyc = cycle_days()
-    return won.groupBy(q("Pursuit Tier")).agg(imean(cyc).alias("mean_days"), median(cyc, exact_median).alias("median_days"))
+    tier = Family([imean(cyc).alias("mean_days")], [F.col("mean_days"), F.col("median_days")], {"median_days": cyc})
+    return run(won, [tier], ("Pursuit Tier",))
 
 
 def next_deal_gap(projects: DataFrame, as_of: dt.date, t: Targets = DEFAULT_TARGETS, by=()) -> DataFrame:
@@ -403,17 +406,17 @@ def kpi_exec_cost(activity: DataFrame, by=()) -> DataFrame:
 
 
 def kpi_all(projects: DataFrame, pipeline: DataFrame, risks: DataFrame, staff: DataFrame,
-            activity: DataFrame, as_of: dt.date, t: Targets = DEFAULT_TARGETS, exact_median: bool = True) -> DataFrame:
+            activity: DataFrame, as_of: dt.date, t: Targets = DEFAULT_TARGETS) -> DataFrame:
     """Every scalar KPI in one row: one aggregate per tab, five scans in all.
 
     Each part is a global aggregate (exactly one row), so the cross joins
     below combine single rows and never multiply data.
     """
     pf, lf, rf, sf = project_frame(projects), pipeline_frame(pipeline), risk_frame(risks), staff_frame(staff)
-    proj = run(pf, [f_status(pf, t), f_revenue(pf, t), f_project_scores(pf, t, exact_median), f_project_extremes(pf),
+    proj = run(pf, [f_status(pf, t), f_revenue(pf, t), f_project_scores(pf, t), f_project_extremes(pf),
                     f_nps(pf, t), f_next_deal(pf, as_of, t), f_checkins(pf, as_of, t)])
-    pipe = run(lf, [f_pipeline_values(lf, t), f_pipeline_scores(lf, t, exact_median), f_pipeline_extremes(lf),
-                    f_deal_cycle(lf, t, exact_median)])
+    pipe = run(lf, [f_pipeline_values(lf, t), f_pipeline_scores(lf, t), f_pipeline_extremes(lf),
+                    f_deal_cycle(lf, t)])
     risk = run(rf, [f_risk(rf, t)])
     team = run(sf, [f_pulse(sf, t), f_utilization(sf)])
     cost = run(activity, [f_exec_cost(activity)])

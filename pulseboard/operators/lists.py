@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
-from ..sources.tabs import ROW, project_existing, q
+from ..sources.tabs import ROW, project_existing, q, with_default
 from ..targets import DEFAULT_TARGETS, Targets
 from .kpis import (active_cond, overdue_checkin_cond, overdue_next_deal_cond, pipeline_frame, project_frame,
                    staff_frame)
@@ -32,13 +32,16 @@ def non_green_projects(projects: DataFrame) -> DataFrame:
 
 
 def at_risk_projects(projects: DataFrame) -> DataFrame:
-    """Page form: upper-cased (not trimmed) status in R/Y; revenue as currency text."""
+    """Page form: upper-cased (not trimmed) status in R/Y; revenue as currency text. Without a status
+    column nothing is at risk."""
+    wanted = ["Project Name", "Status (R/Y/G)", "Revenue", "Key Issues", "Next Steps", "Executive Support Required"]
+    if "Status (R/Y/G)" not in projects.columns:
+        return project_existing(projects, wanted).where(F.lit(False))
     df = projects.withColumn("Status (R/Y/G)", C.status_page(q("Status (R/Y/G)")))
     df = df.where(q("Status (R/Y/G)").isin("R", "Y"))
     if "Revenue" in df.columns:
-        df = df.withColumn("Revenue", C.format_currency(C.to_number(q("Revenue"))))
-    return project_existing(df, ["Project Name", "Status (R/Y/G)", "Revenue", "Key Issues", "Next Steps",
-                                 "Executive Support Required"])
+        df = df.withColumn("Revenue", C.format_currency(C.number_of(projects, "Revenue")))
+    return project_existing(df, wanted)
 
 
 def active_projects(projects: DataFrame, as_of: dt.date) -> DataFrame:
@@ -47,25 +50,31 @@ def active_projects(projects: DataFrame, as_of: dt.date) -> DataFrame:
     return pf.where(active_cond(as_of)).select(*[q(c) for c in projects.columns])
 
 
+def _listed(pf: DataFrame, cond: Column, needed, date: Column, date_name: str) -> DataFrame:
+    """(Project Name, date) of the rows that meet ``cond``; no row where a column that the KPI needs is absent."""
+    there = all(c in pf.columns for c in needed)
+    return with_default(pf, "Project Name").where(cond if there else F.lit(False)).select(q("Project Name"), date.alias(date_name))
+
+
 def overdue_next_deal(projects: DataFrame, as_of: dt.date, t: Targets = DEFAULT_TARGETS) -> DataFrame:
     pf = project_frame(projects)
-    return pf.where(overdue_next_deal_cond(as_of, t)).select(
-        q("Project Name"), F.col("__end").alias("Project End Date"))
+    needed = ("Project Name", "Project End Date", "Next Opp First Discussion Date")
+    return _listed(pf, overdue_next_deal_cond(as_of, t), needed, F.col("__end"), "Project End Date")
 
 
 def overdue_checkins(projects: DataFrame, as_of: dt.date, t: Targets = DEFAULT_TARGETS) -> DataFrame:
     pf = project_frame(projects)
-    return pf.where(overdue_checkin_cond(as_of, t)).select(
-        q("Project Name"), F.col("__checkin").alias("Last Sponsor Checkin Date"))
+    needed = ("Project Name", "Last Sponsor Checkin Date", "Sponsor Checkin Notes", "Project End Date")
+    return _listed(pf, overdue_checkin_cond(as_of, t), needed, F.col("__checkin"), "Last Sponsor Checkin Date")
 
 
 def project_listing(projects: DataFrame) -> DataFrame:
     """Seven wanted columns; revenue as currency text, health score rounded to 1 decimal."""
     df = projects
     if "Revenue" in df.columns:
-        df = df.withColumn("Revenue", C.format_currency(C.to_number(q("Revenue"))))
+        df = df.withColumn("Revenue", C.format_currency(C.number_of(projects, "Revenue")))
     if "Project Health Score" in df.columns:
-        df = df.withColumn("Project Health Score", F.bround(C.to_number(q("Project Health Score")), 1))
+        df = df.withColumn("Project Health Score", F.bround(C.number_of(projects, "Project Health Score"), 1))
     return project_existing(df, ["Project Name", "Client", "Status (R/Y/G)", "Revenue", "Project Health Score",
                                  "Project End Date", "Key Issues"])
 
@@ -74,9 +83,9 @@ def pipeline_listing(pipeline: DataFrame) -> DataFrame:
     df = pipeline
     for c in ("Open Pipeline_Active Work", "Percieved Annual AMO"):
         if c in df.columns:
-            df = df.withColumn(c, C.format_currency(C.to_number(q(c))))
+            df = df.withColumn(c, C.format_currency(C.number_of(pipeline, c)))
     if "Pipeline Score" in df.columns:
-        df = df.withColumn("Pipeline Score", F.bround(C.to_number(q("Pipeline Score")), 1))
+        df = df.withColumn("Pipeline Score", F.bround(C.number_of(pipeline, "Pipeline Score"), 1))
     return project_existing(df, ["Account", "Open Pipeline_Active Work", "Percieved Annual AMO", "Pipeline Score",
                                  "Pursuit Tier", "Horizon", "Opportunity Created Date", "Closed Won Date"])
 
@@ -84,6 +93,7 @@ def pipeline_listing(pipeline: DataFrame) -> DataFrame:
 def utilization_ranking(staff: DataFrame) -> DataFrame:
     """Staff by utilization, highest first (ties in sheet order): one distributed sort."""
     sf = staff_frame(staff)
+    sf = with_default(with_default(sf, "Role"), "Employee Name")
     return sf.select(q("Employee Name"), q("Role"), F.col("__util").alias("utilization_pct"), F.col(ROW)) \
         .orderBy(F.col("utilization_pct").desc(), F.col(ROW)).drop(ROW)
 
@@ -92,18 +102,21 @@ def _text_or(df: DataFrame, col: str, missing: str) -> Column:
     return F.coalesce(q(col), F.lit(missing)) if col in df.columns else F.lit(missing)
 
 
-def top_pursuits(pipeline: DataFrame, tier: str = "TIER 1", n: int | None = 5) -> DataFrame:
+def top_pursuits(pipeline: DataFrame, tier: str = "TIER 1", n: int = 5) -> DataFrame:
     """Top-N opportunities of one pursuit tier by perceived AMO, as battle cards.
 
     ``orderBy(...).limit(n)`` plans as TakeOrderedAndProject: each partition
     keeps its own top N, and only those rows meet in one task. ``n`` is the
-    feature (the report shows the top N), not a cap to escape work.
+    feature (the report shows the top N), not a cap to escape work; it must be
+    a count of rows (0 gives none).
     """
+    if not isinstance(n, int) or n < 0:
+        raise ValueError("n must be a number of rows")
     pf = pipeline_frame(pipeline)
     if "Pursuit Tier" not in pf.columns or "Account" not in pf.columns:
         return pf.sparkSession.createDataFrame([], "rank int, account string")
     tier1 = pf.where(F.upper(q("Pursuit Tier")) == tier.upper())
-    top = tier1.orderBy(F.col("__amo").desc(), F.col(ROW)).limit(n if n else 5)
+    top = tier1.orderBy(F.col("__amo").desc(), F.col(ROW)).limit(n)
     w = Window.orderBy(F.col("__amo").desc(), F.col(ROW))  # over at most n rows
     card = top.select(
         F.row_number().over(w).alias("rank"),
@@ -204,8 +217,7 @@ def entity_lookup(pipeline: DataFrame, key: str = "Account") -> DataFrame:
               "Percieved Annual AMO"]
     df = pipeline
     for f in fields:
-        if f not in df.columns:
-            df = df.withColumn(f, F.lit(None).cast("string"))
+        df = with_default(df, f)
     first = df.where(q(key).isNotNull()).groupBy(q(key).alias("key")).agg(
         F.min_by(F.struct(*[q(f).alias(f) for f in fields]), F.col(ROW)).alias("r"))
     r = lambda f: F.col("r")[f]
@@ -226,8 +238,7 @@ def project_form_lookup(projects: DataFrame, key: str = "Project Name") -> DataF
     fields = ["Status (R/Y/G)", "Key Issues", "Next Steps", "Last Sponsor Checkin Date", "Sponsor Checkin Notes"]
     df = projects
     for f in fields:
-        if f not in df.columns:
-            df = df.withColumn(f, F.lit(None).cast("string"))
+        df = with_default(df, f)
     first = df.where(q(key).isNotNull()).groupBy(q(key).alias("key")).agg(
         F.min_by(F.struct(*[q(f).alias(f) for f in fields]), F.col(ROW)).alias("r"))
     r = lambda f: F.col("r")[f]

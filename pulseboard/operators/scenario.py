@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import dsum
-from ..sources.tabs import ROW, q
+from ..sources.tabs import ROW, q, with_default
 from ..targets import SCENARIO_CATEGORIES, SCENARIO_DEFAULTS, SCENARIO_LABELS
 from ..functions import clean as C
 
@@ -27,17 +27,14 @@ CATEGORY_COLS = (
 CATEGORY_NAME = dict(zip(CATEGORY_COLS, SCENARIO_CATEGORIES))
 
 
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
 def parse_value(value: Column):
     """(number, ok) of one assumption value."""
-    t = _strip(value)
+    t = C.strip(value)
     is_pct, is_cur = t.endswith("%"), t.startswith("$")
-    pct = F.coalesce(F.replace(t, F.lit("%"), F.lit("")).try_cast("double"), F.lit(0.0))
-    cur = F.coalesce(F.translate(t, "$,", "").try_cast("double"), F.lit(0.0))
-    txt = t.try_cast("double")
+    number = lambda c: C.strict_double(C.strip(c))
+    pct = F.coalesce(number(F.replace(t, F.lit("%"), F.lit(""))), F.lit(0.0))
+    cur = F.coalesce(number(F.translate(t, "$,", "")), F.lit(0.0))
+    txt = number(t)
     num = F.when(is_pct, pct).when(is_cur, cur).otherwise(txt)
     ok = F.coalesce(is_pct | is_cur | txt.isNotNull(), F.lit(False))
     return num, ok
@@ -46,6 +43,8 @@ def parse_value(value: Column):
 def scenario_inputs(df: DataFrame, by=()) -> DataFrame:
     """Last value per (scenario, label), parsed: by..., Assumption, Value, value_num, parsed_ok."""
     keys = [q(b) for b in by] + [q("Assumption")]
+    df = with_default(with_default(df, "Value"), "Assumption")
+    df = df.withColumn("Value", q("Value").cast("string"))
     last = df.where(q("Assumption").isNotNull()).groupBy(*keys).agg(F.max_by(q("Value"), F.col(ROW)).alias("Value"))
     num, ok = parse_value(F.col("Value"))
     return last.select(*keys, "Value", num.alias("value_num"), ok.alias("parsed_ok"))
@@ -212,8 +211,8 @@ def sensitivity(inputs: DataFrame, by=(), spread: float = 0.10, ranges: DataFram
 
 def scenario_totals(do_nothing: DataFrame, proposed: DataFrame) -> DataFrame:
     """Total impact per scenario tab and net against the do-nothing total."""
-    a = do_nothing.select(F.lit("Do Nothing").alias("scenario"), C.to_number(q("Annualized Impact ($)")).alias("x"))
-    b = proposed.select(F.lit("Proposed").alias("scenario"), C.to_number(q("Annualized Impact ($)")).alias("x"))
+    a = do_nothing.select(F.lit("Do Nothing").alias("scenario"), C.number_of(do_nothing, "Annualized Impact ($)").alias("x"))
+    b = proposed.select(F.lit("Proposed").alias("scenario"), C.number_of(proposed, "Annualized Impact ($)").alias("x"))
     t = a.unionByName(b).groupBy("scenario").agg(dsum(F.col("x")).alias("total_annualized_impact"))
     # a global aggregate over at most two rows: exactly one row, so the cross join adds one column
     base = t.agg(F.max(F.when(F.col("scenario") == "Do Nothing", F.col("total_annualized_impact"))).alias("__base"))

@@ -3,12 +3,10 @@ letter bands and margin.
 
 A scorecard cell scores the value of the *first* mapping row (sheet order)
 with the same tab and value; the question is not compared; no hit scores 0.
-The mapping is deduplicated per value (partial aggregate). When the result is
-checked to be small it becomes one broadcast map column and each row sums its
-lookups in place: no explode and no shuffle of the scored tab. Above the
-limit, cells are unpivoted, joined (AQE picks broadcast or a shuffled join
-from runtime sizes) and summed back per row. Both paths sum in DECIMAL, so
-they return the same values.
+The mapping is deduplicated per value (partial aggregate) and joined once per
+scorecard column: the scored tab is never exploded or regrouped, and the
+planner broadcasts the mapping or shuffles by its real size. Sums go through
+DECIMAL, so their order does not matter.
 """
 
 from __future__ import annotations
@@ -34,63 +32,52 @@ def first_value_scores(mapping: DataFrame, tab: str, ignore_case: bool = False)
     """(lookup, score): first mapping row per value of one tab."""
     m = mapping.where(q("Tab") == tab).where(q("Value").isNotNull())
     return m.groupBy(_norm(q("Value"), ignore_case).alias("lookup")).agg(
-        F.min_by(C.to_number(q("Score")), F.col(ROW)).alias("score"))
+        F.min_by(C.number_of(mapping, "Score"), F.col(ROW)).alias("score"))
 
 
 def first_key_scores(mapping: DataFrame, ignore_case: bool = False) -> DataFrame:
     """(lookup, score): first mapping row per composite key."""
     m = mapping.where(q("Key").isNotNull())
     return m.groupBy(_norm(q("Key"), ignore_case).alias("lookup")).agg(
-        F.min_by(C.to_number(q("Score")), F.col(ROW)).alias("score"))
+        F.min_by(C.number_of(mapping, "Score"), F.col(ROW)).alias("score"))
 
 
 def pair_key(prefix: str, a: Column, b: Column) -> Column:
     return F.concat_ws("|", F.lit(prefix), a, b)
 
 
-# Largest lookup table turned into a broadcast map column (entries, checked with one count).
-MAX_MAP_ENTRIES = 100_000
+def joined_score(df: DataFrame, table: DataFrame, cell: Column, out: str) -> DataFrame:
+    """``df`` with the score of ``cell`` in ``table`` (lookup, score) as ``out``; 0 without a hit."""
+    t = table.select(F.col("lookup").alias(f"__k_{out}"), F.col("score").alias(f"__s_{out}"))
+    j = df.join(t, cell == F.col(f"__k_{out}"), "left")
+    return j.withColumn(out, F.coalesce(F.col(f"__s_{out}"), F.lit(0.0))).drop(f"__k_{out}", f"__s_{out}")
 
 
-def fits_in_map(table: DataFrame, limit: int | None = None) -> bool:
-    """Size check of a deduplicated lookup table (one small job over the mapping tab)."""
-    limit = MAX_MAP_ENTRIES if limit is None else limit
-    return table.limit(limit + 1).count() <= limit
-
-
-def lookup_map(table: DataFrame, name: str) -> DataFrame:
-    """One row: map(lookup -> score). Only called after ``fits_in_map``."""
-    return table.agg(F.map_from_entries(F.collect_list(F.struct("lookup", "score"))).alias(name))
-
-
-def map_sum(m: Column, cells) -> Column:
-    """Exact sum (decimal) of the scores of ``cells``; a cell without a hit scores 0."""
+def exact_sum(columns) -> Column:
+    """Sum of double columns of one row through decimals; 0 without columns."""
     total = None
-    for c in cells:
-        v = F.coalesce(F.try_element_at(m, c), F.lit(0.0)).cast("decimal(26,6)")
+    for c in columns:
+        v = c.cast("decimal(26,6)")
         total = v if total is None else total + v
     return total.cast("double") if total is not None else F.lit(0.0)
 
 
+def _scored(df: DataFrame, table: DataFrame, cols, ignore_case: bool = False):
+    """``df`` with one score column per scorecard column, and their names."""
+    names = []
+    for i, c in enumerate(cols):
+        names.append(f"__c{i}")
+        df = joined_score(df, table, _norm(q(c), ignore_case), names[-1])
+    return df, names
+
+
 def scorecard(df: DataFrame, mapping: DataFrame, tab: str, cols, name_col: str, out: str = "score",
               ignore_case: bool = False) -> DataFrame:
-    """Sum of first-hit scores over the scorecard ``cols`` of every row.
-
-    Small mapping (checked): the lookup table becomes one broadcast map and
-    the sum is a per-row expression - no explode, no shuffle of the big tab.
-    Otherwise: unpivot, equi join (AQE picks broadcast or shuffle) and a
-    per-row partial aggregate.
-    """
+    """Sum of first-hit scores over the scorecard ``cols`` of every row."""
     present = [c for c in cols if c in df.columns]
-    table = first_value_scores(mapping, tab, ignore_case)
-    if fits_in_map(table):
-        j = df.crossJoin(F.broadcast(lookup_map(table, "__m")))  # one row, size checked above
-        return j.select(F.col(ROW), q(name_col).alias(name_col),
-                        map_sum(F.col("__m"), [_norm(q(c), ignore_case) for c in present]).alias(out))
-    cells = df.select(F.col(ROW), q(name_col).alias(name_col), F.explode(F.array(
-        *[_norm(q(c), ignore_case) for c in present])).alias("lookup"))
-    j = cells.join(table, "lookup", "left")
-    return j.groupBy(F.col(ROW), q(name_col)).agg(dsum(F.coalesce(F.col("score"), F.lit(0.0)), 6).alias(out))
+    lean = df.select(F.col(ROW), q(name_col), *[q(c) for c in present])
+    j, names = _scored(lean, first_value_scores(mapping, tab, ignore_case), present, ignore_case)
+    return j.select(F.col(ROW), q(name_col), exact_sum([F.col(n) for n in names]).alias(out))
 
 
 def project_health_lookup(projects: DataFrame, mapping: DataFrame, ignore_case: bool = False) -> DataFrame:
@@ -121,42 +108,35 @@ def efficiency_scores(projects: DataFrame, pipeline: DataFrame, mapping: DataFra
 
 
 def weighted_totals(projects: DataFrame, mapping: DataFrame, main_w: float = 0.7, eff_w: float = 0.3) -> DataFrame:
-    """Health score (scorecard), efficiency (pair key) and total = 0.7 main + 0.3 efficiency.
-
-    Both lookups go through one unpivot, one join and one aggregate: the
-    pair key is one more cell, looked up in the key table.
-    """
-    cols = [c for c, _ in PROJECT_SCORECARD if c in projects.columns]
-    pair = pair_key("Delivery", q("Delivery Relational Effort"), q("Expansion Yield Tier"))
-    values, keys = first_value_scores(mapping, "Project Inventory"), first_key_scores(mapping)
-    if fits_in_map(values) and fits_in_map(keys):
-        maps = lookup_map(values, "__mv").crossJoin(lookup_map(keys, "__mk"))  # one row each
-        j = projects.crossJoin(F.broadcast(maps))
-        g = j.select(F.col(ROW), q("Project Name"),
-                     map_sum(F.col("__mv"), [q(c) for c in cols]).alias("project_health_score"),
-                     map_sum(F.col("__mk"), [pair]).alias("delivery_efficiency_score"))
-        return g.withColumn("total_project_score",
-                            F.col("project_health_score") * main_w + F.col("delivery_efficiency_score") * eff_w)
-    cells = [F.struct(F.lit("value").alias("kind"), q(c).alias("lookup")) for c in cols]
-    cells.append(F.struct(F.lit("pair").alias("kind"), pair.alias("lookup")))
-    long = projects.select(F.col(ROW), q("Project Name"), F.inline(F.array(*cells)))
-    table = values.withColumn("kind", F.lit("value")).unionByName(keys.withColumn("kind", F.lit("pair")))
-    j = long.join(table, ["kind", "lookup"], "left")
-    s = F.coalesce(F.col("score"), F.lit(0.0))
-    g = j.groupBy(F.col(ROW), q("Project Name")).agg(
-        dsum(F.when(F.col("kind") == "value", s), 6).alias("project_health_score"),
-        dsum(F.when(F.col("kind") == "pair", s), 6).alias("delivery_efficiency_score"))
-    return g.withColumn("total_project_score",
-                        F.col("project_health_score") * main_w + F.col("delivery_efficiency_score") * eff_w)
+    """Health score (scorecard), efficiency (pair key) and total = 0.7 main + 0.3 efficiency."""
+    return _weighted(projects, mapping, "Project Inventory", [c for c, _ in PROJECT_SCORECARD], "Project Name",
+                     ("Delivery", "Delivery Relational Effort", "Expansion Yield Tier"),
+                     ("project_health_score", "delivery_efficiency_score", "total_project_score"), main_w, eff_w)
+
+
+def weighted_deal_totals(pipeline: DataFrame, mapping: DataFrame, main_w: float = 0.7, eff_w: float = 0.3) -> DataFrame:
+    """Pipeline score (scorecard), relational efficiency (pair key) and total deal score of every opportunity."""
+    return _weighted(pipeline, mapping, "Pipeline", [c for c, _ in PIPELINE_SCORECARD], "Account",
+                     ("Sales", "Pre-Sales Effort Level", "Revenue Potential Tier"),
+                     ("pipeline_score", "relational_efficiency_score", "total_deal_score"), main_w, eff_w)
+
+
+def _weighted(df: DataFrame, mapping: DataFrame, tab: str, cols, name_col: str, pair, out, main_w: float, eff_w: float) -> DataFrame:
+    cols = [c for c in cols if c in df.columns]
+    lean = df.select(F.col(ROW), q(name_col), *[q(c) for c in cols], pair_key(pair[0], q(pair[1]), q(pair[2])).alias("__pair"))
+    j, names = _scored(lean, first_value_scores(mapping, tab), cols)
+    j = joined_score(j, first_key_scores(mapping), F.col("__pair"), "__eff")
+    main, eff = exact_sum([F.col(n) for n in names]), exact_sum([F.col("__eff")])
+    return j.select(F.col(ROW), q(name_col), main.alias(out[0]), eff.alias(out[1]), (main * main_w + eff * eff_w).alias(out[2]))
 
 
 def letter_bands(projects: DataFrame, pipeline: DataFrame, project_letters=PROJECT_LETTERS,
                  pipeline_letters=PIPELINE_LETTERS) -> DataFrame:
     """Health Band / Score Band letters from the score columns (thresholds are arguments)."""
     a = projects.select(F.lit("Project Inventory").alias("tab"), q("Project Name").alias("name"),
-                        C.to_number(q("Project Health Score")).alias("score"))
+                        C.number_of(projects, "Project Health Score").alias("score"))
     b = pipeline.select(F.lit("Pipeline").alias("tab"), q("Account").alias("name"),
-                        C.to_number(q("Pipeline Score")).alias("score"))
+                        C.number_of(pipeline, "Pipeline Score").alias("score"))
     a = a.withColumn("letter_band", band(F.col("score"), project_letters))
     b = b.withColumn("letter_band", band(F.col("score"), pipeline_letters))
     return a.unionByName(b)

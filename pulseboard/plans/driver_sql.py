@@ -46,10 +46,12 @@ def _projects() -> str:
         "Client": "c_name",
         "Project Start Date": "CAST(sd AS VARCHAR)",
         "Project End Date": "CAST(ed AS VARCHAR)",
-        "Revenue": f"CASE WHEN k % 17 = 0 THEN NULL ELSE {money('o_totalprice')} END",
+        "Revenue": f"CASE WHEN k % 17 = 0 THEN NULL WHEN k % 41 = 0 THEN 'USD 0.004' WHEN k % 43 = 0 THEN 'Q3 2025' || chr(160) "
+                   f"ELSE {money('o_totalprice')} END",
         "Margin": "CAST(NULL AS VARCHAR)",
-        "Status (R/Y/G)": "CASE WHEN k % 23 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 'G ' "
-                          "WHEN o_orderstatus = 'O' THEN 'y' WHEN o_orderstatus = 'P' THEN 'R' END",
+        "Status (R/Y/G)": "CASE WHEN k % 23 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN CASE WHEN k % 3 = 0 THEN 'g' || chr(160) ELSE 'G ' END "
+                          "WHEN o_orderstatus = 'O' THEN CASE WHEN k % 5 = 0 THEN chr(9) || 'y' || chr(10) ELSE 'y' END "
+                          "WHEN o_orderstatus = 'P' THEN CASE WHEN k % 2 = 0 THEN 'R' || chr(9) ELSE 'R' END END",
         "Key Issues": "o_orderpriority",
         "Next Steps": "CASE WHEN k % 2 = 0 THEN 'Review plan' END",
         "Executive Support Required": "CASE WHEN k % 4 = 0 THEN 'Yes' ELSE 'No' END",

@@ -23,7 +23,7 @@ def dbl(x: float) -> str:
 # -- typed frames in SQL (mirror of operators/kpis.*_frame) -----------------
 
 PF = f"""pf AS (
-  SELECT *, {num('"Revenue"')} AS __revenue, upper(trim("Status (R/Y/G)")) AS __status,
+  SELECT *, {num('"Revenue"')} AS __revenue, upper(regexp_replace("Status (R/Y/G)", '[^A-Za-z]', '', 'g')) AS __status,
     {num('"Project Health Score"')} AS __health, {num('"Total Project Score"')} AS __total,
     {num('"eNPS"')} AS __enps, {dte('"Project End Date"')} AS __end,
     {dte('"Next Opp First Discussion Date"')} AS __disc, {dte('"Last Sponsor Checkin Date"')} AS __checkin

@@ -6,16 +6,17 @@ from .driver_sql import D, lit, qi  # noqa: F401  (re-exported)
 
 
 def num(col: str) -> str:
-    """Lenient number of a text column (mirror of ``functions.clean.to_number``)."""
-    s = f"trim(regexp_replace({col}, '[$,%()A-Za-z]', '', 'g'))"
-    return f"COALESCE(CASE WHEN {s} = '' THEN 0.0 ELSE TRY_CAST({s} AS DOUBLE) END, 0.0)"
+    """Lenient number of a text column: read as a decimal from what a number may hold, so that it does not
+    lean on the rules of ``functions.clean.to_number``."""
+    s = f"regexp_replace({col}, '[^0-9.+ -]', '', 'g')"
+    return f"COALESCE(CAST(TRY_CAST(CASE WHEN {s} <> '' THEN {s} END AS DECIMAL(38,10)) AS DOUBLE), 0.0)"
 
 
 def dte(col: str) -> str:
     return f"TRY_CAST({col} AS DATE)"
 
 
-def dsum(x: str, scale: int = 2) -> str:
+def dsum(x: str, scale: int = 6) -> str:
     return f"COALESCE(CAST(SUM(CAST({x} AS DECIMAL(26,{scale}))) AS DOUBLE), 0.0)"
 
 
@@ -42,11 +43,3 @@ def days(end: str, start: str) -> str:
 def money0(x: str) -> str:
     """``$`` + thousands + no decimals (mirror of ``format_currency``)."""
     return f"COALESCE('$' || format('{{:,.0f}}', {x}), 'N/A')"
-
-
-def pct1(x: str, d: int = 1) -> str:
-    return f"COALESCE(format('{{:.{d}f}}', {x}) || '%', 'N/A')"
-
-
-def fnum(x: str, d: int = 0) -> str:
-    return f"COALESCE(format('{{:,.{d}f}}', {x}), 'N/A')"

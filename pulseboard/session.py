@@ -67,12 +67,3 @@ def shared_dir(spark: SparkSession) -> str:
 def new_output_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for one written table."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def spread(df):
-    """Use every core: round-robin repartition only when the input has fewer
-    partitions than the session's parallelism (a small source file read as
-    one split). On large inputs this is a no-op, so it never adds a shuffle
-    where the data is already split."""
-    dp = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(dp) if df.rdd.getNumPartitions() < dp else df

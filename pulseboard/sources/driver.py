@@ -22,9 +22,7 @@ AS_OF = dt.date(1999, 6, 30)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    from ..session import spread
-
-    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _s(c: Column) -> Column:
@@ -73,12 +71,13 @@ def projects(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFr
         "Client": F.col("c_name"),
         "Project Start Date": _dtext(start),
         "Project End Date": _dtext(end),
-        "Revenue": F.when(k % 17 == 0, F.lit(None).cast("string")).otherwise(_money(F.col("o_totalprice"))),
+        "Revenue": F.when(k % 17 == 0, F.lit(None).cast("string")).when(k % 41 == 0, F.lit("USD 0.004"))
+        .when(k % 43 == 0, F.lit("Q3 2025\u00a0")).otherwise(_money(F.col("o_totalprice"))),
         "Margin": F.lit(None).cast("string"),
         "Status (R/Y/G)": F.when(k % 23 == 0, F.lit(None).cast("string"))
-        .when(F.col("o_orderstatus") == "F", F.lit("G "))
-        .when(F.col("o_orderstatus") == "O", F.lit("y"))
-        .when(F.col("o_orderstatus") == "P", F.lit("R")),
+        .when(F.col("o_orderstatus") == "F", F.when(k % 3 == 0, F.lit("g\u00a0")).otherwise(F.lit("G ")))
+        .when(F.col("o_orderstatus") == "O", F.when(k % 5 == 0, F.lit("\ty\n")).otherwise(F.lit("y")))
+        .when(F.col("o_orderstatus") == "P", F.when(k % 2 == 0, F.lit("R\t")).otherwise(F.lit("R"))),
         "Key Issues": F.col("o_orderpriority"),
         "Next Steps": F.when(k % 2 == 0, F.lit("Review plan")),
         "Executive Support Required": F.when(k % 4 == 0, F.lit("Yes")).otherwise(F.lit("No")),

@@ -11,7 +11,6 @@ executor re-reads stored files instead of recomputing the mapping.
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
 import time
 
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir
 
-MAPPING_VERSION = "5"
+MAPPING_VERSION = "6"
 _PATHS: dict = {}
 _FRAMES: dict = {}
 _LOCK = threading.Lock()
@@ -27,7 +26,7 @@ INGEST_SECONDS: dict = {}
 
 
 def _key(spark: SparkSession, sf_dir: str, name: str):
-    return spark.sparkContext.applicationId, os.path.abspath(sf_dir), name
+    return spark.sparkContext.applicationId, sf_dir.rstrip("/"), name
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
@@ -43,7 +42,7 @@ def _stored(spark, sf_dir, name, build, k):
     path = _PATHS.get(k)
     if path is None:
         tag = hashlib.sha1(f"{MAPPING_VERSION}|{k[1]}|{k[0]}".encode()).hexdigest()[:12]
-        path = os.path.join(shared_dir(spark), "tabs", tag, name)
+        path = f"{shared_dir(spark).rstrip('/')}/tabs/{tag}/{name}"
         t0 = time.perf_counter()
         build(spark, sf_dir).write.mode("overwrite").parquet(path)
         INGEST_SECONDS[name] = round(time.perf_counter() - t0, 3)

@@ -7,8 +7,7 @@ struct of key columns). ``_row`` is never derived from partition layout.
 
 from __future__ import annotations
 
-from functools import reduce
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -87,7 +86,9 @@ def scan_tab(spark: SparkSession, path: str, fmt: str = "parquet", tab: str | No
     """
     r = spark.read
     if fmt == "csv":
-        r = r.option("header", True).option("inferSchema", False).option("multiLine", multiline)
+        # a quote within a quoted cell is doubled, as spreadsheets and data frames write it
+        r = r.option("header", True).option("inferSchema", False).option("multiLine", multiline).option("quote", '"').option("escape", '"')
+        r = r.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         df = r.csv(path)
     else:
         df = r.format(fmt).load(path)
@@ -130,15 +131,11 @@ def clean_tab(df: DataFrame, tab: str | None = None) -> DataFrame:
     return drop_blank_rows(blank_to_null(apply_aliases(trim_headers(df), tab)))
 
 
-def with_default(df: DataFrame, col: str, value) -> DataFrame:
-    """An absent column becomes a constant, so a job degrades instead of failing."""
+def with_default(df: DataFrame, col: str, value=None) -> DataFrame:
+    """An absent column becomes a constant (None: missing text), so a job degrades instead of failing."""
     if col in df.columns:
         return df
-    return df.withColumn(col, value if isinstance(value, Column) else F.lit(value))
-
-
-def with_defaults(df: DataFrame, defaults: dict) -> DataFrame:
-    return reduce(lambda d, kv: with_default(d, kv[0], kv[1]), defaults.items(), df)
+    return df.withColumn(col, value if isinstance(value, Column) else F.lit(value) if value is not None else F.lit(None).cast("string"))
 
 
 def project_existing(df: DataFrame, cols) -> DataFrame:
@@ -152,31 +149,21 @@ def q(c: str) -> Column:
 
 
 def load_tab(spark: SparkSession, path: str, tab: str, fmt: str = "parquet", **kw) -> DataFrame:
-    """Scan and clean one tab; a missing or unreadable tab is an empty frame of its schema.
-
-    Only the file listing / schema read can fail here (the scan itself is lazy),
-    so the fallback never hides a failing job.
-    """
+    """Scan and clean one tab; where there is no such path, the tab is an empty frame of its schema.
+    A file that is there but can't be read raises."""
     try:
         df = scan_tab(spark, path, fmt, tab, **kw)
-    except Exception:  # noqa: BLE001 - any load error means "tab not available"
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return empty_tab(spark, tab)
     return clean_tab(df, tab)
 
 
-def load_workbook(spark: SparkSession, folder: str, fmt: str = "parquet", names=None) -> dict:
-    """All tabs of a workbook folder (one file or folder per tab, named like the CSV export:
-    lower case, ``_`` for spaces), as lazy DataFrames in load order."""
-    import os
-
+def load_workbook(spark: SparkSession, folder: str, fmt: str = "parquet", names=None, **kw) -> dict:
+    """All tabs of a workbook folder (one file or folder per tab, named like the CSV export: lower case,
+    ``_`` for spaces; ``.csv`` for CSV), as lazy DataFrames in load order."""
     from ..targets import TAB_NAMES
 
-    out = {}
-    for name in names or TAB_NAMES:
-        slug = name.lower().replace(" ", "_")
-        ext = "" if fmt == "parquet" else f".{fmt}"
-        path = os.path.join(folder, slug + ext)
-        if not os.path.exists(path) and os.path.exists(os.path.join(folder, slug)):
-            path = os.path.join(folder, slug)
-        out[name] = load_tab(spark, path, name, fmt)
-    return out
+    ext = "" if fmt == "parquet" else f".{fmt}"
+    return {n: load_tab(spark, f"{folder.rstrip('/')}/{n.lower().replace(' ', '_')}{ext}", n, fmt, **kw) for n in names or TAB_NAMES}

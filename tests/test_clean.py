@@ -108,3 +108,33 @@ def test_load_workbook_missing_tab_is_empty(spark, tmp_path):
     wb = load_workbook(spark, str(tmp_path), names=["Talent Gaps", "Operational Gaps"])
     assert wb["Talent Gaps"].count() == 1
     assert wb["Operational Gaps"].count() == 0 and "Operational Issue" in wb["Operational Gaps"].columns
+
+
+def test_numbers_are_strict(spark):
+    from pulseboard.functions import clean as C
+    from pulseboard.operators import scenario as S
+
+    df = spark.createDataFrame([("5d", 0.0), ("7f", 0.0), ("nan", 0.0), ("inf", 0.0), ("$1,5", 15.0), (" 5 ", 5.0), ("1e2", 100.0), (".5", 0.5), ("1_000", 0.0), ("\u00a05", 5.0)], "c string, want double")
+    for r in df.select("want", C.amo_form_number("c").alias("got")).collect():
+        assert r.got == r.want
+    rows = spark.createDataFrame([("50f",), ("Infinity",), ("50",), (" 5 % ",), ("$1,000",), ("$x",)], "Value string").select(*[x.alias(n) for x, n in zip(S.parse_value(F.col("Value")), ("n", "ok"))]).collect()
+    assert [(r.n, r.ok) for r in rows] == [(None, False), (None, False), (50.0, True), (5.0, True), (1000.0, True), (0.0, True)]
+
+
+def test_unreadable_file_raises_and_missing_is_empty(spark, tmp_path):
+    import pytest
+
+    from pulseboard.sources.tabs import load_tab
+
+    (tmp_path / "bad").write_bytes(b"PAR1 not parquet")
+    with pytest.raises(Exception):
+        load_tab(spark, str(tmp_path / "bad"), "Talent Gaps").count()
+    assert load_tab(spark, str(tmp_path / "none"), "Talent Gaps").count() == 0
+
+
+def test_csv_with_doubled_quotes(spark, tmp_path):
+    from pulseboard.sources.tabs import load_tab
+
+    (tmp_path / "t.csv").write_text('Skill/Role Needed,Urgency,_row\n"He said ""hi"", ok","a\nb",0\n,x,1\n')
+    rows = load_tab(spark, str(tmp_path / "t.csv"), "Talent Gaps", "csv", multiline=True).orderBy("_row").collect()
+    assert [tuple(r) for r in rows] == [('He said "hi", ok', "a\nb", 0), (None, "x", 1)]

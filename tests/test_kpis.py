@@ -126,20 +126,58 @@ def test_risk_severity_labels(spark):
     assert k.high_severity_risk_count == 1 and abs(k.high_risk_impact_as_pct_of_total - 62.5) < 1e-12
 
 
-def test_distributed_median_equals_exact(spark):
-    from pulseboard.functions.stats import distributed_median, median
+def test_medians_equal_exact(spark):
+    from pulseboard.functions.stats import medians
 
     for n in (1, 2, 7, 1000):
-        df = spark.range(n).select(((F.col("id") * 7919) % 1013 / 3.0).alias("v"))
-        exact = df.agg(median(F.col("v")).alias("m")).first().m
-        got = distributed_median(df, "v", buckets=8).first().median
-        assert got == exact, (n, got, exact)
+        df = spark.range(n).select(((F.col("id") * 7919) % 1013 / 3.0 - 100).alias("v"), (F.col("id") % 3).alias("g"))
+        for d in (df, df.repartition(7)):
+            assert medians(d, {"m": F.col("v")}).first().m == df.agg(F.round(F.median("v"), 9)).first()[0]
+            got = {r.g: r.m for r in medians(d, {"m": F.col("v"), "w": F.col("v") * 2}, ("g",)).collect()}
+            assert got == {r[0]: r[1] for r in df.groupBy("g").agg(F.round(F.median("v"), 9)).collect()}
     dup = spark.range(100).select(F.when(F.col("id") < 60, F.lit(5.0)).otherwise(F.col("id").cast("double")).alias("v"))
-    assert distributed_median(dup, "v", buckets=4).first().median == 5.0
-
-
-def test_median_sketch_option(spark):
-    rows = [{"Project Name": str(i), "Project Health Score": str(i)} for i in range(101)]
-    p = tab(spark, "Project Inventory", rows)
-    assert K.project_scores(p).first().median_project_health_score == 50.0
-    assert abs(K.project_scores(p, exact_median=False).first().median_project_health_score - 50.0) <= 1.0
+    assert medians(dup, {"m": F.col("v")}).first().m == 5.0
+    assert medians(dup.limit(0), {"m": F.col("v")}).first().m is None
+
+
+def test_no_percentile_in_one_task(spark):
+    p = tab(spark, "Project Inventory", [{"Project Name": str(i), "Project Health Score": str(i)} for i in range(101)])
+    df = K.project_scores(p)
+    assert df.first().median_project_health_score == 50.0
+    assert "percentile" not in df._jdf.queryExecution().executedPlan().toString()
+    by = K.project_scores(p.withColumn("Client", F.when(F.col("_row") < 50, F.lit("a"))), by=("Client",))
+    assert {r.Client: r.median_project_health_score for r in by.collect()} == {"a": 24.5, None: 75.0}
+
+
+def test_sums_are_not_cut_to_cents_and_no_cell_ends_the_job(spark):
+    p = tab(spark, "Project Inventory", [{"Project Name": "p", "Revenue": "0.004", "Status (R/Y/G)": "R\t"} for _ in range(1000)])
+    assert K.kpi_revenue(p).first().total_revenue == 4.0
+    assert K.kpi_status(p).first().red_project_revenue == 4.0
+    big = tab(spark, "Project Inventory", [{"Project Name": "p", "Revenue": "1" * 30, "Project Health Score": "1" * 30}, {"Project Name": "q", "Revenue": "5"}])
+    assert K.kpi_revenue(big).first().total_revenue == float("1" * 30) + 5
+    assert K.project_scores(big).first().avg_project_health_score == float("1" * 30) / 2
+
+
+def test_status_is_stripped_of_all_white_space(spark):
+    cells = ["R\t", "R\n", "R\u00a0", " r ", "G", "\u2003y"]
+    r = K.kpi_status(tab(spark, "Project Inventory", [{"Status (R/Y/G)": c} for c in cells])).first()
+    assert (r.red_projects_count, r.yellow_projects_count, r.green_projects_count) == (4, 1, 1)
+
+
+def test_lists_agree_with_their_counts_when_a_column_is_absent(spark):
+    import datetime as dt
+
+    from pulseboard.operators import lists as L
+
+    day = dt.date(2025, 6, 30)
+    p = tab(spark, "Project Inventory", [{"Project Name": "p", "Project End Date": "2025-01-01"}, {"Project Name": "q"}])
+    for missing in ("Next Opp First Discussion Date", "Project End Date", "Project Name"):
+        d = p.drop(missing)
+        assert L.overdue_next_deal(d, day).count() == K.next_deal_gap(d, day).first().overdue_next_deal_discussion_count == 0
+    for missing in ("Last Sponsor Checkin Date", "Sponsor Checkin Notes", "Project End Date", "Project Name"):
+        d = p.drop(missing)
+        assert L.overdue_checkins(d, day).count() == K.kpi_checkins(d, day).first().overdue_sponsor_checkin_count == 0
+    assert L.at_risk_projects(p.drop("Status (R/Y/G)")).count() == 0
+    assert L.utilization_ranking(tab(spark, "Team Utilization", [{"Employee Name": "e"}]).drop("Role")).first().Role is None
+    typed = p.withColumn("Revenue", F.lit(15_000_000.0))
+    assert L.project_listing(typed).first().Revenue == "$15,000,000"

@@ -35,14 +35,19 @@ def test_scorecard_first_hit_c5(spark):
                                           "Budget and Scope": "Other"}])
     r = S.project_health_lookup(p, mapping).first()
     assert r.project_health_score == 20.0
-    old = S.MAX_MAP_ENTRIES
-    try:
-        S.MAX_MAP_ENTRIES = 0  # force the join path
-        assert S.project_health_lookup(p, mapping).first().project_health_score == 20.0
-        a = S.weighted_totals(p, mapping).first()
-    finally:
-        S.MAX_MAP_ENTRIES = old
-    assert a == S.weighted_totals(p, mapping).first()
+    t = S.weighted_totals(p, mapping).first()
+    assert (t.project_health_score, t.delivery_efficiency_score, t.total_project_score) == (20.0, 0.0, 14.0)
+    plan = S.project_health_lookup(p, mapping)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_total_deal_score(spark):
+    mapping = tab(spark, "MappingTable", [
+        {"Tab": "Pipeline", "Value": "Yes", "Score": "10"}, {"Key": "Sales|Low|High", "Score": "50"}])
+    card = [c for c, _ in S.PIPELINE_SCORECARD][:2]
+    p = tab(spark, "Pipeline", [{"Account": "a", card[0]: "Yes", card[1]: "Yes", "Pre-Sales Effort Level": "Low", "Revenue Potential Tier": "High"}])
+    r = S.weighted_deal_totals(p, mapping).first()
+    assert (r.pipeline_score, r.relational_efficiency_score) == (20.0, 50.0) and abs(r.total_deal_score - 29.0) < 1e-12
 
 
 def scenario_rows(weeks="50"):
