@@ -1,6 +1,6 @@
 """Exception lists, listings, rankings, top-N, upcoming dates and lookups.
 
-All are filters and projections (map-side, no shuffle) except the ranking
+Listings carry ``_row``, so that sheet order can be had back. All are filters and projections (map-side, no shuffle) except the ranking
 (one range-partitioned sort), top-N (per-partition top-N, then one merge of
 N rows per partition), distinct options and first-hit lookups (partial
 aggregation per key, so a key holding a third of all rows is still combined
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean as C
 from ..sources.tabs import ROW, project_existing, q, with_default
-from ..targets import DEFAULT_TARGETS, Targets
+from ..targets import DEFAULT_TARGETS, NO_EVENTS_TEXT, UPCOMING_EVENTS, Targets
 from .kpis import (active_cond, overdue_checkin_cond, overdue_next_deal_cond, pipeline_frame, project_frame,
                    staff_frame)
 
@@ -26,15 +26,15 @@ NA = "N/A"
 def non_green_projects(projects: DataFrame) -> DataFrame:
     """Projects whose raw status cell is exactly R or Y (no trimming, no case change)."""
     if "Status (R/Y/G)" not in projects.columns:
-        return project_existing(projects, ["Project Name", "Status (R/Y/G)", "Key Issues"]).where(F.lit(False))
+        return project_existing(projects, [ROW, "Project Name", "Status (R/Y/G)", "Key Issues"]).where(F.lit(False))
     rows = projects.where(q("Status (R/Y/G)").isin("R", "Y"))
-    return project_existing(rows, ["Project Name", "Status (R/Y/G)", "Key Issues"])
+    return project_existing(rows, [ROW, "Project Name", "Status (R/Y/G)", "Key Issues"])
 
 
 def at_risk_projects(projects: DataFrame) -> DataFrame:
     """Page form: upper-cased (not trimmed) status in R/Y; revenue as currency text. Without a status
     column nothing is at risk."""
-    wanted = ["Project Name", "Status (R/Y/G)", "Revenue", "Key Issues", "Next Steps", "Executive Support Required"]
+    wanted = [ROW, "Project Name", "Status (R/Y/G)", "Revenue", "Key Issues", "Next Steps", "Executive Support Required"]
     if "Status (R/Y/G)" not in projects.columns:
         return project_existing(projects, wanted).where(F.lit(False))
     df = projects.withColumn("Status (R/Y/G)", C.status_page(q("Status (R/Y/G)")))
@@ -53,7 +53,7 @@ def active_projects(projects: DataFrame, as_of: dt.date) -> DataFrame:
 def _listed(pf: DataFrame, cond: Column, needed, date: Column, date_name: str) -> DataFrame:
     """(Project Name, date) of the rows that meet ``cond``; no row where a column that the KPI needs is absent."""
     there = all(c in pf.columns for c in needed)
-    return with_default(pf, "Project Name").where(cond if there else F.lit(False)).select(q("Project Name"), date.alias(date_name))
+    return with_default(pf, "Project Name").where(cond if there else F.lit(False)).select(F.col(ROW), q("Project Name"), date.alias(date_name))
 
 
 def overdue_next_deal(projects: DataFrame, as_of: dt.date, t: Targets = DEFAULT_TARGETS) -> DataFrame:
@@ -75,7 +75,7 @@ def project_listing(projects: DataFrame) -> DataFrame:
         df = df.withColumn("Revenue", C.format_currency(C.number_of(projects, "Revenue")))
     if "Project Health Score" in df.columns:
         df = df.withColumn("Project Health Score", F.bround(C.number_of(projects, "Project Health Score"), 1))
-    return project_existing(df, ["Project Name", "Client", "Status (R/Y/G)", "Revenue", "Project Health Score",
+    return project_existing(df, [ROW, "Project Name", "Client", "Status (R/Y/G)", "Revenue", "Project Health Score",
                                  "Project End Date", "Key Issues"])
 
 
@@ -86,7 +86,7 @@ def pipeline_listing(pipeline: DataFrame) -> DataFrame:
             df = df.withColumn(c, C.format_currency(C.number_of(pipeline, c)))
     if "Pipeline Score" in df.columns:
         df = df.withColumn("Pipeline Score", F.bround(C.number_of(pipeline, "Pipeline Score"), 1))
-    return project_existing(df, ["Account", "Open Pipeline_Active Work", "Percieved Annual AMO", "Pipeline Score",
+    return project_existing(df, [ROW, "Account", "Open Pipeline_Active Work", "Percieved Annual AMO", "Pipeline Score",
                                  "Pursuit Tier", "Horizon", "Opportunity Created Date", "Closed Won Date"])
 
 
@@ -145,36 +145,38 @@ def top_pursuits(pipeline: DataFrame, tier: str = "TIER 1", n: int = 5) -> DataF
 def upcoming_dates(projects: DataFrame, pipeline: DataFrame, as_of: dt.date, days: int = 7) -> DataFrame:
     """Project ends, won-deal closes and next touchpoints with as_of <= date <= as_of + days.
 
-    Three filtered projections appended; ``kind_rank`` and sheet order give
-    the reference's listing order. Missing dates never match.
+    Three filtered projections appended, in listing order: kind, then sheet order (project_row or
+    pipeline_row, the rows' ``_row``). Missing dates never match.
     """
     lo, hi = F.lit(as_of), F.date_add(F.lit(as_of), days)
-    spark = projects.sparkSession
-    schema = "kind_rank int, event_kind string, name string, event_date date, line string"
-    parts = []
-
-    def part(df, rank, kind, name_col, date_col, fmt):
-        d = C.to_date(q(date_col))
-        rows = df.where(d.between(lo, hi))
-        return rows.select(
-            F.lit(rank).alias("kind_rank"), F.lit(kind).alias("event_kind"), q(name_col).alias("name"),
-            d.alias("event_date"),
-            F.format_string(fmt, q(name_col), F.date_format(d, "yyyy-MM-dd")).alias("line"))
-
-    if "Project Name" in projects.columns and "Project End Date" in projects.columns:
-        parts.append(part(projects, 0, "project_end", "Project Name", "Project End Date",
-                          "- Project '%s' is scheduled to end on %s."))
-    if "Account" in pipeline.columns:
-        if "Closed Won Date" in pipeline.columns:
-            parts.append(part(pipeline, 1, "deal_close", "Account", "Closed Won Date",
-                              "- Deal for '%s' is scheduled to close (won) on %s."))
-        if "Next Touchpoint Date" in pipeline.columns:
-            parts.append(part(pipeline, 2, "next_touchpoint", "Account", "Next Touchpoint Date",
-                              "- Next touchpoint for '%s' is scheduled on %s."))
-    out = spark.createDataFrame([], schema)
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    tabs = {"Project Inventory": (projects, "project_row"), "Pipeline": (pipeline, "pipeline_row")}
+    kinds = {row: dict(df.dtypes).get(ROW, "bigint") for df, row in tabs.values()}
+    out = projects.sparkSession.createDataFrame(
+        [], "kind_rank int, event_kind string, name string, event_date date, line string, " + ", ".join(f"{r} {k}" for r, k in kinds.items()))
+    for rank, (kind, tab, name, date, pre, mid, post) in enumerate(UPCOMING_EVENTS):
+        df, row = tabs[tab]
+        if name not in df.columns or date not in df.columns:
+            continue
+        d = C.to_date(q(date))
+        rows = df.where(d.between(lo, hi)).select(
+            F.lit(rank).alias("kind_rank"), F.lit(kind).alias("event_kind"), q(name).alias("name"), d.alias("event_date"),
+            F.concat(F.lit(pre), F.coalesce(q(name), F.lit("")), F.lit(mid), F.date_format(d, "yyyy-MM-dd"), F.lit(post)).alias("line"),
+            F.col(ROW).alias(row))
+        out = out.unionByName(rows, allowMissingColumns=True)
+    return out.orderBy("kind_rank", "project_row", "pipeline_row")
+
+
+def upcoming_text(events: DataFrame) -> DataFrame:
+    """Numbered lines (line_no, line) of ``upcoming_dates``' result, or the one fixed sentence when there is
+    no event. Line numbers come from the sorted ranges, so no task numbers all lines."""
+    parts = events.select("kind_rank", "project_row", "pipeline_row", "line").orderBy("kind_rank", "project_row", "pipeline_row") \
+        .select("*", F.spark_partition_id().alias("part"))
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row per sort range
+    order = Window.partitionBy("part").orderBy("kind_rank", "project_row", "pipeline_row")
+    lines = parts.join(offsets, "part").select((F.row_number().over(order) + F.col("before")).cast("bigint").alias("line_no"), "line")
+    none = events.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(1).cast("bigint").alias("line_no"), F.lit(NO_EVENTS_TEXT).alias("line"))
+    return lines.unionByName(none)
 
 
 def distinct_options(projects: DataFrame, pipeline: DataFrame, as_of: dt.date) -> DataFrame:

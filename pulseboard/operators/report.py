@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import clean as C
 from ..session import new_output_path
 from ..sources.tabs import ROW, q, scan_tab
-from ..targets import (DEFAULT_TARGETS, QUESTION_RULES, SNAPSHOT_DEFAULT_ROWS, SNAPSHOT_ROWS, SNAPSHOT_TEXT_LIMIT,
-                       SNAPSHOT_TRUNCATION_MARK, Targets)
+from ..targets import (DEFAULT_TARGETS, METRIC_CARDS, QUESTION_RULES, SNAPSHOT_DEFAULT_ROWS, SNAPSHOT_ROWS,
+                       SNAPSHOT_TEXT_LIMIT, SNAPSHOT_TRUNCATION_MARK, Targets)
 
 NA_CELL = "<NA>"
 
@@ -20,41 +20,49 @@ def row_text(df: DataFrame) -> Column:
     return F.concat_ws(" | ", *[F.coalesce(q(c).cast("string"), F.lit(NA_CELL)) for c in cols])
 
 
-def snapshot_cap(name: str) -> int:
-    return dict(SNAPSHOT_ROWS).get(name, SNAPSHOT_DEFAULT_ROWS)
+def snapshot_cap(name: str, caps=SNAPSHOT_ROWS, default: int | None = SNAPSHOT_DEFAULT_ROWS) -> int | None:
+    return dict(caps).get(name, default)
 
 
-def tab_snapshot(name: str, order: int, df: DataFrame) -> DataFrame:
-    """Header lines, the first N rows in sheet order, and a mark when rows were left out.
+def tab_snapshot(name: str, order: int, df: DataFrame, cap: int | None) -> DataFrame:
+    """Header lines, the first ``cap`` rows in sheet order (None: every row), and a mark when rows were left
+    out: (tab_order, tab, line_no, text). An empty tab gives no lines.
 
-    ``orderBy(_row).limit(N)`` is a TakeOrderedAndProject (per-partition top N);
-    the row number below runs over those N rows only. An empty tab gives no lines.
+    The first rows are found by ``_row`` alone (TakeOrderedAndProject over one column) and only they are read
+    in full, by a join with those few. With no cap, line numbers come from a distributed sort, as runs within
+    ranges of ``_row`` and offsets over the ranges.
     """
-    cap = snapshot_cap(name)
     cols = [c for c in df.columns if c != ROW]
     n = F.col("total")
 
     def line(cond, no, text):
-        return F.when(cond, F.struct(F.lit(no).alias("line_no"), text.alias("text")))
+        return F.when(cond, F.struct(no.cast("bigint").alias("line_no"), text.alias("text")))
 
     # one count per tab gives the two header lines and, when rows were left out, the mark
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    head = total.select(F.inline(F.filter(F.array(
-        line(n > 0, 0, F.lit(f"Sheet: {name}")),
-        line(n > 0, 1, F.lit("Columns: " + ", ".join(cols))),
-        line(n > cap, cap + 2, F.format_string(f"... (showing top {cap} of %d rows)", n))), lambda x: x.isNotNull())))
-    top = df.orderBy(F.col(ROW)).limit(cap)
-    rows = top.select((F.row_number().over(Window.orderBy(F.col(ROW))) + 1).alias("line_no"),
-                      row_text(df).alias("text"))
-    out = head.unionByName(rows)
-    return out.select(F.lit(order).alias("tab_order"), F.lit(name).alias("tab"), "line_no", "text")
-
-
-def context_snapshot(tabs) -> DataFrame:
-    """``tabs`` = [(name, df)] in load order; lines of every non-empty tab."""
+    lines = [line(n > 0, F.lit(0), F.lit(f"Sheet: {name}")), line(n > 0, F.lit(1), F.lit("Columns: " + ", ".join(cols)))]
+    if cap is not None:
+        lines.append(line(n > cap, F.lit(cap + 2), F.format_string(f"... (showing top {cap} of %d rows)", n)))
+    head = total.select(F.inline(F.filter(F.array(*lines), lambda x: x.isNotNull())))
+    if cap is None:
+        parts = df.select(F.col(ROW), row_text(df).alias("text")).orderBy(ROW).select(ROW, "text", F.spark_partition_id().alias("part"))
+        sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+        offsets = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row per sort range
+        rows = parts.join(offsets, "part").select(
+            (F.row_number().over(Window.partitionBy("part").orderBy(ROW)) + F.col("before") + 1).cast("bigint").alias("line_no"), "text")
+    else:
+        first = df.select(ROW).orderBy(ROW).limit(cap).select((F.row_number().over(Window.orderBy(ROW)) + 1).cast("bigint").alias("line_no"),
+                                                              F.col(ROW).alias("__first"))  # over at most `cap` rows
+        rows = df.join(F.broadcast(first), F.col(ROW) == F.col("__first")).select("line_no", row_text(df).alias("text"))
+    return head.unionByName(rows).select(F.lit(order).alias("tab_order"), F.lit(name).alias("tab"), "line_no", "text")
+
+
+def context_snapshot(tabs, caps=SNAPSHOT_ROWS, default: int | None = SNAPSHOT_DEFAULT_ROWS) -> DataFrame:
+    """``tabs`` = [(name, df)] in load order; lines of every non-empty tab. ``caps``: first rows shown by tab,
+    ``default`` for the others, None for whole tabs."""
     out = None
     for i, (name, df) in enumerate(tabs):
-        s = tab_snapshot(name, i, df)
+        s = tab_snapshot(name, i, df, snapshot_cap(name, caps, default))
         out = s if out is None else out.unionByName(s)
     return out
 
@@ -75,8 +83,9 @@ def context_text(snapshot: DataFrame, limit: int = SNAPSHOT_TEXT_LIMIT, mark: st
 
 
 def export_csv(df: DataFrame, path: str) -> str:
-    """Whole tab as CSV with a header (cells kept as they are, ``_row`` included)."""
-    (df.write.mode("overwrite").option("header", True)
+    """Whole tab as CSV with a header, in sheet order and without ``_row``; a quote within a cell is doubled."""
+    out = df.orderBy(ROW).drop(ROW) if ROW in df.columns else df
+    (out.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
     return path
@@ -115,51 +124,17 @@ def scorecard_verdicts(kpis: DataFrame, t: Targets = DEFAULT_TARGETS) -> DataFra
     return kpis.select(F.inline(F.array(*rows)))
 
 
-# display parts: ("cur", col) ("pct", col) ("pct100", col) ("num", col, d) ("int", col) ("lit", text)
-DISPLAY = (
-    ("home", "Total Revenue", [("cur", "total_revenue")], [("pct", "revenue_vs_target_pct"), ("lit", " of target")]),
-    ("home", "Pipeline Coverage", [("num", "pipeline_coverage_ratio", 1), ("lit", "x")],
-     [("pct", "pipeline_coverage_vs_target_pct"), ("lit", " of target")]),
-    ("home", "Green Project Ratio", [("pct100", "green_project_ratio")],
-     [("pct", "green_project_ratio_vs_target_pct"), ("lit", " of target")]),
-    ("home", "Avg. Customer NPS", [("num", "avg_customer_nps", 1)],
-     [("pct", "customer_nps_vs_target_pct"), ("lit", " of target")]),
-    ("home", "Employee Pulse (Avg)", [("num", "avg_employee_pulse_score", 1)], [("lit", "8.0 target")]),
-    ("home", "Active Pipeline Value", [("cur", "active_pipeline_value")],
-     [("num", "pipeline_coverage_ratio", 1), ("lit", "x coverage")]),
-    ("home", "Avg. Deal Cycle", [("num", "avg_deal_cycle_time_days", 0), ("lit", " days")],
-     [("lit", "Median: "), ("num", "median_deal_cycle_time_days", 0), ("lit", " days")]),
-    ("home", "Recent Sponsor Check-ins",
-     [("num", "recent_meaningful_checkins_count", 0), ("lit", " ("), ("pct", "recent_meaningful_checkins_pct"), ("lit", ")")],
-     [("int", "overdue_sponsor_checkin_count"), ("lit", " overdue")]),
-    ("home", "High Severity Risks", [("num", "high_severity_risk_count", 0)],
-     [("cur", "high_severity_risk_impact"), ("lit", " impact")]),
-    ("home", "Avg. Delivery Utilization", [("pct", "avg_delivery_utilization_pct")],
-     [("int", "under_utilized_delivery_count"), ("lit", " under-utilized")]),
-    ("projects", "Total Projects", [("num", "total_projects", 0)], []),
-    ("projects", "Red Projects", [("num", "red_projects_count", 0)], [("cur", "red_project_revenue"), ("lit", " at risk")]),
-    ("projects", "Avg. Health Score", [("num", "avg_project_health_score", 1)],
-     [("lit", "Median: "), ("num", "median_project_health_score", 1)]),
-    ("projects", "Avg. Total Score", [("num", "avg_total_project_score", 1)],
-     [("lit", "Median: "), ("num", "median_total_project_score", 1)]),
-    ("pipeline", "Total Potential Value", [("cur", "total_potential_pipeline_value")], []),
-    ("pipeline", "Avg. Pipeline Score", [("num", "avg_pipeline_score", 1)],
-     [("lit", "Median: "), ("num", "median_pipeline_score", 1)]),
-    ("pipeline", "Avg. Next Deal Gap", [("num", "avg_next_deal_gap_days", 0), ("lit", " days")], []),
-    ("risks", "Total Risk Impact", [("cur", "total_risk_impact")], []),
-    ("risks", "High Severity Risk Impact", [("cur", "high_severity_risk_impact")],
-     [("pct", "high_risk_impact_as_pct_of_total"), ("lit", " of total impact")]),
-    ("team", "Avg. Executive Utilization", [("pct", "avg_exec_utilization_pct")],
-     [("int", "over_utilized_execs_count"), ("lit", " execs >70%")]),
-    ("team", "Total Strategic Cost", [("cur", "total_strategic_cost")], []),
-    ("team", "Total Strategic Activities Logged", [("num", "total_strategic_activities_count", 0)], []),
-)
-
-
-def _part(p) -> Column:
+def target_text(t: Targets, name: str, form: str) -> str:
+    value = getattr(t, name)
+    return f"${value:,.0f}" if form == "cur" else f"{value * 100:.1f}%" if form == "pct100" else str(value)
+
+
+def _part(p, t: Targets) -> Column:
     kind = p[0]
     if kind == "lit":
         return F.lit(p[1])
+    if kind == "target":
+        return F.lit(target_text(t, p[1], p[2]))
     c = F.col(p[1])
     if kind == "cur":
         return C.format_currency(c)
@@ -172,12 +147,12 @@ def _part(p) -> Column:
     return c.cast("string")
 
 
-def kpi_display(kpis: DataFrame) -> DataFrame:
-    """(page, label, value_text, delta_text) for every metric card."""
-    rows = [F.struct(F.lit(page).alias("page"), F.lit(label).alias("label"),
-                     F.concat(*[_part(p) for p in value]).alias("value_text"),
-                     (F.concat(*[_part(p) for p in delta]) if delta else F.lit("")).alias("delta_text"))
-            for page, label, value, delta in DISPLAY]
+def kpi_display(kpis: DataFrame, t: Targets = DEFAULT_TARGETS) -> DataFrame:
+    """(card_no, page, label, value_text, delta_text) for every metric card, in page order."""
+    rows = [F.struct(F.lit(i).alias("card_no"), F.lit(page).alias("page"), F.lit(label).alias("label"),
+                     F.concat(*[_part(p, t) for p in value]).alias("value_text"),
+                     (F.concat(*[_part(p, t) for p in delta]) if delta else F.lit("")).alias("delta_text"))
+            for i, (page, label, value, delta) in enumerate(METRIC_CARDS)]
     return kpis.select(F.inline(F.array(*rows)))
 
 
@@ -186,7 +161,7 @@ def route_questions(questions: DataFrame, kpis: DataFrame) -> DataFrame:
 
     ``kpis`` is a global aggregate (one row), broadcast to every question.
     """
-    qn = F.lower(F.regexp_replace(F.col("question"), r"(?U)^\s+|\s+$", ""))
+    qn = F.lower(C.strip("question"))
     rule, answer = None, None
     texts = {
         "total_revenue": F.concat(F.lit("Total revenue is "), C.format_currency(F.col("total_revenue")), F.lit(".")),

@@ -50,27 +50,34 @@ def scenario_inputs(df: DataFrame, by=()) -> DataFrame:
     return last.select(*keys, "Value", num.alias("value_num"), ok.alias("parsed_ok"))
 
 
-def wide_inputs(inputs: DataFrame, by=()) -> DataFrame:
-    """One row per scenario: v0..v10 (label value or default) and ``failed``.
-
-    Conditional aggregates over the known labels (no pivot, no extra job to
-    find pivot values); a missing label takes its default.
-    """
+def _wide_aggs(prefix: str, num: str, ok: str) -> list:
     lab = q("Assumption")
     aggs = []
     for i, label in enumerate(SCENARIO_LABELS):
-        aggs += [F.max(F.when(lab == label, F.col("value_num"))).alias(f"n{i}"),
-                 F.max(F.when(lab == label, F.when(F.col("parsed_ok"), 1).otherwise(0))).alias(f"k{i}")]
-    g = inputs.groupBy(*[q(b) for b in by]) if by else inputs.groupBy()
-    w = g.agg(*aggs)
+        aggs += [F.max(F.when(lab == label, F.col(num))).alias(f"{prefix}n{i}"),
+                 F.max(F.when(lab == label, F.when(F.col(ok), 1).otherwise(0))).alias(f"{prefix}k{i}")]
+    return aggs
+
+
+def _wide_columns(prefix: str) -> list:
     cols, bad = [], None
     for i, label in enumerate(SCENARIO_LABELS):
-        present = F.col(f"k{i}").isNotNull()
-        cols.append(F.when(present, F.col(f"n{i}")).otherwise(F.lit(SCENARIO_DEFAULTS.get(label, 0.0))).alias(f"v{i}"))
-        b = present & (F.col(f"k{i}") == 0)
+        present = F.col(f"{prefix}k{i}").isNotNull()
+        cols += [F.when(present, F.col(f"{prefix}n{i}")).otherwise(F.lit(SCENARIO_DEFAULTS.get(label, 0.0))).alias(f"{prefix}v{i}"),
+                 present.alias(f"{prefix}has{i}")]
+        b = present & (F.col(f"{prefix}k{i}") == 0)
         bad = b if bad is None else (bad | b)
-        cols.append(present.alias(f"has{i}"))
-    return w.select(*[q(b) for b in by], *cols, bad.alias("failed"))
+    return [*cols, bad.alias(f"{prefix}failed")]
+
+
+def wide_inputs(inputs: DataFrame, by=()) -> DataFrame:
+    """One row per scenario: v0..v10 (label value or default), has0..has10 and ``failed``.
+
+    Conditional aggregates over the known labels (no pivot, no extra job to
+    find pivot values); a missing label takes its default.
+    """
+    g = inputs.groupBy(*[q(b) for b in by]) if by else inputs.groupBy()
+    return g.agg(*_wide_aggs("", "value_num", "parsed_ok")).select(*[q(b) for b in by], *_wide_columns(""))
 
 
 def calc(v, failed: Column) -> dict:
@@ -124,23 +131,44 @@ def _order_rank(cat: Column) -> Column:
             .otherwise(0))
 
 
+def _compared(j: DataFrame, keys) -> DataFrame:
+    """11 rows per scenario from the arrays __b (do nothing) and __p (proposed), in display order."""
+    rows = F.array(*[F.struct(F.lit(CATEGORY_NAME[c]).alias("category"), F.lit(i).alias("i"))
+                     for i, c in enumerate(CATEGORY_COLS)])
+    e = j.select(*[q(k) for k in keys], "__b", "__p", F.inline(rows))
+    do_nothing = F.element_at("__b", F.col("i") + 1)
+    proposed = F.element_at("__p", F.col("i") + 1)
+    out = e.select(*[q(k) for k in keys], "category", _order_rank(F.col("category")).alias("sort_order"),
+                   do_nothing.alias("do_nothing"), proposed.alias("proposed"), (proposed - do_nothing).alias("difference"))
+    return out.orderBy(*[q(k) for k in keys], "sort_order", "category")
+
+
 def scenario_compare(base_calc: DataFrame, proposed_calc: DataFrame, by=()) -> DataFrame:
-    """(scenario, category, sort_order, do_nothing, proposed, difference) - 11 rows per scenario.
+    """(scenario, category, sort_order, do_nothing, proposed, difference) - 11 rows per scenario, in display order.
 
     Both sides have one row per scenario, so the join is one-to-one.
     """
     keys = list(by)
     b = base_calc.select(*[q(k) for k in keys], F.array(*[F.col(c) for c in CATEGORY_COLS]).alias("__b"))
     p = proposed_calc.select(*[q(k) for k in keys], F.array(*[F.col(c) for c in CATEGORY_COLS]).alias("__p"))
-    j = b.join(p, keys, "inner") if keys else b.crossJoin(p)  # without keys both are single rows
-    rows = F.array(*[F.struct(F.lit(CATEGORY_NAME[c]).alias("category"), F.lit(i).alias("i"))
-                     for i, c in enumerate(CATEGORY_COLS)])
-    e = j.select(*[q(k) for k in keys], "__b", "__p", F.inline(rows))
-    do_nothing = F.element_at("__b", F.col("i") + 1)
-    proposed = F.element_at("__p", F.col("i") + 1)
-    return e.select(*[q(k) for k in keys], "category", _order_rank(F.col("category")).alias("sort_order"),
-                    do_nothing.alias("do_nothing"), proposed.alias("proposed"),
-                    (proposed - do_nothing).alias("difference"))
+    return _compared(b.join(p, keys, "inner") if keys else b.crossJoin(p), keys)  # without keys both are single rows
+
+
+def scenario_compare_overrides(inputs: DataFrame, overrides: DataFrame, by=()) -> DataFrame:
+    """``scenario_compare`` of ``scenario_inputs``' result and the same with overrides: the inputs are read
+    once, joined with their overrides and both sides come from one aggregate per scenario."""
+    keys = list(by)
+    o = overrides.select(*[q(k) for k in keys], q("Assumption"), q("Value").alias("__new"))
+    num, ok = parse_value(F.coalesce(F.col("__new"), q("Value")))
+    j = inputs.join(o, [*keys, "Assumption"], "left").withColumns({"__num": num, "__ok": ok})
+    g = j.groupBy(*[q(k) for k in keys]) if keys else j.groupBy()
+    w = g.agg(*_wide_aggs("", "value_num", "parsed_ok"), *_wide_aggs("p_", "__num", "__ok")).select(
+        *[q(k) for k in keys], *_wide_columns(""), *_wide_columns("p_"))
+    sides = []
+    for prefix, name in (("", "__b"), ("p_", "__p")):
+        r = calc([F.col(f"{prefix}v{i}") for i in range(len(SCENARIO_LABELS))], F.col(f"{prefix}failed"))
+        sides.append(F.array(*[r[c] for c in CATEGORY_COLS]).alias(name))
+    return _compared(w.select(*[q(k) for k in keys], *sides), keys)
 
 
 def scenario_sweep(base_inputs: DataFrame, sweep: DataFrame, key_cols, set_values) -> DataFrame:

@@ -2,10 +2,10 @@
 
 The reference tests every staff list against every project (nested loops).
 Here each staff row's comma list is exploded once into (project, staff)
-links, the links are aggregated per project name *before* the join (partial
-aggregation combines a hot project map-side, so a project holding a third of
-all assignments does not turn into one giant join partition), and the
-active projects take their team with an equi left join.
+links, links to projects that are not asked for are dropped by a semi join, the
+rest are aggregated per project name and joined to the active projects. The
+member text of one project is one output cell, so it is put together in one
+task; ``staff_links`` gives the long form for teams of any size.
 """
 
 from __future__ import annotations
@@ -34,9 +34,12 @@ def staff_links(staff: DataFrame) -> DataFrame:
     return links.where(F.col("project") != "")
 
 
-def teams(staff: DataFrame) -> DataFrame:
-    """Team per project name: size, members in sheet order, exact mean utilization and pulse."""
+def teams(staff: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Team per project name (of ``names``: column project; None: all): size, members in sheet order, exact
+    sums of utilization and pulse."""
     links = staff_links(staff)
+    if names is not None:
+        links = links.join(names, "project", "left_semi")
     return links.groupBy("project").agg(
         F.count(F.lit(1)).alias("team_size"),
         F.sum(F.col("util").cast("decimal(26,6)")).cast("double").alias("util_sum"),
@@ -57,7 +60,7 @@ def staffing_health(projects: DataFrame, staff: DataFrame, as_of: dt.date,
         active = active.where(q("Client") == client)
     if resourcing is not None:
         active = active.where(F.coalesce(q("Team Resourcing"), F.lit("N/A")) == resourcing)
-    t = teams(staff)
+    t = teams(staff, active.select(q("Project Name").alias("project")).distinct())
     j = active.join(t, active["`Project Name`"] == t["project"], "left")
     size = F.coalesce(F.col("team_size"), F.lit(0).cast("bigint"))
     members = F.array_join(F.transform(F.col("members"), lambda m: m["name"]), ", ")

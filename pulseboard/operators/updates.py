@@ -6,11 +6,10 @@ changes; unknown columns are skipped; values are written as text; a key that
 is not found is rejected. Later updates of the same (key, column) win (by
 ``seq``).
 
-Plan: the first row of each key is a partial aggregate ``min(_row)`` (a hot
-key collapses map-side), the per-key updates are pivoted with conditional
-aggregates over the tab's known columns, and the result reaches the table
-through one equi join on ``_row`` - no window over the key, so one key with
-a third of all rows never lands in a single window partition.
+Plan: the updates are grouped once by key, the table's keys are first reduced to
+those that have updates (semi join), the first row of each such key is a
+partial aggregate ``min(_row)`` (a hot key collapses map-side), and the result
+reaches the table through one equi join on ``_row``.
 """
 
 from __future__ import annotations
@@ -42,7 +41,8 @@ def apply_updates(df: DataFrame, key: str, updates: DataFrame) -> DataFrame:
     wide = latest.groupBy("key").agg(
         *[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"__v{i}") for i, c in enumerate(touched)],
         *[F.max(F.when(F.col("column") == c, F.lit(1))).alias(f"__s{i}") for i, c in enumerate(touched)])
-    firsts = df.where(q(key).isNotNull()).groupBy(q(key).alias("key")).agg(F.min(F.col(ROW)).alias("__first"))
+    rows = df.select(q(key).alias("key"), F.col(ROW).alias("__row")).join(updates.select("key").distinct(), "key", "left_semi")
+    firsts = rows.groupBy("key").agg(F.min("__row").alias("__first"))
     targets = firsts.join(wide, "key").drop("key")
     j = df.join(targets, df[ROW] == targets["__first"], "left")
     out = []
@@ -57,17 +57,13 @@ def apply_updates(df: DataFrame, key: str, updates: DataFrame) -> DataFrame:
 
 def update_report(df: DataFrame, key: str, updates: DataFrame) -> DataFrame:
     """One row per update key: ``applied`` / ``key not found`` / ``no valid field`` and the field count."""
-    keys = updates.groupBy("key").agg(F.count(F.lit(1)).alias("n_updates"))
     if key not in df.columns:
-        return keys.select("key", F.lit("key column missing").alias("status"), F.lit(0).cast("bigint").alias("n_fields"))
-    valid, _ = _valid(df, key, updates)
-    nvalid = valid.groupBy("key").agg(F.countDistinct("column").alias("n_fields"))
-    # distinct keys of the table: partial aggregation collapses a hot key map-side
-    present = df.select(q(key).alias("key")).where(F.col("key").isNotNull()).distinct()
-    found = keys.join(present, "key", "left_semi").select("key", F.lit(True).alias("__found"))
-    r = keys.join(found, "key", "left").join(nvalid, "key", "left")
-    n = F.coalesce(F.col("n_fields"), F.lit(0).cast("bigint"))
-    status = (F.when(F.col("__found").isNull(), F.lit("key not found"))
-              .when(n == 0, F.lit("no valid field")).otherwise(F.lit("applied")))
-    return r.select("key", status.alias("status"), F.when(F.col("__found").isNull(), F.lit(0).cast("bigint"))
-                    .otherwise(n).alias("n_fields"))
+        return updates.select("key").distinct().select("key", F.lit("key column missing").alias("status"), F.lit(0).cast("bigint").alias("n_fields"))
+    _, cols = _valid(df, key, updates)
+    grouped = updates.groupBy("key").agg(F.count_distinct(F.when(F.col("column").isin(*cols), F.col("column"))).alias("n"))
+    # the table's keys, cut to those asked for before they are made distinct
+    found = df.select(q(key).alias("key")).join(updates.select("key").distinct(), "key", "left_semi").distinct().select("key", F.lit(True).alias("found"))
+    r = grouped.join(found, "key", "left")
+    status = (F.when(F.col("found").isNull(), F.lit("key not found"))
+              .when(F.col("n") == 0, F.lit("no valid field")).otherwise(F.lit("applied")))
+    return r.select("key", status.alias("status"), F.when(F.col("found").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("n")).alias("n_fields"))

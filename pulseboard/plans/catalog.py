@@ -81,10 +81,14 @@ def proposed(spark, sf):
     return _tab(spark, sf, "proposed", lambda s, d: driver.scenario_impacts(s, d)[1], "Proposed Scenario")
 
 
+def scenario_comparison(spark, sf):
+    return _tab(spark, sf, "scenario_comparison", driver.scenario_comparison, "Scenario Comparison")
+
+
 def materialize_all(spark, sf):
     """Map and store every large tab (the one-time ingest); returns seconds per tab."""
     for f in (projects, pipeline, risks, staff, activity, scenario_inputs, talent_gaps, operational_gaps,
-              observations, do_nothing, proposed):
+              observations, do_nothing, proposed, scenario_comparison):
         f(spark, sf)
     return dict(store.INGEST_SECONDS)
 

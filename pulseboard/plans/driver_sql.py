@@ -53,7 +53,7 @@ def _projects() -> str:
                           "WHEN o_orderstatus = 'O' THEN CASE WHEN k % 5 = 0 THEN chr(9) || 'y' || chr(10) ELSE 'y' END "
                           "WHEN o_orderstatus = 'P' THEN CASE WHEN k % 2 = 0 THEN 'R' || chr(9) ELSE 'R' END END",
         "Key Issues": "o_orderpriority",
-        "Next Steps": "CASE WHEN k % 2 = 0 THEN 'Review plan' END",
+        "Next Steps": "CASE WHEN k % 22 = 0 THEN 'Say \"now\", then' || chr(10) || 'review' WHEN k % 2 = 0 THEN 'Review plan' END",
         "Executive Support Required": "CASE WHEN k % 4 = 0 THEN 'Yes' ELSE 'No' END",
         "eNPS": "CAST(k % 101 - 20 AS VARCHAR)",
         "Next Opp First Discussion Date": "CASE WHEN k % 3 = 0 THEN NULL ELSE CAST(ed + CAST(k % 90 - 10 AS INTEGER) AS VARCHAR) END",
@@ -243,6 +243,21 @@ proposed AS (
 )"""
 
 
+def _scenario_comparison() -> str:
+    """Needs scenario_impacts before it. Totals from the order prices, not from the tabs' text."""
+    cents = "CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS DECIMAL(38,2)) / 100"
+    text = lambda x: f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || '$' || format('{{:,.2f}}', abs({x})))"
+    return f"""sc_sums AS (
+  SELECT -COALESCE(CAST(SUM(CASE WHEN o_orderstatus <> 'F' THEN {cents} END) AS DOUBLE), 0.0) AS nothing,
+         COALESCE(CAST(SUM(CASE WHEN o_orderstatus = 'F' THEN {cents} END) AS DOUBLE), 0.0) AS plan
+  FROM orders
+),
+scenario_comparison AS (
+  SELECT 'Do Nothing' AS "Scenario", {text('nothing')} AS "Total Annualized Impact ($)", {text('(nothing - nothing)')} AS "Net Incremental Value ($)", CAST(0 AS BIGINT) AS _row FROM sc_sums
+  UNION ALL SELECT 'Proposed', {text('plan')}, {text('(plan - nothing)')}, 1 FROM sc_sums
+)"""
+
+
 def _mapping() -> str:
     vals = ",\n    ".join(
         f"({lit(t)}, {lit(qn)}, {lit(v)}, {lit(s)}, {lit(k)}, {r})" for t, qn, v, s, k, r in mapping_rows())
@@ -309,6 +324,7 @@ CTE_BUILDERS = {
     "scenario_in": _scenario_inputs,
     "scenario_over": _scenario_overrides,
     "scenario_impacts": _scenario_impacts,
+    "scenario_comparison": _scenario_comparison,
     "mapping": _mapping,
     "questions": _questions,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import scores as S
 from ..operators import staffing as ST
 from ..sources import driver
+from ..sources.tabs import ROW
 from ..targets import PIPELINE_SCORECARD, PROJECT_SCORECARD
 from . import catalog as cat
 from .catalog import AS_OF, query
@@ -111,6 +112,22 @@ def q_weighted_totals(spark, sf):
     return S.weighted_totals(cat.projects(spark, sf), driver.mapping(spark))
 
 
+@query("weighted_deal_totals", w("pipeline", "mapping") + f"""
+SELECT r1, r2, r3, r4, "Account", pipeline_score, relational_efficiency_score,
+  pipeline_score * CAST(0.7 AS DOUBLE) + relational_efficiency_score * CAST(0.3 AS DOUBLE) AS total_deal_score
+FROM (
+  SELECT p.r1, p.r2, p.r3, p.r4, p."Account", {' + '.join(f'COALESCE(m{i}.score, 0.0)' for i in range(len(PIPELINE_SCORECARD)))} AS pipeline_score,
+    COALESCE(k.score, 0.0) AS relational_efficiency_score
+  FROM pipeline p
+  {' '.join(f"LEFT JOIN {_first_value('Pipeline')} m{i} ON p.{qi(c)} = m{i}.lookup" for i, (c, _) in enumerate(PIPELINE_SCORECARD))}
+  LEFT JOIN {FIRST_KEY} k ON concat_ws('|', 'Sales', p."Pre-Sales Effort Level", p."Revenue Potential Tier") = k.lookup
+)""")
+def q_weighted_deal_totals(spark, sf):
+    t = S.weighted_deal_totals(cat.pipeline(spark, sf), driver.mapping(spark))
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return t.select(*[F.col(f"{ROW}.{k}").alias(f"r{i + 1}") for i, k in enumerate(keys)], *[c for c in t.columns if c != ROW])
+
+
 @query("letter_bands", w("projects", "pipeline") + f"""
 SELECT 'Project Inventory' AS tab, "Project Name" AS name, {num('"Project Health Score"')} AS score,
   {s_band(num('"Project Health Score"'), S.PROJECT_LETTERS)} AS letter_band FROM projects

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import distributions as DI
 from ..operators import lists as L
-from ..sources.tabs import ROW, q
-from ..targets import PIPELINE_SCORE_BANDS, PROJECT_SCORE_BANDS
+from ..sources.tabs import ROW, TAB_COLUMNS, q
+from ..targets import PIPELINE_SCORE_BANDS, PROJECT_SCORE_BANDS, UPCOMING_EVENTS
 from . import catalog as cat
 from .catalog import AS_OF, query
-from .driver_sql import D
+from .driver_sql import D, lit
 from .queries_core import ACTIVE, LF, OVERDUE_CK, OVERDUE_NEXT, PF, RF, SF, w
 from .sqlfn import cnt, dsum, money0, num
 
@@ -88,13 +90,13 @@ def q_risk_by_severity(spark, sf):
 # -- lists ------------------------------------------------------------------
 
 @query("non_green_projects", w("projects") + """
-SELECT "Project Name", "Status (R/Y/G)", "Key Issues" FROM projects WHERE "Status (R/Y/G)" IN ('R', 'Y')""")
+SELECT _row, "Project Name", "Status (R/Y/G)", "Key Issues" FROM projects WHERE "Status (R/Y/G)" IN ('R', 'Y')""")
 def q_non_green(spark, sf):
     return L.non_green_projects(cat.projects(spark, sf))
 
 
 @query("at_risk_projects", w("projects") + f"""
-SELECT "Project Name", upper("Status (R/Y/G)") AS "Status (R/Y/G)", {money0(num('"Revenue"'))} AS "Revenue",
+SELECT _row, "Project Name", upper("Status (R/Y/G)") AS "Status (R/Y/G)", {money0(num('"Revenue"'))} AS "Revenue",
   "Key Issues", "Next Steps", "Executive Support Required"
 FROM projects WHERE upper("Status (R/Y/G)") IN ('R', 'Y')""")
 def q_at_risk(spark, sf):
@@ -102,25 +104,25 @@ def q_at_risk(spark, sf):
 
 
 @query("active_projects", w("projects", frames=[PF]) + f"""
-SELECT _row, "Project Name", "Project End Date" FROM pf WHERE {ACTIVE}""")
+SELECT _row, {', '.join(f'"{c}"' for c in TAB_COLUMNS["Project Inventory"])} FROM pf WHERE {ACTIVE}""")
 def q_active_projects(spark, sf):
-    return L.active_projects(cat.projects(spark, sf), AS_OF).select(ROW, q("Project Name"), q("Project End Date"))
+    return L.active_projects(cat.projects(spark, sf), AS_OF)
 
 
 @query("overdue_next_deal", w("projects", frames=[PF]) + f"""
-SELECT "Project Name", __end AS "Project End Date" FROM pf WHERE {OVERDUE_NEXT}""")
+SELECT _row, "Project Name", __end AS "Project End Date" FROM pf WHERE {OVERDUE_NEXT}""")
 def q_overdue_next_deal(spark, sf):
     return L.overdue_next_deal(cat.projects(spark, sf), AS_OF)
 
 
 @query("overdue_checkins", w("projects", frames=[PF]) + f"""
-SELECT "Project Name", __checkin AS "Last Sponsor Checkin Date" FROM pf WHERE {OVERDUE_CK}""")
+SELECT _row, "Project Name", __checkin AS "Last Sponsor Checkin Date" FROM pf WHERE {OVERDUE_CK}""")
 def q_overdue_checkins(spark, sf):
     return L.overdue_checkins(cat.projects(spark, sf), AS_OF)
 
 
 @query("project_listing", w("projects") + f"""
-SELECT "Project Name", "Client", "Status (R/Y/G)", {money0(num('"Revenue"'))} AS "Revenue",
+SELECT _row, "Project Name", "Client", "Status (R/Y/G)", {money0(num('"Revenue"'))} AS "Revenue",
   round_even({num('"Project Health Score"')}, 1) AS "Project Health Score", "Project End Date", "Key Issues"
 FROM projects""")
 def q_project_listing(spark, sf):
@@ -128,13 +130,13 @@ def q_project_listing(spark, sf):
 
 
 @query("pipeline_listing", w("pipeline") + f"""
-SELECT "Account", {money0(num('"Open Pipeline_Active Work"'))} AS "Open Pipeline_Active Work",
+SELECT r1, r2, r3, r4, "Account", {money0(num('"Open Pipeline_Active Work"'))} AS "Open Pipeline_Active Work",
   {money0(num('"Percieved Annual AMO"'))} AS "Percieved Annual AMO",
   round_even({num('"Pipeline Score"')}, 1) AS "Pipeline Score", "Pursuit Tier", "Horizon",
   "Opportunity Created Date", "Closed Won Date"
 FROM pipeline""")
 def q_pipeline_listing(spark, sf):
-    return L.pipeline_listing(cat.pipeline(spark, sf))
+    return _keys(L.pipeline_listing(cat.pipeline(spark, sf)), ROW)
 
 
 @query("utilization_ranking", w("staff", frames=[SF]) + """
@@ -162,21 +164,40 @@ def q_top_pursuits(spark, sf):
     return L.top_pursuits(cat.pipeline(spark, sf))
 
 
-def _up(rank, kind, name, date_col, frame, pre, post):
-    d = f'TRY_CAST("{date_col}" AS DATE)'
-    return (f"SELECT {rank} AS kind_rank, '{kind}' AS event_kind, \"{name}\" AS name, {d} AS event_date, "
-            f"'{pre}' || \"{name}\" || '{post}' || strftime({d}, '%Y-%m-%d') || '.' AS line "
-            f"FROM {frame} WHERE {d} BETWEEN {D} AND {D} + 7")
+def _keys(df, row):
+    """A pipeline row's order as plain columns r1 to r4."""
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return df.select(*[F.col(f"{row}.{k}").alias(f"r{i + 1}") for i, k in enumerate(keys)], *[q(c) for c in df.columns if c != row])
+
 
+def _events(last: str = "") -> str:
+    parts = []
+    for rank, (kind, tab, name, date, pre, mid, post) in enumerate(UPCOMING_EVENTS):
+        d = f'TRY_CAST("{date}" AS DATE)'
+        frame, rows = ("projects", "_row AS project_row, NULL AS r1, NULL AS r2, NULL AS r3, NULL AS r4" + (", NULL AS r5" if last else "")) if tab == "Project Inventory" else \
+            ("pipeline", "NULL AS project_row, r1, r2, r3, r4" + last)
+        parts.append(f"SELECT {rank} AS kind_rank, '{kind}' AS event_kind, \"{name}\" AS name, {d} AS event_date, "
+                     f"{lit(pre)} || COALESCE(\"{name}\", '') || {lit(mid)} || strftime({d}, '%Y-%m-%d') || {lit(post)} AS line, {rows} "
+                     f"FROM {frame} WHERE {d} BETWEEN {D} AND {D} + 7")
+    return "\nUNION ALL ".join(parts)
 
-@query("upcoming_dates", w("projects", "pipeline") + "\n" + "\nUNION ALL ".join([
-    _up(0, "project_end", "Project Name", "Project End Date", "projects", "- Project ''", "'' is scheduled to end on "),
-    _up(1, "deal_close", "Account", "Closed Won Date", "pipeline", "- Deal for ''", "'' is scheduled to close (won) on "),
-    _up(2, "next_touchpoint", "Account", "Next Touchpoint Date", "pipeline", "- Next touchpoint for ''",
-        "'' is scheduled on "),
-]))
+
+@query("upcoming_dates", w("projects", "pipeline") + "\n" + _events())
 def q_upcoming_dates(spark, sf):
-    return L.upcoming_dates(cat.projects(spark, sf), cat.pipeline(spark, sf), AS_OF)
+    return _keys(L.upcoming_dates(cat.projects(spark, sf), cat.pipeline(spark, sf), AS_OF), "pipeline_row")
+
+
+@query("upcoming_text", w("projects", "pipeline") + f""",
+ev AS ({_events(", r5")})
+SELECT row_number() OVER (ORDER BY kind_rank, project_row, r1, r2, r3, r4, r5) AS line_no, line FROM ev""")
+def q_upcoming_text(spark, sf):
+    return L.upcoming_text(L.upcoming_dates(cat.projects(spark, sf), cat.pipeline(spark, sf), AS_OF))
+
+
+@query("upcoming_text_none", "SELECT CAST(1 AS BIGINT) AS line_no, 'No key dates identified in the next 7 days.' AS line FROM (SELECT count(*) FROM orders)")
+def q_upcoming_text_none(spark, sf):
+    """A window that ends before it begins: the fixed sentence."""
+    return L.upcoming_text(L.upcoming_dates(cat.projects(spark, sf), cat.pipeline(spark, sf), AS_OF, days=-1))
 
 
 @query("distinct_options", w("projects", "pipeline", frames=[PF]) + f"""

@@ -9,13 +9,14 @@ from ..operators import report as R
 from ..operators import updates as U
 from ..sources import driver
 from ..sources.tabs import ROW, TAB_COLUMNS, q
+from ..targets import DEFAULT_TARGETS, METRIC_CARDS, SNAPSHOT_DIGEST_MARK, SNAPSHOT_TRUNCATION_MARK
 from . import catalog as cat
 from .catalog import AS_OF, query
 from .driver_sql import lit, qi, with_tabs
 from .queries_core import KPI_ALL_SELECT, KPI_FRAMES, KPI_TABS, PF, s_revenue, s_run, s_status, w
 
-PROJECT_OUT = ["Project Name", "Status (R/Y/G)", "Last Sponsor Checkin Date", "Sponsor Checkin Notes"]
-PIPELINE_OUT = ["Account", "Horizon", "Notes", "Percieved Annual AMO", "Deal Registered YN"]
+PROJECT_OUT = list(TAB_COLUMNS["Project Inventory"])
+PIPELINE_OUT = list(TAB_COLUMNS["Pipeline"])
 
 
 def s_apply(tab: str, key: str, updates: str, known, out_cols, order: str, drop_blank: bool, row_out: str) -> str:
@@ -91,6 +92,7 @@ def snapshot_tabs(spark, sf):
         ("Scenario Model Inputs", cat.scenario_inputs(spark, sf)),
         ("Do Nothing Scenario", cat.do_nothing(spark, sf)),
         ("Proposed Scenario", cat.proposed(spark, sf)),
+        ("Scenario Comparison", cat.scenario_comparison(spark, sf)),
         ("MappingTable", driver.mapping(spark)),
         ("Project Observations", cat.observations(spark, sf)),
     ]
@@ -108,6 +110,7 @@ SNAP_SQL_TABS = [
     ("Scenario Model Inputs", "scenario_in", ["Scenario", "Assumption", "Value"], "_row"),
     ("Do Nothing Scenario", "do_nothing", TAB_COLUMNS["Do Nothing Scenario"], "_row"),
     ("Proposed Scenario", "proposed", TAB_COLUMNS["Proposed Scenario"], "_row"),
+    ("Scenario Comparison", "scenario_comparison", TAB_COLUMNS["Scenario Comparison"], "_row"),
     ("MappingTable", "mapping", TAB_COLUMNS["MappingTable"], "_row"),
     ("Project Observations", "observations", TAB_COLUMNS["Project Observations"], "_row"),
 ]
@@ -119,15 +122,15 @@ def _snap_sql() -> str:
         cap = R.snapshot_cap(name)
         text = "concat_ws(' | ', " + ", ".join(f"COALESCE(CAST({qi(c)} AS VARCHAR), '<NA>')" for c in cols) + ")"
         header = lit("Columns: " + ", ".join(cols))
-        parts.append(f"""SELECT {i} AS tab_order, {lit(name)} AS tab, 0 AS line_no, {lit('Sheet: ' + name)} AS text
+        parts.append(f"""SELECT {i} AS tab_order, {lit(name)} AS tab, CAST(0 AS BIGINT) AS line_no, {lit('Sheet: ' + name)} AS text
   FROM (SELECT COUNT(*) AS n FROM {cte}) WHERE n > 0
 UNION ALL SELECT {i}, {lit(name)}, 1, {header} FROM (SELECT COUNT(*) AS n FROM {cte}) WHERE n > 0
-UNION ALL SELECT {i}, {lit(name)}, CAST(row_number() OVER (ORDER BY {order}) + 1 AS INTEGER), {text}
+UNION ALL SELECT {i}, {lit(name)}, CAST(row_number() OVER (ORDER BY {order}) + 1 AS BIGINT), {text}
   FROM (SELECT * FROM {cte} ORDER BY {order} LIMIT {cap})
 UNION ALL SELECT {i}, {lit(name)}, {cap + 2}, '... (showing top {cap} of ' || CAST(n AS VARCHAR) || ' rows)'
   FROM (SELECT COUNT(*) AS n FROM {cte}) WHERE n > {cap}""")
     tabs = ("projects", "risks", "pipeline", "staff", "talent_gaps", "operational_gaps", "exec_activity",
-            "scenario_in", "scenario_impacts", "mapping", "observations")
+            "scenario_in", "scenario_impacts", "scenario_comparison", "mapping", "observations")
     return with_tabs(*tabs) + ",\nsnap AS (\n" + "\nUNION ALL ".join(parts) + "\n)"
 
 
@@ -139,20 +142,75 @@ def q_context_snapshot(spark, sf):
     return R.context_snapshot(snapshot_tabs(spark, sf))
 
 
-@query("context_truncate", SNAP_SQL + f"""
+def _truncate_sql(mark: str) -> str:
+    return SNAP_SQL + f"""
 SELECT CAST(length(all_text) AS BIGINT) AS snapshot_chars, length(all_text) > 100000 AS truncated,
-  CASE WHEN length(all_text) > 100000 THEN substr(all_text, 1, 100000) || {lit(chr(10) + '... (data truncated)')} ELSE all_text END AS context_text
-FROM (SELECT string_agg(text, chr(10) ORDER BY tab_order, line_no) AS all_text FROM snap)""")
+  CASE WHEN length(all_text) > 100000 THEN substr(all_text, 1, 100000) || {lit(mark)} ELSE all_text END AS context_text
+FROM (SELECT string_agg(text, chr(10) ORDER BY tab_order, line_no) AS all_text FROM snap)"""
+
+
+@query("context_truncate", _truncate_sql(SNAPSHOT_TRUNCATION_MARK))
 def q_context_truncate(spark, sf):
     return R.context_text(R.context_snapshot(snapshot_tabs(spark, sf)))
 
 
-@query("tab_view", with_tabs("talent_gaps") + "\nSELECT * FROM talent_gaps")
-def q_tab_view(spark, sf):
-    return cat.talent_gaps(spark, sf).orderBy(ROW)
+@query("context_truncate_digest", _truncate_sql(SNAPSHOT_DIGEST_MARK))
+def q_context_truncate_digest(spark, sf):
+    return R.context_text(R.context_snapshot(snapshot_tabs(spark, sf)), mark=SNAPSHOT_DIGEST_MARK)
+
+
+# passthrough views: (query, tab function, oracle CTEs, CTE); rows in sheet order, cells as they are
+_VIEWS = (
+    ("tab_view", cat.talent_gaps, ("talent_gaps",), "talent_gaps"),
+    ("view_operational_gaps", cat.operational_gaps, ("operational_gaps",), "operational_gaps"),
+    ("view_exec_activity", cat.activity, ("exec_activity",), "exec_activity"),
+    ("view_scenario_inputs", cat.scenario_inputs, ("scenario_in",), "scenario_in"),
+    ("view_do_nothing", cat.do_nothing, ("scenario_impacts",), "do_nothing"),
+    ("view_proposed", cat.proposed, ("scenario_impacts",), "proposed"),
+    ("view_scenario_comparison", cat.scenario_comparison, ("scenario_impacts", "scenario_comparison"), "scenario_comparison"),
+    ("view_observations", cat.observations, ("observations",), "observations"),
+)
+
+
+def _view(name, tab, ctes, cte):
+    query(name, with_tabs(*ctes) + f"\nSELECT * FROM {cte}")(lambda spark, sf: tab(spark, sf).orderBy(ROW))
+
+
+for _v in _VIEWS:
+    _view(*_v)
+
+
+RISK_COLUMNS = ["Project Name", "Risk Description", "Severity", "Impact ($)", "Mitigation Plan", "Owner"]
+
+
+@query("view_risk_register", with_tabs("risks") + f"\nSELECT r1, r2, r3, r4, {', '.join(qi(c) for c in RISK_COLUMNS)} FROM risks")
+def q_risk_register(spark, sf):
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return cat.risks(spark, sf).orderBy(ROW).select(*[F.col(f"{ROW}.{k}").alias(f"r{i + 1}") for i, k in enumerate(keys)], *[q(c) for c in RISK_COLUMNS])
+
+
+@query("load_workbook", with_tabs("talent_gaps", "operational_gaps", "observations") + """
+SELECT 'Talent Gaps' AS tab, count(*) AS rows, min(_row) AS first_row FROM talent_gaps
+UNION ALL SELECT 'Operational Gaps', count(*), min(_row) FROM operational_gaps
+UNION ALL SELECT 'Project Observations', count(*), min(_row) FROM observations
+UNION ALL SELECT 'Scenario Comparison', 0, NULL""")
+def q_load_workbook(spark, sf):
+    """A folder of tabs written as files and loaded back by name; one tab of it is missing."""
+    from ..session import new_output_path
+    from ..sources.tabs import load_workbook
+
+    folder = new_output_path(spark, "workbook")
+    tabs = {"Talent Gaps": cat.talent_gaps, "Operational Gaps": cat.operational_gaps, "Project Observations": cat.observations}
+    for name, tab in tabs.items():
+        tab(spark, sf).write.parquet(f"{folder}/{R.export_slug(name)}")
+    out = None
+    for name, df in load_workbook(spark, folder, names=[*tabs, "Scenario Comparison"]).items():
+        part = df.agg(F.lit(name).alias("tab"), F.count(F.lit(1)).alias("rows"), F.min(ROW).alias("first_row"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-@query("export_roundtrip", with_tabs("projects") + "\nSELECT * FROM projects")
+@query("export_roundtrip", with_tabs("projects") + "\nSELECT * EXCLUDE (_row) FROM projects")
 def q_export_roundtrip(spark, sf):
     return R.export_roundtrip(spark, "Project Inventory", cat.projects(spark, sf))
 
@@ -191,6 +249,8 @@ def _s_part(p) -> str:
     kind = p[0]
     if kind == "lit":
         return lit(p[1])
+    if kind == "target":
+        return lit(R.target_text(DEFAULT_TARGETS, p[1], p[2]))
     c = p[1]
     if kind == "cur":
         return f"COALESCE('$' || format('{{:,.0f}}', {c}), 'N/A')"
@@ -205,10 +265,10 @@ def _s_part(p) -> str:
 
 def _display_sql():
     parts = []
-    for page, label, value, delta in R.DISPLAY:
+    for i, (page, label, value, delta) in enumerate(METRIC_CARDS):
         v = " || ".join(_s_part(p) for p in value)
         d = " || ".join(_s_part(p) for p in delta) if delta else "''"
-        parts.append(f"SELECT {lit(page)} AS page, {lit(label)} AS label, {v} AS value_text, {d} AS delta_text FROM k")
+        parts.append(f"SELECT CAST({i} AS INTEGER) AS card_no, {lit(page)} AS page, {lit(label)} AS label, {v} AS value_text, {d} AS delta_text FROM k")
     return _kpi_with() + "\nUNION ALL ".join(parts)
 
 

@@ -128,8 +128,7 @@ def _compare_sql():
 @query("scenario_compare", _compare_sql())
 def q_scenario_compare(spark, sf):
     base = SC.scenario_inputs(_inputs(spark, sf), BY)
-    prop = SC.override_inputs(base, driver.scenario_overrides(spark, sf), BY)
-    return SC.scenario_compare(SC.scenario_calc(base, BY), SC.scenario_calc(prop, BY), BY)
+    return SC.scenario_compare_overrides(base, driver.scenario_overrides(spark, sf), BY)
 
 
 def _sweep_sql():

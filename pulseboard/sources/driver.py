@@ -79,7 +79,7 @@ def projects(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFr
         .when(F.col("o_orderstatus") == "O", F.when(k % 5 == 0, F.lit("\ty\n")).otherwise(F.lit("y")))
         .when(F.col("o_orderstatus") == "P", F.when(k % 2 == 0, F.lit("R\t")).otherwise(F.lit("R"))),
         "Key Issues": F.col("o_orderpriority"),
-        "Next Steps": F.when(k % 2 == 0, F.lit("Review plan")),
+        "Next Steps": F.when(k % 22 == 0, F.lit('Say "now", then\nreview')).when(k % 2 == 0, F.lit("Review plan")).otherwise(F.lit("")),
         "Executive Support Required": F.when(k % 4 == 0, F.lit("Yes")).otherwise(F.lit("No")),
         "eNPS": _s(k % 101 - 20),
         "Next Opp First Discussion Date": _dtext(
@@ -98,8 +98,11 @@ def projects(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFr
     }
     from .tabs import TAB_COLUMNS
 
+    # headers padded, missing text as '' and some rows blank, as in a sheet kept by hand: cleaning mends them
     order = TAB_COLUMNS["Project Inventory"]
-    return j.select(*[cols[n].alias(n) for n in order], k.alias(ROW))
+    rows = j.select(*[cols[n].alias(f" {n} " if n in ("Key Issues", "Revenue") else n) for n in order], k.alias(ROW))
+    blank = read(spark, sf_dir, "region").select((-1 - F.col("r_regionkey")).cast("bigint").alias(ROW))
+    return rows.unionByName(blank, allowMissingColumns=True)
 
 
 def _line_row() -> Column:
@@ -304,6 +307,17 @@ def scenario_impacts(spark: SparkSession, sf_dir: str):
     return nothing, proposed
 
 
+def scenario_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenario Comparison tab: what the sheet computes from the two scenario tabs."""
+    from ..operators.scenario import scenario_totals
+
+    t = scenario_totals(*scenario_impacts(spark, sf_dir))
+    signed = lambda c: F.concat(F.when(F.col(c) < 0, F.lit("-")).otherwise(F.lit("")), _money(F.abs(F.col(c))))
+    return t.select(F.col("scenario").alias("Scenario"), signed("total_annualized_impact").alias("Total Annualized Impact ($)"),
+                    signed("net_incremental_value").alias("Net Incremental Value ($)"),
+                    F.when(F.col("scenario") == "Do Nothing", 0).otherwise(1).cast("bigint").alias(ROW))
+
+
 def mapping_rows():
     """MappingTable rows: every scorecard option (scores 10, 8, 6, ... by position),
     then the effort/tier pair keys (scores 1..9) for both tabs."""

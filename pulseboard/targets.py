@@ -109,6 +109,71 @@ PIPELINE_SCORECARD = (
 )
 EFFORT_LEVELS = ("Low", "Medium", "High")
 
+# Metric cards in page order: (page, label, value parts, delta parts). Parts: ("cur"|"pct"|"pct100"|"int", KPI),
+# ("num", KPI, decimals), ("lit", text), ("target", Targets field, "cur"|"pct100"|"plain").
+METRIC_CARDS = (
+    ("home", "Total Revenue", (("cur", "total_revenue"),), (("pct", "revenue_vs_target_pct"), ("lit", " of target"))),
+    ("home", "Pipeline Coverage", (("num", "pipeline_coverage_ratio", 1), ("lit", "x")),
+     (("pct", "pipeline_coverage_vs_target_pct"), ("lit", " of target"))),
+    ("home", "Green Project Ratio", (("pct100", "green_project_ratio"),),
+     (("pct", "green_project_ratio_vs_target_pct"), ("lit", " of target"))),
+    ("home", "Avg. Customer NPS", (("num", "avg_customer_nps", 1),), (("pct", "customer_nps_vs_target_pct"), ("lit", " of target"))),
+    ("home", "FY Revenue", (("cur", "total_revenue"),), (("target", "revenue", "cur"), ("lit", " target"))),
+    ("home", "Customer NPS (Avg)", (("num", "avg_customer_nps", 1),), (("target", "nps", "plain"), ("lit", " target"))),
+    ("home", "Employee Pulse (Avg)", (("num", "avg_employee_pulse_score", 1),), (("target", "pulse", "plain"), ("lit", " target"))),
+    ("home", "Active Pipeline Value", (("cur", "active_pipeline_value"),),
+     (("num", "pipeline_coverage_ratio", 1), ("lit", "x coverage"))),
+    ("home", "Avg. Deal Cycle", (("num", "avg_deal_cycle_time_days", 0), ("lit", " days")),
+     (("lit", "Median: "), ("num", "median_deal_cycle_time_days", 0), ("lit", " days"))),
+    ("home", "Green Project Ratio", (("pct100", "green_project_ratio"),), (("target", "green_ratio", "pct100"), ("lit", " target"))),
+    ("home", "Recent Sponsor Check-ins",
+     (("num", "recent_meaningful_checkins_count", 0), ("lit", " ("), ("pct", "recent_meaningful_checkins_pct"), ("lit", ")")),
+     (("int", "overdue_sponsor_checkin_count"), ("lit", " overdue"))),
+    ("home", "High Severity Risks", (("num", "high_severity_risk_count", 0),),
+     (("cur", "high_severity_risk_impact"), ("lit", " impact"))),
+    ("home", "Avg. Delivery Utilization", (("pct", "avg_delivery_utilization_pct"),),
+     (("int", "under_utilized_delivery_count"), ("lit", " under-utilized"))),
+    ("projects", "Total Projects", (("num", "total_projects", 0),), ()),
+    ("projects", "Red Projects", (("num", "red_projects_count", 0),), (("cur", "red_project_revenue"), ("lit", " at risk"))),
+    ("projects", "Avg. Health Score", (("num", "avg_project_health_score", 1),),
+     (("lit", "Median: "), ("num", "median_project_health_score", 1))),
+    ("projects", "Avg. Total Score", (("num", "avg_total_project_score", 1),),
+     (("lit", "Median: "), ("num", "median_total_project_score", 1))),
+    ("projects", "Recent Meaningful Check-ins (last 30 days)",
+     (("num", "recent_meaningful_checkins_count", 0), ("lit", " ("), ("pct", "recent_meaningful_checkins_pct"), ("lit", ")")), ()),
+    ("projects", "Projects Overdue for Sponsor Check-in", (("int", "overdue_sponsor_checkin_count"),), ()),
+    ("pipeline", "Active Pipeline Value", (("cur", "active_pipeline_value"),), ()),
+    ("pipeline", "Total Potential Value", (("cur", "total_potential_pipeline_value"),), ()),
+    ("pipeline", "Pipeline Coverage Ratio", (("num", "pipeline_coverage_ratio", 1), ("lit", "x")), ()),
+    ("pipeline", "Avg. Pipeline Score", (("num", "avg_pipeline_score", 1),), (("lit", "Median: "), ("num", "median_pipeline_score", 1))),
+    ("pipeline", "Avg. Deal Cycle Time", (("num", "avg_deal_cycle_time_days", 0), ("lit", " days")), ()),
+    ("pipeline", "Median Deal Cycle Time", (("num", "median_deal_cycle_time_days", 0), ("lit", " days")), ()),
+    ("pipeline", "Avg. Next Deal Gap (after project end)", (("num", "avg_next_deal_gap_days", 0), ("lit", " days")), ()),
+    ("pipeline", "Projects Overdue for Next Deal Discussion", (("int", "overdue_next_deal_discussion_count"),), ()),
+    ("risks", "Total Risk Impact", (("cur", "total_risk_impact"),), ()),
+    ("risks", "High Severity Risk Items", (("num", "high_severity_risk_count", 0),), ()),
+    ("risks", "High Severity Risk Impact", (("cur", "high_severity_risk_impact"),),
+     (("pct", "high_risk_impact_as_pct_of_total"), ("lit", " of total impact"))),
+    ("team", "Avg. Executive Utilization", (("pct", "avg_exec_utilization_pct"),),
+     (("int", "over_utilized_execs_count"), ("lit", " execs >70%"))),
+    ("team", "Avg. Delivery Utilization", (("pct", "avg_delivery_utilization_pct"),),
+     (("int", "under_utilized_delivery_count"), ("lit", " under (<70%), "), ("int", "over_utilized_delivery_count"), ("lit", " over (>100%)"))),
+    ("team", "Average Employee Pulse Score", (("num", "avg_employee_pulse_score", 1),),
+     (("pct", "employee_pulse_vs_target_pct"), ("lit", " of target"))),
+    ("team", "Total Strategic Cost (from Exec Activity)", (("cur", "total_strategic_cost"),), ()),
+    ("team", "Total Strategic Activities Logged", (("num", "total_strategic_activities_count", 0),), ()),
+)
+
+# Upcoming events: (kind, tab, name column, date column, text before the name, between, after the date).
+UPCOMING_EVENTS = (
+    ("project_end", "Project Inventory", "Project Name", "Project End Date", "- Project '", "' is scheduled to end on ", "."),
+    ("deal_close", "Pipeline", "Account", "Closed Won Date", "- Deal for '", "' is scheduled to close (won) on ", "."),
+    ("next_touchpoint", "Pipeline", "Account", "Next Touchpoint Date", "- Next touchpoint for '", "' is scheduled on ", "."),
+)
+NO_EVENTS_TEXT = "No key dates identified in the next 7 days."
+# Marks after a text cut at the limit: for questions, for the digest.
+SNAPSHOT_DIGEST_MARK = "\n... (data truncated for brevity)"
+
 # Questions answered without a model: (rule id, phrase, any-of phrases).
 QUESTION_RULES = (
     ("total_revenue", "total revenue", ()),
