@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import clean as C
 from ..functions.bands import band
 from ..functions.stats import dsum
-from ..sources.tabs import ROW, q
+from ..sources.tabs import ROW, q, with_default
 from ..targets import PIPELINE_SCORECARD, PROJECT_SCORECARD
 
 PROJECT_LETTERS = (("A", 85.0, 100.0), ("B", 70.0, 84.99), ("C", 0.0, 69.99))
@@ -28,8 +28,16 @@ def _norm(c: Column, ignore_case: bool) -> Column:
     return F.lower(c) if ignore_case else c
 
 
+def _with(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` with the columns named, missing text where one is absent."""
+    for c in cols:
+        df = with_default(df, c)
+    return df
+
+
 def first_value_scores(mapping: DataFrame, tab: str, ignore_case: bool = False) -> DataFrame:
     """(lookup, score): first mapping row per value of one tab."""
+    mapping = _with(mapping, "Tab", "Value")
     m = mapping.where(q("Tab") == tab).where(q("Value").isNotNull())
     return m.groupBy(_norm(q("Value"), ignore_case).alias("lookup")).agg(
         F.min_by(C.number_of(mapping, "Score"), F.col(ROW)).alias("score"))
@@ -37,6 +45,7 @@ def first_value_scores(mapping: DataFrame, tab: str, ignore_case: bool = False)
 
 def first_key_scores(mapping: DataFrame, ignore_case: bool = False) -> DataFrame:
     """(lookup, score): first mapping row per composite key."""
+    mapping = _with(mapping, "Key")
     m = mapping.where(q("Key").isNotNull())
     return m.groupBy(_norm(q("Key"), ignore_case).alias("lookup")).agg(
         F.min_by(C.number_of(mapping, "Score"), F.col(ROW)).alias("score"))
@@ -75,7 +84,7 @@ def scorecard(df: DataFrame, mapping: DataFrame, tab: str, cols, name_col: str,
               ignore_case: bool = False) -> DataFrame:
     """Sum of first-hit scores over the scorecard ``cols`` of every row."""
     present = [c for c in cols if c in df.columns]
-    lean = df.select(F.col(ROW), q(name_col), *[q(c) for c in present])
+    lean = with_default(df, name_col).select(F.col(ROW), q(name_col), *[q(c) for c in present])
     j, names = _scored(lean, first_value_scores(mapping, tab, ignore_case), present, ignore_case)
     return j.select(F.col(ROW), q(name_col), exact_sum([F.col(n) for n in names]).alias(out))
 
@@ -93,6 +102,7 @@ def pipeline_score_lookup(pipeline: DataFrame, mapping: DataFrame, ignore_case:
 def pair_scores(df: DataFrame, mapping: DataFrame, prefix: str, a: str, b: str, name_col: str,
                 tab_label: str, ignore_case: bool = False) -> DataFrame:
     """Score of the (effort, tier) pair by composite key ``prefix|a|b``; no hit scores 0."""
+    df = _with(df, name_col, a, b)
     k = pair_key(prefix, q(a), q(b))
     rows = df.select(F.lit(tab_label).alias("tab"), q(name_col).alias("name"), k.alias("pair_key"),
                      _norm(k, ignore_case).alias("lookup"))
@@ -123,6 +133,7 @@ def weighted_deal_totals(pipeline: DataFrame, mapping: DataFrame, main_w: float
 
 def _weighted(df: DataFrame, mapping: DataFrame, tab: str, cols, name_col: str, pair, out, main_w: float, eff_w: float) -> DataFrame:
     cols = [c for c in cols if c in df.columns]
+    df = _with(df, name_col, *pair[1:])
     lean = df.select(F.col(ROW), q(name_col), *[q(c) for c in cols], pair_key(pair[0], q(pair[1]), q(pair[2])).alias("__pair"))
     j, names = _scored(lean, first_value_scores(mapping, tab), cols)
     j = joined_score(j, first_key_scores(mapping), F.col("__pair"), "__eff")
@@ -133,6 +144,7 @@ def _weighted(df: DataFrame, mapping: DataFrame, tab: str, cols, name_col: str,
 def letter_bands(projects: DataFrame, pipeline: DataFrame, project_letters=PROJECT_LETTERS,
                  pipeline_letters=PIPELINE_LETTERS) -> DataFrame:
     """Health Band / Score Band letters from the score columns (thresholds are arguments)."""
+    projects, pipeline = _with(projects, "Project Name"), _with(pipeline, "Account")
     a = projects.select(F.lit("Project Inventory").alias("tab"), q("Project Name").alias("name"),
                         C.number_of(projects, "Project Health Score").alias("score"))
     b = pipeline.select(F.lit("Pipeline").alias("tab"), q("Account").alias("name"),
