@@ -58,8 +58,10 @@ def _num(df: DataFrame, col: str) -> Column:
 # --------------------------------------------------------------------------
 
 def project_frame(projects: DataFrame) -> DataFrame:
-    """Typed helper columns (prefixed ``__``) next to the raw text columns."""
+    """Typed helper columns (prefixed ``__``) next to the raw text columns; as they are where stored already."""
     df = projects
+    if "__end" in df.columns:
+        return df
     cols = {
         "__revenue": _num(df, "Revenue"),
         "__status": C.status_kpi(q("Status (R/Y/G)")) if "Status (R/Y/G)" in df.columns else F.lit("UNKNOWN"),
@@ -210,6 +212,8 @@ def f_checkins(df: DataFrame, as_of: dt.date, t: Targets = DEFAULT_TARGETS, stri
 
 def pipeline_frame(pipeline: DataFrame) -> DataFrame:
     df = pipeline
+    if "__closed" in df.columns:
+        return df
     return df.withColumns({
         "__active": _num(df, "Open Pipeline_Active Work"),
         "__amo": _num(df, "Percieved Annual AMO"),
@@ -217,6 +221,7 @@ def pipeline_frame(pipeline: DataFrame) -> DataFrame:
         "__tscore": _num(df, "Total Deal Score"),
         "__created": C.to_date(q("Opportunity Created Date")) if "Opportunity Created Date" in df.columns else F.lit(None).cast("date"),
         "__closed": C.to_date(q("Closed Won Date")) if "Closed Won Date" in df.columns else F.lit(None).cast("date"),
+        "__touch": C.to_date(q("Next Touchpoint Date")) if "Next Touchpoint Date" in df.columns else F.lit(None).cast("date"),
     })
 
 

@@ -47,7 +47,7 @@ def at_risk_projects(projects: DataFrame) -> DataFrame:
 def active_projects(projects: DataFrame, as_of: dt.date) -> DataFrame:
     """End date missing or on/after the as-of date (typed helper columns dropped)."""
     pf = project_frame(projects)
-    return pf.where(active_cond(as_of)).select(*[q(c) for c in projects.columns])
+    return pf.where(active_cond(as_of)).select(*[q(c) for c in projects.columns if not c.startswith("__")])
 
 
 def _listed(pf: DataFrame, cond: Column, needed, date: Column, date_name: str) -> DataFrame:
@@ -149,7 +149,8 @@ def upcoming_dates(projects: DataFrame, pipeline: DataFrame, as_of: dt.date, day
     pipeline_row, the rows' ``_row``). Missing dates never match.
     """
     lo, hi = F.lit(as_of), F.date_add(F.lit(as_of), days)
-    tabs = {"Project Inventory": (projects, "project_row"), "Pipeline": (pipeline, "pipeline_row")}
+    typed = {"Project End Date": "__end", "Closed Won Date": "__closed", "Next Touchpoint Date": "__touch"}
+    tabs = {"Project Inventory": (project_frame(projects), "project_row"), "Pipeline": (pipeline_frame(pipeline), "pipeline_row")}
     kinds = {row: dict(df.dtypes).get(ROW, "bigint") for df, row in tabs.values()}
     out = projects.sparkSession.createDataFrame(
         [], "kind_rank int, event_kind string, name string, event_date date, line string, " + ", ".join(f"{r} {k}" for r, k in kinds.items()))
@@ -157,7 +158,7 @@ def upcoming_dates(projects: DataFrame, pipeline: DataFrame, as_of: dt.date, day
         df, row = tabs[tab]
         if name not in df.columns or date not in df.columns:
             continue
-        d = C.to_date(q(date))
+        d = F.col(typed[date])
         rows = df.where(d.between(lo, hi)).select(
             F.lit(rank).alias("kind_rank"), F.lit(kind).alias("event_kind"), q(name).alias("name"), d.alias("event_date"),
             F.concat(F.lit(pre), F.coalesce(q(name), F.lit("")), F.lit(mid), F.date_format(d, "yyyy-MM-dd"), F.lit(post)).alias("line"),

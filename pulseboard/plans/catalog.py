@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.kpis import pipeline_frame, project_frame
 from ..sources import driver, store
-from ..sources.tabs import clean_tab
+from ..sources.tabs import clean_tab, q
 
 AS_OF = driver.AS_OF
 
@@ -31,18 +32,32 @@ def query(name: str, sql: str | None = None):
 
 # -- cleaned tabs (mapped once per session, then scanned) -------------------
 
-def _tab(spark, sf, name, build, tab):
+def _tab(spark, sf, name, build, tab, typed=lambda df: df):
     """The tab cleaned once at ingest (silver layer): header trim, aliases, '' -> null and the
-    blank-row drop run when the tab is stored, so a query scans only the columns it reads."""
-    return store.stored(spark, sf, name, lambda s, d: clean_tab(build(s, d), tab))
+    blank-row drop run when the tab is stored, so a query scans only the columns it reads. ``typed``
+    adds the numbers and dates of the text cells (columns ``__...``) beside them."""
+    return store.stored(spark, sf, name, lambda s, d: typed(clean_tab(build(s, d), tab)))
+
+
+def _text(df):
+    return df.select(*[q(c) for c in df.columns if not c.startswith("__")])
+
+
+def typed_projects(spark, sf):
+    """Project Inventory with its typed columns, so that date and number filters reach the scan."""
+    return _tab(spark, sf, "projects", lambda s, d: driver.projects(s, d, AS_OF), "Project Inventory", project_frame)
 
 
 def projects(spark, sf):
-    return _tab(spark, sf, "projects", lambda s, d: driver.projects(s, d, AS_OF), "Project Inventory")
+    return _text(typed_projects(spark, sf))
+
+
+def typed_pipeline(spark, sf):
+    return _tab(spark, sf, "pipeline", lambda s, d: driver.pipeline(s, d, AS_OF), "Pipeline", pipeline_frame)
 
 
 def pipeline(spark, sf):
-    return _tab(spark, sf, "pipeline", lambda s, d: driver.pipeline(s, d, AS_OF), "Pipeline")
+    return _text(typed_pipeline(spark, sf))
 
 
 def risks(spark, sf):

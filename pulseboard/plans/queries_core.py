@@ -219,44 +219,44 @@ def q_clean_dates(spark, sf):
 
 @query("kpi_status", w("projects", frames=[PF]) + "\n" + s_run("pf", s_status()))
 def q_kpi_status(spark, sf):
-    return K.kpi_status(cat.projects(spark, sf))
+    return K.kpi_status(cat.typed_projects(spark, sf))
 
 
 @query("kpi_status_by_client", w("projects", frames=[PF]) + "\n" + s_run("pf", s_status()).replace(
     "SELECT total_projects", 'SELECT "Client", total_projects', 1).replace(
     "(SELECT COUNT(*)", '(SELECT "Client", COUNT(*)', 1).replace("FROM pf)", 'FROM pf GROUP BY "Client")'))
 def q_kpi_status_by_client(spark, sf):
-    return K.kpi_status(cat.projects(spark, sf), by=("Client",))
+    return K.kpi_status(cat.typed_projects(spark, sf), by=("Client",))
 
 
 @query("kpi_revenue", w("projects", frames=[PF]) + "\n" + s_run("pf", s_revenue()))
 def q_kpi_revenue(spark, sf):
-    return K.kpi_revenue(cat.projects(spark, sf))
+    return K.kpi_revenue(cat.typed_projects(spark, sf))
 
 
 @query("project_scores", w("projects", frames=[PF]) + "\n" + s_run("pf", s_scores(*S_PROJ_SC)))
 def q_project_scores(spark, sf):
-    return K.project_scores(cat.projects(spark, sf))
+    return K.project_scores(cat.typed_projects(spark, sf))
 
 
 @query("project_extremes", w("projects", frames=[PF]) + "\n" + s_run("pf", s_extremes(*S_PROJ_EXT)))
 def q_project_extremes(spark, sf):
-    return K.project_extremes(cat.projects(spark, sf))
+    return K.project_extremes(cat.typed_projects(spark, sf))
 
 
 @query("kpi_pipeline", w("pipeline", frames=[LF]) + "\n" + s_run("lf", s_pipeline_values()))
 def q_kpi_pipeline(spark, sf):
-    return K.kpi_pipeline(cat.pipeline(spark, sf))
+    return K.kpi_pipeline(cat.typed_pipeline(spark, sf))
 
 
 @query("pipeline_scores", w("pipeline", frames=[LF]) + "\n" + s_run("lf", s_scores(*S_PIPE_SC)))
 def q_pipeline_scores(spark, sf):
-    return K.pipeline_scores(cat.pipeline(spark, sf))
+    return K.pipeline_scores(cat.typed_pipeline(spark, sf))
 
 
 @query("pipeline_extremes", w("pipeline", frames=[LF]) + "\n" + s_run("lf", s_extremes(*S_PIPE_EXT, row=PIPE_ROW)))
 def q_pipeline_extremes(spark, sf):
-    return K.pipeline_extremes(cat.pipeline(spark, sf))
+    return K.pipeline_extremes(cat.typed_pipeline(spark, sf))
 
 
 @query("kpi_risk", w("risks", frames=[RF]) + "\n" + s_run("rf", s_risk()))
@@ -267,12 +267,12 @@ def q_kpi_risk(spark, sf):
 @query("kpi_satisfaction", w("projects", "staff", frames=[PF, SF]) + "\nSELECT * FROM ("
        + s_run("pf", s_nps()) + ") a CROSS JOIN (" + s_run("sf", s_pulse()) + ") b")
 def q_kpi_satisfaction(spark, sf):
-    return K.kpi_satisfaction(cat.projects(spark, sf), cat.staff(spark, sf))
+    return K.kpi_satisfaction(cat.typed_projects(spark, sf), cat.staff(spark, sf))
 
 
 @query("deal_cycle", w("pipeline", frames=[LF]) + "\n" + s_run("lf", s_deal_cycle()))
 def q_deal_cycle(spark, sf):
-    return K.deal_cycle(cat.pipeline(spark, sf))
+    return K.deal_cycle(cat.typed_pipeline(spark, sf))
 
 
 @query("deal_cycle_by_tier", w("pipeline", frames=[LF]) + f"""
@@ -280,17 +280,17 @@ SELECT "Pursuit Tier", {imean(CYCLE)} AS mean_days, {med(CYCLE)} AS median_days
 FROM lf WHERE __created IS NOT NULL AND __closed IS NOT NULL AND "Pursuit Tier" IS NOT NULL
 GROUP BY "Pursuit Tier\"""")
 def q_deal_cycle_by_tier(spark, sf):
-    return K.deal_cycle_by_tier(cat.pipeline(spark, sf))
+    return K.deal_cycle_by_tier(cat.typed_pipeline(spark, sf))
 
 
 @query("next_deal_gap", w("projects", frames=[PF]) + "\n" + s_run("pf", s_next_deal()))
 def q_next_deal_gap(spark, sf):
-    return K.next_deal_gap(cat.projects(spark, sf), AS_OF)
+    return K.next_deal_gap(cat.typed_projects(spark, sf), AS_OF)
 
 
 @query("kpi_checkins", w("projects", frames=[PF]) + "\n" + s_run("pf", s_checkins()))
 def q_kpi_checkins(spark, sf):
-    return K.kpi_checkins(cat.projects(spark, sf), AS_OF)
+    return K.kpi_checkins(cat.typed_projects(spark, sf), AS_OF)
 
 
 @query("kpi_utilization", w("staff", frames=[SF]) + "\n" + s_run("sf", s_utilization()))
@@ -320,5 +320,5 @@ KPI_ALL_SQL = w(*KPI_TABS, frames=KPI_FRAMES) + "\n" + KPI_ALL_SELECT
 
 @query("kpi_all", KPI_ALL_SQL)
 def q_kpi_all(spark, sf):
-    return K.kpi_all(cat.projects(spark, sf), cat.pipeline(spark, sf), cat.risks(spark, sf),
+    return K.kpi_all(cat.typed_projects(spark, sf), cat.typed_pipeline(spark, sf), cat.risks(spark, sf),
                      cat.staff(spark, sf), cat.activity(spark, sf), AS_OF)

@@ -41,12 +41,12 @@ def s_band_distribution(frame: str, scores, bands) -> str:
 
 @query("project_score_bands", w("projects", frames=[PF]) + s_band_distribution("pf", DI.PROJECT_SCORES, PROJECT_SCORE_BANDS))
 def q_project_score_bands(spark, sf):
-    return DI.project_score_bands(cat.projects(spark, sf))
+    return DI.project_score_bands(cat.typed_projects(spark, sf))
 
 
 @query("pipeline_score_bands", w("pipeline", frames=[LF]) + s_band_distribution("lf", DI.PIPELINE_SCORES, PIPELINE_SCORE_BANDS))
 def q_pipeline_score_bands(spark, sf):
-    return DI.pipeline_score_bands(cat.pipeline(spark, sf))
+    return DI.pipeline_score_bands(cat.typed_pipeline(spark, sf))
 
 
 @query("score_bands_rows", w("projects", frames=[PF]) + f"""
@@ -54,7 +54,7 @@ SELECT _row, "Project Name", __health AS project_health_score, {s_band('__health
   __total AS total_project_score, {s_band('__total', PROJECT_SCORE_BANDS)} AS total_band
 FROM pf""")
 def q_score_bands_rows(spark, sf):
-    return DI.score_bands_rows(cat.projects(spark, sf))
+    return DI.score_bands_rows(cat.typed_projects(spark, sf))
 
 
 def s_hist(frame: str, scores, bins: int = 10) -> str:
@@ -76,7 +76,7 @@ FROM (
 @query("score_histogram", w("projects", "pipeline", frames=[PF, LF]) + "\n" + s_hist("pf", DI.PROJECT_SCORES)
        + "\nUNION ALL\n" + s_hist("lf", DI.PIPELINE_SCORES))
 def q_score_histogram(spark, sf):
-    return DI.score_histogram(cat.projects(spark, sf), cat.pipeline(spark, sf))
+    return DI.score_histogram(cat.typed_projects(spark, sf), cat.typed_pipeline(spark, sf))
 
 
 @query("risk_by_severity", w("risks", frames=[RF]) + f"""
@@ -106,19 +106,19 @@ def q_at_risk(spark, sf):
 @query("active_projects", w("projects", frames=[PF]) + f"""
 SELECT _row, {', '.join(f'"{c}"' for c in TAB_COLUMNS["Project Inventory"])} FROM pf WHERE {ACTIVE}""")
 def q_active_projects(spark, sf):
-    return L.active_projects(cat.projects(spark, sf), AS_OF)
+    return L.active_projects(cat.typed_projects(spark, sf), AS_OF)
 
 
 @query("overdue_next_deal", w("projects", frames=[PF]) + f"""
 SELECT _row, "Project Name", __end AS "Project End Date" FROM pf WHERE {OVERDUE_NEXT}""")
 def q_overdue_next_deal(spark, sf):
-    return L.overdue_next_deal(cat.projects(spark, sf), AS_OF)
+    return L.overdue_next_deal(cat.typed_projects(spark, sf), AS_OF)
 
 
 @query("overdue_checkins", w("projects", frames=[PF]) + f"""
 SELECT _row, "Project Name", __checkin AS "Last Sponsor Checkin Date" FROM pf WHERE {OVERDUE_CK}""")
 def q_overdue_checkins(spark, sf):
-    return L.overdue_checkins(cat.projects(spark, sf), AS_OF)
+    return L.overdue_checkins(cat.typed_projects(spark, sf), AS_OF)
 
 
 @query("project_listing", w("projects") + f"""
@@ -161,7 +161,7 @@ SELECT CAST(row_number() OVER (ORDER BY __amo DESC, {PIPE_ROW}) AS INTEGER) AS r
 FROM lf WHERE upper("Pursuit Tier") = 'TIER 1'
 ORDER BY __amo DESC, {PIPE_ROW} LIMIT 5""")
 def q_top_pursuits(spark, sf):
-    return L.top_pursuits(cat.pipeline(spark, sf))
+    return L.top_pursuits(cat.typed_pipeline(spark, sf))
 
 
 def _keys(df, row):
@@ -184,20 +184,20 @@ def _events(last: str = "") -> str:
 
 @query("upcoming_dates", w("projects", "pipeline") + "\n" + _events())
 def q_upcoming_dates(spark, sf):
-    return _keys(L.upcoming_dates(cat.projects(spark, sf), cat.pipeline(spark, sf), AS_OF), "pipeline_row")
+    return _keys(L.upcoming_dates(cat.typed_projects(spark, sf), cat.typed_pipeline(spark, sf), AS_OF), "pipeline_row")
 
 
 @query("upcoming_text", w("projects", "pipeline") + f""",
 ev AS ({_events(", r5")})
 SELECT row_number() OVER (ORDER BY kind_rank, project_row, r1, r2, r3, r4, r5) AS line_no, line FROM ev""")
 def q_upcoming_text(spark, sf):
-    return L.upcoming_text(L.upcoming_dates(cat.projects(spark, sf), cat.pipeline(spark, sf), AS_OF))
+    return L.upcoming_text(L.upcoming_dates(cat.typed_projects(spark, sf), cat.typed_pipeline(spark, sf), AS_OF))
 
 
 @query("upcoming_text_none", "SELECT CAST(1 AS BIGINT) AS line_no, 'No key dates identified in the next 7 days.' AS line FROM (SELECT count(*) FROM orders)")
 def q_upcoming_text_none(spark, sf):
     """A window that ends before it begins: the fixed sentence."""
-    return L.upcoming_text(L.upcoming_dates(cat.projects(spark, sf), cat.pipeline(spark, sf), AS_OF, days=-1))
+    return L.upcoming_text(L.upcoming_dates(cat.typed_projects(spark, sf), cat.typed_pipeline(spark, sf), AS_OF, days=-1))
 
 
 @query("distinct_options", w("projects", "pipeline", frames=[PF]) + f"""
@@ -210,7 +210,7 @@ SELECT DISTINCT option_set, value FROM (
   UNION ALL SELECT 'pursuit_tier', COALESCE("Pursuit Tier", 'N/A') FROM pipeline
 ) ORDER BY option_set, value""")
 def q_distinct_options(spark, sf):
-    return L.distinct_options(cat.projects(spark, sf), cat.pipeline(spark, sf), AS_OF)
+    return L.distinct_options(cat.typed_projects(spark, sf), cat.typed_pipeline(spark, sf), AS_OF)
 
 
 @query("entity_lookup", w("pipeline") + f"""

@@ -222,7 +222,7 @@ def _kpi_with(*extra):
 
 
 def _kpis(spark, sf):
-    return K.kpi_all(cat.projects(spark, sf), cat.pipeline(spark, sf), cat.risks(spark, sf),
+    return K.kpi_all(cat.typed_projects(spark, sf), cat.typed_pipeline(spark, sf), cat.risks(spark, sf),
                      cat.staff(spark, sf), cat.activity(spark, sf), AS_OF)
 
 
@@ -236,8 +236,8 @@ def _scorecard_sql():
 @query("kpi_scorecard", _scorecard_sql())
 def q_kpi_scorecard(spark, sf):
     # only the families the five verdicts read: three scans, no medians or extremes
-    p = K.project_frame(cat.projects(spark, sf))
-    lf = K.pipeline_frame(cat.pipeline(spark, sf))
+    p = K.project_frame(cat.typed_projects(spark, sf))
+    lf = K.pipeline_frame(cat.typed_pipeline(spark, sf))
     sf_ = K.staff_frame(cat.staff(spark, sf))
     kpis = (K.run(p, [K.f_status(p), K.f_revenue(p), K.f_nps(p)])
             .crossJoin(K.run(lf, [K.f_pipeline_values(lf)]))  # global aggregates: one row each
@@ -290,6 +290,6 @@ def _router_sql():
 
 @query("question_router", _router_sql())
 def q_question_router(spark, sf):
-    p = K.project_frame(cat.projects(spark, sf))
+    p = K.project_frame(cat.typed_projects(spark, sf))
     kpis = K.run(p, [K.f_status(p), K.f_revenue(p)])
     return R.route_questions(driver.questions(spark, sf), kpis)
