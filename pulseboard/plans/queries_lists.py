@@ -194,12 +194,6 @@ def q_upcoming_text(spark, sf):
     return L.upcoming_text(L.upcoming_dates(cat.typed_projects(spark, sf), cat.typed_pipeline(spark, sf), AS_OF))
 
 
-@query("upcoming_text_none", "SELECT CAST(1 AS BIGINT) AS line_no, 'No key dates identified in the next 7 days.' AS line FROM (SELECT count(*) FROM orders)")
-def q_upcoming_text_none(spark, sf):
-    """A window that ends before it begins: the fixed sentence."""
-    return L.upcoming_text(L.upcoming_dates(cat.typed_projects(spark, sf), cat.typed_pipeline(spark, sf), AS_OF, days=-1))
-
-
 @query("distinct_options", w("projects", "pipeline", frames=[PF]) + f"""
 SELECT DISTINCT option_set, value FROM (
   SELECT 'project_name' AS option_set, COALESCE("Project Name", 'N/A') AS value FROM pf

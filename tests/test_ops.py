@@ -176,3 +176,18 @@ def test_rankings_break_ties_by_sheet_order(spark):
                                                    ("z", "Tier 2", "$99"), ("v", " Tier 1", "$50"))])
     got = [(r["rank"], r.account) for r in L.top_pursuits(pipe, n=5).orderBy("rank").collect()]
     assert got == [(1, "x"), (2, "y"), (3, "w")]  # upper-case match, no trim; ties in sheet order
+
+
+def test_upcoming_text_and_its_fixed_sentence(spark):
+    import datetime as dt
+
+    from pulseboard.operators import lists as L
+
+    p = tab(spark, "Project Inventory", [{"Project Name": f"p{i}", "Project End Date": f"2025-07-0{i + 1}"} for i in range(4)])
+    lines = tab(spark, "Pipeline", [{"Account": "a", "Next Touchpoint Date": "2025-07-02"}, {"Account": "b", "Closed Won Date": "2025-07-02"}])
+    got = L.upcoming_text(L.upcoming_dates(p, lines, dt.date(2025, 7, 1))).orderBy("line_no").collect()
+    assert [r.line_no for r in got] == list(range(1, 7))
+    assert got[0].line == "- Project 'p0' is scheduled to end on 2025-07-01."
+    assert [r.line[:12] for r in got[4:]] == ["- Deal for '", "- Next touch"]
+    none = L.upcoming_text(L.upcoming_dates(p, lines, dt.date(2020, 1, 1))).collect()
+    assert [tuple(r) for r in none] == [(1, "No key dates identified in the next 7 days.")]
