@@ -83,9 +83,8 @@ def hashed_documents(docs: DataFrame) -> DataFrame:
 
 
 def inverse_frequencies(*hashed: DataFrame) -> np.ndarray:
-    """log((1 + n) / (1 + df)) + 1 of every hashed word over the rows of all frames. Tasks send counts by
-    blocks of features: 2^18 numbers come to the driver, whatever the input."""
-    span = 1 << 12
+    """log((1 + n) / (1 + df)) + 1 of every hashed word over the rows of all frames. At most 2^18 pairs of
+    numbers come to the driver, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << BITS, np.int64), 0
@@ -101,14 +100,10 @@ def inverse_frequencies(*hashed: DataFrame) -> np.ndarray:
     for h in hashed:
         part = h.select("words").mapInArrow(run, "feature bigint, df bigint")
         counts = part if counts is None else counts.unionByName(part)
-    packed = counts.groupBy("feature").agg(F.sum("df").alias("df")).groupBy(F.floor(F.col("feature") / span).alias("block")).agg(F.collect_list(F.struct("feature", "df")).alias("c"))
-    df, n = np.zeros(1 << BITS), 0
-    for r in packed.toLocalIterator():
-        for feature, k in r["c"]:
-            if feature < 0:
-                n = k
-            else:
-                df[feature] = k
+    got = counts.groupBy("feature").agg(F.sum("df").alias("df")).toArrow().to_pandas()
+    df, n = np.zeros(1 << BITS), int(got["df"][got["feature"] < 0].sum())
+    got = got[got["feature"] >= 0]
+    df[got["feature"].to_numpy()] = got["df"].to_numpy()
     return np.log((1 + n) / (1 + df)) + 1
 
 
@@ -159,10 +154,9 @@ def randomised_svd(passages: DataFrame, rank: int, rounds: int = 2) -> tuple[np.
         parts = passages.select("features", "weights").mapInArrow(run, "row int, y array<double>")
         # one row per feature and task, summed number by number
         sums = parts.select("row", F.posexplode("y").alias("k", "v")).groupBy("row", "k").agg(F.sum("v").alias("v"))
-        got = sums.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("y")).collect()
+        got = sums.toArrow().to_pandas()  # features of one block x rank numbers
         y = np.zeros_like(basis)
-        for r in got:
-            y[r["row"]] = [x["v"] for x in r["y"]]
+        y[got["row"].to_numpy(), got["k"].to_numpy()] = got["v"].to_numpy()
         basis = np.linalg.qr(y)[0]
     return features, basis
 
