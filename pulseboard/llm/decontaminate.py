@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import column, in_one, out_batch, pieces, stored
 
 BITS = 18  # of the hashed words
-#: (length, step) of the windows of a document, in words.
-WINDOWS = ((16, 8), (48, 16))
+#: Words of a block, and (length, step) of the windows of a document in blocks.
+BLOCK = 8
+WINDOWS = ((2, 1), (6, 2))
 SEPARATE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -166,11 +167,11 @@ class Searcher:
 
     def __init__(self, items: list[Item], idf: np.ndarray, features: np.ndarray, basis: np.ndarray, passages: list[tuple[int, list[int]]], cosine: float):
         self.items, self.cosine = items, cosine
-        self.squares = (idf**2).astype(np.float32)
-        self.row = np.full(1 << BITS, -1, np.int32)
+        self.squares = np.append(idf**2, 0).astype(np.float32)  # the last entry stands for no word
+        self.row = np.full((1 << BITS) + 1, len(features), np.int32)
         self.row[features] = np.arange(len(features))
-        self.inside = np.where(self.row >= 0, self.squares, 0).astype(np.float32)
-        self.table = (basis * idf[features][:, None]).astype(np.float32)
+        self.inside = np.where(self.row < len(features), self.squares, 0).astype(np.float32)
+        self.table = np.vstack([basis * idf[features][:, None], np.zeros(basis.shape[1])]).astype(np.float32)
         vectors = []
         for _, p in passages:
             f, tf = np.unique(np.array(p, np.int64), return_counts=True)
@@ -182,47 +183,62 @@ class Searcher:
         self.owner = np.array([k for k, _ in passages], np.int32)
         self.vectors = np.array(vectors, np.float32).reshape(len(passages), basis.shape[1])
 
-    def windows(self, ids: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(first word, end) of the windows of all documents (their words end to end in ``ids``) that may
-        reach the cosine."""
-        # the weight inside bounds the cosine; words are counted one by one here, and half of the bound is
-        # asked for, since repeated words weigh more than that in a window's length
-        everything = np.concatenate([[0], np.cumsum(self.squares[ids], dtype=np.float64)])
-        inside = np.concatenate([[0], np.cumsum(self.inside[ids], dtype=np.float64)])
+    def blocks(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words of every block, padded with none; first block of every document and the end)."""
         sizes = np.diff(bounds)
+        n = -(-sizes // BLOCK)
+        first = np.concatenate([[0], np.cumsum(n)])
+        out = np.full(int(first[-1]) * BLOCK, 1 << BITS, np.int32)
+        out[np.arange(len(ids)) + np.repeat(first[:-1] * BLOCK - bounds[:-1], sizes)] = ids
+        return out.reshape(-1, BLOCK), first
+
+    def candidates(self, ids: np.ndarray, bounds: np.ndarray, chunk: int = 1 << 14) -> list[tuple[int, int, int, float]]:
+        """(item place, first word, end, cosine) of the windows that come near an item. Documents' words stand
+        end to end in ``ids``."""
+        words_, first = self.blocks(ids, bounds)
+        if not len(words_):
+            return []
+        total = lambda weights: np.concatenate([[0], np.cumsum(weights[words_].sum(1, dtype=np.float64))])
+        everything, inside = total(self.squares), total(self.inside)
+        counts, out = np.diff(first), []
         for size, step in WINDOWS:
-            n = np.where(sizes > 0, np.maximum(0, -(-(sizes - size) // step)) + 1, 0)
-            k = np.repeat(np.arange(len(sizes)), n)
-            a = bounds[k] + (np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)) * step
-            b = np.minimum(a + size, bounds[k + 1])
-            keep = (inside[b] - inside[a]) >= 0.5 * self.cosine**2 * (everything[b] - everything[a])
-            yield a[keep], b[keep]
-
-    def candidates(self, ids: np.ndarray, bounds: np.ndarray, chunk: int = 8192) -> list[tuple[int, int, int, float]]:
-        """(item place, first word, end, cosine) of the windows that come near an item."""
-        out = []
-        for a, b in self.windows(ids, bounds):
-            size = int((b - a).max(initial=0))
+            n = np.where(counts > 0, np.maximum(0, -(-(counts - size) // step)) + 1, 0)
+            doc = np.repeat(np.arange(len(counts)), n)
+            a = first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * step
+            b = np.minimum(a + size, first[doc + 1])
+            # the weight inside bounds the cosine; words are counted one by one here, so a little less is asked for
+            keep = (inside[b] - inside[a]) >= 0.8 * self.cosine**2 * (everything[b] - everything[a])
+            a, b, doc = a[keep], b[keep], doc[keep]
             for s in range(0, len(a), chunk):
-                x, e = a[s:s + chunk], b[s:s + chunk]
-                at = x[:, None] + np.arange(size)
-                w = np.where(at < e[:, None], ids[np.minimum(at, len(ids) - 1)], -1)
-                row = np.where(w >= 0, self.row[w], -1)
-                y = np.zeros((len(x), self.table.shape[1]), np.float32)
-                for j in range(size):
-                    hit = np.flatnonzero(row[:, j] >= 0)
-                    y[hit] += self.table[row[hit, j]]
-                # the window's own length, frequencies counted: equal words stand together once sorted
-                w.sort(axis=1)
-                run = np.zeros_like(w)
-                for j in range(1, size):
-                    run[:, j] = np.where(w[:, j] == w[:, j - 1], run[:, j - 1] + 1, 0)
-                norm = np.sqrt((np.where(w >= 0, self.squares[w], 0) * (2 * run + 1)).sum(1))
-                score = (y @ self.vectors.T) / np.maximum(norm, 1e-6)[:, None]
-                i, j = np.nonzero(score >= self.cosine)
-                out += zip(self.owner[j].tolist(), x[i].tolist(), e[i].tolist(), score[i, j].tolist(), strict=True)
+                out += self.near(words_, a[s:s + chunk], b[s:s + chunk], doc[s:s + chunk], first, bounds, size)
         return out
 
+    def near(self, words_: np.ndarray, a: np.ndarray, b: np.ndarray, doc: np.ndarray, first: np.ndarray, bounds: np.ndarray, size: int) -> list[tuple[int, int, int, float]]:
+        """The candidates among some windows (blocks a to b)."""
+        used, place = np.unique(np.minimum(a[:, None] + np.arange(size), b[:, None] - 1), return_inverse=True)
+        place = place.reshape(len(a), size)
+        rows = self.row[words_[used]]
+        sums = self.table[rows[:, 0]]
+        for j in range(1, BLOCK):
+            sums += self.table[rows[:, j]]
+        y = sums[place[:, 0]]
+        for j in range(1, size):
+            there = a + j < b
+            y[there] += sums[place[there, j]]
+        score = y @ self.vectors.T
+        # the window's own length, frequencies counted: equal words stand together once sorted
+        w = np.where((a[:, None] + np.arange(size) < b[:, None])[:, :, None], words_[used][place], 1 << BITS).reshape(len(a), -1)
+        hit = np.flatnonzero(score.max(1) >= self.cosine * np.sqrt(self.squares[w].sum(1)))  # without frequencies: no longer than it is
+        score, w = score[hit], np.sort(w[hit], axis=1)
+        run = np.zeros_like(w)
+        for j in range(1, w.shape[1]):
+            run[:, j] = np.where(w[:, j] == w[:, j - 1], run[:, j - 1] + 1, 0)
+        score /= np.maximum(np.sqrt((self.squares[w] * (2 * run + 1)).sum(1)), 1e-6)[:, None]
+        i, j = np.nonzero(score >= self.cosine)
+        lo = bounds[doc[hit]] + (a[hit] - first[doc[hit]]) * BLOCK
+        hi = np.minimum(bounds[doc[hit]] + (b[hit] - first[doc[hit]]) * BLOCK, bounds[doc[hit] + 1])
+        return list(zip(self.owner[j].tolist(), lo[i].tolist(), hi[i].tolist(), score[i, j].tolist(), strict=True))
+
     def confirm(self, item: Item, region: list[int], copy: float, paraphrase: float, answered: float) -> tuple[float, float, bool]:
         """(share of the item in common, share of its answer, is it contaminated)."""
         share = common_subsequence(item.words, region) / max(1, len(item.words))
