@@ -41,15 +41,15 @@ def main():
     from pulseboard.session import get_session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = get_session("local[8]", 8, driver_memory="8g")
-    import __spark_entry__ as E
+    spark = get_session("local[*]", 8, driver_memory="8g")
+    from pulseboard.plans import catalog
 
-    print(f"# Executed plans ({sf_dir}, local[8], AQE final plans)\n")
+    print(f"# Executed plans ({sf_dir}, local, AQE final plans)\n")
     print("Scans list `columns read (first names) [pushed filters]` per parquet scan; stored tabs are the")
     print("parquet copies written at ingest, driver tables are read directly only by the ingest and `margin`.\n")
     print("| Query | Scans | Joins | Exchanges | Broadcasts | Aggregates | Top-N | Window |")
     print("|---|---|---|---|---|---|---|---|")
-    for name, fn in E.queries().items():
+    for name, fn in catalog.QUERIES.items():
         df = fn(spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         s = summarise(df._jdf.queryExecution().executedPlan().toString())
