@@ -44,7 +44,8 @@ def _stored(spark, sf_dir, name, build, k):
         tag = hashlib.sha1(f"{MAPPING_VERSION}|{k[1]}|{k[0]}".encode()).hexdigest()[:12]
         path = f"{shared_dir(spark).rstrip('/')}/tabs/{tag}/{name}"
         t0 = time.perf_counter()
-        build(spark, sf_dir).write.mode("overwrite").parquet(path)
+        # row groups of some megabytes: a file splits over tasks and date statistics prune finely
+        build(spark, sf_dir).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(path)
         INGEST_SECONDS[name] = round(time.perf_counter() - t0, 3)
         _PATHS[k] = path
     _FRAMES[k] = spark.read.parquet(path)
