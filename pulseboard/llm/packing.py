@@ -139,6 +139,7 @@ def pack(docs: DataFrame, ranks: str, window: int = 1024, packet: int = 32, mixt
     rows = stored(tokenized(docs, ranks, queue), "tokens")
     chunks = rows.groupBy("queue", "chunk").agg(F.sum("n_tokens").alias("n"))
     before = chunks.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("queue").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    before = stored(before, "queue_starts")  # small, and known to be: the ids needn't be shuffled to meet it
     totals = {r["queue"]: r["n"] for r in rows.groupBy("queue").agg(F.sum("n_tokens").alias("n")).limit(max_queues + 1).collect()}
     if len(totals) > max_queues:
         raise ValueError(f"more than {max_queues} queues in {queue}")
