@@ -10,7 +10,6 @@ written as SQL in ``plans/driver_sql.py`` for the oracle.
 from __future__ import annotations
 
 import datetime as dt
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
