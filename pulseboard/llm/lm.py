@@ -113,9 +113,18 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, known: int, head: int) -> Vocabulary:
-    """``known`` words come to the driver at most; the rest only as totals by form."""
-    top = counts.orderBy(F.desc("n"), "word").limit(known).collect()
-    words = [bytes(r["word"]) for r in top]
+    """``known`` words come to the driver at most (the most frequent, down to a count that lets in no more
+    than that); the rest only as totals by form."""
+    size = F.floor(F.log2("n") * 64)  # some thousand classes of counts, whatever the input
+    least, room = None, known
+    for r in counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("size")).collect():
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["size"]
+    found = counts.where(size >= least).toArrow() if least is not None else counts.limit(0).toArrow()
+    top = sorted(zip(found["n"].to_pylist(), found["word"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
+    words = [bytes(w) for _, w in top]
     head = min(head, len(words))
     first = set(words[:head])
 
@@ -133,7 +142,7 @@ def vocabulary(counts: DataFrame, known: int, head: int) -> Vocabulary:
     by_form = np.zeros((2, FORMS), np.int64)
     for r in sums:
         by_form[:, r["form"]] = r["tokens"], r["words"]
-    n = np.array([r["n"] for r in top], np.int64)
+    n = np.array([k for k, _ in top], np.int64)
     return Vocabulary(words, n, head, int(by_form[0].sum() + n[:head].sum()), int(by_form[1].sum() + head), by_form[0], by_form[1])
 
 
