@@ -141,9 +141,9 @@ def graded(docs: DataFrame, model: Ordinal, upper: int | None = None) -> DataFra
     return out.select("doc_id", F.when(~F.isnan("expected_grade"), F.col("expected_grade")).alias("expected_grade"), "tail_prob")
 
 
-def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = 6000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, least: float = 0.25, sample: int = 6000) -> DataFrame:
     """One row per row of ``docs``: doc_id, expected_grade, tail_prob (chance of the highest grade), keep
-    (tail_prob at least ``least``).
+    (tail_prob at least ``least``; below one half, so that a text too short to tell is kept).
 
     Null and empty texts have no features and get the thresholds' chances. Without ratings, or with one
     grade only, every chance is 1 and the expected grade that grade (null without ratings). Repeated rows
@@ -151,7 +151,7 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int
     return graded(docs, learn(docs, labels, sample=sample)).withColumn("keep", F.col("tail_prob") >= least)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = 6000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.25, sample: int = 6000) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with the columns of ``docs``; no shuffle of texts."""
     model = learn(docs, labels, sample=sample)
 
