@@ -115,7 +115,7 @@ def dedup_lines(docs: DataFrame, min_length: int = 10, batches: int = 4, fanout:
     doc_id comes after every other. Rows that repeat a doc_id count as one document and each keeps the
     owner's lines. An empty table gives an empty result. Keys are compared by 128-bit hashes."""
     drops = dropped_lines(docs, min_length, batches, fanout)
-    found = keyed(docs).join(drops, ["did", "th"], "left")
+    found = keyed(docs).join(drops.hint("merge"), ["did", "th"], "left")  # grows with the documents: one way at every size
     # the stretches between dropped places, each cut out once: linear in the lines
     found = found.withColumn("edges", F.concat(F.array(F.lit(-1)), F.coalesce("drop", F.array().cast("array<int>")), F.array(F.size("lines"))))
     kept = F.expr("if(size(edges) = 2, lines, flatten(transform(sequence(1, size(edges) - 1), "
