@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, in_one, out_batch, pieces, stored, text_bytes
+from .common import in_one, out_batch, pieces, stored, text_bytes
 
 SEED = 42
 FAN = 16  # members of a leaf node, and children of an upper node
@@ -67,15 +67,21 @@ def majority(hashes: np.ndarray, counts: list[int]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text as a signed long."""
+    """(doc_id, th, fp): the fingerprint of each whole text as a signed long, and a hash that tells apart the
+    texts of one doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 4 << 20):
             hashes = [np.array(shingle_hashes(t, size), dtype=np.uint64) for t in text_bytes(b)]
             fps = majority(np.concatenate([np.zeros(0, np.uint64), *hashes]), [len(h) for h in hashes])
-            yield out_batch(doc_id=pa.array(column(b, "doc_id"), pa.int64()), fp=fps.view(np.int64))
+            yield out_batch(doc_id=b.column(b.schema.get_field_index("doc_id")), th=b.column(b.schema.get_field_index("th")), fp=fps.view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(*keys(), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, th bigint, fp bigint")
+
+
+def keys() -> list:
+    """A row of documents by its id and a hash of its text."""
+    return [F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th")]
 
 
 # -- the hierarchical index -------------------------------------------------
@@ -289,6 +295,17 @@ def components(edges: DataFrame) -> DataFrame:
         edges = stored(star(star(edges, True), False), "links")
 
 
+def component_rows(docs: DataFrame, size: int, max_bits: int) -> DataFrame:
+    """(doc_id, th, fp, component_id, root) for every row of ``docs``; root names the component also where it
+    has no doc_id."""
+    fps = stored(fingerprints(docs, size), "fingerprints")
+    firsts = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "firsts")
+    roots = stored(components(links(firsts.select("fp"), max_bits)), "roots")
+    rooted = firsts.join(roots, F.col("fp") == F.col("v"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return fps.join(rooted.join(names, "root").select("fp", "root", "component_id"), "fp")
+
+
 def simhash_components(docs: DataFrame, size: int = 3, max_bits: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 lower-case hex digits), component_id (the
     smallest doc_id of the texts reachable over links of at most ``max_bits`` differing bits).
@@ -296,21 +313,24 @@ def simhash_components(docs: DataFrame, size: int = 3, max_bits: int = 3) -> Dat
     Null text counts as empty; a text without words has fingerprint zero, linked like any other. Repeated
     rows give repeated results. A null doc_id never names a component unless the component has no other.
     An empty table gives an empty result. Columns besides doc_id and text are not read."""
-    fps = stored(fingerprints(docs, size), "fingerprints")
-    firsts = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "firsts")
-    roots = stored(components(links(firsts.select("fp"), max_bits)), "roots")
-    rooted = firsts.join(roots, F.col("fp") == F.col("v"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return component_rows(docs, size, max_bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_per_component(docs: DataFrame, size: int = 3, max_bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component: one document of each group stays.
-
-    Of repeated rows of one doc_id, one stays. Rows without a doc_id stay only where their whole component
-    has none (one row of it). The columns are those of ``docs``."""
-    found = simhash_components(docs, size, max_bits)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("id"), in_one(docs))
-    return ids.join(kept, F.col("id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["id"]).select("row.*")
+    """``docs`` with one row of each component: that of its smallest doc_id (of several texts under that
+    doc_id, the one with the smallest hash; of repeated rows, one). A component without any doc_id keeps one
+    row too. The columns are those of ``docs``."""
+    found = stored(component_rows(docs, size, max_bits).select("doc_id", "th", "root"), "components")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("b")).select("b.doc_id", "b.th")
+    times = found.groupBy("doc_id", "th").agg(F.count("*").alias("n"))
+    same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["th"] == y["th"])
+    # what goes, and what stays but stands there more than once: far fewer rows than the documents
+    kept = times.join(best, same(times, best), "left_semi")
+    gone = stored(times.join(best, same(times, best), "left_anti").select("doc_id", "th"), "dropped_documents")
+    again = stored(kept.where("n > 1").select("doc_id", "th"), "repeated_documents")
+    rows = docs.select(*keys(), in_one(docs))
+    rows = rows.join(gone, same(rows, gone), "left_anti")
+    if again.isEmpty():
+        return rows.select("row.*")
+    once = rows.join(again, same(rows, again), "left_anti").select("row.*")
+    return once.unionByName(rows.join(again, same(rows, again), "left_semi").dropDuplicates(["doc_id", "th"]).select("row.*"))
