@@ -10,6 +10,10 @@
 4. Each candidate stretch of a document is confirmed by the longest common subsequence of words with the
    item. A high share is enough; a middling one (a paraphrase) needs the item's answer there as well: its
    ``answer`` column, or else the words of its last sentence.
+5. Cosines say little about short items and about paraphrases in rarer words, so a second search leaves out
+   nothing that the check accepts within twice an item's length. Of an item's n words t must be there in
+   order, so one of its n - t + 1 rarest must be: around these anchors the item's words are counted, and
+   each place from which t of them follow is checked.
 
 The benchmark is the stated query set. It is taken in blocks of bounded size, each against all documents.
 """
@@ -73,6 +77,14 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+def least(n: int, share: float) -> int:
+    """The smallest number of ``n`` words whose share is at least ``share``; above ``n`` if none is."""
+    k = max(0, int(share * n) - 1)
+    while k <= n and k / max(1, n) < share:
+        k += 1
+    return k
+
+
 def hashed_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, words): hashed words of whole texts as 32-bit integers."""
 
@@ -180,6 +192,9 @@ class Searcher:
             y = (x[:, None] * basis[self.row[f]]).sum(0)
             # in proportion to what the latent space keeps of the passage, so that a copy scores its full cosine
             vectors.append(y * full / max(1e-12, (y * y).sum()))
+        #: Of each item: the rows of its words.
+        self.rows_of = [np.unique(self.row[np.array(x.words, np.int64)]) for x in items]
+        self.idf = idf
         self.owner = np.array([k for k, _ in passages], np.int32)
         self.vectors = np.array(vectors, np.float32).reshape(len(passages), basis.shape[1])
 
@@ -239,6 +254,69 @@ class Searcher:
         hi = np.minimum(bounds[doc[hit]] + (b[hit] - first[doc[hit]]) * BLOCK, bounds[doc[hit] + 1])
         return list(zip(self.owner[j].tolist(), lo[i].tolist(), hi[i].tolist(), score[i, j].tolist(), strict=True))
 
+    def anchored(self, ids: np.ndarray, bounds: np.ndarray, checks: tuple[float, float, float]) -> Iterator[tuple[int, int, float, float, float]]:
+        """(document, item place, cosine, shares of the item and its answer) of every stretch of twice an item's
+        length that ``confirm`` accepts. The cosine is that of the item and as many words from there on."""
+        copy, paraphrase, answered = checks
+        row = self.row[ids]
+        needed = [max(1, least(len(x.words), min(copy, paraphrase))) for x in self.items]
+        anchors = []
+        for x, t in zip(self.items, needed, strict=True):
+            w = np.array(x.words, np.int64)
+            anchors.append(np.unique(self.row[w[np.argsort(-self.idf[w], kind="stable")[:max(0, len(w) - t + 1)]]]))
+        wanted = np.zeros(int(self.row.max()) + 1, bool)
+        wanted[np.concatenate([np.zeros(0, np.int64), *anchors]).astype(np.int64)] = True
+        at = np.flatnonzero(wanted[row])
+        at = at[np.argsort(row[at], kind="stable")]
+        cuts = np.searchsorted(row[at], np.arange(len(wanted) + 1))
+        for place, (item, t) in enumerate(zip(self.items, needed, strict=True)):
+            hits = np.sort(np.concatenate([at[:0], *[at[cuts[k]:cuts[k + 1]] for k in anchors[place]]]))
+            if not len(hits):
+                continue
+            size = 2 * len(item.words)
+            doc = np.searchsorted(bounds, hits, side="right") - 1
+            lo, hi = np.maximum(bounds[doc], hits - size + 1), np.minimum(bounds[doc + 1], hits + size)
+            new = np.flatnonzero(np.append(True, lo[1:] >= hi[:-1]))
+            lo, hi = lo[new], hi[np.append(new[1:], len(hi)) - 1]
+            # the places of the item's words, and how many of them follow each within the size
+            n = hi - lo
+            x = np.arange(int(n.sum())) + np.repeat(lo - np.cumsum(n) + n, n)
+            mine = np.zeros(len(wanted), bool)
+            mine[self.rows_of[place]] = True
+            there = mine[row[x]]
+            x, end = x[there], np.repeat(hi, n)[there]
+            end = np.minimum(x + size, end)
+            enough = np.searchsorted(x, end) - np.arange(len(x)) >= t
+            yield from self.stretches(place, t, ids, bounds, x[enough].tolist(), end[enough].tolist(), checks)
+
+    def stretches(self, place: int, t: int, ids: np.ndarray, bounds: np.ndarray, starts: list[int], ends: list[int], checks: tuple[float, float, float]) -> Iterator[tuple[int, int, float, float, float]]:
+        """Those of the stretches (start, end) of an item that ``confirm`` accepts, for ``anchored``."""
+        copy, paraphrase, answered = checks
+        item, after = self.items[place], -1
+        n, m = len(item.words), len(item.answer)
+        for a, e in zip(starts, ends, strict=True):
+            if a < after:
+                continue
+            doc = int(np.searchsorted(bounds, a, side="right")) - 1
+            common = common_subsequence(item.words, ids[a:e].tolist())
+            if common < t:
+                after = a + t - common  # a word further on is one word more in common at most
+                continue
+            wide = ids[max(int(bounds[doc]), a - n - m):min(int(bounds[doc + 1]), e + n + m)].tolist()  # the answer may stand beside
+            share, known = common / n, common_subsequence(item.answer, wide)
+            answer = known / max(1, m)
+            if share >= copy or (share >= paraphrase and answer >= answered):
+                after = e
+                yield doc, place, self.plain_cosine(item.words, ids[a:a + n] if a + n <= e else ids[a:e]), common_subsequence(item.words, wide) / n, answer
+            else:
+                after = a + max(1, min(least(n, copy) - common, least(m, answered) - known if share >= paraphrase else n))
+
+    def plain_cosine(self, a: list[int], b: np.ndarray) -> float:
+        """TF-IDF cosine of two lists of words."""
+        words_, place = np.unique(np.concatenate([np.array(a, np.int64), b]), return_inverse=True)
+        x, y = (np.bincount(p, minlength=len(words_)) * self.idf[words_] for p in (place[:len(a)], place[len(a):]))
+        return float(x @ y / np.sqrt((x @ x) * (y @ y)))
+
     def confirm(self, item: Item, region: list[int], copy: float, paraphrase: float, answered: float) -> tuple[float, float, bool]:
         """(share of the item in common, share of its answer, is it contaminated)."""
         share = common_subsequence(item.words, region) / max(1, len(item.words))
@@ -249,7 +327,9 @@ class Searcher:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, copy: float = 0.8, paraphrase: float = 0.6, answered: float = 0.8,
                        rank: int = 192, passage: int = 64, step: int = 32, block: int = 512) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, cosine, lcs_share, answer_share
-    (shares of the item's and its answer's words in common order), the best of each over the stretches.
+    (shares of the item's and its answer's words in common order), the best of each over the stretches. A
+    stretch of up to twice an item's words that passes the shares is always found; ``cosine`` bounds the
+    search for longer ones.
 
     ``copy``: share that is enough; ``paraphrase``: share that needs ``answered`` of the answer too. Null or
     empty texts and items match nothing. Rows that repeat a doc_id give one row per item together; a null
@@ -310,6 +390,7 @@ def search(hashed: DataFrame, items: list[Item], idf: np.ndarray, features: np.n
                         share, answer, bad = max(near, key=lambda x: (x[2], x[0]))
                     if bad:
                         rows.append((ids_[doc], item.item, score, share, answer))
+            rows += [(ids_[doc], items[place].item, *found) for doc, place, *found in (s.anchored(ids, bounds, checks) if len(ids) else ())]
             if rows:
                 d, i, c, x, y = zip(*rows, strict=True)
                 yield out_batch(doc_id=pa.array(d, pa.int64()), item_id=pa.array(i, pa.int64()), cosine=pa.array(c, pa.float64()), lcs_share=pa.array(x, pa.float64()), answer_share=pa.array(y, pa.float64()))

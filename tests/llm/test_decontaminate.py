@@ -77,3 +77,41 @@ def test_empty_tables(spark, make_docs):
     assert D.find_contamination(make_docs([]), bench).count() == 0
     assert D.find_contamination(docs, bench.limit(0)).count() == 0
     assert D.find_contamination(docs, bench).count() == 1
+
+
+def test_short_items_and_paraphrases_near_the_share(spark, make_docs, rng):
+    """Items of 3 to 12 words word for word, and paraphrases just above the share with the answer, among
+    rarer words than their own; below the share nothing is found."""
+    common = [f"w{k}" for k in range(300)]
+    items, rows, want = [], [(5000 + k, " ".join(rng.choices(common, k=200)) + f" only{k}") for k in range(200)], set()
+    for k in range(60):
+        n = 3 + k % 10
+        items.append((k, " ".join(rng.sample(common, n))))
+        rows.append((k, f"{' '.join(f'x{rng.randrange(10**6)}' for _ in range(40))} {items[-1][1]} {' '.join(f'y{rng.randrange(10**6)}' for _ in range(40))}"))
+        want.add((k, k))
+    for k in range(100, 130):
+        head, tail = rng.sample(common, 20), rng.sample(common, 5)
+        items.append((k, " ".join(head) + ". " + " ".join(tail)))
+        for doc, same in ((k, 10), (k + 100, 9)):  # 15 of 25 words are the share, 14 are below
+            keep = set(rng.sample(range(20), same))
+            said = [w if j in keep else f"z{rng.randrange(10**6)}" for j, w in enumerate(head)] + tail
+            rows.append((doc, " ".join(f"v{rng.randrange(10**6)}" for _ in range(60)) + " " + " ".join(said) + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(60))))
+        want.add((k, k))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in D.find_contamination(make_docs(rows), bench).collect()}
+    assert want <= got
+    assert not [x for x in got if x[1] >= 100 and x[0] != x[1]]
+
+
+def test_anchored_search_leaves_nothing_out(rng):
+    """Against the check of every stretch of twice an item's length."""
+    idf, pool = np.ones(1 << D.BITS), [f"w{k}" for k in range(12)]
+    idf[D.words(" ".join(pool))] = [1 + k / 3 for k in range(12)]
+    items = [D.Item(k, D.words(t).tolist(), D.words(t).tolist()[-2:]) for k, t in enumerate(" ".join(rng.choices(pool, k=n)) for n in (1, 2, 3, 3, 4, 5, 7, 9, 12))]
+    docs = [D.words(" ".join(rng.choices([*pool * 3, *[f"far{k}" for k in range(30)]], k=n))) for n in (0, 1, 5, 30, 90, 200, 3)]
+    features = np.unique(np.concatenate([x.words for x in items]))
+    s = D.Searcher(items, idf, features, np.eye(len(features)), [(k, x.words) for k, x in enumerate(items)], 0.5)
+    bounds, checks = np.concatenate([[0], np.cumsum([len(x) for x in docs])]), (0.8, 0.6, 0.8)
+    got = {x[:2] for x in s.anchored(np.concatenate(docs), bounds, checks)}
+    want = {(d, k) for d, w in enumerate(docs) for k, x in enumerate(items) for a in range(len(w)) if s.confirm(x, w[a:a + 2 * len(x.words)].tolist(), *checks)[2]}
+    assert want <= got and len(want) > 5
