@@ -6,13 +6,15 @@ softmax is factored: P(word) = P(class | state) P(word | class), where a class o
 of its own on the state and a class of form its words' smoothed counts. The state is that of a gated
 recurrent unit; at scoring it runs through a whole document, window after window, reset only at its start.
 
-Training is distributed: each task runs truncated backpropagation over its own documents from the current
-weights, the weights are averaged in a tree of small sums, and a second round starts from the average.
+Training is distributed and learns from every token of the training documents: they are dealt by hash to
+groups of a fixed number of tokens, truncated backpropagation runs over each group from the current weights,
+the weights are averaged in a tree of small sums, and a second round over all groups starts from the average.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,6 +31,7 @@ END = b""  # closes every document; no word is empty
 GROUP = 32  # head words of one class
 FORMS = 16 + 3 + 32
 HIDDEN = 20
+SEGMENT = 1024  # tokens of a document that are learned from in one lane; longer ones go on in another
 WINDOW = 64  # steps scored between two visits of the output layer
 LN10 = float(np.log(10.0))
 
@@ -277,26 +280,27 @@ def gradients(p: dict[str, np.ndarray], units: np.ndarray, targets: np.ndarray,
     return g, hs[-1]
 
 
-def train_here(p: dict[str, np.ndarray], docs: list[np.ndarray], v: Vocabulary, lanes: int = 16, steps: int = 16, rate: float = 0.01) -> tuple[dict[str, np.ndarray], int]:
-    """Truncated backpropagation over documents (arrays of units), dealt to lanes; the state is carried from
-    window to window. Adam steps; returns the weights and the tokens learned from."""
+def train_here(p: dict[str, np.ndarray], segments: list[np.ndarray], v: Vocabulary, lanes: int = 64, steps: int = 16, rate: float = 0.01) -> tuple[dict[str, np.ndarray], int]:
+    """Truncated backpropagation over segments of documents (the unit before, then the segment's units), dealt
+    to at most ``lanes`` lanes; the state is carried from window to window. Adam steps; returns the weights and
+    the tokens learned from."""
+    lanes = max(4, min(lanes, sum(map(len, segments)) // 2048))
     queues: list[list[np.ndarray]] = [[] for _ in range(lanes)]
     load = [(0, k) for k in range(lanes)]
-    for d in docs:
+    for d in segments:
         n, k = heapq.heappop(load)
         queues[k].append(d)
-        heapq.heappush(load, (n + len(d), k))
+        heapq.heappush(load, (n + len(d) - 1, k))
     longest = max((n for n, _ in load), default=0)
     size = -(-longest // steps) * steps
     units, targets = np.full((lanes, size), v.units, np.int64), np.zeros((lanes, size), np.int64)
     reset, live = np.zeros((lanes, size), bool), np.zeros((lanes, size), bool)
     for k, q in enumerate(queues):
         if q:
-            line = np.concatenate(q)
-            starts = np.cumsum([0] + [len(d) for d in q])[:-1]
+            line = np.concatenate([d[1:] for d in q])
+            starts = np.cumsum([0] + [len(d) - 1 for d in q])[:-1]
             targets[k, :len(line)], live[k, :len(line)], reset[k, starts] = line, True, True
-            units[k, 1:len(line)] = line[:-1]
-            units[k, starts] = v.units
+            units[k, :len(line)] = np.concatenate([d[:-1] for d in q])
     m, s = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     h = np.zeros((lanes, HIDDEN), np.float32)
     for t, a in enumerate(range(0, size, steps), 1):
@@ -322,30 +326,62 @@ def units_of(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray,
     return unit, at, rare
 
 
+def training_units(docs: DataFrame, v: Vocabulary, groups: int) -> DataFrame:
+    """(grp, key, units) of the segments of all training documents, grp by hash. Equal rows are numbered within
+    a task and dealt on after every eighth, so that no group grows with the copies of one row."""
+    kind = np.uint16 if v.units < 1 << 16 else np.int32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in pieces(batches, 4 << 20):
+            keys, times, parts, units = [], [], [], []
+            for i, t in zip(b.column(b.schema.get_field_index("doc_id")).to_pylist(), text_bytes(b), strict=True):
+                key = zlib.crc32(t, zlib.crc32(str(i).encode()))
+                seen[key] += 1
+                line = np.concatenate([[v.units], units_of(tokens(t), v)[0]]).astype(kind)
+                for a in range(0, len(line) - 1, SEGMENT):
+                    keys.append(key)
+                    times.append((seen[key] - 1) // 8)
+                    parts.append(a)
+                    units.append(line[a:a + SEGMENT + 1].tobytes())
+            yield out_batch(key=pa.array(keys, pa.int64()), times=pa.array(times, pa.int64()), part=pa.array(parts, pa.int64()), units=pa.array(units, pa.binary()))
+
+    rows = docs.where(is_training()).select("doc_id", "text").mapInArrow(run, "key bigint, times bigint, part bigint, units binary")
+    key = F.xxhash64("key", "times", "part")
+    return rows.select(F.pmod(key, F.lit(groups)).alias("grp"), key.alias("key"), "units")
+
+
 def train(docs: DataFrame, v: Vocabulary, rounds: int, budget: int) -> np.ndarray:
-    """Weights after ``rounds`` rounds in which each task learns from at most about ``budget`` tokens of its
-    training documents, a random part of whole documents; what is learned from grows with the input."""
+    """Weights after ``rounds`` rounds over all tokens of the training documents. A group of about ``budget``
+    tokens is learned from between two averages, whatever the table's size and partitions; its segments
+    stand in order of their hash."""
     weights = flat(start_weights(v))
-    source = docs.where(is_training()).select("text")
-    for turn in range(rounds):
-
-        def run(batches: Iterator[pa.RecordBatch], weights=weights, turn=turn) -> Iterator[pa.RecordBatch]:
-            rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
-            kept, size = [], 0  # a reservoir of documents: heap of (random key, order, units)
-            for k, b in enumerate(pieces(batches)):
-                for j, t in enumerate(text_bytes(b)):
-                    key = rng.random()
-                    if size >= budget and key <= kept[0][0]:
-                        continue
-                    heapq.heappush(kept, (key, k, j, t))
-                    size += len(t) // 6 + 1
-                    while len(kept) > 1 and size - len(kept[0][3]) // 6 - 1 >= budget:
-                        size -= len(heapq.heappop(kept)[3]) // 6 + 1
-            if kept:
-                p, n = train_here(unflat(weights, v), [units_of(tokens(t), v)[0] for _, _, _, t in kept], v)
-                yield out_batch(n=pa.array([n], pa.int64()), w=pa.array([(flat(p).astype(np.float64) * n).tobytes()], pa.binary()))
-
-        sums = stored(source.mapInArrow(run, "n bigint, w binary"), "lm_weights")
+    groups = max(1, -(-v.total // budget))
+    kind = np.uint16 if v.units < 1 << 16 else np.int32
+    source = stored(training_units(docs, v, groups), "lm_units")
+    for _ in range(rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
+            total, w, group, segments = 0, 0, None, []
+
+            def learn():
+                nonlocal total, w
+                p, n = train_here(unflat(weights, v), segments, v)
+                total, w = total + n, w + flat(p).astype(np.float64) * n
+
+            for b in pieces(batches):
+                for g, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if g != group and segments:
+                        learn()
+                        segments = []
+                    group = g
+                    segments.append(np.frombuffer(x, kind))
+            if segments:
+                learn()
+                yield out_batch(n=pa.array([total], pa.int64()), w=pa.array([w.tobytes()], pa.binary()))
+
+        dealt = source.repartition(min(groups, 4096), "grp").sortWithinPartitions("grp", "key", "units").select("grp", "units")
+        sums = stored(dealt.mapInArrow(run, "n bigint, w binary"), "lm_weights")
         rows = sums.count()
         while rows > 16:  # a tree of sums, so that a few rows come to the driver
             rows = -(-rows // 16)
@@ -413,7 +449,7 @@ def log_likelihoods(p: dict[str, np.ndarray], docs: list[np.ndarray], v: Vocabul
 
 # -- the operator -----------------------------------------------------------
 
-def score_documents(docs: DataFrame, known: int = 100_000, head: int = 512, rounds: int = 2, budget: int = 60_000, chunk: int = 3_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, known: int = 100_000, head: int = 512, rounds: int = 2, budget: int = 240_000, chunk: int = 3_000_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out (crc32 of the id's text mod 7 is 2; not learned from),
     n_tokens, n_known, train_tokens, base_score (smoothed unigrams) and score (the model), both log10 of the
     probability of the whole text.
@@ -422,6 +458,7 @@ def score_documents(docs: DataFrame, known: int = 100_000, head: int = 512, roun
     further word of its class. A null doc_id hashes as empty text (0, not held out). Repeated rows are
     learned from and scored as often as they stand there. Without any training document the counts are
     empty and the network keeps its first weights. An empty table gives an empty result.
+    ``budget``: tokens of a group, learned from between two averages; every training token is in one group.
     ``known``: words whose counts go to every task; counts of all others are joined."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = stored(count_words(docs), "word_counts")

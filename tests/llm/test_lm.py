@@ -121,3 +121,22 @@ def test_nothing_to_learn_from(spark, make_docs):
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
     r = L.score_documents(make_docs([(held, "a b")])).first()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0) and math.isfinite(r.score)
+
+
+def test_every_training_token_is_learned_from(spark, make_docs, rng):
+    """Also of one long document, of many copies of a row and of a table in a single partition; the weights do
+    not depend on the partitions."""
+    rows = rows_of(rng)
+    weights = []
+    for parts in (1, 5):
+        docs = make_docs(rows).select("doc_id", "text").repartition(parts)
+        v = L.vocabulary(L.count_words(docs), 1000, 64)
+        got = L.training_units(docs, v, 7).collect()
+        assert sum(len(r.units) // 2 - 1 for r in got) == v.total == brute(rows)[0][4]
+        assert max(len(r.units) // 2 - 1 for r in got) <= L.SEGMENT and len({r.grp for r in got}) == 7
+        weights.append(L.train(docs, v, 1, 10_000))
+    assert weights[0] == pytest.approx(weights[1], abs=1e-5)
+    assert np.abs(weights[0] - L.flat(L.start_weights(v))).max() > 1e-3
+    copies = make_docs([(None, "the same text in all rows")] * 400).select("doc_id", "text").coalesce(1)
+    sizes = [r["count"] for r in L.training_units(copies, v, 10).groupBy("grp").count().collect()]
+    assert sum(sizes) == 400 and max(sizes) < 200
