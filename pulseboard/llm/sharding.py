@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stored
+from .common import in_one, stored
 
 HASH_BITS = 60
 FIRST_STRIDE, STRIDE = 15, 6  # directory bits resolved by one aggregate, and what it multiplies a bucket by at most
@@ -89,9 +89,29 @@ def overflow(rows: DataFrame, limit: int) -> DataFrame:
     return parts.join(sums, ["shard", "part"]).select("doc_id", "n_bytes", "shard", "part", "shard_bytes", "shard_docs")
 
 
+def numbered_alike(rows: DataFrame) -> DataFrame:
+    """Rows (key, n_bytes, ...) with a running number among those of equal key and bytes: within a lane of ids,
+    then over the lanes' counts, so no key is numbered in one task."""
+    by = ["key", "n_bytes", "lane"]
+    lane = stored(rows.withColumn("id", F.monotonically_increasing_id()), "alike").withColumn("lane", F.shiftright("id", 12))
+    before = lane.groupBy(*by).agg(F.count("*").alias("n"))
+    before = before.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("key", "n_bytes").orderBy("lane").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    number = F.col("before") + F.row_number().over(W.partitionBy(*by).orderBy("id"))
+    return lane.join(before.drop("n"), by).withColumn("number", number).drop("lane", "before", "id")
+
+
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write the documents below ``path``, one folder per shard and part (placed: the result of ``shards``)."""
-    docs.join(placed.select("doc_id", "shard", "part").distinct(), "doc_id").repartition("shard", "part") \
+    """Write the documents below ``path``, one folder per shard and part (placed: the result of ``shards``).
+    Every row goes to one part. Rows of one doc_id in several parts are matched to their places by bytes and
+    running number: places of equal id and bytes may be exchanged."""
+    key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("key")  # null: ''
+    places = stored(placed.select(key, "n_bytes", "shard", "part"), "places")
+    apart = stored(places.groupBy("key").agg(F.min_by("shard", "part").alias("shard"), F.min("part").alias("part"), F.max("part").alias("last")), "parts_of_ids")
+    several = apart.where("last > part").select("key")
+    rows = docs.select(key, F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint").alias("n_bytes"), in_one(docs))
+    one = rows.join(apart.where("last = part").drop("last"), "key")
+    spread = numbered_alike(rows.join(several, "key", "left_semi")).join(numbered_alike(places.join(several, "key", "left_semi")), ["key", "n_bytes", "number"])
+    one.select("row.*", "shard", "part").unionByName(spread.select("row.*", "shard", "part")).repartition("shard", "part") \
         .write.partitionBy("shard", "part").parquet(path)
 
 

@@ -65,3 +65,16 @@ def test_write(spark, make_docs, tmp_path):
     S.write_shards(docs, S.shards(docs, 100), str(tmp_path / "out"))
     back = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out"))
     assert back.count() == 40 and set(docs.columns) <= set(back.columns)
+
+
+def test_write_null_and_repeated_ids(spark, make_docs, tmp_path):
+    """Every row is written once, to a part within the limit."""
+    rows = [(7, "x" * 50 + str(k % 10)) for k in range(300)] + [(None, "y" * 30)] * 10 + [(None, None), (8, "z" * 5000), (9, None), (10, ""), (10, "")]
+    docs = make_docs(rows, extra=["row", "key", "n_bytes", "number"]).repartition(4)
+    S.write_shards(docs, S.shards(docs, 200), str(tmp_path / "out"))
+    got = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out")).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(rows, key=str)
+    size = {}
+    for r in got:
+        size.setdefault((r.shard, r.part), []).append(len(r.text or ""))
+    assert all(sum(v) <= 200 or len(v) == 1 for v in size.values())
