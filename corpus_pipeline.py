@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulseboard.llm import decontaminate, line_dedup, packing, quality, simhash
 from pulseboard.llm.common import stored, table
-from pulseboard.llm.registry import RANKS
+from pulseboard.llm.registry import ADDED, RANKS
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return packing.pack(docs, RANKS)
+    return packing.pack(docs, RANKS, added=ADDED)
 
 
 STAGES = [

@@ -14,6 +14,7 @@ sum gives. Nothing is gathered or replayed in one place.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -31,8 +32,8 @@ UNIT = 1 << 20  # quanta are counted in this part of a packet
 
 
 @cache
-def encoder(path: str):
-    """The tokenizer of a rank file (token bytes in base64, rank), without special tokens."""
+def encoder(path: str, added: str | None = None):
+    """The tokenizer of a rank file (token bytes in base64, rank) with the added tokens of a tokenizer's JSON."""
     import base64
 
     import public_tokenizers
@@ -40,18 +41,27 @@ def encoder(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(added) if added else {})
 
 
-def tokenized(docs: DataFrame, ranks: str, queue: str) -> DataFrame:
+def added_tokens(path: str) -> dict[str, int]:
+    """Token to id of the added tokens, which are matched as they stand in a text."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(x[k] for x in found for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path}: added tokens that take in what stands beside them")
+    return {x["content"]: x["id"] for x in found}
+
+
+def tokenized(docs: DataFrame, ranks: str, queue: str, added: str | None = None) -> DataFrame:
     """(doc_id, queue, chunk, chunk_start, n_tokens, ids): ids as little-endian unsigned 32-bit, the end id
     last; chunk is the task that wrote the row, chunk_start the tokens of its queue before it there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, chunk, sent = encoder(ranks), TaskContext.get().partitionId(), {}
+        enc, chunk, sent = encoder(ranks, added), TaskContext.get().partitionId(), {}
         end = np.array([END_ID], np.uint32)
         for b in pieces(batches, 8 << 20):
-            ids = [np.concatenate([enc.encode_to_numpy(t or "", disallowed_special=()).astype(np.uint32), end]) for t in column(b, "text")]
+            ids = [np.concatenate([enc.encode_to_numpy(t or "", allowed_special="all", disallowed_special=()).astype(np.uint32), end]) for t in column(b, "text")]
             queues, starts = column(b, "queue"), []
             for q, x in zip(queues, ids, strict=True):
                 starts.append(sent.get(q, 0))
@@ -127,7 +137,7 @@ class Rounds:
 
 
 def pack(docs: DataFrame, ranks: str, window: int = 1024, packet: int = 32, mixture: dict[str, float] | None = None,
-         queue: str = "source", max_queues: int = 1000) -> DataFrame:
+         queue: str = "source", max_queues: int = 1000, added: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue.
 
     A document is its token ids, then id 0; null text counts as empty and still has that id. Every id lies
@@ -135,8 +145,10 @@ def pack(docs: DataFrame, ranks: str, window: int = 1024, packet: int = 32, mixt
     powers of two, so nothing is padded. ``mixture``: target shares by queue (null queue: ''); queues that it
     doesn't name come last, a crumb at a time; None: the queues' shares of all tokens. A null doc_id is
     carried along, repeated rows are packed as often as they stand there, an empty table gives no pieces.
+    ``added``: JSON of the tokenizer whose added tokens (such as <|endoftext|>) are found in the texts and
+    stand as their ids; None: they are read as ordinary text.
     More than ``max_queues`` queues raise: a mixture names its parts (their totals go to every task)."""
-    rows = stored(tokenized(docs, ranks, queue), "tokens")
+    rows = stored(tokenized(docs, ranks, queue, added), "tokens")
     chunks = rows.groupBy("queue", "chunk").agg(F.sum("n_tokens").alias("n"))
     before = chunks.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("queue").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     before = stored(before, "queue_starts")  # small, and known to be: the ids needn't be shuffled to meet it

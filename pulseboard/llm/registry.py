@@ -14,6 +14,7 @@ from .common import table
 SHARD_BYTES = 1 << 20
 #: Rank file of the tokenizer; its ids are those of byte_bpe_50k.json.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+ADDED = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +22,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), RANKS)
+    return packing.pack(table(spark, sf_dir, "documents"), RANKS, added=ADDED)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,3 +115,19 @@ def test_ids_equal_the_tokenizers_library(rng):
     enc = P.encoder(RANKS)
     texts = ["".join(chr(rng.choice([32, 10, 33, 65, 97, 233, 0x4E2D, 0x1F600, 48])) for _ in range(300)) for _ in range(200)]
     assert [enc.encode_ordinary(t) + [0] for t in texts] == ids_of(texts)
+
+
+def test_added_tokens_as_the_tokenizers_library_has_them(spark, make_docs, tmp_path, rng):
+    """Default settings of the reference, on texts that hold the marker; also as the query packs them."""
+    from pulseboard.llm import registry
+
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "\n", "a", "Éa", " the", "12", "  "]
+    rows = [(k, "".join(rng.choice(parts) for _ in range(30))) for k in range(80)] + [(100, "a <|endoftext|> b"), (101, "<|endoftext|>"), (102, None)]
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: t.encode(x or "", add_special_tokens=False).ids + [0] for i, x in rows}
+    assert want[100] == [64, 220, 50256, 275, 0]
+    make_docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.op2_packing(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(want)
+    for r in got:
+        assert r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start:r.start + r.length], "<u4").tobytes())
