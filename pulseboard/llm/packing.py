@@ -137,7 +137,7 @@ class Rounds:
 
 
 def pack(docs: DataFrame, ranks: str, window: int = 1024, packet: int = 32, mixture: dict[str, float] | None = None,
-         queue: str = "source", max_queues: int = 1000, added: str | None = None) -> DataFrame:
+         queue: str = "source", max_queues: int | None = None, added: str | None = None, own: int = 744, folded: int = 256) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue.
 
     A document is its token ids, then id 0; null text counts as empty and still has that id. Every id lies
@@ -147,23 +147,42 @@ def pack(docs: DataFrame, ranks: str, window: int = 1024, packet: int = 32, mixt
     carried along, repeated rows are packed as often as they stand there, an empty table gives no pieces.
     ``added``: JSON of the tokenizer whose added tokens (such as <|endoftext|>) are found in the texts and
     stand as their ids; None: they are read as ordinary text.
-    More than ``max_queues`` queues raise: a mixture names its parts (their totals go to every task)."""
+    Any number of queues: beyond ``own`` + ``folded`` of them, those that the mixture names and the ``own``
+    largest stay queues by themselves, the others stand one after another in ``folded`` queues by hash, whose
+    shares are the sums of theirs. More than ``max_queues`` raise, if given."""
     rows = stored(tokenized(docs, ranks, queue, added), "tokens")
     chunks = rows.groupBy("queue", "chunk").agg(F.sum("n_tokens").alias("n"))
     before = chunks.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("queue").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     before = stored(before, "queue_starts")  # small, and known to be: the ids needn't be shuffled to meet it
-    totals = {r["queue"]: r["n"] for r in rows.groupBy("queue").agg(F.sum("n_tokens").alias("n")).limit(max_queues + 1).collect()}
-    if len(totals) > max_queues:
+    sums = stored(rows.groupBy("queue").agg(F.sum("n_tokens").alias("n")), "queue_totals")
+    distinct = sums.count()
+    if max_queues is not None and distinct > max_queues:
         raise ValueError(f"more than {max_queues} queues in {queue}")
-    names = sorted(totals)
-    shares = [float(totals[q]) if mixture is None else float(mixture.get(q, 0.0)) for q in names]
-    rounds, number = Rounds([totals[q] for q in names], shares, window, packet), {q: k for k, q in enumerate(names)}
+    named = {} if mixture is None else mixture
+    if distinct <= own + folded:
+        totals, folds = {r["queue"]: r["n"] for r in sums.collect()}, {}
+    else:
+        spark = docs.sparkSession
+        totals = {r["queue"]: r["n"] for r in sums.orderBy(F.desc("n"), "queue").limit(own).collect()}
+        names = spark.createDataFrame([(q,) for q in {*totals, *named}], "queue string")
+        totals |= {r["queue"]: r["n"] for r in sums.join(names, "queue").collect()}  # those that the mixture names
+        small = sums.join(spark.createDataFrame([(q,) for q in totals], "queue string"), "queue", "left_anti").withColumn("fold", F.pmod(F.xxhash64("queue"), F.lit(folded)).cast("int"))
+        # where each of the small ones begins in its queue
+        small = stored(small.withColumn("base", F.coalesce(F.sum("n").over(W.partitionBy("fold").orderBy("queue").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))), "folded_queues")
+        folds = {r["fold"]: r["n"] for r in small.groupBy("fold").agg(F.sum("n").alias("n")).collect()}
+        before = before.join(small.drop("n"), "queue", "left").select("queue", "chunk", (F.col("before") + F.coalesce("base", F.lit(0))).alias("before"), "fold")
+    if "fold" not in before.columns:
+        before = before.withColumn("fold", F.lit(None).cast("int"))
+    names, parts = sorted(totals), sorted(folds)
+    sizes = [totals[q] for q in names] + [folds[k] for k in parts]
+    shares = [float(n) for n in sizes] if mixture is None else [float(mixture.get(q, 0.0)) for q in names] + [0.0] * len(parts)
+    rounds, number = Rounds(sizes, shares, window, packet), {q: k for k, q in enumerate([*names, *parts])}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 8 << 20):
             ints = lambda c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
             n, queues = ints("n_tokens"), column(b, "queue")
-            q = np.array([number[x] for x in queues], np.int64)
+            q = np.array([number[x if k is None else k] for x, k in zip(queues, column(b, "fold"), strict=True)], np.int64)
             d, start, length, _, seq, offset = rounds.pieces(q, ints("before") + ints("chunk_start"), n)
             data = memoryview(b"".join(column(b, "ids")))
             lo = 4 * ((np.cumsum(n) - n)[d] + start)

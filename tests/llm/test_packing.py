@@ -131,3 +131,18 @@ def test_added_tokens_as_the_tokenizers_library_has_them(spark, make_docs, tmp_p
     assert {r.doc_id for r in got} == set(want)
     for r in got:
         assert r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start:r.start + r.length], "<u4").tobytes())
+
+
+def test_any_number_of_queues(spark, make_docs):
+    """More sources than queues: every id once, the large ones' proportions in the windows, the mixture's names."""
+    rows = [(k, "word " * (400 if k < 40 else 1 + k % 7)) for k in range(1300)]
+    docs = make_docs(rows).withColumn("source", F.when(F.col("doc_id") < 40, F.concat(F.lit("big"), F.col("doc_id") % 2)).otherwise(F.concat(F.lit("site"), F.col("doc_id")))).repartition(4)
+    source = {r.doc_id: r.source for r in docs.collect()}
+    assert len(set(source.values())) == 1262
+    for options in ({}, {"own": 2, "folded": 8}, {"own": 1, "folded": 3, "mixture": {"big0": 0.5, "big1": 0.4, "site77": 0.1}}):
+        got = P.pack(docs, RANKS, 128, 8, **options).collect()
+        check_pack(rows, got, 128)
+        assert all(r.queue == source[r.doc_id] for r in got)
+        if "mixture" in options:
+            first = [r for r in got if r.sequence_id < 20]
+            assert 0.4 <= sum(r.length for r in first if r.queue == "big0") / sum(r.length for r in first) <= 0.65
