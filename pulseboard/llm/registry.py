@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, line_dedup, lm, packing, quality, secrets, sharding, simhash, toxicity
+from . import ann, decontaminate, line_dedup, lm, packing, quality, runs, secrets, sharding, simhash, toxicity
 from .common import table
 
 #: Byte limit of a shard, in proportion to these tables (a cluster's would be some hundred MB).
@@ -57,7 +57,12 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), 3, 3)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_secret_scan, op2_packing, op3_lm_scoring, op4_line_dedup, op5_decontamination,
-    op6_toxicity, op7_sharding, op8_quality_classifier, op9_nearest_neighbours, op10_simhash_dedup)}
+    op6_toxicity, op7_sharding, op8_quality_classifier, op9_nearest_neighbours, op10_simhash_dedup,
+    op13_periodic_runs)}
 ORACLE: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE, "op7_sharding": sharding.ORACLE.format(limit=SHARD_BYTES)}
