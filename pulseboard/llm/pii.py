@@ -239,7 +239,7 @@ def labelled(graphs: list[Graph], field: Field) -> list[np.ndarray]:
 def plausible(kind: int, text: str) -> bool:
     """Whether a span has what its kind can't do without."""
     n = len(digits_of(text))
-    return (not text.isdigit(), text.count(".") >= 3, 13 <= n <= 19, 7 <= n <= 15)[kind]
+    return (not text.isdigit(), text.count(".") >= 3, 13 <= n <= 19 and luhn(digits_of(text)), 7 <= n <= 15)[kind]
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], g: Graph, label: np.ndarray) -> list[tuple[int, int, int]]:
