@@ -18,6 +18,15 @@ NUMBER_JUNK = "$,%()" + string.ascii_letters
 STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 # What reads as a number: no type suffix, nan or infinity.
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# Characters a plain number is made of: a cell of nothing else is cast as it stands.
+PLAIN = "0123456789+-."
+#: Typed columns stored beside a tab's text (see the ``*_frame`` functions): header -> column.
+TYPED = {
+    "Revenue": "__revenue", "Project Health Score": "__health", "Total Project Score": "__total", "eNPS": "__enps",
+    "Open Pipeline_Active Work": "__active", "Percieved Annual AMO": "__amo", "Pipeline Score": "__pscore", "Total Deal Score": "__tscore",
+    "Impact ($)": "__impact", "Utilization (%)": "__util", "Latest Pulse Score": "__pulse", "Strategic Cost ($)": "__cost",
+    "Annualized Impact ($)": "__annual",
+}
 
 
 def _is_numeric(dtype) -> bool:
@@ -53,13 +62,18 @@ def to_number(c, dtype=None) -> Column:
     col = _c(c)
     if _is_numeric(dtype):
         return F.coalesce(F.nanvl(col.cast("double"), F.lit(None).cast("double")), F.lit(0.0))
-    s = strip(F.translate(col.cast("string"), NUMBER_JUNK, ""))
-    return F.coalesce(strict_double(s), F.lit(0.0))
+    s = F.translate(col.cast("string"), NUMBER_JUNK, "")
+    # nearly every cell is plain by now; only the others are stripped and held against the pattern
+    plain = F.translate(s, PLAIN, "") == ""
+    return F.coalesce(F.when(plain, s.try_cast("double")).otherwise(strict_double(strip(s))), F.lit(0.0))
 
 
 def number_of(df: DataFrame, name: str) -> Column:
-    """Lenient number of a column by its type in ``df``; 0 where the column is absent."""
+    """Lenient number of a column by its type in ``df`` (the stored one, where the tab has it); 0 where the
+    column is absent."""
     kind = dict(df.dtypes).get(name)
+    if kind and TYPED.get(name) in df.columns:
+        return F.col(TYPED[name])
     return to_number(F.col(f"`{name}`"), kind) if kind else F.lit(0.0)
 
 

@@ -1,11 +1,4 @@
-"""Order-independent aggregates.
-
-Double sums depend on the order rows arrive in, so a re-partitioned input can
-change the last bits of a KPI. Values below 10^17 are summed as decimals with
-ten places (exact, and partial aggregation still applies); larger ones, which
-such a decimal can't hold, are summed as doubles beside them, so no cell ends
-the job or is cut to cents.
-"""
+"""Order-independent aggregates: counts, means of integers and exact medians (sums: ``functions.exact``)."""
 
 from __future__ import annotations
 
@@ -14,27 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DECIMAL = "decimal(28,10)"
-LARGE = 1e17
-
-
-def _total(c: Column) -> Column:
-    """Sum of a DOUBLE column, null when there are no values."""
-    small, large = F.abs(c) < LARGE, F.abs(c) >= LARGE
-    exact = F.sum(F.when(small, c).cast(DECIMAL)).cast("double")
-    rest = F.sum(F.when(large, c))
-    return F.coalesce(exact + rest, exact, rest)
-
-
-def dsum(c: Column) -> Column:
-    """Sum of a DOUBLE column; 0 when empty."""
-    return F.coalesce(_total(c), F.lit(0.0))
-
-
-def dmean(c: Column) -> Column:
-    """Mean of the non-null values; 0 when there are none."""
-    return F.coalesce(_total(c) / F.count(c), F.lit(0.0))
-
 
 def imean(c: Column) -> Column:
     """Mean of an integer column; 0 when there are none."""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import clean as C
 from ..functions.bands import NA, band
-from ..functions.stats import count_if, dsum
+from ..functions.exact import FAR, Sum, aggregate
+from ..functions.stats import count_if
 from ..sources.tabs import ROW, q
 from ..targets import PIPELINE_SCORE_BANDS, PROJECT_SCORE_BANDS
 from .kpis import pipeline_frame, project_frame, risk_frame
@@ -117,5 +118,5 @@ def risk_by_severity(risks: DataFrame) -> DataFrame:
     """Total impact and count per severity label (``High``, ``Medium``, ..., ``Unknown``)."""
     rf = risk_frame(risks)
     sev = C.severity_label(q("Severity")) if "Severity" in rf.columns else F.lit("Unknown")
-    return rf.groupBy(sev.alias("severity")).agg(dsum(F.col("__impact")).alias("total_impact"),
-                                                 F.count(F.lit(1)).alias("risk_count"))
+    rows = rf.select(sev.alias("severity"), "__impact", FAR)
+    return aggregate(rows, ("severity",), [Sum("total_impact", F.col("__impact")), F.count(F.lit(1)).alias("risk_count")])

@@ -1,6 +1,6 @@
 """The KPI bundle: global (or grouped) conditional aggregates, one scan per tab.
 
-A *family* is a set of KPIs over one tab: ``aggs`` are aggregate Columns,
+A *family* is a set of KPIs over one tab: ``aggs`` are aggregate Columns and exact sums,
 ``post`` are Columns over the aggregated row (ratios, percent of target).
 ``run`` evaluates any number of families of one tab in a single ``agg``, so
 the whole project bundle is one scan of Project Inventory with partial
@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
-from ..functions.stats import count_if, dmean, dsum, imean, medians
+from ..functions.exact import FAR, Mean, Sum, aggregate, far_mark
+from ..functions.stats import count_if, imean, medians
 from ..sources.tabs import ROW, q
 from ..targets import DEFAULT_TARGETS, Targets
 
@@ -37,7 +38,7 @@ def run(df: DataFrame, families, by=()) -> DataFrame:
     aggs = [a for f in families for a in f.aggs]
     post = [p for f in families for p in f.post]
     found = {n: c for f in families for n, c in f.medians.items()}
-    g = (df.groupBy(*[q(b) for b in by]) if by else df.groupBy()).agg(*(aggs or [F.count(F.lit(1)).alias("__n")]))
+    g = aggregate(df, by, aggs)
     if found:
         m = medians(df, found, by).select(*[q(b).alias(f"__by{i}") for i, b in enumerate(by)], *[F.col(n).alias(f"__{n}") for n in found])
         same = [q(b).eqNullSafe(F.col(f"__by{i}")) for i, b in enumerate(by)]
@@ -57,6 +58,11 @@ def _num(df: DataFrame, col: str) -> Column:
 # Project Inventory
 # --------------------------------------------------------------------------
 
+def _with_far(df: DataFrame, *numbers: str) -> DataFrame:
+    """``df`` with the mark of rows that hold a number the exact sums keep in parts."""
+    return df.withColumn(FAR, far_mark(*numbers))
+
+
 def project_frame(projects: DataFrame) -> DataFrame:
     """Typed helper columns (prefixed ``__``) next to the raw text columns; as they are where stored already."""
     df = projects
@@ -72,7 +78,7 @@ def project_frame(projects: DataFrame) -> DataFrame:
         "__disc": C.to_date(q("Next Opp First Discussion Date")) if "Next Opp First Discussion Date" in df.columns else F.lit(None).cast("date"),
         "__checkin": C.to_date(q("Last Sponsor Checkin Date")) if "Last Sponsor Checkin Date" in df.columns else F.lit(None).cast("date"),
     }
-    return df.withColumns(cols)
+    return _with_far(df.withColumns(cols), "__revenue", "__health", "__total", "__enps")
 
 
 def f_status(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
@@ -80,7 +86,7 @@ def f_status(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
     aggs = [
         F.count(F.lit(1)).alias("total_projects"),
         count_if(st == "R").alias("red_projects_count"),
-        dsum(F.when(st == "R", rev)).alias("red_project_revenue"),
+        Sum("red_project_revenue", F.when(st == "R", rev)),
         count_if(st == "Y").alias("yellow_projects_count"),
         count_if(st == "G").alias("green_projects_count"),
     ]
@@ -98,7 +104,7 @@ def f_status(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
 def f_revenue(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
     tot = F.col("total_revenue")
     return Family(
-        [dsum(F.col("__revenue")).alias("total_revenue")],
+        [Sum("total_revenue", F.col("__revenue"))],
         [tot, (tot / F.lit(t.revenue) * 100.0).alias("revenue_vs_target_pct"),
          (tot / F.lit(t.revenue_stretch) * 100.0).alias("revenue_vs_stretch_pct")],
     )
@@ -107,7 +113,7 @@ def f_revenue(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
 def _score_stats(df: DataFrame, raw: str, typed: str, avg_name: str, med_name: str) -> Family:
     if raw not in df.columns:
         return Family([F.lit(0.0).alias(avg_name), F.lit(0.0).alias(med_name)], [F.col(avg_name), F.col(med_name)])
-    return Family([dmean(F.col(typed)).alias(avg_name)], [F.col(avg_name), F.col(med_name)], {med_name: F.col(typed)})
+    return Family([Mean(avg_name, F.col(typed))], [F.col(avg_name), F.col(med_name)], {med_name: F.col(typed)})
 
 
 def _extremes(df: DataFrame, raw: str, typed: str, name: str, top: str, bottom: str) -> Family:
@@ -143,9 +149,9 @@ def f_project_extremes(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
 
 def f_nps(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
     avg = F.col("avg_customer_nps")
-    agg = dmean(F.col("__enps")) if "eNPS" in df.columns else F.lit(0.0)
+    agg = Mean("avg_customer_nps", F.col("__enps")) if "eNPS" in df.columns else F.lit(0.0).alias("avg_customer_nps")
     return Family(
-        [agg.alias("avg_customer_nps")],
+        [agg],
         [avg, F.when(avg != 0, avg / F.lit(t.nps) * 100.0).otherwise(F.lit(0.0)).alias("customer_nps_vs_target_pct")],
     )
 
@@ -214,7 +220,7 @@ def pipeline_frame(pipeline: DataFrame) -> DataFrame:
     df = pipeline
     if "__closed" in df.columns:
         return df
-    return df.withColumns({
+    return _with_far(df.withColumns({
         "__active": _num(df, "Open Pipeline_Active Work"),
         "__amo": _num(df, "Percieved Annual AMO"),
         "__pscore": _num(df, "Pipeline Score"),
@@ -222,14 +228,14 @@ def pipeline_frame(pipeline: DataFrame) -> DataFrame:
         "__created": C.to_date(q("Opportunity Created Date")) if "Opportunity Created Date" in df.columns else F.lit(None).cast("date"),
         "__closed": C.to_date(q("Closed Won Date")) if "Closed Won Date" in df.columns else F.lit(None).cast("date"),
         "__touch": C.to_date(q("Next Touchpoint Date")) if "Next Touchpoint Date" in df.columns else F.lit(None).cast("date"),
-    })
+    }), "__active", "__amo", "__pscore", "__tscore")
 
 
 def f_pipeline_values(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
     act = F.col("active_pipeline_value")
     ratio = act / F.lit(t.revenue)
     return Family(
-        [dsum(F.col("__active")).alias("active_pipeline_value"), dsum(F.col("__amo")).alias("total_potential_pipeline_value")],
+        [Sum("active_pipeline_value", F.col("__active")), Sum("total_potential_pipeline_value", F.col("__amo"))],
         [act, F.col("total_potential_pipeline_value"), ratio.alias("pipeline_coverage_ratio"),
          (ratio / F.lit(t.coverage) * 100.0).alias("pipeline_coverage_vs_target_pct")],
     )
@@ -265,8 +271,10 @@ def f_deal_cycle(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
 
 def risk_frame(risks: DataFrame) -> DataFrame:
     df = risks
+    if "__impact" in df.columns:
+        return df
     sev = C.severity_kpi(q("Severity")) if "Severity" in df.columns else F.lit("unknown")
-    return df.withColumns({"__impact": _num(df, "Impact ($)"), "__sev": sev})
+    return _with_far(df.withColumns({"__impact": _num(df, "Impact ($)"), "__sev": sev}), "__impact")
 
 
 def f_risk(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
@@ -274,8 +282,8 @@ def f_risk(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
     imp = F.col("__impact")
     hi_imp, tot = F.col("high_severity_risk_impact"), F.col("total_risk_impact")
     return Family(
-        [count_if(hi).alias("high_severity_risk_count"), dsum(F.when(hi, imp)).alias("high_severity_risk_impact"),
-         dsum(imp).alias("total_risk_impact")],
+        [count_if(hi).alias("high_severity_risk_count"), Sum("high_severity_risk_impact", F.when(hi, imp)),
+         Sum("total_risk_impact", imp)],
         [F.col("high_severity_risk_count"), hi_imp, tot,
          F.when(tot != 0, hi_imp / tot * 100.0).otherwise(F.lit(0.0)).alias("high_risk_impact_as_pct_of_total")],
     )
@@ -283,16 +291,31 @@ def f_risk(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
 
 def staff_frame(staff: DataFrame) -> DataFrame:
     df = staff
+    if "__util" in df.columns:
+        return df
     role = C.is_executive(q("Role")) if "Role" in df.columns else F.lit(False)
-    return df.withColumns({"__util": _num(df, "Utilization (%)"), "__pulse": _num(df, "Latest Pulse Score"),
-                           "__exec": role})
+    return _with_far(df.withColumns({"__util": _num(df, "Utilization (%)"), "__pulse": _num(df, "Latest Pulse Score"),
+                                     "__exec": role}), "__util", "__pulse")
+
+
+def activity_frame(activity: DataFrame) -> DataFrame:
+    if "__cost" in activity.columns:
+        return activity
+    return _with_far(activity.withColumn("__cost", _num(activity, "Strategic Cost ($)")), "__cost")
+
+
+def impact_frame(impacts: DataFrame) -> DataFrame:
+    """A scenario tab with its impact as a number."""
+    if "__annual" in impacts.columns:
+        return impacts
+    return _with_far(impacts.withColumn("__annual", _num(impacts, "Annualized Impact ($)")), "__annual")
 
 
 def f_pulse(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
     avg = F.col("avg_employee_pulse_score")
-    agg = dmean(F.col("__pulse")) if "Latest Pulse Score" in df.columns else F.lit(0.0)
+    agg = Mean("avg_employee_pulse_score", F.col("__pulse")) if "Latest Pulse Score" in df.columns else F.lit(0.0).alias("avg_employee_pulse_score")
     return Family(
-        [agg.alias("avg_employee_pulse_score")],
+        [agg],
         [avg, F.when(avg != 0, avg / F.lit(t.pulse) * 100.0).otherwise(F.lit(0.0)).alias("employee_pulse_vs_target_pct")],
     )
 
@@ -307,7 +330,7 @@ def f_utilization(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
                       + [F.lit(0).cast("bigint").alias(n) for n in names[2:]], [F.col(n) for n in names])
     ex, u = F.col("__exec"), F.col("__util")
     return Family(
-        [dmean(F.when(ex, u)).alias(names[0]), dmean(F.when(~ex, u)).alias(names[1]),
+        [Mean(names[0], F.when(ex, u)), Mean(names[1], F.when(~ex, u)),
          count_if(ex & (u > EXEC_OVER_UTILIZED)).alias(names[2]),
          count_if(~ex & (u < DELIVERY_UNDER_UTILIZED)).alias(names[3]),
          count_if(~ex & (u > DELIVERY_OVER_UTILIZED)).alias(names[4])],
@@ -319,7 +342,7 @@ def f_exec_cost(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
     names = ("total_strategic_cost", "total_strategic_activities_count")
     if "Strategic Cost ($)" not in df.columns:
         return Family([F.lit(0.0).alias(names[0]), F.lit(0).cast("bigint").alias(names[1])], [F.col(n) for n in names])
-    return Family([dsum(_num(df, "Strategic Cost ($)")).alias(names[0]), F.count(F.lit(1)).alias(names[1])],
+    return Family([Sum(names[0], F.col("__cost")), F.count(F.lit(1)).alias(names[1])],
                   [F.col(n) for n in names])
 
 
@@ -407,7 +430,8 @@ def kpi_utilization(staff: DataFrame, by=()) -> DataFrame:
 
 
 def kpi_exec_cost(activity: DataFrame, by=()) -> DataFrame:
-    return run(activity, [f_exec_cost(activity)], by)
+    af = activity_frame(activity)
+    return run(af, [f_exec_cost(af)], by)
 
 
 def kpi_all(projects: DataFrame, pipeline: DataFrame, risks: DataFrame, staff: DataFrame,
@@ -424,5 +448,6 @@ def kpi_all(projects: DataFrame, pipeline: DataFrame, risks: DataFrame, staff: D
                     f_deal_cycle(lf, t)])
     risk = run(rf, [f_risk(rf, t)])
     team = run(sf, [f_pulse(sf, t), f_utilization(sf)])
-    cost = run(activity, [f_exec_cost(activity)])
+    af = activity_frame(activity)
+    cost = run(af, [f_exec_cost(af)])
     return proj.crossJoin(pipe).crossJoin(risk).crossJoin(team).crossJoin(cost)

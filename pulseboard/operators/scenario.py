@@ -14,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import dsum
+from ..functions.exact import FAR, Sum, aggregate
 from ..sources.tabs import ROW, q, with_default
 from ..targets import SCENARIO_CATEGORIES, SCENARIO_DEFAULTS, SCENARIO_LABELS
 from ..functions import clean as C
+from .kpis import impact_frame
 
 CATEGORY_COLS = (
     "lost_sales", "strategic_loss", "project_recovery_costs", "employee_turnover_impact",
@@ -81,7 +82,8 @@ def wide_inputs(inputs: DataFrame, by=()) -> DataFrame:
 
 
 def calc(v, failed: Column) -> dict:
-    """The 9 components and 2 totals from input Columns ``v[0..10]`` (label order)."""
+    """The 9 components and 2 totals from input Columns ``v[0..10]`` (label order). The factors
+    -3, 12, 15, 0.5 and 2 of the model."""
     vp_hourly, vp_hours, head_hourly, head_hours = v[0], v[1], v[2], v[3]
     turnover, at_risk, rev_risk, weeks, salary = v[6], v[7] / 100.0, v[8], v[9], v[10]
     r = {
@@ -239,9 +241,9 @@ def sensitivity(inputs: DataFrame, by=(), spread: float = 0.10, ranges: DataFram
 
 def scenario_totals(do_nothing: DataFrame, proposed: DataFrame) -> DataFrame:
     """Total impact per scenario tab and net against the do-nothing total."""
-    a = do_nothing.select(F.lit("Do Nothing").alias("scenario"), C.number_of(do_nothing, "Annualized Impact ($)").alias("x"))
-    b = proposed.select(F.lit("Proposed").alias("scenario"), C.number_of(proposed, "Annualized Impact ($)").alias("x"))
-    t = a.unionByName(b).groupBy("scenario").agg(dsum(F.col("x")).alias("total_annualized_impact"))
+    a = impact_frame(do_nothing).select(F.lit("Do Nothing").alias("scenario"), "__annual", FAR)
+    b = impact_frame(proposed).select(F.lit("Proposed").alias("scenario"), "__annual", FAR)
+    t = aggregate(a.unionByName(b), ("scenario",), [Sum("total_annualized_impact", F.col("__annual"))])
     # a global aggregate over at most two rows: exactly one row, so the cross join adds one column
     base = t.agg(F.max(F.when(F.col("scenario") == "Do Nothing", F.col("total_annualized_impact"))).alias("__base"))
     return t.crossJoin(base).select(

@@ -6,7 +6,7 @@ with the same tab and value; the question is not compared; no hit scores 0.
 The mapping is deduplicated per value (partial aggregate) and joined once per
 scorecard column: the scored tab is never exploded or regrouped, and the
 planner broadcasts the mapping or shuffles by its real size. Sums go through
-DECIMAL, so their order does not matter.
+``exact.row_sum``: all digits count, in any order.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean as C
 from ..functions.bands import band
-from ..functions.stats import dsum
+from ..functions.exact import Sum, aggregate, row_sum
 from ..sources.tabs import ROW, q, with_default
 from ..targets import PIPELINE_SCORECARD, PROJECT_SCORECARD
 
@@ -62,15 +62,6 @@ def joined_score(df: DataFrame, table: DataFrame, cell: Column, out: str) -> Dat
     return j.withColumn(out, F.coalesce(F.col(f"__s_{out}"), F.lit(0.0))).drop(f"__k_{out}", f"__s_{out}")
 
 
-def exact_sum(columns) -> Column:
-    """Sum of double columns of one row through decimals; 0 without columns."""
-    total = None
-    for c in columns:
-        v = c.cast("decimal(26,6)")
-        total = v if total is None else total + v
-    return total.cast("double") if total is not None else F.lit(0.0)
-
-
 def _scored(df: DataFrame, table: DataFrame, cols, ignore_case: bool = False):
     """``df`` with one score column per scorecard column, and their names."""
     names = []
@@ -86,7 +77,7 @@ def scorecard(df: DataFrame, mapping: DataFrame, tab: str, cols, name_col: str,
     present = [c for c in cols if c in df.columns]
     lean = with_default(df, name_col).select(F.col(ROW), q(name_col), *[q(c) for c in present])
     j, names = _scored(lean, first_value_scores(mapping, tab, ignore_case), present, ignore_case)
-    return j.select(F.col(ROW), q(name_col), exact_sum([F.col(n) for n in names]).alias(out))
+    return j.select(F.col(ROW), q(name_col), row_sum(names).alias(out))
 
 
 def project_health_lookup(projects: DataFrame, mapping: DataFrame, ignore_case: bool = False) -> DataFrame:
@@ -137,7 +128,7 @@ def _weighted(df: DataFrame, mapping: DataFrame, tab: str, cols, name_col: str,
     lean = df.select(F.col(ROW), q(name_col), *[q(c) for c in cols], pair_key(pair[0], q(pair[1]), q(pair[2])).alias("__pair"))
     j, names = _scored(lean, first_value_scores(mapping, tab), cols)
     j = joined_score(j, first_key_scores(mapping), F.col("__pair"), "__eff")
-    main, eff = exact_sum([F.col(n) for n in names]), exact_sum([F.col("__eff")])
+    main, eff = row_sum(names), row_sum(["__eff"])
     return j.select(F.col(ROW), q(name_col), main.alias(out[0]), eff.alias(out[1]), (main * main_w + eff * eff_w).alias(out[2]))
 
 
@@ -156,6 +147,6 @@ def letter_bands(projects: DataFrame, pipeline: DataFrame, project_letters=PROJE
 
 def margin(df: DataFrame, revenue: Column, cost: Column, by) -> DataFrame:
     """(revenue - cost) / revenue per group; null when revenue is 0."""
-    g = df.groupBy(*by).agg(dsum(revenue).alias("revenue"), dsum(cost).alias("cost"))
+    g = aggregate(df, by, [Sum("revenue", revenue), Sum("cost", cost)])
     return g.withColumn("margin", F.when(F.col("revenue") != 0,
                                          (F.col("revenue") - F.col("cost")) / F.col("revenue")))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
+from ..functions.exact import FAR, Sum, aggregate
 from ..sources.tabs import ROW, q
 from .kpis import active_cond, project_frame, staff_frame
 
@@ -27,10 +28,10 @@ def staff_links(staff: DataFrame) -> DataFrame:
     sf = staff_frame(staff)
     if "Project Assignments" not in sf.columns or "Employee Name" not in sf.columns:
         return sf.sparkSession.createDataFrame(
-            [], f"project string, {ROW} bigint, name string, util double, pulse double")
+            [], f"project string, {ROW} bigint, name string, util double, pulse double, {FAR} boolean")
     links = sf.select(F.explode(C.split_list(q("Project Assignments"))).alias("project"),
                       F.col(ROW), q("Employee Name").alias("name"),
-                      F.col("__util").alias("util"), F.col("__pulse").alias("pulse"))
+                      F.col("__util").alias("util"), F.col("__pulse").alias("pulse"), FAR)
     return links.where(F.col("project") != "")
 
 
@@ -40,12 +41,10 @@ def teams(staff: DataFrame, names: DataFrame | None = None) -> DataFrame:
     links = staff_links(staff)
     if names is not None:
         links = links.join(names, "project", "left_semi")
-    return links.groupBy("project").agg(
-        F.count(F.lit(1)).alias("team_size"),
-        F.sum(F.col("util").cast("decimal(26,6)")).cast("double").alias("util_sum"),
-        F.sum(F.col("pulse").cast("decimal(26,6)")).cast("double").alias("pulse_sum"),
+    return aggregate(links, ("project",), [
+        F.count(F.lit(1)).alias("team_size"), Sum("util_sum", F.col("util")), Sum("pulse_sum", F.col("pulse")),
         F.sort_array(F.collect_list(F.struct(F.col(ROW), F.col("name")))).alias("members"),
-    )
+    ])
 
 
 def staffing_health(projects: DataFrame, staff: DataFrame, as_of: dt.date,

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.kpis import pipeline_frame, project_frame
+from ..operators.kpis import activity_frame, impact_frame, pipeline_frame, project_frame, risk_frame, staff_frame
 from ..sources import driver, store
 from ..sources.tabs import clean_tab, q
 
@@ -60,16 +60,28 @@ def pipeline(spark, sf):
     return _text(typed_pipeline(spark, sf))
 
 
+def typed_risks(spark, sf):
+    return _tab(spark, sf, "risks", driver.risks, "Project Risks", risk_frame)
+
+
 def risks(spark, sf):
-    return _tab(spark, sf, "risks", driver.risks, "Project Risks")
+    return _text(typed_risks(spark, sf))
+
+
+def typed_staff(spark, sf):
+    return _tab(spark, sf, "staff", driver.staff, "Team Utilization", staff_frame)
 
 
 def staff(spark, sf):
-    return _tab(spark, sf, "staff", driver.staff, "Team Utilization")
+    return _text(typed_staff(spark, sf))
+
+
+def typed_activity(spark, sf):
+    return _tab(spark, sf, "exec_activity", driver.exec_activity, "Executive Activity", activity_frame)
 
 
 def activity(spark, sf):
-    return _tab(spark, sf, "exec_activity", driver.exec_activity, "Executive Activity")
+    return _text(typed_activity(spark, sf))
 
 
 def scenario_inputs(spark, sf):
@@ -88,12 +100,20 @@ def observations(spark, sf):
     return _tab(spark, sf, "observations", driver.observations, "Project Observations")
 
 
+def typed_do_nothing(spark, sf):
+    return _tab(spark, sf, "do_nothing", lambda s, d: driver.scenario_impacts(s, d)[0], "Do Nothing Scenario", impact_frame)
+
+
 def do_nothing(spark, sf):
-    return _tab(spark, sf, "do_nothing", lambda s, d: driver.scenario_impacts(s, d)[0], "Do Nothing Scenario")
+    return _text(typed_do_nothing(spark, sf))
+
+
+def typed_proposed(spark, sf):
+    return _tab(spark, sf, "proposed", lambda s, d: driver.scenario_impacts(s, d)[1], "Proposed Scenario", impact_frame)
 
 
 def proposed(spark, sf):
-    return _tab(spark, sf, "proposed", lambda s, d: driver.scenario_impacts(s, d)[1], "Proposed Scenario")
+    return _text(typed_proposed(spark, sf))
 
 
 def scenario_comparison(spark, sf):

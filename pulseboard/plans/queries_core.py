@@ -261,13 +261,13 @@ def q_pipeline_extremes(spark, sf):
 
 @query("kpi_risk", w("risks", frames=[RF]) + "\n" + s_run("rf", s_risk()))
 def q_kpi_risk(spark, sf):
-    return K.kpi_risk(cat.risks(spark, sf))
+    return K.kpi_risk(cat.typed_risks(spark, sf))
 
 
 @query("kpi_satisfaction", w("projects", "staff", frames=[PF, SF]) + "\nSELECT * FROM ("
        + s_run("pf", s_nps()) + ") a CROSS JOIN (" + s_run("sf", s_pulse()) + ") b")
 def q_kpi_satisfaction(spark, sf):
-    return K.kpi_satisfaction(cat.typed_projects(spark, sf), cat.staff(spark, sf))
+    return K.kpi_satisfaction(cat.typed_projects(spark, sf), cat.typed_staff(spark, sf))
 
 
 @query("deal_cycle", w("pipeline", frames=[LF]) + "\n" + s_run("lf", s_deal_cycle()))
@@ -295,12 +295,12 @@ def q_kpi_checkins(spark, sf):
 
 @query("kpi_utilization", w("staff", frames=[SF]) + "\n" + s_run("sf", s_utilization()))
 def q_kpi_utilization(spark, sf):
-    return K.kpi_utilization(cat.staff(spark, sf))
+    return K.kpi_utilization(cat.typed_staff(spark, sf))
 
 
 @query("kpi_exec_cost", w("exec_activity") + "\n" + s_run("exec_activity", s_exec_cost()))
 def q_kpi_exec_cost(spark, sf):
-    return K.kpi_exec_cost(cat.activity(spark, sf))
+    return K.kpi_exec_cost(cat.typed_activity(spark, sf))
 
 
 KPI_TABS = ("projects", "pipeline", "risks", "staff", "exec_activity")
@@ -320,5 +320,5 @@ KPI_ALL_SQL = w(*KPI_TABS, frames=KPI_FRAMES) + "\n" + KPI_ALL_SELECT
 
 @query("kpi_all", KPI_ALL_SQL)
 def q_kpi_all(spark, sf):
-    return K.kpi_all(cat.typed_projects(spark, sf), cat.typed_pipeline(spark, sf), cat.risks(spark, sf),
-                     cat.staff(spark, sf), cat.activity(spark, sf), AS_OF)
+    return K.kpi_all(cat.typed_projects(spark, sf), cat.typed_pipeline(spark, sf), cat.typed_risks(spark, sf),
+                     cat.typed_staff(spark, sf), cat.typed_activity(spark, sf), AS_OF)

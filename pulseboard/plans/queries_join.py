@@ -14,7 +14,7 @@ from .catalog import AS_OF, query
 from .driver_sql import qi
 from .queries_core import ACTIVE, PF, w
 from .queries_lists import s_band
-from .sqlfn import dsum, num
+from .sqlfn import dsum, num, xsum
 
 STAFF_SQL = f""",
 links AS (
@@ -40,13 +40,13 @@ WHERE {ACTIVE}"""
 
 @query("staffing_health", w("projects", "staff", frames=[PF]) + STAFF_SQL)
 def q_staffing_health(spark, sf):
-    return ST.staffing_health(cat.typed_projects(spark, sf), cat.staff(spark, sf), AS_OF)
+    return ST.staffing_health(cat.typed_projects(spark, sf), cat.typed_staff(spark, sf), AS_OF)
 
 
 @query("staffing_filtered", w("projects", "staff", frames=[PF]) + STAFF_SQL
        + " AND COALESCE(\"Team Resourcing\", 'N/A') = 'Understaffed'")
 def q_staffing_filtered(spark, sf):
-    return ST.staffing_health(cat.typed_projects(spark, sf), cat.staff(spark, sf), AS_OF, resourcing="Understaffed")
+    return ST.staffing_health(cat.typed_projects(spark, sf), cat.typed_staff(spark, sf), AS_OF, resourcing="Understaffed")
 
 
 def _first_value(tab):
@@ -134,18 +134,18 @@ SELECT 'Project Inventory' AS tab, "Project Name" AS name, {num('"Project Health
 UNION ALL
 SELECT 'Pipeline', "Account", {num('"Pipeline Score"')}, {s_band(num('"Pipeline Score"'), S.PIPELINE_LETTERS)} FROM pipeline""")
 def q_letter_bands(spark, sf):
-    return S.letter_bands(cat.projects(spark, sf), cat.pipeline(spark, sf))
+    return S.letter_bands(cat.typed_projects(spark, sf), cat.typed_pipeline(spark, sf))
 
 
 @query("margin", f"""
 SELECT 'Project ' || CAST(l_orderkey AS VARCHAR) AS project, revenue, cost,
   CASE WHEN revenue <> 0 THEN (revenue - cost) / revenue END AS margin
-FROM (SELECT l_orderkey, {dsum('l_extendedprice')} AS revenue, {dsum('p_retailprice * l_quantity')} AS cost
+FROM (SELECT l_orderkey, {xsum('l_extendedprice')} AS revenue, {xsum('round(p_retailprice * l_quantity, 4)')} AS cost
       FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey)""")
 def q_margin(spark, sf):
     li = driver.read(spark, sf, "lineitem")
     p = driver.read(spark, sf, "part")
     j = li.join(p, li.l_partkey == p.p_partkey)
-    m = S.margin(j, F.col("l_extendedprice"), F.col("p_retailprice") * F.col("l_quantity"), ["l_orderkey"])
+    m = S.margin(j, F.col("l_extendedprice"), F.round(F.col("p_retailprice") * F.col("l_quantity"), 4), ["l_orderkey"])
     return m.select(F.concat(F.lit("Project "), F.col("l_orderkey").cast("string")).alias("project"),
                     "revenue", "cost", "margin")

@@ -84,7 +84,7 @@ SELECT COALESCE(upper(substr("Severity", 1, 1)) || lower(substr("Severity", 2)),
   {dsum('__impact')} AS total_impact, COUNT(*) AS risk_count
 FROM rf GROUP BY 1""")
 def q_risk_by_severity(spark, sf):
-    return DI.risk_by_severity(cat.risks(spark, sf))
+    return DI.risk_by_severity(cat.typed_risks(spark, sf))
 
 
 # -- lists ------------------------------------------------------------------
@@ -100,7 +100,7 @@ SELECT _row, "Project Name", upper("Status (R/Y/G)") AS "Status (R/Y/G)", {money
   "Key Issues", "Next Steps", "Executive Support Required"
 FROM projects WHERE upper("Status (R/Y/G)") IN ('R', 'Y')""")
 def q_at_risk(spark, sf):
-    return L.at_risk_projects(cat.projects(spark, sf))
+    return L.at_risk_projects(cat.typed_projects(spark, sf))
 
 
 @query("active_projects", w("projects", frames=[PF]) + f"""
@@ -126,7 +126,7 @@ SELECT _row, "Project Name", "Client", "Status (R/Y/G)", {money0(num('"Revenue"'
   round_even({num('"Project Health Score"')}, 1) AS "Project Health Score", "Project End Date", "Key Issues"
 FROM projects""")
 def q_project_listing(spark, sf):
-    return L.project_listing(cat.projects(spark, sf))
+    return L.project_listing(cat.typed_projects(spark, sf))
 
 
 @query("pipeline_listing", w("pipeline") + f"""
@@ -136,13 +136,13 @@ SELECT r1, r2, r3, r4, "Account", {money0(num('"Open Pipeline_Active Work"'))} A
   "Opportunity Created Date", "Closed Won Date"
 FROM pipeline""")
 def q_pipeline_listing(spark, sf):
-    return _keys(L.pipeline_listing(cat.pipeline(spark, sf)), ROW)
+    return _keys(L.pipeline_listing(cat.typed_pipeline(spark, sf)), ROW)
 
 
 @query("utilization_ranking", w("staff", frames=[SF]) + """
 SELECT "Employee Name", "Role", __util AS utilization_pct FROM sf ORDER BY __util DESC, _row""")
 def q_utilization_ranking(spark, sf):
-    return L.utilization_ranking(cat.staff(spark, sf))
+    return L.utilization_ranking(cat.typed_staff(spark, sf))
 
 
 def _t(col, missing="N/A"):

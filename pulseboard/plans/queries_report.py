@@ -222,8 +222,8 @@ def _kpi_with(*extra):
 
 
 def _kpis(spark, sf):
-    return K.kpi_all(cat.typed_projects(spark, sf), cat.typed_pipeline(spark, sf), cat.risks(spark, sf),
-                     cat.staff(spark, sf), cat.activity(spark, sf), AS_OF)
+    return K.kpi_all(cat.typed_projects(spark, sf), cat.typed_pipeline(spark, sf), cat.typed_risks(spark, sf),
+                     cat.typed_staff(spark, sf), cat.typed_activity(spark, sf), AS_OF)
 
 
 def _scorecard_sql():
@@ -238,7 +238,7 @@ def q_kpi_scorecard(spark, sf):
     # only the families the five verdicts read: three scans, no medians or extremes
     p = K.project_frame(cat.typed_projects(spark, sf))
     lf = K.pipeline_frame(cat.typed_pipeline(spark, sf))
-    sf_ = K.staff_frame(cat.staff(spark, sf))
+    sf_ = K.staff_frame(cat.typed_staff(spark, sf))
     kpis = (K.run(p, [K.f_status(p), K.f_revenue(p), K.f_nps(p)])
             .crossJoin(K.run(lf, [K.f_pipeline_values(lf)]))  # global aggregates: one row each
             .crossJoin(K.run(sf_, [K.f_pulse(sf_)])))

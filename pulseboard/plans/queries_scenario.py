@@ -204,4 +204,4 @@ FROM g""")
 def q_scenario_totals(spark, sf):
     from . import catalog as cat
 
-    return SC.scenario_totals(cat.do_nothing(spark, sf), cat.proposed(spark, sf))
+    return SC.scenario_totals(cat.typed_do_nothing(spark, sf), cat.typed_proposed(spark, sf))

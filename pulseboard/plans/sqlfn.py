@@ -24,6 +24,11 @@ def dmean(x: str, scale: int = 6) -> str:
     return f"COALESCE(CAST(SUM(CAST({x} AS DECIMAL(26,{scale}))) AS DOUBLE) / COUNT({x}), 0.0)"
 
 
+def xsum(x: str, scale: int = 14) -> str:
+    """Sum of all digits of doubles that hold at most ``scale`` places, read from their text."""
+    return f"COALESCE(CAST(CAST(SUM(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,{scale}))) AS VARCHAR) AS DOUBLE), 0.0)"
+
+
 def imean(x: str) -> str:
     return f"COALESCE(CAST(SUM({x}) AS DOUBLE) / COUNT({x}), 0.0)"
 

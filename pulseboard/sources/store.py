@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir
 
-MAPPING_VERSION = "7"
+MAPPING_VERSION = "8"
 _PATHS: dict = {}
 _FRAMES: dict = {}
 _LOCK = threading.Lock()
