@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from .common import column, out_batch, pieces, stored
+from .vocab import LONG_SPACE, byte_bpe
 
 END_ID = 0  # closes every document
 UNIT = 1 << 20  # quanta are counted in this part of a packet
@@ -53,15 +54,25 @@ def added_tokens(path: str) -> dict[str, int]:
     return {x["content"]: x["id"] for x in found}
 
 
+def token_ids(ranks: str, added: str | None, text: str) -> np.ndarray:
+    """Ids of one text. The rank file's library can't take a very long run of white space: such a text goes to
+    the tokenizers library with the same vocabulary."""
+    if len(text) >= 50_000 and LONG_SPACE.search(text):
+        import public_tokenizers
+
+        return byte_bpe(added or public_tokenizers.path("byte_bpe_50k.json"), ranks, added is None).ids(text)
+    return encoder(ranks, added).encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype(np.uint32)
+
+
 def tokenized(docs: DataFrame, ranks: str, queue: str, added: str | None = None) -> DataFrame:
     """(doc_id, queue, chunk, chunk_start, n_tokens, ids): ids as little-endian unsigned 32-bit, the end id
     last; chunk is the task that wrote the row, chunk_start the tokens of its queue before it there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, chunk, sent = encoder(ranks, added), TaskContext.get().partitionId(), {}
+        chunk, sent = TaskContext.get().partitionId(), {}
         end = np.array([END_ID], np.uint32)
         for b in pieces(batches, 8 << 20):
-            ids = [np.concatenate([enc.encode_to_numpy(t or "", allowed_special="all", disallowed_special=()).astype(np.uint32), end]) for t in column(b, "text")]
+            ids = [np.concatenate([token_ids(ranks, added, t or ""), end]) for t in column(b, "text")]
             queues, starts = column(b, "queue"), []
             for q, x in zip(queues, ids, strict=True):
                 starts.append(sent.get(q, 0))

@@ -146,3 +146,11 @@ def test_any_number_of_queues(spark, make_docs):
         if "mixture" in options:
             first = [r for r in got if r.sequence_id < 20]
             assert 0.4 <= sum(r.length for r in first if r.queue == "big0") / sum(r.length for r in first) <= 0.65
+
+
+def test_very_long_white_space(spark, make_docs):
+    rows = [(0, "a" + " " * 2_000_000 + "b"), (1, "\n" * 2_000_000), (2, "x" + " \n" * 1_000_000 + "<|endoftext|>"), (3, "z")]
+    check_pack(rows, P.pack(make_docs(rows), RANKS).collect(), 1024)
+    for k, t in rows:
+        want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(t, add_special_tokens=False).ids
+        assert P.token_ids(RANKS, public_tokenizers.path("byte_bpe_50k.json"), t).tolist() == want
