@@ -75,26 +75,32 @@ class Aligner:
         (text, A id, B id)."""
         a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
         n_a, n_b = (np.array([len(x[k]) for x in found], np.int64) for k in (0, 1))
-        # both cut the same bytes, so ends over all texts are comparable
+        # both cut the same bytes: marks at the bytes where tokens and texts end, and how many end before
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         text_end = a_end[np.cumsum(n_a) - 1]
-        ends = np.union1d(a_end, b_end)
+        marks = np.zeros((3, int(a_end[-1]) + 1), np.int32)
+        for row, at in zip(marks, (a_end, b_end, text_end), strict=True):
+            row[at] = 1
+        ends, both = np.flatnonzero(marks[0] | marks[1]), np.flatnonzero(marks[0] & marks[1])
+        upto = np.cumsum(marks, axis=1, dtype=np.int32)
         # a stretch between two neighbouring ends lies in one token of each; two tokens share one such stretch
-        link_a, link_b, link_text = (np.searchsorted(e, ends) for e in (a_end, b_end, text_end))
-        both = np.intersect1d(a_end, b_end, assume_unique=True)
-        count = lambda at: np.bincount(np.searchsorted(text_end, at), minlength=len(found))
-        return n_a, n_b, count(both), np.bincount(link_text, minlength=len(found)), self.groups(a, b, a_end, b_end, both, n_a + n_b), (link_text, a[link_a], b[link_b])
+        link_a, link_b, link_text = (u[ends] - m[ends] for u, m in zip(upto, marks, strict=True))
+        count = lambda at: np.bincount(upto[2][at] - marks[2][at], minlength=len(found))
+        groups = self.groups(a, b, a_end, b_end, both, upto, n_a + n_b)
+        return n_a, n_b, count(both), np.bincount(link_text, minlength=len(found)), groups, (link_text, a[link_a], b[link_b])
 
-    def groups(self, a, b, a_end, b_end, both, sizes) -> list[str]:
+    def groups(self, a, b, a_end, b_end, both, upto, sizes) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` of each text."""
-        g_a, g_b = np.searchsorted(both, a_end), np.searchsorted(both, b_end)
-        order = np.argsort(np.concatenate([2 * g_a, 2 * g_b + 1]), kind="stable")
-        last_a, last_b = a_end == both[g_a], b_end == both[g_b]
-        word = np.concatenate([2 * a + last_a, 2 * (len(self.a.bytes) + b) + last_b])[order].tolist()
-        out, at = [], 0
+        at = np.append(0, both)  # where groups begin and end
+        g_a, g_b = (np.searchsorted(both, e) for e in (a_end, b_end))
+        # a group's A tokens stand after all B tokens of earlier groups, its B tokens after its A tokens
+        word = np.empty(len(a) + len(b), np.int64)
+        word[np.arange(len(a)) + upto[1][at[g_a]]] = 2 * a + (a_end == both[g_a])
+        word[np.arange(len(b)) + upto[0][at[g_b + 1]]] = 2 * (len(self.a.bytes) + b) + (b_end == both[g_b])
+        out, k, word = [], 0, word.tolist()
         for n in sizes.tolist():
-            out.append("".join(map(self.words.__getitem__, word[at:at + n]))[:-1])
-            at += n
+            out.append("".join(map(self.words.__getitem__, word[k:k + n]))[:-1])
+            k += n
         return out
 
 
