@@ -119,6 +119,51 @@ def _total(units: str, far: str) -> str:
     return f"IF(coalesce(size({far}), 0) <= 0, {near}, {_spelt(f'concat({_whole_parts(units)}, {far})')})"
 
 
+def accumulators(i: int) -> list[Column]:
+    """Aggregates of the near values of column ``__x{i}``."""
+    x, n = f"__x{i}", _near(f"__x{i}")
+    return [F.expr(f"sum({n} div {SPLIT**2})").alias(f"__high{i}"), F.expr(f"sum({n} div {SPLIT} % {SPLIT})").alias(f"__mid{i}"), F.expr(f"sum({n} % {SPLIT})").alias(f"__low{i}"),
+            F.expr(f"sum(IF({_special(x)}, {x}, NULL))").alias(f"__odd{i}"), F.expr(f"count({x})").alias(f"__n{i}")]
+
+
+def merged_accumulators(i: int) -> list[Column]:
+    """What ``accumulators`` of many parts come to; the digits are carried by ``finished``."""
+    wide = [F.expr(f"sum(cast(__{c}{i} AS decimal(28,0)))").alias(f"__{c}{i}") for c in ("high", "mid", "low")]
+    return [*wide, F.sum(f"__odd{i}").alias(f"__odd{i}"), F.coalesce(F.sum(f"__n{i}"), F.lit(0)).alias(f"__n{i}")]
+
+
+def with_values(df: DataFrame, sums: list[Sum]) -> DataFrame:
+    return df.withColumns({f"__x{i}": s.column.cast("double") for i, s in enumerate(sums)})
+
+
+def cells(df: DataFrame, keys: list[Column], n: int) -> DataFrame:
+    """(keys..., i, k, v): the cells of ``__x0`` to ``__x{n-1}`` that are kept in parts, added per class."""
+    none = "cast(array() AS array<struct<i:int,k:int,v:decimal(38,0)>>)"
+    each = [f"IF({_is_far(f'__x{i}')}, transform({_parts(f'__x{i}')}, p -> named_struct('i', {i}, 'k', p.k, 'v', p.v)), {none})" for i in range(n)]
+    rows = df.where(F.col(FAR) if FAR in df.columns else far_mark(*[f"__x{i}" for i in range(n)]))
+    return added(rows.select(*keys, F.expr(f"inline(concat({', '.join(each)}))")))
+
+
+def added(parts: DataFrame) -> DataFrame:
+    """Rows (keys..., i, k, v) with ``v`` added per class."""
+    return parts.groupBy(*[c for c in parts.columns if c != "v"]).agg(F.expr("cast(sum(cast(v AS decimal(28,0))) AS decimal(38,0))").alias("v"))
+
+
+def side_by_side(parts: DataFrame) -> DataFrame:
+    """The classes of each group in one array: some 75 a sum at most."""
+    return parts.groupBy(*[c for c in parts.columns if c not in ("i", "k", "v")]).agg(F.expr("collect_list(struct(i, k, v))").alias("__parts"))
+
+
+def finished(joined: DataFrame, sums: list[Sum], keep: list[str]) -> DataFrame:
+    """The columns ``keep`` and the sums, from accumulators and ``__parts``."""
+    out = [F.col(f"`{c}`") for c in keep]
+    for i, s in enumerate(sums):
+        units = f"cast(coalesce(__high{i} * {SPLIT**2}BD + __mid{i} * {SPLIT}BD + __low{i}, 0) AS decimal(38,0))"
+        far = f"transform(filter(__parts, p -> p.i = {i}), p -> named_struct('k', p.k, 'v', p.v))"
+        out.append(s.result(F.expr(f"coalesce(__odd{i}, {_total(units, far)})"), F.col(f"__n{i}")).alias(s.name))
+    return joined.select(*out)
+
+
 def aggregate(df: DataFrame, by, aggs) -> DataFrame:
     """``df`` grouped by the columns named in ``by`` (none: one row), with ``aggs``: aggregate Columns as they are
     and ``Sum`` / ``Mean``. NaN and infinities add up as doubles do."""
@@ -127,32 +172,15 @@ def aggregate(df: DataFrame, by, aggs) -> DataFrame:
     plain = [a for a in aggs if not isinstance(a, Sum)]
     if not sums:
         return df.groupBy(*keys).agg(*(plain or [F.count(F.lit(1)).alias("__rows")]))
-    df = df.withColumns({f"__x{i}": s.column.cast("double") for i, s in enumerate(sums)})
-    for i in range(len(sums)):
-        x, n = f"__x{i}", _near(f"__x{i}")
-        plain += [F.expr(f"sum({n} div {SPLIT**2})").alias(f"__high{i}"), F.expr(f"sum({n} div {SPLIT} % {SPLIT})").alias(f"__mid{i}"), F.expr(f"sum({n} % {SPLIT})").alias(f"__low{i}"),
-                  F.expr(f"sum(IF({_special(x)}, {x}, NULL))").alias(f"__odd{i}"), F.expr(f"count({x})").alias(f"__n{i}")]
-    main = df.groupBy(*keys).agg(*plain)
-    # cells kept in parts: rows that have one, their parts added per class, the classes of a group side by side
-    none = "cast(array() AS array<struct<i:int,k:int,v:decimal(38,0)>>)"
-    each = [f"IF({_is_far(f'__x{i}')}, transform({_parts(f'__x{i}')}, p -> named_struct('i', {i}, 'k', p.k, 'v', p.v)), {none})" for i in range(len(sums))]
-    cells = df.where(F.col(FAR) if FAR in df.columns else far_mark(*[f"__x{i}" for i in range(len(sums))]))
+    df = with_values(df, sums)
+    main = df.groupBy(*keys).agg(*plain, *[c for i in range(len(sums)) for c in accumulators(i)])
     names = [f"__by{j}" for j in range(len(keys))]
-    cells = cells.select(*[k.alias(n) for k, n in zip(keys, names, strict=True)], F.expr(f"inline(concat({', '.join(each)}))"))
-    added = cells.groupBy(*names, "i", "k").agg(F.expr("cast(sum(cast(v AS decimal(28,0))) AS decimal(38,0))").alias("v"))
-    side = added.groupBy(*names).agg(F.expr("collect_list(struct(i, k, v))").alias("__parts"))  # some 75 classes a sum at most
+    side = side_by_side(cells(df, [k.alias(n) for k, n in zip(keys, names, strict=True)], len(sums)))
     if keys:
         joined = main.join(side, reduce(Column.__and__, [k.eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]), "left")
     else:
         joined = main.crossJoin(side)  # both sides are global aggregates: exactly one row each
-    mine = ("__high", "__mid", "__low", "__odd", "__n")
-    out = [F.col(f"`{c}`") for c in main.columns if not c.startswith(mine)]
-    for i, s in enumerate(sums):
-        units = f"cast(coalesce(__high{i} * {SPLIT**2}BD + __mid{i} * {SPLIT}BD + __low{i}, 0) AS decimal(38,0))"
-        far = f"transform(filter(__parts, p -> p.i = {i}), p -> named_struct('k', p.k, 'v', p.v))"
-        total = F.expr(f"coalesce(__odd{i}, {_total(units, far)})")
-        out.append(s.result(total, F.col(f"__n{i}")).alias(s.name))
-    return joined.select(*out)
+    return finished(joined, sums, main.columns[:len(keys) + len(plain)])
 
 
 def row_sum(columns) -> Column:

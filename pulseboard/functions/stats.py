@@ -30,10 +30,20 @@ def medians(df: DataFrame, columns: dict[str, Column], by=()) -> DataFrame:
     Equal values are counted first (partial aggregates), counts run up within buckets of neighbouring
     values, the buckets' totals run up per group and name, and the one or two values at the middle ranks are
     kept: no task sees all values of a group, and nothing runs before the result is asked for."""
+    return medians_of_counts(value_counts(df, columns, by), columns, by)
+
+
+def value_counts(df: DataFrame, columns: dict[str, Column], by=()) -> DataFrame:
+    """(g, name, x, c): how often each value of each column stands in each group (g: struct of ``by``)."""
     keys = [F.col(f"`{b}`") for b in by]
     pairs = F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("x")) for n, c in columns.items()])
     long = df.select(F.struct(*keys, F.lit(0).alias("all")).alias("g"), F.inline(pairs)).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    counts = long.groupBy("g", "name", "x").agg(F.count(F.lit(1)).alias("c")).withColumn("bucket", _bucket(F.col("x")))
+    return long.groupBy("g", "name", "x").agg(F.count(F.lit(1)).alias("c"))
+
+
+def medians_of_counts(counts: DataFrame, columns, by=()) -> DataFrame:
+    """The medians of ``medians`` from counted values (g, name, x, c)."""
+    counts = counts.withColumn("bucket", _bucket(F.col("x")))
     low, high = Window.unboundedPreceding, Window.currentRow
     run = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("g", "name", "bucket").orderBy("x").rowsBetween(low, high)))
     totals = counts.groupBy("g", "name", "bucket").agg(F.sum("c").alias("t"))

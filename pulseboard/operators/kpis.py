@@ -1,6 +1,6 @@
 """The KPI bundle: global (or grouped) conditional aggregates, one scan per tab.
 
-A *family* is a set of KPIs over one tab: ``aggs`` are aggregate Columns and exact sums,
+A *family* is a set of KPIs over one tab: ``aggs`` are measures (counts, exact sums, means, extremes),
 ``post`` are Columns over the aggregated row (ratios, percent of target).
 ``run`` evaluates any number of families of one tab in a single ``agg``, so
 the whole project bundle is one scan of Project Inventory with partial
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions import clean as C
 from ..functions.exact import FAR, Mean, Sum, aggregate, far_mark
-from ..functions.stats import count_if, imean, medians
+from ..functions.measures import Best, Const, Count, IntMean
+from ..functions.stats import medians
 from ..sources.tabs import ROW, q
 from ..targets import DEFAULT_TARGETS, Targets
 
@@ -38,7 +39,10 @@ def run(df: DataFrame, families, by=()) -> DataFrame:
     aggs = [a for f in families for a in f.aggs]
     post = [p for f in families for p in f.post]
     found = {n: c for f in families for n, c in f.medians.items()}
-    g = aggregate(df, by, aggs)
+    consts = [a for a in aggs if isinstance(a, Const)]
+    g = aggregate(df, by, [a if isinstance(a, Sum) else a.column() for a in aggs if not isinstance(a, Const)])
+    if consts:
+        g = g.withColumns({a.name: a.value() for a in consts})
     if found:
         m = medians(df, found, by).select(*[q(b).alias(f"__by{i}") for i, b in enumerate(by)], *[F.col(n).alias(f"__{n}") for n in found])
         same = [q(b).eqNullSafe(F.col(f"__by{i}")) for i, b in enumerate(by)]
@@ -84,11 +88,11 @@ def project_frame(projects: DataFrame) -> DataFrame:
 def f_status(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
     st, rev = F.col("__status"), F.col("__revenue")
     aggs = [
-        F.count(F.lit(1)).alias("total_projects"),
-        count_if(st == "R").alias("red_projects_count"),
+        Count("total_projects"),
+        Count("red_projects_count", st == "R"),
         Sum("red_project_revenue", F.when(st == "R", rev)),
-        count_if(st == "Y").alias("yellow_projects_count"),
-        count_if(st == "G").alias("green_projects_count"),
+        Count("yellow_projects_count", st == "Y"),
+        Count("green_projects_count", st == "G"),
     ]
     tot, green = F.col("total_projects"), F.col("green_projects_count")
     ratio = F.when(tot > 0, green / tot).otherwise(F.lit(0.0))
@@ -112,7 +116,7 @@ def f_revenue(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
 
 def _score_stats(df: DataFrame, raw: str, typed: str, avg_name: str, med_name: str) -> Family:
     if raw not in df.columns:
-        return Family([F.lit(0.0).alias(avg_name), F.lit(0.0).alias(med_name)], [F.col(avg_name), F.col(med_name)])
+        return Family([Const(avg_name, 0.0), Const(med_name, 0.0)], [F.col(avg_name), F.col(med_name)])
     return Family([Mean(avg_name, F.col(typed))], [F.col(avg_name), F.col(med_name)], {med_name: F.col(typed)})
 
 
@@ -120,12 +124,9 @@ def _extremes(df: DataFrame, raw: str, typed: str, name: str, top: str, bottom:
     """Name at the highest / lowest score; ties go to the first row in sheet order."""
     if _has(df, raw, name):
         s, n = F.col(typed), q(name)
-        aggs = [
-            F.coalesce(F.min_by(n, F.struct(-s, F.col(ROW))), F.lit(NA)).alias(top),
-            F.coalesce(F.min_by(n, F.struct(s, F.col(ROW))), F.lit(NA)).alias(bottom),
-        ]
+        aggs = [Best(top, n, F.struct((-s).alias("score"), F.col(ROW)), NA), Best(bottom, n, F.struct(s.alias("score"), F.col(ROW)), NA)]
     else:
-        aggs = [F.lit(NA).alias(top), F.lit(NA).alias(bottom)]
+        aggs = [Const(top, NA), Const(bottom, NA)]
     return Family(aggs, [F.col(top), F.col(bottom)])
 
 
@@ -149,7 +150,7 @@ def f_project_extremes(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
 
 def f_nps(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
     avg = F.col("avg_customer_nps")
-    agg = Mean("avg_customer_nps", F.col("__enps")) if "eNPS" in df.columns else F.lit(0.0).alias("avg_customer_nps")
+    agg = Mean("avg_customer_nps", F.col("__enps")) if "eNPS" in df.columns else Const("avg_customer_nps", 0.0)
     return Family(
         [agg],
         [avg, F.when(avg != 0, avg / F.lit(t.nps) * 100.0).otherwise(F.lit(0.0)).alias("customer_nps_vs_target_pct")],
@@ -159,11 +160,11 @@ def f_nps(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
 def f_next_deal(df: DataFrame, as_of: dt.date, t: Targets = DEFAULT_TARGETS) -> Family:
     names = ("avg_next_deal_gap_days", "overdue_next_deal_discussion_count")
     if not _has(df, "Project Name", "Project End Date", "Next Opp First Discussion Date"):
-        return Family([F.lit(0.0).alias(names[0]), F.lit(0).cast("bigint").alias(names[1])], [F.col(n) for n in names])
+        return Family([Const(names[0], 0.0), Const(names[1], 0)], [F.col(n) for n in names])
     end, disc, d = F.col("__end"), F.col("__disc"), F.lit(as_of)
     gap = C.day_diff(disc, end)
     return Family(
-        [imean(F.when(gap >= 0, gap)).alias(names[0]), count_if(overdue_next_deal_cond(as_of, t)).alias(names[1])],
+        [IntMean(names[0], F.when(gap >= 0, gap)), Count(names[1], overdue_next_deal_cond(as_of, t))],
         [F.col(n) for n in names],
     )
 
@@ -199,13 +200,12 @@ def overdue_checkin_cond(as_of: dt.date, t: Targets = DEFAULT_TARGETS) -> Column
 def f_checkins(df: DataFrame, as_of: dt.date, t: Targets = DEFAULT_TARGETS, strict_notes=False) -> Family:
     names = ("recent_meaningful_checkins_count", "recent_meaningful_checkins_pct", "overdue_sponsor_checkin_count")
     if not _has(df, "Project Name", "Last Sponsor Checkin Date", "Sponsor Checkin Notes", "Project End Date"):
-        return Family([F.lit(0).cast("bigint").alias(names[0]), F.lit(0.0).alias(names[1]),
-                       F.lit(0).cast("bigint").alias(names[2])], [F.col(n) for n in names])
+        return Family([Const(names[0], 0), Const(names[1], 0.0), Const(names[2], 0)], [F.col(n) for n in names])
     active, recent = F.col("__active_projects"), F.col(names[0])
     return Family(
-        [count_if(active_cond(as_of)).alias("__active_projects"),
-         count_if(recent_checkin_cond(df, as_of, t, strict_notes)).alias(names[0]),
-         count_if(overdue_checkin_cond(as_of, t)).alias(names[2])],
+        [Count("__active_projects", active_cond(as_of)),
+         Count(names[0], recent_checkin_cond(df, as_of, t, strict_notes)),
+         Count(names[2], overdue_checkin_cond(as_of, t))],
         [recent,
          F.when(active > 0, recent / active * 100.0).otherwise(F.lit(0.0)).alias(names[1]),
          F.col(names[2])],
@@ -259,10 +259,10 @@ def cycle_days() -> Column:
 def f_deal_cycle(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
     names = ("avg_deal_cycle_time_days", "median_deal_cycle_time_days")
     if not _has(df, "Opportunity Created Date", "Closed Won Date"):
-        return Family([F.lit(0.0).alias(n) for n in names], [F.col(n) for n in names])
+        return Family([Const(n, 0.0) for n in names], [F.col(n) for n in names])
     cyc = cycle_days()
     ok = F.when(cyc >= 0, cyc)
-    return Family([imean(ok).alias(names[0])], [F.col(n) for n in names], {names[1]: ok})
+    return Family([IntMean(names[0], ok)], [F.col(n) for n in names], {names[1]: ok})
 
 
 # --------------------------------------------------------------------------
@@ -282,7 +282,7 @@ def f_risk(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
     imp = F.col("__impact")
     hi_imp, tot = F.col("high_severity_risk_impact"), F.col("total_risk_impact")
     return Family(
-        [count_if(hi).alias("high_severity_risk_count"), Sum("high_severity_risk_impact", F.when(hi, imp)),
+        [Count("high_severity_risk_count", hi), Sum("high_severity_risk_impact", F.when(hi, imp)),
          Sum("total_risk_impact", imp)],
         [F.col("high_severity_risk_count"), hi_imp, tot,
          F.when(tot != 0, hi_imp / tot * 100.0).otherwise(F.lit(0.0)).alias("high_risk_impact_as_pct_of_total")],
@@ -313,7 +313,7 @@ def impact_frame(impacts: DataFrame) -> DataFrame:
 
 def f_pulse(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
     avg = F.col("avg_employee_pulse_score")
-    agg = Mean("avg_employee_pulse_score", F.col("__pulse")) if "Latest Pulse Score" in df.columns else F.lit(0.0).alias("avg_employee_pulse_score")
+    agg = Mean("avg_employee_pulse_score", F.col("__pulse")) if "Latest Pulse Score" in df.columns else Const("avg_employee_pulse_score", 0.0)
     return Family(
         [agg],
         [avg, F.when(avg != 0, avg / F.lit(t.pulse) * 100.0).otherwise(F.lit(0.0)).alias("employee_pulse_vs_target_pct")],
@@ -326,14 +326,13 @@ def f_utilization(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
     names = ("avg_exec_utilization_pct", "avg_delivery_utilization_pct", "over_utilized_execs_count",
              "under_utilized_delivery_count", "over_utilized_delivery_count")
     if not _has(df, "Role", "Utilization (%)"):
-        return Family([F.lit(0.0).alias(names[0]), F.lit(0.0).alias(names[1])]
-                      + [F.lit(0).cast("bigint").alias(n) for n in names[2:]], [F.col(n) for n in names])
+        return Family([Const(n, 0.0) for n in names[:2]] + [Const(n, 0) for n in names[2:]], [F.col(n) for n in names])
     ex, u = F.col("__exec"), F.col("__util")
     return Family(
         [Mean(names[0], F.when(ex, u)), Mean(names[1], F.when(~ex, u)),
-         count_if(ex & (u > EXEC_OVER_UTILIZED)).alias(names[2]),
-         count_if(~ex & (u < DELIVERY_UNDER_UTILIZED)).alias(names[3]),
-         count_if(~ex & (u > DELIVERY_OVER_UTILIZED)).alias(names[4])],
+         Count(names[2], ex & (u > EXEC_OVER_UTILIZED)),
+         Count(names[3], ~ex & (u < DELIVERY_UNDER_UTILIZED)),
+         Count(names[4], ~ex & (u > DELIVERY_OVER_UTILIZED))],
         [F.col(n) for n in names],
     )
 
@@ -341,8 +340,8 @@ def f_utilization(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
 def f_exec_cost(df: DataFrame, t: Targets = DEFAULT_TARGETS) -> Family:
     names = ("total_strategic_cost", "total_strategic_activities_count")
     if "Strategic Cost ($)" not in df.columns:
-        return Family([F.lit(0.0).alias(names[0]), F.lit(0).cast("bigint").alias(names[1])], [F.col(n) for n in names])
-    return Family([Sum(names[0], F.col("__cost")), F.count(F.lit(1)).alias(names[1])],
+        return Family([Const(names[0], 0.0), Const(names[1], 0)], [F.col(n) for n in names])
+    return Family([Sum(names[0], F.col("__cost")), Count(names[1])],
                   [F.col(n) for n in names])
 
 
@@ -410,7 +409,7 @@ def deal_cycle_by_tier(pipeline: DataFrame) -> DataFrame:
         return pf.sparkSession.createDataFrame([], "`Pursuit Tier` string, mean_days double, median_days double")
     won = pf.where(F.col("__created").isNotNull() & F.col("__closed").isNotNull() & q("Pursuit Tier").isNotNull())
     cyc = cycle_days()
-    tier = Family([imean(cyc).alias("mean_days")], [F.col("mean_days"), F.col("median_days")], {"median_days": cyc})
+    tier = Family([IntMean("mean_days", cyc)], [F.col("mean_days"), F.col("median_days")], {"median_days": cyc})
     return run(won, [tier], ("Pursuit Tier",))
 
 
@@ -441,13 +440,21 @@ def kpi_all(projects: DataFrame, pipeline: DataFrame, risks: DataFrame, staff: D
     Each part is a global aggregate (exactly one row), so the cross joins
     below combine single rows and never multiply data.
     """
-    pf, lf, rf, sf = project_frame(projects), pipeline_frame(pipeline), risk_frame(risks), staff_frame(staff)
-    proj = run(pf, [f_status(pf, t), f_revenue(pf, t), f_project_scores(pf, t), f_project_extremes(pf),
-                    f_nps(pf, t), f_next_deal(pf, as_of, t), f_checkins(pf, as_of, t)])
-    pipe = run(lf, [f_pipeline_values(lf, t), f_pipeline_scores(lf, t), f_pipeline_extremes(lf),
-                    f_deal_cycle(lf, t)])
-    risk = run(rf, [f_risk(rf, t)])
-    team = run(sf, [f_pulse(sf, t), f_utilization(sf)])
-    af = activity_frame(activity)
-    cost = run(af, [f_exec_cost(af)])
-    return proj.crossJoin(pipe).crossJoin(risk).crossJoin(team).crossJoin(cost)
+    out = None
+    for tab, df in zip(BUNDLE, (projects, pipeline, risks, staff, activity), strict=True):
+        frame, families = BUNDLE[tab]
+        typed = frame(df)
+        one = run(typed, families(typed, as_of, t))
+        out = one if out is None else out.crossJoin(one)
+    return out
+
+
+#: Tabs of the bundle: the typed frame of each and its families.
+BUNDLE = {
+    "projects": (project_frame, lambda df, as_of, t: [f_status(df, t), f_revenue(df, t), f_project_scores(df, t), f_project_extremes(df),
+                                                      f_nps(df, t), f_next_deal(df, as_of, t), f_checkins(df, as_of, t)]),
+    "pipeline": (pipeline_frame, lambda df, as_of, t: [f_pipeline_values(df, t), f_pipeline_scores(df, t), f_pipeline_extremes(df), f_deal_cycle(df, t)]),
+    "risks": (risk_frame, lambda df, as_of, t: [f_risk(df, t)]),
+    "staff": (staff_frame, lambda df, as_of, t: [f_pulse(df, t), f_utilization(df)]),
+    "exec_activity": (activity_frame, lambda df, as_of, t: [f_exec_cost(df)]),
+}

@@ -210,22 +210,34 @@ def distinct_options(projects: DataFrame, pipeline: DataFrame, as_of: dt.date) -
     return out.distinct().orderBy("option_set", "value")
 
 
+ENTITY_FIELDS = ("Horizon", "Pursuit Tier", "Notes", "Help Needed", "Actions", "Deal Registered YN", "Percieved Annual AMO")
+
+
 def entity_lookup(pipeline: DataFrame, key: str = "Account") -> DataFrame:
     """Form defaults of each opportunity key from its first row in sheet order.
 
     ``min_by(struct, _row)`` per key is a partial aggregate: a hot key is
     reduced map-side to one candidate per partition before the exchange.
     """
-    fields = ["Horizon", "Pursuit Tier", "Notes", "Help Needed", "Actions", "Deal Registered YN",
-              "Percieved Annual AMO"]
     df = pipeline
-    for f in fields:
+    for f in ENTITY_FIELDS:
         df = with_default(df, f)
     first = df.where(q(key).isNotNull()).groupBy(q(key).alias("key")).agg(
-        F.min_by(F.struct(*[q(f).alias(f) for f in fields]), F.col(ROW)).alias("r"))
-    r = lambda f: F.col("r")[f]
-    return first.select(
-        "key",
+        F.min_by(F.struct(*[q(f).alias(f) for f in ENTITY_FIELDS]), F.col(ROW)).alias("r"))
+    return _entity_form(first.select("key", "r.*"), F.col("key"))
+
+
+def entity_defaults(first: DataFrame, key: str = "Account") -> DataFrame:
+    """``entity_lookup`` of rows that are each the first of their key already: a projection."""
+    for f in ENTITY_FIELDS:
+        first = with_default(first, f)
+    return _entity_form(first, q(key).alias("key"))
+
+
+def _entity_form(rows: DataFrame, key: Column) -> DataFrame:
+    r = q
+    return rows.select(
+        key,
         F.coalesce(r("Horizon"), F.lit("")).alias("horizon"),
         F.coalesce(r("Pursuit Tier"), F.lit("")).alias("pursuit_tier"),
         F.coalesce(r("Notes"), F.lit("")).alias("notes"),

@@ -3,8 +3,8 @@
 Updates are long rows ``(key, column, value, seq)``. Rules of the reference:
 the key column must exist; only the *first* row (sheet order) with the key
 changes; unknown columns are skipped; values are written as text; a key that
-is not found is rejected. Later updates of the same (key, column) win (by
-``seq``).
+is not found is rejected. A null value sets nothing. Later updates of the same
+(key, column) win (by ``seq``; of equal ``seq`` the greater text).
 
 Plan: the updates are grouped once by key, the table's keys are first reduced to
 those that have updates (semi join), the first row of each such key is a
@@ -31,12 +31,18 @@ def form_payload(updates: DataFrame, drop_blank: bool) -> DataFrame:
     return updates.where(F.col("value") != "") if drop_blank else updates
 
 
+def latest_values(valid: DataFrame) -> DataFrame:
+    """(key, column, value): the last value set of each cell."""
+    text = F.col("value").cast("string")
+    return valid.where(F.col("value").isNotNull()).groupBy("key", "column").agg(F.max_by(text, F.struct("seq", text)).alias("value"))
+
+
 def apply_updates(df: DataFrame, key: str, updates: DataFrame) -> DataFrame:
     """The tab after applying ``updates``; same columns, same rows."""
     if key not in df.columns:
         return df
     valid, cols = _valid(df, key, updates)
-    latest = valid.groupBy("key", "column").agg(F.max_by(F.col("value").cast("string"), F.col("seq")).alias("value"))
+    latest = latest_values(valid)
     touched = [c for c in cols]
     wide = latest.groupBy("key").agg(
         *[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"__v{i}") for i, c in enumerate(touched)],

@@ -36,7 +36,7 @@ def _tab(spark, sf, name, build, tab, typed=lambda df: df):
     """The tab cleaned once at ingest (silver layer): header trim, aliases, '' -> null and the
     blank-row drop run when the tab is stored, so a query scans only the columns it reads. ``typed``
     adds the numbers and dates of the text cells (columns ``__...``) beside them."""
-    return store.stored(spark, sf, name, lambda s, d: typed(clean_tab(build(s, d), tab)))
+    return store.stored(spark, sf, name, lambda s, d: typed(clean_tab(build(s, d), tab)), driver.SOURCES[name])
 
 
 def _text(df):
@@ -129,4 +129,4 @@ def materialize_all(spark, sf):
 
 
 # importing the query modules fills QUERIES
-from . import queries_core, queries_join, queries_lists, queries_report, queries_scenario  # noqa: E402,F401
+from . import queries_core, queries_join, queries_lists, queries_report, queries_scenario, queries_store  # noqa: E402,F401

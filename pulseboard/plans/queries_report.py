@@ -189,23 +189,36 @@ def q_risk_register(spark, sf):
     return cat.risks(spark, sf).orderBy(ROW).select(*[F.col(f"{ROW}.{k}").alias(f"r{i + 1}") for i, k in enumerate(keys)], *[q(c) for c in RISK_COLUMNS])
 
 
-@query("load_workbook", with_tabs("talent_gaps", "operational_gaps", "observations") + """
-SELECT 'Talent Gaps' AS tab, count(*) AS rows, min(_row) AS first_row FROM talent_gaps
-UNION ALL SELECT 'Operational Gaps', count(*), min(_row) FROM operational_gaps
-UNION ALL SELECT 'Project Observations', count(*), min(_row) FROM observations
-UNION ALL SELECT 'Scenario Comparison', 0, NULL""")
+MISSING_TAB = "Sensitivity & Assumption Analysis"
+
+
+def _workbook_sql() -> str:
+    parts = []
+    for name, cte, cols, _ in SNAP_SQL_TABS:
+        filled = " + ".join(f"count({qi(c)})" for c in cols)
+        parts.append(f"SELECT {lit(name)} AS tab, count(*) AS rows, CAST({len(cols)} AS INTEGER) AS columns, CAST({filled} AS BIGINT) AS filled FROM {cte}")
+    parts.append(f"SELECT {lit(MISSING_TAB)}, 0, {len(TAB_COLUMNS[MISSING_TAB])}, 0")
+    tabs = ("projects", "risks", "pipeline", "staff", "talent_gaps", "operational_gaps", "exec_activity",
+            "scenario_in", "scenario_impacts", "scenario_comparison", "mapping", "observations")
+    return with_tabs(*tabs) + "\n" + "\nUNION ALL ".join(parts)
+
+
+@query("load_workbook", _workbook_sql())
 def q_load_workbook(spark, sf):
-    """A folder of tabs written as files and loaded back by name; one tab of it is missing."""
+    """All 13 tabs of a load, written to a folder as files and loaded back by name: rows, columns and filled
+    cells of each. A tab that is not there is an empty one of its schema."""
     from ..session import new_output_path
     from ..sources.tabs import load_workbook
 
     folder = new_output_path(spark, "workbook")
-    tabs = {"Talent Gaps": cat.talent_gaps, "Operational Gaps": cat.operational_gaps, "Project Observations": cat.observations}
-    for name, tab in tabs.items():
-        tab(spark, sf).write.parquet(f"{folder}/{R.export_slug(name)}")
+    tabs = dict(snapshot_tabs(spark, sf))
+    for name, df in tabs.items():
+        df.write.parquet(f"{folder}/{R.export_slug(name)}")
     out = None
-    for name, df in load_workbook(spark, folder, names=[*tabs, "Scenario Comparison"]).items():
-        part = df.agg(F.lit(name).alias("tab"), F.count(F.lit(1)).alias("rows"), F.min(ROW).alias("first_row"))
+    for name, df in load_workbook(spark, folder, names=[*tabs, MISSING_TAB]).items():
+        cols = [c for c in df.columns if c != ROW]
+        filled = F.coalesce(F.sum(sum((q(c).isNotNull().cast("bigint") for c in cols), F.lit(0))), F.lit(0)).cast("bigint")
+        part = df.agg(F.lit(name).alias("tab"), F.count(F.lit(1)).alias("rows"), F.lit(len(cols)).alias("columns"), filled.alias("filled"))
         out = part if out is None else out.unionByName(part)
     return out
 

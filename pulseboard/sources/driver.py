@@ -20,6 +20,14 @@ from .tabs import ROW
 AS_OF = dt.date(1999, 6, 30)
 
 
+#: Driver tables that each tab is made from.
+SOURCES = {
+    "projects": ("orders", "customer", "region"), "pipeline": ("lineitem", "supplier"), "risks": ("lineitem",), "staff": ("supplier", "lineitem"),
+    "exec_activity": ("events",), "talent_gaps": ("part",), "operational_gaps": ("customer",), "observations": ("orders",), "scenario_inputs": ("orders",),
+    "do_nothing": ("orders",), "proposed": ("orders",), "scenario_comparison": ("orders",),
+}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

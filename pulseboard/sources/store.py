@@ -2,7 +2,7 @@
 
 A workbook tab is an input *file*; jobs scan it. The driver tables are not
 tabs, so their mapping (``sources/driver.py``) is run once per session and
-its result written to the shared folder (``spark.checkpoint.dir``); every
+state of its input files (names, lengths, times), and its result written to the shared folder (``spark.checkpoint.dir``); every
 query then starts from a plain parquet scan with pushdown and pruning, as it
 would on exported tabs. Writing the table also cuts the lineage, so a lost
 executor re-reads stored files instead of recomputing the mapping.
@@ -17,6 +17,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir
+from .files import fingerprint
 
 MAPPING_VERSION = "8"
 _PATHS: dict = {}
@@ -25,23 +26,30 @@ _LOCK = threading.Lock()
 INGEST_SECONDS: dict = {}
 
 
-def _key(spark: SparkSession, sf_dir: str, name: str):
-    return spark.sparkContext.applicationId, sf_dir.rstrip("/"), name
+def _key(spark: SparkSession, sf_dir: str, name: str, sources) -> tuple:
+    folder = sf_dir.rstrip("/")
+    return spark.sparkContext.applicationId, folder, name, tuple(fingerprint(spark, f"{folder}/{t}.parquet") for t in sources)
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Parquet copy of ``build(spark, sf_dir)``, written on first use in this session."""
-    k = _key(spark, sf_dir, name)
+def stored(spark: SparkSession, sf_dir: str, name: str, build, sources=()) -> DataFrame:
+    """Parquet copy of ``build(spark, sf_dir)``, written on first use in this session and again once one of the
+    tables ``sources`` below ``sf_dir`` has changed."""
+    k = _key(spark, sf_dir, name, sources)
     with _LOCK:
         return _stored(spark, sf_dir, name, build, k)
 
 
+def path_of(spark: SparkSession, sf_dir: str, name: str, sources=()) -> str:
+    """Folder of a stored copy."""
+    return _PATHS[_key(spark, sf_dir, name, sources)]
+
+
 def _stored(spark, sf_dir, name, build, k):
     if k in _FRAMES:
         return _FRAMES[k]
     path = _PATHS.get(k)
     if path is None:
-        tag = hashlib.sha1(f"{MAPPING_VERSION}|{k[1]}|{k[0]}".encode()).hexdigest()[:12]
+        tag = hashlib.sha1(f"{MAPPING_VERSION}|{k[1]}|{k[0]}|{k[3]}".encode()).hexdigest()[:12]
         path = f"{shared_dir(spark).rstrip('/')}/tabs/{tag}/{name}"
         t0 = time.perf_counter()
         # row groups of some megabytes: a file splits over tasks and date statistics prune finely
