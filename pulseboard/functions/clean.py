@@ -82,6 +82,53 @@ def to_date(c) -> Column:
     return _c(c).cast("string").try_cast("date")
 
 
+# Date formats a column may be in, each with the pattern its first value must meet. Numbers
+# parted alike read month first unless the first one can't be a month.
+DATE_FORMATS = (
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "y-M-d"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "y/M/d"),
+    (r"^\d{8}$", "yyyyMMdd"),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}$", "y-M-d H:mm"),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$", "y-M-d H:mm:ss"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}$", "y-M-d'T'H:mm:ss"),
+    (r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4}$", "d/M/y"),
+    (r"^(1[3-9]|2\d|3[01])-\d{1,2}-\d{4}$", "d-M-y"),
+    (r"^(1[3-9]|2\d|3[01])\.\d{1,2}\.\d{4}$", "d.M.y"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/y"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-y"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "M.d.y"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-y"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM y"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, y"),
+)
+
+
+def dates_by_first(df: DataFrame, columns: dict[str, str], row: str = "_row") -> DataFrame:
+    """``df`` with DATE columns: ``columns`` maps each new name to its text column.
+
+    A column's format is that of its first value in sheet order, and every cell is read by it; a cell in another
+    format, a day that doesn't exist, and all cells of a column whose first value has none of ``DATE_FORMATS``
+    become null. One partial aggregate finds the first values (one row), which is joined back."""
+    text = {n: strip(F.col(f"`{c}`").cast("string")) for n, c in columns.items()}
+    filled = {n: F.when(t != "", t) for n, t in text.items()}
+    # the first filled cell: rows without one come after all others
+    first = df.agg(*[F.min_by(t, F.struct(t.isNull().alias("empty"), F.col(row))).alias(f"__first{i}") for i, t in enumerate(filled.values())])
+    kinds = []
+    for i in range(len(columns)):
+        kind = F.lit(None).cast("int")
+        for k, (pattern, _) in reversed(list(enumerate(DATE_FORMATS))):
+            kind = F.when(F.col(f"__first{i}").rlike(pattern), F.lit(k)).otherwise(kind)
+        kinds.append(kind.alias(f"__kind{i}"))
+    out = df.crossJoin(F.broadcast(first.select(*kinds)))  # exactly one row
+    dates = {}
+    for i, (n, t) in enumerate(text.items()):
+        date = F.lit(None).cast("date")
+        for k, (_, fmt) in reversed(list(enumerate(DATE_FORMATS))):
+            date = F.when(F.col(f"__kind{i}") == k, F.try_to_timestamp(t, F.lit(fmt)).cast("date")).otherwise(date)
+        dates[n] = date
+    return out.withColumns(dates).drop(*[f"__kind{i}" for i in range(len(columns))])
+
+
 def amo_form_number(c) -> Column:
     """Form-side parse: drop ``$`` and ``,`` only; anything else that fails is 0."""
     return F.coalesce(strict_double(strip(F.translate(_c(c).cast("string"), "$,", ""))), F.lit(0.0))

@@ -1,4 +1,4 @@
-"""Band distributions, equal-width histograms and impact by severity."""
+"""Band distributions, histograms (equal widths or round edges) and impact by severity."""
 
 from __future__ import annotations
 
@@ -77,6 +77,53 @@ def score_bands_rows(projects: DataFrame, bands=PROJECT_SCORE_BANDS) -> DataFram
     )
 
 
+def _long(df: DataFrame, scores) -> tuple[DataFrame, DataFrame] | None:
+    """(score_name, x) of every row and score, and (score_name, mn, mx) of the scores that have any cell."""
+    present = [(label, raw, typed) for label, raw, typed in scores if raw in df.columns]
+    if not present:
+        return None
+    pairs = F.array(*[F.struct(F.lit(label).alias("score_name"), F.col(typed).alias("x"), q(raw).isNotNull().alias("raw_present")) for label, raw, typed in present])
+    long = df.select(F.inline(pairs))
+    stats = long.groupBy("score_name").agg(F.min("x").alias("mn"), F.max("x").alias("mx"), count_if(F.col("raw_present")).alias("n_raw"))
+    return long, stats.where(F.col("n_raw") > 0)
+
+
+def _edge(i: str) -> str:
+    """Lower edge of bin number ``i`` at width m * 10^d, the double nearest to it."""
+    return f"IF(d >= 0, {i} * m * pow(10D, d), {i} * m / pow(10D, -d))"
+
+
+def _place(x: str) -> str:
+    """Number of the bin that holds ``x``: the quotient, put right where its rounding crossed an edge."""
+    i = f"floor(IF(d >= 0, {x} / (m * pow(10D, d)), {x} * pow(10D, -d) / m))"
+    return f"({i} + CASE WHEN {_edge(f'({i} + 1)')} <= {x} THEN 1 WHEN {_edge(i)} > {x} THEN -1 ELSE 0 END)"
+
+
+def round_histogram(df: DataFrame, scores, bins: int = 10) -> DataFrame:
+    """Histogram with round edges: of the widths 1, 2 and 5 times a power of ten the smallest that covers min
+    to max of the score with at most ``bins`` bins, whose edges are multiples of the width. A bin holds its
+    lower edge; empty bins have no row. (score_name, bin, bin_low, bin_high, bin_count), bins numbered from 0."""
+    if bins < 2:
+        raise ValueError("round edges need at least two bins: values on both sides of an edge lie in two")
+    parts = _long(df, scores)
+    if parts is None:
+        return df.sparkSession.createDataFrame([], "score_name string, bin int, bin_low double, bin_high double, bin_count bigint")
+    long, stats = parts
+    power = "IF(mx > mn, cast(floor(log10((mx - mn) / {0})) AS int), 0)".format(bins)
+    widths = ", ".join(f"named_struct('m', {m}D, 'd', {power} + {k})" for k in (-1, 0, 1, 2) for m in (1, 2, 5))
+    # a single value has a bin of width 1
+    fits = stats.select("*", F.expr(f"inline(IF(mx > mn, array({widths}), array(named_struct('m', 1D, 'd', 0))))"))
+    fits = fits.withColumns({"low": F.expr(_place("mn")), "high": F.expr(_place("mx"))}).where((F.col("high") - F.col("low") < bins))
+    chosen = fits.groupBy("score_name").agg(F.min(F.struct("d", "m", "low")).alias("w")).select("score_name", "w.*")  # one row a score
+    g = long.join(F.broadcast(chosen), "score_name").groupBy("score_name", "m", "d", "low", F.expr(_place("x")).alias("i")).agg(F.count(F.lit(1)).alias("bin_count"))
+    return g.select("score_name", (F.col("i") - F.col("low")).cast("int").alias("bin"), F.expr(_edge("i")).alias("bin_low"), F.expr(_edge("(i + 1)")).alias("bin_high"), "bin_count")
+
+
+def score_round_histogram(projects: DataFrame, pipeline: DataFrame, bins: int = 10) -> DataFrame:
+    """The four score histograms with round edges."""
+    return round_histogram(project_frame(projects), PROJECT_SCORES, bins).unionByName(round_histogram(pipeline_frame(pipeline), PIPELINE_SCORES, bins))
+
+
 def histogram(df: DataFrame, scores, bins: int = 10) -> DataFrame:
     """Equal-width histogram with ``bins`` bins between min and max of each score.
 
@@ -84,16 +131,11 @@ def histogram(df: DataFrame, scores, bins: int = 10) -> DataFrame:
     min/max per score is a tiny aggregate (one row per score name, a fixed
     literal list) joined back by broadcast.
     """
-    present = [(label, raw, typed) for label, raw, typed in scores if raw in df.columns]
-    if not present:
+    parts = _long(df, scores)
+    if parts is None:
         return df.sparkSession.createDataFrame(
             [], "score_name string, bin int, bin_low double, bin_high double, bin_count bigint")
-    pairs = F.array(*[F.struct(F.lit(label).alias("score_name"), F.col(typed).alias("x"),
-                               q(raw).isNotNull().alias("raw_present")) for label, raw, typed in present])
-    long = df.select(F.inline(pairs))
-    stats = long.groupBy("score_name").agg(F.min("x").alias("mn"), F.max("x").alias("mx"),
-                                          count_if(F.col("raw_present")).alias("n_raw"))
-    stats = stats.where(F.col("n_raw") > 0)
+    long, stats = parts
     j = long.join(F.broadcast(stats), "score_name")
     x, mn, mx = F.col("x"), F.col("mn"), F.col("mx")
     b = F.when(mx == mn, F.lit(0)).otherwise(

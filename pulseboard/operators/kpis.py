@@ -67,7 +67,21 @@ def _with_far(df: DataFrame, *numbers: str) -> DataFrame:
     return df.withColumn(FAR, far_mark(*numbers))
 
 
-def project_frame(projects: DataFrame) -> DataFrame:
+def _dated(df: DataFrame, columns: dict[str, str], dates: str) -> DataFrame:
+    """``df`` with DATE columns of its text columns (null where one is absent). ``dates``: "iso" reads ISO dates
+    only, "first" takes each column's format from its first value."""
+    there = {n: c for n, c in columns.items() if c in df.columns}
+    df = df.select("*", *[F.lit(None).cast("date").alias(n) for n in columns if n not in there])
+    if not there:
+        return df
+    if dates == "first":
+        return C.dates_by_first(df, there, ROW)
+    if dates != "iso":
+        raise ValueError(f"dates: {dates}")
+    return df.withColumns({n: C.to_date(q(c)) for n, c in there.items()})
+
+
+def project_frame(projects: DataFrame, dates: str = "iso") -> DataFrame:
     """Typed helper columns (prefixed ``__``) next to the raw text columns; as they are where stored already."""
     df = projects
     if "__end" in df.columns:
@@ -78,10 +92,8 @@ def project_frame(projects: DataFrame) -> DataFrame:
         "__health": _num(df, "Project Health Score"),
         "__total": _num(df, "Total Project Score"),
         "__enps": _num(df, "eNPS"),
-        "__end": C.to_date(q("Project End Date")) if "Project End Date" in df.columns else F.lit(None).cast("date"),
-        "__disc": C.to_date(q("Next Opp First Discussion Date")) if "Next Opp First Discussion Date" in df.columns else F.lit(None).cast("date"),
-        "__checkin": C.to_date(q("Last Sponsor Checkin Date")) if "Last Sponsor Checkin Date" in df.columns else F.lit(None).cast("date"),
     }
+    df = _dated(df, {"__end": "Project End Date", "__disc": "Next Opp First Discussion Date", "__checkin": "Last Sponsor Checkin Date"}, dates)
     return _with_far(df.withColumns(cols), "__revenue", "__health", "__total", "__enps")
 
 
@@ -216,18 +228,16 @@ def f_checkins(df: DataFrame, as_of: dt.date, t: Targets = DEFAULT_TARGETS, stri
 # Pipeline
 # --------------------------------------------------------------------------
 
-def pipeline_frame(pipeline: DataFrame) -> DataFrame:
+def pipeline_frame(pipeline: DataFrame, dates: str = "iso") -> DataFrame:
     df = pipeline
     if "__closed" in df.columns:
         return df
+    df = _dated(df, {"__created": "Opportunity Created Date", "__closed": "Closed Won Date", "__touch": "Next Touchpoint Date"}, dates)
     return _with_far(df.withColumns({
         "__active": _num(df, "Open Pipeline_Active Work"),
         "__amo": _num(df, "Percieved Annual AMO"),
         "__pscore": _num(df, "Pipeline Score"),
         "__tscore": _num(df, "Total Deal Score"),
-        "__created": C.to_date(q("Opportunity Created Date")) if "Opportunity Created Date" in df.columns else F.lit(None).cast("date"),
-        "__closed": C.to_date(q("Closed Won Date")) if "Closed Won Date" in df.columns else F.lit(None).cast("date"),
-        "__touch": C.to_date(q("Next Touchpoint Date")) if "Next Touchpoint Date" in df.columns else F.lit(None).cast("date"),
     }), "__active", "__amo", "__pscore", "__tscore")
 
 

@@ -215,6 +215,42 @@ def q_clean_dates(spark, sf):
                     C.to_date(q("Last Sponsor Checkin Date")).alias("checkin_date"))
 
 
+def _format_sql(c: str, first: str) -> str:
+    """Format of a column by its first value, and its cells read by it."""
+    first_number = f"TRY_CAST(regexp_extract({first}, '^([0-9]+)', 1) AS INTEGER)"
+    sep = f"regexp_extract({first}, '^[0-9]+([./-])', 1)"
+    return (f"CAST(CASE WHEN regexp_matches({first}, '^[0-9]{{4}}-[0-9]+-[0-9]+$') THEN try_strptime({c}, '%Y-%m-%d') "
+            f"WHEN {first_number} > 12 AND {sep} = '.' THEN try_strptime({c}, '%d.%m.%Y') WHEN {first_number} > 12 AND {sep} = '/' THEN try_strptime({c}, '%d/%m/%Y') "
+            f"WHEN {sep} = '/' THEN try_strptime({c}, '%m/%d/%Y') END AS DATE)")
+
+
+SHEET_DATES = ("iso_text", "day_first_text", "month_first_text")
+
+
+@query("dates_by_first", f"""
+WITH sheet AS (
+  SELECT o_orderkey AS _row, CASE WHEN o_orderkey % 11 = 0 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN o_orderkey % 13 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS iso_text,
+    CASE WHEN o_orderkey % 17 = 0 THEN 'tbd' ELSE strftime(o_orderdate, '%d.%m.%Y') END AS day_first_text,
+    CASE WHEN o_orderkey % 19 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%m/%d/%Y') END AS month_first_text
+  FROM orders WHERE day(o_orderdate) > 12 OR o_orderkey > (SELECT min(o_orderkey) FROM orders WHERE day(o_orderdate) > 12)),
+f AS (SELECT {', '.join(f"arg_min({c}, _row) FILTER ({c} IS NOT NULL) AS f_{c}" for c in SHEET_DATES)} FROM sheet)
+SELECT _row, {', '.join(f"{c}, {_format_sql(c, 'f_' + c)} AS {c[:-5]}" for c in SHEET_DATES)} FROM sheet CROSS JOIN f""")
+def q_dates_by_first(spark, sf):
+    """Date columns in three spellings, each read by the format of its first cell. The sheet begins with a day
+    that can't be a month."""
+    from ..sources import driver
+
+    o = driver.read(spark, sf, "orders")
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    start = o.where(F.dayofmonth(day) > 12).agg(F.min("o_orderkey").alias("__start"))
+    text = lambda f: F.date_format(day, f)
+    sheet = o.crossJoin(start).where((F.dayofmonth(day) > 12) | (k > F.col("__start"))).select(  # one row
+        k.alias(ROW), F.when(k % 11 == 0, text("dd.MM.yyyy")).when(k % 13 != 0, text("yyyy-MM-dd")).alias("iso_text"),
+        F.when(k % 17 == 0, F.lit("tbd")).otherwise(text("dd.MM.yyyy")).alias("day_first_text"),
+        F.when(k % 19 == 0, text("yyyy-MM-dd")).otherwise(text("MM/dd/yyyy")).alias("month_first_text"))
+    return C.dates_by_first(sheet, {c[:-5]: c for c in SHEET_DATES})
+
+
 # -- KPI bundle -------------------------------------------------------------
 
 @query("kpi_status", w("projects", frames=[PF]) + "\n" + s_run("pf", s_status()))

@@ -79,6 +79,30 @@ def q_score_histogram(spark, sf):
     return DI.score_histogram(cat.typed_projects(spark, sf), cat.typed_pipeline(spark, sf))
 
 
+def s_round_hist(frame: str, scores, bins: int = 10) -> str:
+    """Every width of 1, 2, 5 times a power of ten as a row; per score the smallest whose bins suffice."""
+    long = "\n  UNION ALL ".join(f"SELECT '{label}' AS score_name, {typed} AS x, \"{raw}\" IS NOT NULL AS raw_present FROM {frame}" for label, raw, typed in scores)
+    edge = lambda i: f"(CASE WHEN d >= 0 THEN {i} * m * pow(10.0::DOUBLE, d) ELSE {i} * m / pow(10.0::DOUBLE, -d) END)"
+
+    def place(x):
+        i = f"floor(CASE WHEN d >= 0 THEN {x} / (m * pow(10.0::DOUBLE, d)) ELSE {x} * pow(10.0::DOUBLE, -d) / m END)"
+        return f"({i} + CASE WHEN {edge(f'({i} + 1)')} <= {x} THEN 1 WHEN {edge(i)} > {x} THEN -1 ELSE 0 END)"
+    return f"""SELECT score_name, CAST(i - low AS INTEGER) AS bin, {edge('i')} AS bin_low, {edge('(i + 1)')} AS bin_high, COUNT(*) AS bin_count FROM (
+  SELECT l.score_name, m, d, low, {place('x')} AS i FROM ({long}) l JOIN (
+    SELECT * FROM (SELECT score_name, m, d, {place('mn')} AS low, row_number() OVER (PARTITION BY score_name ORDER BY d, m) AS k
+      FROM (SELECT score_name, min(x) AS mn, max(x) AS mx FROM ({long}) GROUP BY score_name HAVING {cnt('raw_present')} > 0)
+      CROSS JOIN (SELECT CAST(a.range AS INTEGER) AS d, CAST(b.m AS DOUBLE) AS m FROM range(-15, 16) a, (VALUES (1), (2), (5)) b(m))
+      WHERE (mx > mn OR (m = 1 AND d = 0)) AND {place('mx')} - {place('mn')} < {bins}) WHERE k = 1
+  ) w ON l.score_name = w.score_name
+) GROUP BY score_name, m, d, low, i"""
+
+
+@query("score_round_histogram", w("projects", "pipeline", frames=[PF, LF]) + "\n" + s_round_hist("pf", DI.PROJECT_SCORES)
+       + "\nUNION ALL\n" + s_round_hist("lf", DI.PIPELINE_SCORES))
+def q_score_round_histogram(spark, sf):
+    return DI.score_round_histogram(cat.typed_projects(spark, sf), cat.typed_pipeline(spark, sf))
+
+
 @query("risk_by_severity", w("risks", frames=[RF]) + f"""
 SELECT COALESCE(upper(substr("Severity", 1, 1)) || lower(substr("Severity", 2)), 'Unknown') AS severity,
   {dsum('__impact')} AS total_impact, COUNT(*) AS risk_count
