@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import clean as C
 from ..session import new_output_path
-from ..sources.tabs import ROW, q, scan_tab
+from ..sources.literal import literal_frame
+from ..sources.tabs import ROW, project_existing, q, scan_tab
 from ..targets import (DEFAULT_TARGETS, METRIC_CARDS, QUESTION_RULES, SNAPSHOT_DEFAULT_ROWS, SNAPSHOT_ROWS,
                        SNAPSHOT_TEXT_LIMIT, SNAPSHOT_TRUNCATION_MARK, Targets)
 
@@ -24,6 +25,19 @@ def snapshot_cap(name: str, caps=SNAPSHOT_ROWS, default: int | None = SNAPSHOT_D
     return dict(caps).get(name, default)
 
 
+def stored_snapshot(name: str, order: int, columns, cap: int, stored) -> DataFrame:
+    """``tab_snapshot`` of a tab stored by ranges (``sources.store.Ranges``): the header lines come from the
+    ranges' counts, the rows from the first ranges alone."""
+    spark, n = stored.spark, stored.total
+    lines = [(0, f"Sheet: {name}"), (1, "Columns: " + ", ".join(columns))] if n else []
+    if n > cap:
+        lines.append((cap + 2, f"... (showing top {cap} of {n} rows)"))
+    head = literal_frame(spark, lines, [("line_no", "bigint"), ("text", "string")])
+    first = project_existing(stored.first(cap), [ROW, *columns]).orderBy(ROW).limit(cap)
+    rows = first.select((F.row_number().over(Window.orderBy(ROW)) + 1).cast("bigint").alias("line_no"), row_text(first).alias("text"))  # over at most `cap` rows
+    return head.unionByName(rows).select(F.lit(order).alias("tab_order"), F.lit(name).alias("tab"), "line_no", "text")
+
+
 def tab_snapshot(name: str, order: int, df: DataFrame, cap: int | None) -> DataFrame:
     """Header lines, the first ``cap`` rows in sheet order (None: every row), and a mark when rows were left
     out: (tab_order, tab, line_no, text). An empty tab gives no lines.
@@ -53,16 +67,20 @@ def tab_snapshot(name: str, order: int, df: DataFrame, cap: int | None) -> DataF
     else:
         first = df.select(ROW).orderBy(ROW).limit(cap).select((F.row_number().over(Window.orderBy(ROW)) + 1).cast("bigint").alias("line_no"),
                                                               F.col(ROW).alias("__first"))  # over at most `cap` rows
-        rows = df.join(F.broadcast(first), F.col(ROW) == F.col("__first")).select("line_no", row_text(df).alias("text"))
+        rows = df.join(first, F.col(ROW) == F.col("__first")).select("line_no", row_text(df).alias("text"))
     return head.unionByName(rows).select(F.lit(order).alias("tab_order"), F.lit(name).alias("tab"), "line_no", "text")
 
 
 def context_snapshot(tabs, caps=SNAPSHOT_ROWS, default: int | None = SNAPSHOT_DEFAULT_ROWS) -> DataFrame:
-    """``tabs`` = [(name, df)] in load order; lines of every non-empty tab. ``caps``: first rows shown by tab,
-    ``default`` for the others, None for whole tabs."""
+    """``tabs`` = [(name, df)] or [(name, df, ranges of the stored tab)] in load order; lines of every non-empty
+    tab. ``caps``: first rows shown by tab, ``default`` for the others, None for whole tabs."""
     out = None
-    for i, (name, df) in enumerate(tabs):
-        s = tab_snapshot(name, i, df, snapshot_cap(name, caps, default))
+    for i, (name, df, *stored) in enumerate(tabs):
+        cap = snapshot_cap(name, caps, default)
+        if stored and stored[0] is not None and cap is not None:
+            s = stored_snapshot(name, i, [c for c in df.columns if c != ROW], cap, stored[0])
+        else:
+            s = tab_snapshot(name, i, df, cap)
         out = s if out is None else out.unionByName(s)
     return out
 
@@ -70,8 +88,8 @@ def context_snapshot(tabs, caps=SNAPSHOT_ROWS, default: int | None = SNAPSHOT_DE
 def context_text(snapshot: DataFrame, limit: int = SNAPSHOT_TEXT_LIMIT, mark: str = SNAPSHOT_TRUNCATION_MARK) -> DataFrame:
     """The snapshot as one text, cut at ``limit`` characters with a mark.
 
-    The snapshot is capped per tab (at most a few hundred lines), so this one
-    group has a fixed bound.
+    For snapshots capped per tab (at most a few hundred lines): this one group is put together in one task,
+    so a snapshot of whole tabs belongs in files instead.
     """
     lines = F.array_sort(F.collect_list(F.struct("tab_order", "line_no", "text")))
     full = F.array_join(F.transform(lines, lambda x: x["text"]), "\n")

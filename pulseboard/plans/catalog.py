@@ -39,6 +39,11 @@ def _tab(spark, sf, name, build, tab, typed=lambda df: df):
     return store.stored(spark, sf, name, lambda s, d: typed(clean_tab(build(s, d), tab)), driver.SOURCES[name])
 
 
+def ranges(spark, sf, name):
+    """The stored tab ``name`` by its ranges of rows."""
+    return store.ranges(spark, store.path_of(spark, sf, name, driver.SOURCES[name]))
+
+
 def _text(df):
     return df.select(*[q(c) for c in df.columns if not c.startswith("__")])
 

@@ -81,21 +81,14 @@ def q_row_update_report(spark, sf):
 # -- snapshot ---------------------------------------------------------------
 
 def snapshot_tabs(spark, sf):
-    return [
-        ("Project Inventory", cat.projects(spark, sf)),
-        ("Project Risks", cat.risks(spark, sf)),
-        ("Pipeline", cat.pipeline(spark, sf)),
-        ("Team Utilization", cat.staff(spark, sf)),
-        ("Talent Gaps", cat.talent_gaps(spark, sf)),
-        ("Operational Gaps", cat.operational_gaps(spark, sf)),
-        ("Executive Activity", cat.activity(spark, sf)),
-        ("Scenario Model Inputs", cat.scenario_inputs(spark, sf)),
-        ("Do Nothing Scenario", cat.do_nothing(spark, sf)),
-        ("Proposed Scenario", cat.proposed(spark, sf)),
-        ("Scenario Comparison", cat.scenario_comparison(spark, sf)),
-        ("MappingTable", driver.mapping(spark)),
-        ("Project Observations", cat.observations(spark, sf)),
-    ]
+    """(name, tab, its stored ranges) of the 13 tabs in load order; the mapping table is not a stored one."""
+    tabs = [("Project Inventory", "projects", cat.projects), ("Project Risks", "risks", cat.risks), ("Pipeline", "pipeline", cat.pipeline),
+            ("Team Utilization", "staff", cat.staff), ("Talent Gaps", "talent_gaps", cat.talent_gaps), ("Operational Gaps", "operational_gaps", cat.operational_gaps),
+            ("Executive Activity", "exec_activity", cat.activity), ("Scenario Model Inputs", "scenario_inputs", cat.scenario_inputs),
+            ("Do Nothing Scenario", "do_nothing", cat.do_nothing), ("Proposed Scenario", "proposed", cat.proposed),
+            ("Scenario Comparison", "scenario_comparison", cat.scenario_comparison), ("MappingTable", None, lambda s, _: driver.mapping(s)),
+            ("Project Observations", "observations", cat.observations)]
+    return [(title, load(spark, sf), cat.ranges(spark, sf, name) if name else None) for title, name, load in tabs]
 
 
 SNAP_SQL_TABS = [
@@ -211,7 +204,7 @@ def q_load_workbook(spark, sf):
     from ..sources.tabs import load_workbook
 
     folder = new_output_path(spark, "workbook")
-    tabs = dict(snapshot_tabs(spark, sf))
+    tabs = {name: df for name, df, _ in snapshot_tabs(spark, sf)}
     for name, df in tabs.items():
         df.write.parquet(f"{folder}/{R.export_slug(name)}")
     out = None

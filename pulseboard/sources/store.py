@@ -6,6 +6,11 @@ state of its input files (names, lengths, times), and its result written to the
 query then starts from a plain parquet scan with pushdown and pruning, as it
 would on exported tabs. Writing the table also cuts the lineage, so a lost
 executor re-reads stored files instead of recomputing the mapping.
+
+The copy is partitioned by ranges of ``_row`` (``__range``, numbered in sheet
+order) and the rows of each range are counted once, so the first rows of a tab
+come from its first ranges and their number from the counts: partition pruning
+opens nothing else.
 """
 
 from __future__ import annotations
@@ -14,12 +19,19 @@ import hashlib
 import threading
 import time
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .files import fingerprint
+from .files import fingerprint, remove, size
+from .tabs import ROW
 
-MAPPING_VERSION = "8"
+MAPPING_VERSION = "9"
+RANGE = "__range"
+#: Ranges of a stored tab: one for this many bytes, within bounds that keep folders few.
+RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 128 << 20, 8, 4096
 _PATHS: dict = {}
 _FRAMES: dict = {}
 _LOCK = threading.Lock()
@@ -53,8 +65,58 @@ def _stored(spark, sf_dir, name, build, k):
         path = f"{shared_dir(spark).rstrip('/')}/tabs/{tag}/{name}"
         t0 = time.perf_counter()
         # row groups of some megabytes: a file splits over tasks and date statistics prune finely
-        build(spark, sf_dir).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(path)
+        ranged(build(spark, sf_dir), path)
         INGEST_SECONDS[name] = round(time.perf_counter() - t0, 3)
         _PATHS[k] = path
-    _FRAMES[k] = spark.read.parquet(path)
+    _FRAMES[k] = spark.read.parquet(path).drop(RANGE)
     return _FRAMES[k]
+
+
+def ranged(df: DataFrame, path: str) -> None:
+    """Write ``df`` to ``path`` partitioned by ranges of ``_row``. It is written as it comes first, so that
+    finding the ranges' bounds and sorting rows into them read stored files instead of working it out twice."""
+    spark = df.sparkSession
+    plain = f"{path}-plain"
+    df.write.mode("overwrite").parquet(plain)
+    rows = spark.read.parquet(plain)
+    if rows.isEmpty():  # no partition to write: one file that holds the schema
+        rows.withColumn(RANGE, F.lit(0)).coalesce(1).write.mode("overwrite").parquet(path)
+    else:
+        n = max(LEAST_RANGES, min(MOST_RANGES, size(spark, plain) // RANGE_BYTES))
+        parts = rows.repartitionByRange(n, ROW).withColumn(RANGE, F.spark_partition_id())
+        parts.write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy(RANGE).parquet(path)
+    spark.read.parquet(path).groupBy(RANGE).agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}-ranges")
+    remove(spark, plain)
+
+
+@dataclass
+class Ranges:
+    """A stored tab by its ranges: [(range, rows)] in sheet order, at most some thousand."""
+
+    spark: SparkSession
+    path: str
+    counts: list[tuple[int, int]]
+
+    @property
+    def total(self) -> int:
+        return sum(n for _, n in self.counts)
+
+    def first(self, n: int) -> DataFrame:
+        """Rows that hold the first ``n`` in sheet order: those of the first ranges."""
+        upto, seen = -1, 0
+        for r, rows in self.counts:
+            if seen >= n:
+                break
+            upto, seen = r, seen + rows
+        return self.spark.read.parquet(self.path).where(F.col(RANGE) <= upto).drop(RANGE)
+
+
+_RANGES: dict = {}
+
+
+def ranges(spark: SparkSession, path: str) -> Ranges:
+    """The ranges of the tab stored at ``path``."""
+    if path not in _RANGES:
+        rows = spark.read.parquet(f"{path}-ranges").collect()
+        _RANGES[path] = sorted((r[RANGE], r["n"]) for r in rows)
+    return Ranges(spark, path, _RANGES[path])
