@@ -27,9 +27,9 @@ def medians(df: DataFrame, columns: dict[str, Column], by=()) -> DataFrame:
     """Exact medians (nulls ignored), one row per group: by..., one column per name (null without values),
     rounded to 9 decimals.
 
-    Equal values are counted first (partial aggregates), counts run up within buckets of neighbouring
-    values, the buckets' totals run up per group and name, and the one or two values at the middle ranks are
-    kept: no task sees all values of a group, and nothing runs before the result is asked for."""
+    Equal values are counted first (partial aggregates), the totals of buckets of neighbouring values run up
+    per group and name, and only the one or two buckets that hold the middle ranks are looked at value by
+    value: no task sees all values of a group, and nothing runs before the result is asked for."""
     return medians_of_counts(value_counts(df, columns, by), columns, by)
 
 
@@ -45,14 +45,18 @@ def medians_of_counts(counts: DataFrame, columns, by=()) -> DataFrame:
     """The medians of ``medians`` from counted values (g, name, x, c)."""
     counts = counts.withColumn("bucket", _bucket(F.col("x")))
     low, high = Window.unboundedPreceding, Window.currentRow
-    run = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("g", "name", "bucket").orderBy("x").rowsBetween(low, high)))
     totals = counts.groupBy("g", "name", "bucket").agg(F.sum("c").alias("t"))
-    group = Window.partitionBy("g", "name")
-    before = totals.select("g", "name", "bucket", (F.sum("t").over(group.orderBy("bucket").rowsBetween(low, high)) - F.col("t")).alias("before"),
-                           F.sum("t").over(group).alias("n"))
-    ranked = run.join(before, ["g", "name", "bucket"]).withColumn("to", F.col("before") + F.col("upto")).withColumn("from", F.col("to") - F.col("c"))
+    group = Window.partitionBy("g", "name")  # buckets of a group: some thousand an octave range, whatever the rows
+    places = totals.withColumns({"upto": F.sum("t").over(group.orderBy("bucket").rowsBetween(low, high)), "n": F.sum("t").over(group)})
     middle = [F.floor((F.col("n") - 1) / 2) + 1, F.floor(F.col("n") / 2) + 1]
-    kept = ranked.where(reduce(Column.__or__, [(F.col("from") < k) & (k <= F.col("to")) for k in middle]))
+
+    def holds(first: Column, last: Column) -> Column:
+        return reduce(Column.__or__, [(first < k) & (k <= last) for k in middle])
+
+    target = places.select("g", "name", "bucket", "n", (F.col("upto") - F.col("t")).alias("before"), "upto").where(holds(F.col("before"), F.col("upto"))).drop("upto")
+    near = counts.join(target, ["g", "name", "bucket"])
+    run = near.withColumn("to", F.col("before") + F.sum("c").over(Window.partitionBy("g", "name", "bucket").orderBy("x").rowsBetween(low, high)))
+    kept = run.where(holds(F.col("to") - F.col("c"), F.col("to")))
     one = kept.groupBy("g", "name").agg(F.round((F.min("x") + F.max("x")) / 2.0, 9).alias("m"))
     wide = [F.max(F.when(F.col("name") == n, F.col("m"))).alias(n) for n in columns]
     if not by:

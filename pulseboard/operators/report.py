@@ -85,15 +85,16 @@ def context_snapshot(tabs, caps=SNAPSHOT_ROWS, default: int | None = SNAPSHOT_DE
     return out
 
 
-def context_text(snapshot: DataFrame, limit: int = SNAPSHOT_TEXT_LIMIT, mark: str = SNAPSHOT_TRUNCATION_MARK) -> DataFrame:
+def context_text(snapshot: DataFrame, limit: int = SNAPSHOT_TEXT_LIMIT, mark: str = SNAPSHOT_TRUNCATION_MARK, most: int = 10_000) -> DataFrame:
     """The snapshot as one text, cut at ``limit`` characters with a mark.
 
-    For snapshots capped per tab (at most a few hundred lines): this one group is put together in one task,
-    so a snapshot of whole tabs belongs in files instead.
+    For snapshots capped per tab (a few hundred lines): this one group is put together in one task, so a
+    snapshot of more than ``most`` lines (whole tabs) raises; it belongs in files instead.
     """
     lines = F.array_sort(F.collect_list(F.struct("tab_order", "line_no", "text")))
     full = F.array_join(F.transform(lines, lambda x: x["text"]), "\n")
-    t = snapshot.agg(full.alias("full"))
+    t = snapshot.limit(most + 1).agg(full.alias("text"), F.count(F.lit(1)).alias("lines"))
+    t = t.select(F.when(F.col("lines") > most, F.raise_error(F.lit(f"a snapshot of more than {most} lines can't be one text")).cast("string")).otherwise(F.col("text")).alias("full"))
     n = F.length("full")
     return t.select(n.cast("bigint").alias("snapshot_chars"), (n > limit).alias("truncated"),
                     F.when(n > limit, F.concat(F.substring("full", 1, limit), F.lit(mark)))

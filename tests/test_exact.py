@@ -80,3 +80,51 @@ def test_groups_named_like_nothing_else(spark):
     df = literal_frame(spark, [("x", 1e15, 1), ("x", 0.5, 2)], [("Client (a.b)", "string"), ("v", "double"), ("_row", "bigint")])
     r = E.aggregate(df, ("Client (a.b)",), [E.Sum("s", F.col("v"))]).first()
     assert r["Client (a.b)"] == "x" and r.s == 1e15 + 0.5
+
+
+def test_no_cell_ends_or_cuts_a_job(spark):
+    import datetime as dt
+
+    from conftest import tab
+    from pulseboard.operators import distributions as DI
+    from pulseboard.operators import kpis as K
+    from pulseboard.operators import scenario as SC
+    from pulseboard.operators import scores as S
+    from pulseboard.operators import staffing as ST
+
+    long = "1" * 25
+    fine, big = "0.00000000004", ["1" + "0" * 22, "1", "-1" + "0" * 22]
+    p = tab(spark, "Project Inventory", [{"Project Name": "A", "Client": "c", "Timeline Health": "Yes", "Budget and Scope": "Big", "Revenue": fine} for _ in range(1000)])
+    staff = tab(spark, "Team Utilization", [{"Employee Name": f"s{i}", "Project Assignments": "A", "Utilization (%)": u, "Latest Pulse Score": fine} for i, u in enumerate(big)])
+    r = ST.staffing_health(p.limit(1), staff, dt.date(2025, 6, 30)).first()
+    assert (r["Assigned Team Size"], r["Avg. Team Utilization %"], r["Avg. Team Pulse Score"]) == (3, 1.0 / 3, 1.2e-10 / 3)
+    mapping = tab(spark, "MappingTable", [{"Tab": "Project Inventory", "Value": "Yes", "Score": long}, {"Tab": "Project Inventory", "Value": "Big", "Score": "2.0000001"}])
+    assert S.project_health_lookup(p, mapping).first().project_health_score == want([float(long), 2.0000001])
+    assert S.weighted_totals(p, mapping).first().project_health_score == want([float(long), 2.0000001])
+    assert K.kpi_revenue(p).first().total_revenue == 4e-8
+    pipe = tab(spark, "Pipeline", [{"Account": "a", "Open Pipeline_Active Work": b, "Percieved Annual AMO": fine} for b in big])
+    k = K.kpi_pipeline(pipe).first()
+    assert (k.active_pipeline_value, k.total_potential_pipeline_value) == (1.0, 1.2e-10)
+    risks = tab(spark, "Project Risks", [{"Severity": "High", "Impact ($)": b} for b in big] + [{"Severity": "High", "Impact ($)": fine}])
+    assert K.kpi_risk(risks).first().total_risk_impact == 1.00000000004
+    assert {x.severity: x.total_impact for x in DI.risk_by_severity(risks).collect()} == {"High": 1.00000000004}
+    assert K.kpi_exec_cost(tab(spark, "Executive Activity", [{"Strategic Cost ($)": b} for b in big])).first().total_strategic_cost == 1.0
+    a, b = (tab(spark, n, [{"Annualized Impact ($)": x} for x in big]) for n in ("Do Nothing Scenario", "Proposed Scenario"))
+    assert {r.scenario: r.total_annualized_impact for r in SC.scenario_totals(a, b).collect()} == {"Do Nothing": 1.0, "Proposed": 1.0}
+    m = spark.createDataFrame([("x", 1e22, 4e-11), ("x", 1.0, 4e-11), ("x", -1e22, 4e-11)], "g string, r double, c double")
+    assert S.margin(m, F.col("r"), F.col("c"), ["g"]).first().cost == 1.2e-10
+
+
+def test_the_scan_for_far_cells_is_pruned(spark):
+    import os
+
+    import pytest
+
+    from pulseboard.plans import catalog as cat
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("driver tables not present")
+    for name in ("kpi_revenue", "kpi_risk", "kpi_exec_cost", "scenario_totals"):
+        plan = cat.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(__far,true)" in plan or "IsNotNull(__far)" in plan, name

@@ -32,3 +32,13 @@ def test_empty_tab(spark, tmp_path):
     ranges = store.ranges(spark, path)
     assert ranges.total == 0
     assert R.context_snapshot([("Talent Gaps", tab(spark, "Talent Gaps", []), ranges)]).count() == 0
+
+
+def test_a_text_of_whole_tabs_is_refused(spark):
+    import pytest
+
+    t = tab(spark, "Talent Gaps", [{"Skill/Role Needed": f"s{i}"} for i in range(40)])
+    snap = R.context_snapshot([("Talent Gaps", t)], default=None)
+    assert R.context_text(snap).first().context_text.count("\n") == 41
+    with pytest.raises(Exception, match="more than 20 lines"):
+        R.context_text(snap, most=20).collect()
