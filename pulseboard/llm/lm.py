@@ -280,7 +280,7 @@ def gradients(p: dict[str, np.ndarray], units: np.ndarray, targets: np.ndarray,
     return g, hs[-1]
 
 
-def train_here(p: dict[str, np.ndarray], segments: list[np.ndarray], v: Vocabulary, lanes: int = 64, steps: int = 16, rate: float = 0.01) -> tuple[dict[str, np.ndarray], int]:
+def train_here(p: dict[str, np.ndarray], segments: list[np.ndarray], v: Vocabulary, lanes: int = 256, steps: int = 16, rate: float = 0.01) -> tuple[dict[str, np.ndarray], int]:
     """Truncated backpropagation over segments of documents (the unit before, then the segment's units), dealt
     to at most ``lanes`` lanes; the state is carried from window to window. Adam steps; returns the weights and
     the tokens learned from."""
@@ -449,7 +449,7 @@ def log_likelihoods(p: dict[str, np.ndarray], docs: list[np.ndarray], v: Vocabul
 
 # -- the operator -----------------------------------------------------------
 
-def score_documents(docs: DataFrame, known: int = 100_000, head: int = 512, rounds: int = 2, budget: int = 240_000, chunk: int = 3_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, known: int = 100_000, head: int = 512, rounds: int = 1, budget: int = 960_000, chunk: int = 3_000_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out (crc32 of the id's text mod 7 is 2; not learned from),
     n_tokens, n_known, train_tokens, base_score (smoothed unigrams) and score (the model), both log10 of the
     probability of the whole text.
