@@ -82,9 +82,11 @@ def commit_updates(spark: SparkSession, path: str, key: str, updates: DataFrame,
         _replace(spark, path, record)
     tab = spark.read.parquet(path)
     valid, _ = _valid(tab.drop(PART), key, updates)
-    asked = valid.where(F.col("value").isNotNull()).select(F.col("key").alias("__k")).distinct()
-    held = tab.select(q(key).alias("__k"), PART).join(asked, "__k", "left_semi")
-    touched = sorted(r[PART] for r in held.select(PART).distinct().collect())  # at most ``parts`` numbers
+    asked = valid.where(F.col("value").isNotNull()).select(F.col("key").cast(tab.schema[key].dataType).alias("__k")).distinct()
+    # only the partitions the keys hash to are looked through for them; at most ``parts`` numbers come here
+    may = [r[PART] for r in asked.select(_part("__k", parts).alias(PART)).distinct().collect()]
+    held = tab.where(F.col(PART).isin(may)).select(q(key).alias("__k"), PART).join(asked, "__k", "left_semi")
+    touched = sorted(r[PART] for r in held.select(PART).distinct().collect())
     if not touched:
         return []
     mine = tab.where(F.col(PART).isin(touched))  # partition pruning: the others are not opened
