@@ -8,7 +8,7 @@ aggregates; no class can overflow), and at the end, once per group, the classes
 the whole is spelt out and read as a double: rounded once, whatever cancelled.
 
 The rows with such cells come from a second, narrow scan; tabs stored with a ``__far`` mark let the scan skip
-every row group that has none.
+every row group that has none, other tabs are looked through for them.
 
 Expressions are SQL text, since a text is parsed at once where nested lambdas built by calls take a second.
 """
@@ -140,7 +140,9 @@ def cells(df: DataFrame, keys: list[Column], n: int) -> DataFrame:
     """(keys..., i, k, v): the cells of ``__x0`` to ``__x{n-1}`` that are kept in parts, added per class."""
     none = "cast(array() AS array<struct<i:int,k:int,v:decimal(38,0)>>)"
     each = [f"IF({_is_far(f'__x{i}')}, transform({_parts(f'__x{i}')}, p -> named_struct('i', {i}, 'k', p.k, 'v', p.v)), {none})" for i in range(n)]
-    rows = df.where(F.col(FAR) if FAR in df.columns else far_mark(*[f"__x{i}" for i in range(n)]))
+    # without a stored mark every row is looked at here: as a filter the test would move below the columns it reads
+    # and work each of them out once per mention
+    rows = df.where(F.col(FAR)) if FAR in df.columns else df
     return added(rows.select(*keys, F.expr(f"inline(concat({', '.join(each)}))")))
 
 

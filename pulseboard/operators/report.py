@@ -26,8 +26,8 @@ def snapshot_cap(name: str, caps=SNAPSHOT_ROWS, default: int | None = SNAPSHOT_D
 
 
 def stored_snapshot(name: str, order: int, columns, cap: int, stored) -> DataFrame:
-    """``tab_snapshot`` of a tab stored by ranges (``sources.store.Ranges``): the header lines come from the
-    ranges' counts, the rows from the first ranges alone."""
+    """``tab_snapshot`` of a tab whose number of rows and first rows are known (``sources.store.Ranges`` of a stored
+    tab, ``sources.store.FirstRows`` of one mapped when read): only rows among the first are worked out in full."""
     spark, n = stored.spark, stored.total
     lines = [(0, f"Sheet: {name}"), (1, "Columns: " + ", ".join(columns))] if n else []
     if n > cap:
@@ -72,7 +72,7 @@ def tab_snapshot(name: str, order: int, df: DataFrame, cap: int | None) -> DataF
 
 
 def context_snapshot(tabs, caps=SNAPSHOT_ROWS, default: int | None = SNAPSHOT_DEFAULT_ROWS) -> DataFrame:
-    """``tabs`` = [(name, df)] or [(name, df, ranges of the stored tab)] in load order; lines of every non-empty
+    """``tabs`` = [(name, df)] or [(name, df, its first rows)] in load order; lines of every non-empty
     tab. ``caps``: first rows shown by tab, ``default`` for the others, None for whole tabs."""
     out = None
     for i, (name, df, *stored) in enumerate(tabs):

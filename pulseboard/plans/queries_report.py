@@ -8,6 +8,7 @@ from ..operators import kpis as K
 from ..operators import report as R
 from ..operators import updates as U
 from ..sources import driver
+from ..sources.store import FirstRows
 from ..sources.tabs import ROW, TAB_COLUMNS, q
 from ..targets import DEFAULT_TARGETS, METRIC_CARDS, SNAPSHOT_DIGEST_MARK, SNAPSHOT_TRUNCATION_MARK
 from . import catalog as cat
@@ -81,14 +82,14 @@ def q_row_update_report(spark, sf):
 # -- snapshot ---------------------------------------------------------------
 
 def snapshot_tabs(spark, sf):
-    """(name, tab, its stored ranges) of the 13 tabs in load order; the mapping table is not a stored one."""
+    """(name, tab, its first rows) of the 13 tabs in load order; the mapping table is a literal one."""
     tabs = [("Project Inventory", "projects", cat.projects), ("Project Risks", "risks", cat.risks), ("Pipeline", "pipeline", cat.pipeline),
             ("Team Utilization", "staff", cat.staff), ("Talent Gaps", "talent_gaps", cat.talent_gaps), ("Operational Gaps", "operational_gaps", cat.operational_gaps),
             ("Executive Activity", "exec_activity", cat.activity), ("Scenario Model Inputs", "scenario_inputs", cat.scenario_inputs),
             ("Do Nothing Scenario", "do_nothing", cat.do_nothing), ("Proposed Scenario", "proposed", cat.proposed),
             ("Scenario Comparison", "scenario_comparison", cat.scenario_comparison), ("MappingTable", None, lambda s, _: driver.mapping(s)),
             ("Project Observations", "observations", cat.observations)]
-    return [(title, load(spark, sf), cat.ranges(spark, sf, name) if name else None) for title, name, load in tabs]
+    return [(title, df, FirstRows(df) if name else None) for title, name, df in ((t, n, load(spark, sf)) for t, n, load in tabs)]
 
 
 SNAP_SQL_TABS = [

@@ -23,10 +23,6 @@ _STATE: dict = {}
 _LOCK = threading.Lock()
 
 
-def _path(spark, sf, name):
-    return store.path_of(spark, sf, name, driver.SOURCES[name])
-
-
 @query("kpi_refresh", KPI_ALL_SQL)
 def q_kpi_refresh(spark, sf):
     """The KPI bundle from file states, after files of Project Inventory were added, changed and removed."""
@@ -39,8 +35,7 @@ def q_kpi_refresh(spark, sf):
     before.write.partitionBy("part").parquet(folder)
     folders = {"projects": folder}
     for tab, load in (("pipeline", cat.typed_pipeline), ("risks", cat.typed_risks), ("staff", cat.typed_staff), ("exec_activity", cat.typed_activity)):
-        load(spark, sf)
-        folders[tab] = _path(spark, sf, tab)
+        folders[tab] = cat.files(spark, sf, tab, load(spark, sf))
     ST.refresh_bundle(spark, folders, state, AS_OF)
     now.where("part in (3, 5)").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(folder)
     remove(spark, f"{folder}/part=8")
@@ -62,8 +57,7 @@ def q_write_back(spark, sf):
 def _by_key(spark, sf, name, key, load):
     """Name of the tables that hold a tab's first rows by key and the rest, stored once per state of its sources."""
     with _LOCK:
-        load(spark, sf)
-        source = _path(spark, sf, name)
+        source = store.state_of(spark, sf, name, driver.SOURCES[name])
         if source not in _KEYED:
             path = new_output_path(spark, f"{name}_by_key")
             table = path.rsplit("/", 1)[1].replace("-", "_")

@@ -1,16 +1,19 @@
-"""Tab store: each mapped tab is written once as parquet and scanned afterwards.
-
-A workbook tab is an input *file*; jobs scan it. The driver tables are not
-tabs, so their mapping (``sources/driver.py``) is run once per session and
-state of its input files (names, lengths, times), and its result written to the shared folder (``spark.checkpoint.dir``); every
-query then starts from a plain parquet scan with pushdown and pruning, as it
-would on exported tabs. Writing the table also cuts the lineage, so a lost
-executor re-reads stored files instead of recomputing the mapping.
-
-The copy is partitioned by ranges of ``_row`` (``__range``, numbered in sheet
-order) and the rows of each range are counted once, so the first rows of a tab
-come from its first ranges and their number from the counts: partition pruning
-opens nothing else.
+"""Tabs mapped from their sources when they are read, and tabs stored as files.
+
+A query reads a text tab as a lazy frame over its source tables (``mapped``):
+column pruning and filters reach the sources' scans, so it works out the cells
+it uses and nothing is written or shuffled beforehand. The frame is built once
+per session and state of the source files (names, lengths, times).
+
+Typed tabs with many queries, and the tabs of jobs that work on files
+(``operators/state.py``), are ``stored``: written once per such state as they
+come, with no shuffle, and scanned afterwards with pushdown and pruning.
+
+``FirstRows`` finds the first rows in sheet order by ``_row`` alone and maps only
+those. ``ranged`` writes a tab partitioned by ranges of ``_row`` (``__range``,
+numbered in sheet order) with the rows of each range counted, for tabs whose
+first rows are asked for often: partition pruning opens the first ranges and
+nothing else.
 """
 
 from __future__ import annotations
@@ -21,14 +24,15 @@ import time
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from ..session import shared_dir
 from .files import fingerprint, remove, size
 from .tabs import ROW
 
-MAPPING_VERSION = "9"
+MAPPING_VERSION = "10"
 RANGE = "__range"
 #: Ranges of a stored tab: one for this many bytes, within bounds that keep folders few.
 RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 128 << 20, 8, 4096
@@ -38,38 +42,73 @@ _LOCK = threading.Lock()
 INGEST_SECONDS: dict = {}
 
 
-def _key(spark: SparkSession, sf_dir: str, name: str, sources) -> tuple:
+def state_of(spark: SparkSession, sf_dir: str, name: str, sources=()) -> tuple:
+    """What tells one state of a tab's source tables in one session from another."""
     folder = sf_dir.rstrip("/")
     return spark.sparkContext.applicationId, folder, name, tuple(fingerprint(spark, f"{folder}/{t}.parquet") for t in sources)
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build, sources=()) -> DataFrame:
-    """Parquet copy of ``build(spark, sf_dir)``, written on first use in this session and again once one of the
-    tables ``sources`` below ``sf_dir`` has changed."""
-    k = _key(spark, sf_dir, name, sources)
+def mapped(spark: SparkSession, sf_dir: str, name: str, build, sources=()) -> DataFrame:
+    """``build(spark, sf_dir)``, not run: the same frame in this session until one of the tables ``sources`` below
+    ``sf_dir`` changes."""
+    k = state_of(spark, sf_dir, name, sources)
     with _LOCK:
-        return _stored(spark, sf_dir, name, build, k)
+        if k not in _FRAMES:
+            _FRAMES[k] = build(spark, sf_dir)
+        return _FRAMES[k]
+
 
+def stored(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame, sources=()) -> str:
+    """Folder with a parquet copy of ``rows``, written as they come on first use in this session and again once one
+    of the tables ``sources`` below ``sf_dir`` has changed."""
+    k = state_of(spark, sf_dir, name, sources)
+    with _LOCK:
+        if k not in _PATHS:
+            tag = hashlib.sha1(f"{MAPPING_VERSION}|{k[1]}|{k[0]}|{k[3]}".encode()).hexdigest()[:12]
+            path = f"{shared_dir(spark).rstrip('/')}/tabs/{tag}/{name}"
+            t0 = time.perf_counter()
+            # row groups of some megabytes: a file splits over tasks and statistics prune finely
+            rows.write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(path)
+            INGEST_SECONDS[name] = round(time.perf_counter() - t0, 3)
+            _PATHS[k] = path
+        return _PATHS[k]
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The tab stored at ``path``."""
+    k = spark.sparkContext.applicationId, path
+    if k not in _FRAMES:
+        _FRAMES[k] = spark.read.parquet(path)
+    return _FRAMES[k]
 
-def path_of(spark: SparkSession, sf_dir: str, name: str, sources=()) -> str:
-    """Folder of a stored copy."""
-    return _PATHS[_key(spark, sf_dir, name, sources)]
 
+class FirstRows:
+    """Number of rows and first rows, in sheet order, of a tab that is mapped when read. Asking for either runs a
+    job over the columns that tell blank rows and ``_row``."""
 
-def _stored(spark, sf_dir, name, build, k):
-    if k in _FRAMES:
-        return _FRAMES[k]
-    path = _PATHS.get(k)
-    if path is None:
-        tag = hashlib.sha1(f"{MAPPING_VERSION}|{k[1]}|{k[0]}|{k[3]}".encode()).hexdigest()[:12]
-        path = f"{shared_dir(spark).rstrip('/')}/tabs/{tag}/{name}"
-        t0 = time.perf_counter()
-        # row groups of some megabytes: a file splits over tasks and date statistics prune finely
-        ranged(build(spark, sf_dir), path)
-        INGEST_SECONDS[name] = round(time.perf_counter() - t0, 3)
-        _PATHS[k] = path
-    _FRAMES[k] = spark.read.parquet(path).drop(RANGE)
-    return _FRAMES[k]
+    def __init__(self, df: DataFrame):
+        self.df, self.spark = df, df.sparkSession
+
+    @property
+    def total(self) -> int:
+        return self.df.count()
+
+    def first(self, n: int) -> DataFrame:
+        """Rows that hold the first ``n`` in sheet order, and those level with the last of them."""
+        if n < 1:
+            return self.df.limit(0)
+        rows = self.df.select(ROW).orderBy(ROW).limit(n)
+        last = rows.agg(F.max(ROW).alias("last"), F.bool_or(F.col(ROW).isNull()).alias("empty")).first()
+        # a bound that is a value reaches the sources' scans; rows without a place in the sheet come first
+        kept = F.lit(False) if last["last"] is None else F.col(ROW) <= _literal(last["last"], self.df.schema[ROW].dataType)
+        return self.df.where(kept | F.col(ROW).isNull() if last["empty"] else kept)
+
+
+def _literal(value, kind: DataType) -> Column:
+    """A value of ``_row`` as it stands in a frame of that type."""
+    if isinstance(kind, StructType):
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind.fields, strict=True)])
+    return F.lit(value).cast(kind)
 
 
 def ranged(df: DataFrame, path: str) -> None:
