@@ -1,8 +1,8 @@
 """Tabs stored by key: lookups without a shuffle of the tab, and write-back that commits.
 
 ``store_first_rows`` keeps the first row of every key apart, in a table bucketed and sorted by key, and the
-other rows in a plain one. Form defaults are a scan of the first rows; updates, which touch only first rows,
-join them bucket by bucket, and the rest is appended as it is: neither plan has an exchange of the tab. A key
+whole tab beside it, each row marked. Form defaults are a scan of the first rows; updates, which touch only first rows,
+join them bucket by bucket, and the other rows are appended as they are: neither plan has an exchange of the tab. A key
 that holds a third of all rows is one row there, so no bucket is large.
 
 ``store_partitioned`` keeps a tab in partitions by hash of the key. ``commit_updates`` works out the new rows
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import exists, remove
 from ..sources.tabs import ROW, q
-from .updates import _valid, apply_updates, latest_values
+from .updates import _valid, apply_updates, settled, value_sets
 
 FIRST, PART = "__first", "__part"
 
@@ -27,28 +27,34 @@ FIRST, PART = "__first", "__part"
 # -- first rows bucketed by key ---------------------------------------------------------------------------
 
 def store_first_rows(df: DataFrame, key: str, name: str, path: str, buckets: int = 64) -> None:
-    """Store ``df`` as the tables ``{name}_first`` (first row of each key in sheet order, bucketed by key) and
-    ``{name}_rest`` below ``path``. Rows without a key are in the rest."""
-    firsts = df.where(q(key).isNotNull()).groupBy(q(key).alias("__key")).agg(F.min(ROW).alias("__row"))
+    """Store ``df`` as the tables ``{name}_rows`` (every row, marked where it is the first of its key in sheet order)
+    and ``{name}_first`` (the first rows, bucketed by key) below ``path``. Rows without a key are no first rows.
+
+    ``df`` is worked out in full once. The first rows' places are settled before: where they are few, no row of the
+    tab is shuffled to be marked."""
+    firsts = settled(df.where(q(key).isNotNull()).groupBy(q(key).alias("__key")).agg(F.min(ROW).alias("__row")), "first_places")
     # the join is on key and row, so that a hot key's rows spread over the tasks
     marked = df.join(firsts, (q(key) == F.col("__key")) & (F.col(ROW) == F.col("__row")), "left").withColumn(FIRST, F.col("__key").isNotNull()).drop("__key", "__row")
-    marked.where(FIRST).drop(FIRST).repartition(buckets, q(key)).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", f"{path}/first").saveAsTable(f"{name}_first")
-    marked.where(~F.col(FIRST)).drop(FIRST).write.mode("overwrite").option("path", f"{path}/rest").saveAsTable(f"{name}_rest")
+    marked.write.mode("overwrite").option("path", f"{path}/rows").saveAsTable(f"{name}_rows")
+    first = df.sparkSession.table(f"{name}_rows").where(FIRST).drop(FIRST)
+    first.repartition(buckets, q(key)).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", f"{path}/first").saveAsTable(f"{name}_first")
 
 
 def first_rows(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(f"{name}_first")
 
 
+def other_rows(spark: SparkSession, name: str) -> DataFrame:
+    return spark.table(f"{name}_rows").where(~F.col(FIRST)).drop(FIRST)
+
+
 def update_stored(spark: SparkSession, name: str, key: str, updates: DataFrame) -> DataFrame:
     """``apply_updates`` of the tab stored under ``name``: only the updates are shuffled, to the tab's buckets."""
     first = first_rows(spark, name)
     valid, cols = _valid(first, key, updates)
-    latest = latest_values(valid)
-    sets = latest.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("column", "value"))).alias("__set"))  # at most one entry a column
-    joined = first.join(sets, q(key) == F.col("key"), "left")
+    joined = first.join(value_sets(valid), q(key) == F.col("key"), "left")
     out = [F.coalesce(F.col("__set")[c], q(c)).alias(c) if c in cols else q(c) for c in first.columns]
-    return joined.select(*out).unionByName(spark.table(f"{name}_rest"))
+    return joined.select(*out).unionByName(other_rows(spark, name))
 
 
 # -- partitions by key hash -------------------------------------------------------------------------------

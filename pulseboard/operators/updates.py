@@ -9,7 +9,9 @@ is not found is rejected. A null value sets nothing. Later updates of the same
 Plan: the updates are grouped once by key, the table's keys are first reduced to
 those that have updates (semi join), the first row of each such key is a
 partial aggregate ``min(_row)`` (a hot key collapses map-side), and the result
-reaches the table through one equi join on ``_row``.
+is settled as files, so that its size is known before the table's rows are touched:
+it reaches the table through one equi join on ``_row``, broadcast where it is small.
+A shuffle join would write every row of a wide table to reach few of them.
 """
 
 from __future__ import annotations
@@ -17,8 +19,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import new_output_path
 from ..sources.tabs import ROW, q
 
+#: Rows of a settled side that every task may hold (some hundred bytes each).
+BROADCAST_ROWS = 500_000
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared folder and read back, marked for broadcast where it has few rows."""
+    path = new_output_path(df.sparkSession, name)
+    df.write.parquet(path)
+    back = df.sparkSession.read.parquet(path)
+    return F.broadcast(back) if back.count() <= BROADCAST_ROWS else back  # counted from the files' footers
+
 
 def _valid(df: DataFrame, key: str, updates: DataFrame) -> tuple[DataFrame, list]:
     cols = [c for c in df.columns if c not in (ROW, key) and not c.startswith("__")]
@@ -37,28 +51,21 @@ def latest_values(valid: DataFrame) -> DataFrame:
     return valid.where(F.col("value").isNotNull()).groupBy("key", "column").agg(F.max_by(text, F.struct("seq", text)).alias("value"))
 
 
+def value_sets(valid: DataFrame) -> DataFrame:
+    """(key, __set): the last values of each key's cells by column, at most one entry a column."""
+    return latest_values(valid).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("column", "value"))).alias("__set"))
+
+
 def apply_updates(df: DataFrame, key: str, updates: DataFrame) -> DataFrame:
     """The tab after applying ``updates``; same columns, same rows."""
     if key not in df.columns:
         return df
     valid, cols = _valid(df, key, updates)
-    latest = latest_values(valid)
-    touched = [c for c in cols]
-    wide = latest.groupBy("key").agg(
-        *[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"__v{i}") for i, c in enumerate(touched)],
-        *[F.max(F.when(F.col("column") == c, F.lit(1))).alias(f"__s{i}") for i, c in enumerate(touched)])
     rows = df.select(q(key).alias("key"), F.col(ROW).alias("__row")).join(updates.select("key").distinct(), "key", "left_semi")
     firsts = rows.groupBy("key").agg(F.min("__row").alias("__first"))
-    targets = firsts.join(wide, "key").drop("key")
+    targets = settled(firsts.join(value_sets(valid), "key").select("__first", "__set"), "updates")
     j = df.join(targets, df[ROW] == targets["__first"], "left")
-    out = []
-    for c in df.columns:
-        if c in touched:
-            i = touched.index(c)
-            out.append(F.when(F.col(f"__s{i}") == 1, F.col(f"__v{i}")).otherwise(q(c)).alias(c))
-        else:
-            out.append(df[f"`{c}`"] if c != ROW else df[ROW])
-    return j.select(*out)
+    return j.select(*[F.coalesce(targets["__set"][c], q(c)).alias(c) if c in cols else df[f"`{c}`"] for c in df.columns])
 
 
 def update_report(df: DataFrame, key: str, updates: DataFrame) -> DataFrame:

@@ -113,3 +113,47 @@ def test_a_changed_input_changes_the_result_within_a_session(spark, tmp_path):
     assert cat.operational_gaps(spark, str(tmp_path)).count() == 5
     write(9)
     assert cat.operational_gaps(spark, str(tmp_path)).count() == 9
+
+
+def hash_exchanges(plan):
+    """The shuffles by hash of a plan."""
+    return [line for line in plan.split("\n") if "Exchange" in line and "hashpartitioning" in line]
+
+
+def test_few_updates_reach_the_tab_without_a_shuffle_of_its_rows(spark, updates):
+    t = tab(spark, "Project Inventory", rows(300)).repartition(5)
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a tab whose size the planner only guesses
+    try:
+        out = U.apply_updates(t, "Project Name", updates)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and not hash_exchanges(plan)
+        got = content(out)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert got == content(U.apply_updates(t, "Project Name", updates)) and len(got) == 301
+
+
+def test_first_rows_of_a_tab_are_marked_without_a_shuffle_and_in_one_pass(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    t = tab(spark, "Project Inventory", rows(120) + [{"Project Name": "p1", "Key Issues": "again"}]).repartition(3)
+    t = t.mapInArrow(count, t.schema)
+    KY.store_first_rows(t, "Project Name", "t_one_pass", str(tmp_path / "t"), 4)
+    assert seen.value == 2 * 122  # once for the places of the first rows, once in full
+    assert content(KY.first_rows(spark, "t_one_pass").unionByName(KY.other_rows(spark, "t_one_pass"))) == content(t)
+    assert KY.first_rows(spark, "t_one_pass").count() == 18
+
+
+def test_a_large_side_is_joined_by_shuffle_with_the_same_rows(spark, updates, tmp_path, monkeypatch):
+    t = tab(spark, "Project Inventory", rows(200)).repartition(4)
+    want = content(U.apply_updates(t, "Project Name", updates))
+    monkeypatch.setattr(U, "BROADCAST_ROWS", -1)
+    assert content(U.apply_updates(t, "Project Name", updates)) == want
+    KY.store_first_rows(t, "Project Name", "t_large", str(tmp_path / "t"), 4)
+    assert content(KY.update_stored(spark, "t_large", "Project Name", updates)) == want
