@@ -43,7 +43,8 @@ def value_counts(df: DataFrame, columns: dict[str, Column], by=()) -> DataFrame:
 
 def medians_of_counts(counts: DataFrame, columns, by=()) -> DataFrame:
     """The medians of ``medians`` from counted values (g, name, x, c)."""
-    counts = counts.withColumn("bucket", _bucket(F.col("x")))
+    # both uses below then ask for the same rows (the join's own tests are here already), so the values are counted once
+    counts = counts.withColumn("bucket", _bucket(F.col("x"))).where(reduce(Column.__and__, [F.col(c).isNotNull() for c in ("g", "name", "bucket")]))
     low, high = Window.unboundedPreceding, Window.currentRow
     totals = counts.groupBy("g", "name", "bucket").agg(F.sum("c").alias("t"))
     group = Window.partitionBy("g", "name")  # buckets of a group: some thousand an octave range, whatever the rows

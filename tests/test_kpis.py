@@ -181,3 +181,20 @@ def test_lists_agree_with_their_counts_when_a_column_is_absent(spark):
     assert L.utilization_ranking(tab(spark, "Team Utilization", [{"Employee Name": "e"}]).drop("Role")).first().Role is None
     typed = p.withColumn("Revenue", F.lit(15_000_000.0))
     assert L.project_listing(typed).first().Revenue == "$15,000,000"
+
+
+def test_values_of_a_median_are_counted_in_one_pass(spark):
+    from pulseboard.functions.stats import medians
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    xs = [(float(i % 9),) for i in range(50)] + [(None,), (0.0,), (-4.5,), (float("nan"),)]
+    df = spark.createDataFrame(xs, "x double").repartition(3)
+    got = medians(df.mapInArrow(count, df.schema), {"m": F.col("x"), "n": F.when(F.col("x") < 0, F.col("x")), "none": F.lit(None).cast("double")}).first()
+    assert (got.m, got.n, got.none) == (4.0, -4.5, None)
+    assert seen.value == len(xs)
