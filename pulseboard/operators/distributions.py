@@ -160,5 +160,5 @@ def risk_by_severity(risks: DataFrame) -> DataFrame:
     """Total impact and count per severity label (``High``, ``Medium``, ..., ``Unknown``)."""
     rf = risk_frame(risks)
     sev = C.severity_label(q("Severity")) if "Severity" in rf.columns else F.lit("Unknown")
-    rows = rf.select(sev.alias("severity"), "__impact", FAR)
+    rows = rf.select(sev.alias("severity"), "__impact", *[c for c in rf.columns if c == FAR])  # a tab mapped when read has no stored mark
     return aggregate(rows, ("severity",), [Sum("total_impact", F.col("__impact")), F.count(F.lit(1)).alias("risk_count")])

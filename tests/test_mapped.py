@@ -1,6 +1,7 @@
 """Tabs mapped when read: no exchange or write of the tab beforehand; first rows and blank rows as in a stored tab."""
 
 from conftest import tab
+from pulseboard.operators import distributions as DI
 from pulseboard.operators import report as R
 from pulseboard.plans import catalog as cat
 from pulseboard.sources import store
@@ -39,3 +40,12 @@ def test_first_rows_are_those_of_a_whole_sort(spark, tmp_path):
 def test_blank_rows_go_and_wide_tabs_plan(spark):
     t = tab(spark, "Project Inventory", [{"Project Name": "p"}, {"Project Name": ""}, {}, {"Total Project Score": "1"}])
     assert sorted(r._row for r in clean_tab(t).collect()) == [0, 3]
+
+
+def test_the_risks_tab_is_not_stored(spark, tmp_path):
+    sf = lines(spark, tmp_path)
+    before = dict(store.INGEST_SECONDS)
+    risks = cat.typed_risks(spark, sf)
+    got = {r.severity: (r.risk_count, r.total_impact) for r in DI.risk_by_severity(risks).collect()}
+    assert store.INGEST_SECONDS == before
+    assert got == {"Medium": (26 * 2, 2 * sum(1.5 * k for k in range(40) if k % 3)), "Unknown": (14 * 2 + 2, 2 * sum(1.5 * k for k in range(0, 40, 3)) + 2.5)}
