@@ -130,19 +130,19 @@ def q_at_risk(spark, sf):
 @query("active_projects", w("projects", frames=[PF]) + f"""
 SELECT _row, {', '.join(f'"{c}"' for c in TAB_COLUMNS["Project Inventory"])} FROM pf WHERE {ACTIVE}""")
 def q_active_projects(spark, sf):
-    return L.active_projects(cat.typed_projects(spark, sf), AS_OF)
+    return L.active_projects(cat.filed_projects(spark, sf), AS_OF)
 
 
 @query("overdue_next_deal", w("projects", frames=[PF]) + f"""
 SELECT _row, "Project Name", __end AS "Project End Date" FROM pf WHERE {OVERDUE_NEXT}""")
 def q_overdue_next_deal(spark, sf):
-    return L.overdue_next_deal(cat.typed_projects(spark, sf), AS_OF)
+    return L.overdue_next_deal(cat.filed_projects(spark, sf), AS_OF)
 
 
 @query("overdue_checkins", w("projects", frames=[PF]) + f"""
 SELECT _row, "Project Name", __checkin AS "Last Sponsor Checkin Date" FROM pf WHERE {OVERDUE_CK}""")
 def q_overdue_checkins(spark, sf):
-    return L.overdue_checkins(cat.typed_projects(spark, sf), AS_OF)
+    return L.overdue_checkins(cat.filed_projects(spark, sf), AS_OF)
 
 
 @query("project_listing", w("projects") + f"""
@@ -208,14 +208,14 @@ def _events(last: str = "") -> str:
 
 @query("upcoming_dates", w("projects", "pipeline") + "\n" + _events())
 def q_upcoming_dates(spark, sf):
-    return _keys(L.upcoming_dates(cat.typed_projects(spark, sf), cat.typed_pipeline(spark, sf), AS_OF), "pipeline_row")
+    return _keys(L.upcoming_dates(cat.filed_projects(spark, sf), cat.typed_pipeline(spark, sf), AS_OF), "pipeline_row")
 
 
 @query("upcoming_text", w("projects", "pipeline") + f""",
 ev AS ({_events(", r5")})
 SELECT row_number() OVER (ORDER BY kind_rank, project_row, r1, r2, r3, r4, r5) AS line_no, line FROM ev""")
 def q_upcoming_text(spark, sf):
-    return L.upcoming_text(L.upcoming_dates(cat.typed_projects(spark, sf), cat.typed_pipeline(spark, sf), AS_OF))
+    return L.upcoming_text(L.upcoming_dates(cat.filed_projects(spark, sf), cat.typed_pipeline(spark, sf), AS_OF))
 
 
 @query("distinct_options", w("projects", "pipeline", frames=[PF]) + f"""

@@ -51,7 +51,7 @@ PIPELINE_KNOWN = [c for c in TAB_COLUMNS["Pipeline"] if c != "Account"]
                                                          PROJECT_OUT, "_row", False, "t._row, "))
 def q_row_updates(spark, sf):
     upd = U.form_payload(driver.project_updates(spark, sf, AS_OF), drop_blank=False)
-    out = U.apply_updates(cat.projects(spark, sf), "Project Name", upd)
+    out = U.apply_updates(cat.stored_projects(spark, sf), "Project Name", upd)
     return out.select(ROW, *[q(c) for c in PROJECT_OUT])
 
 
@@ -76,7 +76,7 @@ FROM keys k
 LEFT JOIN (SELECT DISTINCT "Project Name" AS key FROM projects WHERE "Project Name" IS NOT NULL) p ON k.key = p.key
 LEFT JOIN nv ON k.key = nv.key""")
 def q_row_update_report(spark, sf):
-    return U.update_report(cat.projects(spark, sf), "Project Name", driver.project_updates(spark, sf, AS_OF))
+    return U.update_report(cat.stored_projects(spark, sf), "Project Name", driver.project_updates(spark, sf, AS_OF))
 
 
 # -- snapshot ---------------------------------------------------------------

@@ -29,7 +29,7 @@ def q_kpi_refresh(spark, sf):
     folder = new_output_path(spark, "projects_files")
     app = spark.sparkContext.applicationId
     state = _STATE.setdefault(app, new_output_path(spark, "kpi_state"))  # the other tabs' files keep theirs from call to call
-    now = cat.projects(spark, sf).withColumn("part", F.pmod(F.xxhash64(ROW), F.lit(8)).cast("int"))
+    now = cat.stored_projects(spark, sf).withColumn("part", F.pmod(F.xxhash64(ROW), F.lit(8)).cast("int"))
     other = now.where("part = 0").select(*[(-2_000_000_000_000 - F.col(ROW)).alias(ROW) if c == ROW else F.lit(8).alias(c) if c == "part" else q(c) for c in now.columns])
     before = now.where("part <> 3").withColumn("Revenue", F.when(F.col("part") == 5, F.lit("$1")).otherwise(q("Revenue"))).unionByName(other)
     before.write.partitionBy("part").parquet(folder)
@@ -49,7 +49,7 @@ def q_write_back(spark, sf):
     from .queries_report import PROJECT_OUT
 
     path = new_output_path(spark, "projects_by_key")
-    KY.store_partitioned(cat.projects(spark, sf), "Project Name", path, 32)
+    KY.store_partitioned(cat.stored_projects(spark, sf), "Project Name", path, 32)
     KY.commit_updates(spark, path, "Project Name", U.form_payload(driver.project_updates(spark, sf, AS_OF), drop_blank=False), 32)
     return KY.read_partitioned(spark, path).select(ROW, *[q(c) for c in PROJECT_OUT])
 
@@ -77,6 +77,6 @@ def q_keyed_updates(spark, sf):
     """The project form's updates joined with the stored first rows, bucket by bucket."""
     from .queries_report import PROJECT_OUT
 
-    table = _by_key(spark, sf, "projects", "Project Name", cat.projects)
+    table = _by_key(spark, sf, "projects", "Project Name", cat.stored_projects)
     upd = U.form_payload(driver.project_updates(spark, sf, AS_OF), drop_blank=False)
     return KY.update_stored(spark, table, "Project Name", upd).select(ROW, *[q(c) for c in PROJECT_OUT])

@@ -3,8 +3,9 @@
 from conftest import tab
 from pulseboard.operators import distributions as DI
 from pulseboard.operators import report as R
+from pulseboard.operators import scores as S
 from pulseboard.plans import catalog as cat
-from pulseboard.sources import store
+from pulseboard.sources import driver, store
 from pulseboard.sources.tabs import clean_tab
 from pyspark.sql import functions as F
 
@@ -49,3 +50,24 @@ def test_the_risks_tab_is_not_stored(spark, tmp_path):
     got = {r.severity: (r.risk_count, r.total_impact) for r in DI.risk_by_severity(risks).collect()}
     assert store.INGEST_SECONDS == before
     assert got == {"Medium": (26 * 2, 2 * sum(1.5 * k for k in range(40) if k % 3)), "Unknown": (14 * 2 + 2, 2 * sum(1.5 * k for k in range(0, 40, 3)) + 2.5)}
+
+
+def orders(spark, folder):
+    """A small orders table with a repeated row, a row without key and a customer that stands there twice."""
+    rows = [(k, k % 3, "FOP"[k % 3], 100.5 * k, "1-URGENT") for k in range(30)] + [(4, 1, "O", 402.0, "1-URGENT"), (None, None, None, None, None)]
+    o = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
+    o.withColumn("o_orderdate", F.when(F.col("o_orderkey") > 3, F.lit("1998-01-02").cast("timestamp"))).write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(0, "c"), (1, ""), (0, "d")], "c_custkey long, c_name string").write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame([(0,), (1,)], "r_regionkey long").write.parquet(f"{folder}/region.parquet")
+    return str(folder)
+
+
+def test_the_projects_tab_is_not_stored_for_its_scores(spark, tmp_path):
+    sf = orders(spark, tmp_path)
+    before = dict(store.INGEST_SECONDS)
+    bands = DI.project_score_bands(cat.typed_projects(spark, sf)).collect()
+    letters = S.letter_bands(cat.typed_projects(spark, sf), cat.typed_pipeline(spark, lines(spark, tmp_path)))
+    totals = S.weighted_totals(cat.projects(spark, sf), driver.mapping(spark))
+    assert letters.where("tab = 'Project Inventory'").count() == totals.count() == 42  # the blank rows are left out, the repeated ones stay
+    assert sum(r.band_count for r in bands if r.score_name == "project_health_score") == 42
+    assert store.INGEST_SECONDS == before
