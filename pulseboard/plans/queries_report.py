@@ -201,13 +201,14 @@ def _workbook_sql() -> str:
 def q_load_workbook(spark, sf):
     """All 13 tabs of a load, written to a folder as files and loaded back by name: rows, columns and filled
     cells of each. A tab that is not there is an empty one of its schema."""
-    from ..session import new_output_path
+    from ..session import new_output_path, wide_writes
     from ..sources.tabs import load_workbook
 
     folder = new_output_path(spark, "workbook")
     tabs = {name: df for name, df, _ in snapshot_tabs(spark, sf)}
-    for name, df in tabs.items():
-        df.write.parquet(f"{folder}/{R.export_slug(name)}")
+    with wide_writes(spark):
+        for name, df in tabs.items():
+            df.write.option("compression", "zstd").parquet(f"{folder}/{R.export_slug(name)}")
     out = None
     for name, df in load_workbook(spark, folder, names=[*tabs, MISSING_TAB]).items():
         cols = [c for c in df.columns if c != ROW]

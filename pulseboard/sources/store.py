@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from ..session import shared_dir
+from ..session import shared_dir, wide_writes
 from .files import fingerprint, remove, size
 from .tabs import ROW
 
@@ -68,7 +68,8 @@ def stored(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame, sources
             path = f"{shared_dir(spark).rstrip('/')}/tabs/{tag}/{name}"
             t0 = time.perf_counter()
             # row groups of some megabytes: a file splits over tasks and statistics prune finely
-            rows.write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(path)
+            with wide_writes(spark):
+                rows.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(path)
             INGEST_SECONDS[name] = round(time.perf_counter() - t0, 3)
             _PATHS[k] = path
         return _PATHS[k]
