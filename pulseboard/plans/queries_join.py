@@ -40,13 +40,13 @@ WHERE {ACTIVE}"""
 
 @query("staffing_health", w("projects", "staff", frames=[PF]) + STAFF_SQL)
 def q_staffing_health(spark, sf):
-    return ST.staffing_health(cat.typed_projects(spark, sf), cat.typed_staff(spark, sf), AS_OF)
+    return ST.staffing_health(cat.typed_projects(spark, sf), cat.filed_staff(spark, sf), AS_OF)
 
 
 @query("staffing_filtered", w("projects", "staff", frames=[PF]) + STAFF_SQL
        + " AND COALESCE(\"Team Resourcing\", 'N/A') = 'Understaffed'")
 def q_staffing_filtered(spark, sf):
-    return ST.staffing_health(cat.typed_projects(spark, sf), cat.typed_staff(spark, sf), AS_OF, resourcing="Understaffed")
+    return ST.staffing_health(cat.typed_projects(spark, sf), cat.filed_staff(spark, sf), AS_OF, resourcing="Understaffed")
 
 
 def _first_value(tab):
