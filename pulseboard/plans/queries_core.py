@@ -267,7 +267,7 @@ def q_kpi_status_by_client(spark, sf):
 
 @query("kpi_revenue", w("projects", frames=[PF]) + "\n" + s_run("pf", s_revenue()))
 def q_kpi_revenue(spark, sf):
-    return K.kpi_revenue(cat.typed_projects(spark, sf))
+    return K.kpi_revenue(cat.filed_projects(spark, sf))
 
 
 @query("project_scores", w("projects", frames=[PF]) + "\n" + s_run("pf", s_scores(*S_PROJ_SC)))
