@@ -9,13 +9,16 @@ recurrent unit; at scoring it runs through a whole document, window after window
 Training is distributed and learns from every token of the training documents: they are dealt by hash to
 groups of a fixed number of tokens, truncated backpropagation runs over each group from the current weights,
 the weights are averaged in a tree of small sums, and a second round over all groups starts from the average.
+
+Texts are split once, into stored chunks of word numbers, each with its own list of words; counting, training and
+scoring read those and look up a chunk's distinct words only.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc32, out_batch, pieces, stored, text_bytes
+from .common import column, id_crc32, out_batch, pieces, stored, text_bytes
 
 END = b""  # closes every document; no word is empty
 GROUP = 32  # head words of one class
@@ -33,6 +36,7 @@ FORMS = 16 + 3 + 32
 HIDDEN = 20
 SEGMENT = 1024  # tokens of a document that are learned from in one lane; longer ones go on in another
 WINDOW = 64  # steps scored between two visits of the output layer
+BLOCK = 1024  # states whose chances are worked out at once: they stay in the processor's cache
 LN10 = float(np.log(10.0))
 
 
@@ -57,23 +61,91 @@ def is_training() -> F.Column:
     return id_crc32(F.col("doc_id")) % 7 != 2
 
 
+CHUNK = "row bigint, ids array<bigint>, learn binary, deal binary, sizes binary, places binary, words binary, tally binary"
+
+
+def split_texts(docs: DataFrame) -> DataFrame:
+    """Documents as chunks of some 250,000 tokens, each with its own list of words, so that later steps look up a
+    chunk's distinct words only. row: number of the first document; ids: of the documents; learn: whether each is a
+    training one; deal: its key and number among equal rows, by eights; sizes: its tokens; places: of all tokens, in
+    the list; words: the list, joined by spaces; tally: how often training documents hold each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, seen = TaskContext.get().partitionId() << 40, Counter()
+        ids, learn, deal, lines, size = [], [], [], [], 0
+        place: defaultdict = defaultdict()
+        place.default_factory = place.__len__  # a new word takes the next place
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal row, size
+            if ids:
+                tally = np.zeros(len(place), np.int64)
+                of = [x for x, k in zip(lines, learn, strict=True) if k]
+                if of:
+                    tally += np.bincount(np.concatenate(of), minlength=len(place))
+                one = {"learn": np.array(learn), "deal": np.array(deal, np.int64), "sizes": np.array([len(x) for x in lines], np.int64), "places": np.concatenate(lines).astype(place_kind(len(place)))}
+                yield out_batch(row=pa.array([row], pa.int64()), ids=pa.array([ids], pa.list_(pa.int64())), **{k: pa.array([x.tobytes()], pa.binary()) for k, x in one.items()},
+                                words=pa.array([b" ".join(place)], pa.binary()), tally=pa.array([tally.tobytes()], pa.binary()))
+                row, size = row + len(ids), 0
+                for x in (ids, learn, deal, lines, place):
+                    x.clear()
+
+        for b in pieces(batches):
+            for i, k, t in zip(column(b, "doc_id"), column(b, "learn"), text_bytes(b), strict=True):
+                key = zlib.crc32(t, zlib.crc32(str(i).encode()))
+                seen[key] += k
+                words = tokens(t)
+                ids.append(i)
+                learn.append(k)
+                deal.append((key, (seen[key] - 1) // 8))
+                lines.append(np.fromiter(map(place.__getitem__, words), np.uint32, len(words)))
+                size += len(words)
+                if size >= 250_000 or len(place) > 50_000:
+                    yield from flush()
+        yield from flush()
+
+    return docs.select("doc_id", is_training().alias("learn"), "text").mapInArrow(run, CHUNK)
+
+
+def place_kind(words: int) -> type:
+    return np.uint16 if words <= 1 << 16 else np.uint32
+
+
+def as_chunks(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, text) as chunks; chunks as they are."""
+    return split_texts(docs) if "text" in docs.columns else docs
+
+
+def chunk_lines(b: pa.RecordBatch, v: Vocabulary) -> Iterator[tuple]:
+    """Per chunk of a batch: (its row in the batch, tokens of each document, places of all tokens, words, units and
+    known places of the words)."""
+    for r, (sizes, places, words) in enumerate(zip(column(b, "sizes"), column(b, "places"), column(b, "words"), strict=True)):
+        words = words.split(b" ")
+        yield r, np.frombuffer(sizes, np.int64), np.frombuffer(places, place_kind(len(words))), words, *units_of(words, v)[:2]
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n): how often each word, and the end, stands in the training documents; partial counts are
     made in the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for b in pieces(batches):
-            for t in text_bytes(b):
-                seen.update(t.lower().split())
-            seen[END] += b.num_rows
-            if len(seen) > 250_000:
+        seen: dict[bytes, int] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if seen:
                 yield out_batch(word=pa.array(list(seen), pa.binary()), n=pa.array(list(seen.values()), pa.int64()))
                 seen.clear()
-        if seen:
-            yield out_batch(word=pa.array(list(seen), pa.binary()), n=pa.array(list(seen.values()), pa.int64()))
 
-    return docs.where(is_training()).select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+        for b in batches:
+            for words, tally in zip(column(b, "words"), column(b, "tally"), strict=True):
+                for w, n in zip(words.split(b" "), np.frombuffer(tally, np.int64).tolist(), strict=True):
+                    if n:
+                        seen[w] = seen.get(w, 0) + n
+                if len(seen) > 250_000:
+                    yield from flush()
+        yield from flush()
+
+    return as_chunks(docs).select("words", "tally").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -175,109 +247,176 @@ def flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([x.reshape(-1) for x in p.values()]).astype(np.float32)
 
 
-def unflat(x: np.ndarray, v: Vocabulary) -> dict[str, np.ndarray]:
+def unflat(x: np.ndarray, v: Vocabulary, copy: bool = True) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k, s in shapes(v).items():
         n = int(np.prod(s))
-        out[k], at = x[at:at + n].reshape(s).copy(), at + n
-    return out
+        out[k], at = x[at:at + n].reshape(s), at + n
+    return {k: x.copy() for k, x in out.items()} if copy else out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     np.negative(x, out=x)
-    np.exp(np.minimum(x, 60, out=x), out=x)
+    np.exp(x, out=x)  # may overflow: the result is zero then
     x += 1
     return np.reciprocal(x, out=x)
 
 
 def step(xt: np.ndarray, h: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One step of the unit: (new state, gates, candidate, its recurrent part). xt: input part of the gates."""
+    """One step of the unit: (new state, gates, candidate, its recurrent part). xt: input part of the gates.
+    Rows are lanes; the results lie in memory feature by feature, which is quickest if xt and h do so too."""
     n = HIDDEN
-    a = h @ wh
-    gates = sigmoid(xt[:, :2 * n] + a[:, :2 * n])
-    cand = np.tanh(xt[:, 2 * n:] + gates[:, :n] * a[:, 2 * n:])
-    return cand + gates[:, n:] * (h - cand), gates, cand, a[:, 2 * n:]
+    a = wh.T @ h.T
+    gates = sigmoid(a[:2 * n] + xt.T[:2 * n])
+    cand = gates[:n] * a[2 * n:]
+    cand += xt.T[2 * n:]
+    np.tanh(cand, out=cand)
+    new = h.T - cand
+    new *= gates[n:]
+    new += cand
+    return new.T, gates.T, cand.T, a[2 * n:].T
 
 
 def class_of(unit: np.ndarray, v: Vocabulary) -> np.ndarray:
     return np.where(unit < v.head, unit // GROUP, v.groups + unit - v.head)
 
 
-def output(p: dict[str, np.ndarray], h: np.ndarray, unit: np.ndarray, v: Vocabulary) -> np.ndarray:
-    """Natural log of P(unit) for each state: of its class and, in the head, of the word within it."""
-    cls = class_of(unit, v)
-    z = h @ p["wc"]
-    z += p["bc"]
-    out = z[np.arange(len(z)), cls]
-    top = z.max(1)
-    z -= top[:, None]
-    np.exp(z, out=z)
-    out = out - top - np.log(z.sum(1))
+def output_layers(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the classes and of each class's words, the bias as a last column."""
+    return np.vstack([p["wc"], p["bc"]]).T.copy(), np.concatenate([p["ww"], p["bw"][..., None]], axis=2)
+
+
+def bounded(w: np.ndarray) -> np.ndarray:
+    """Whether exp of w @ state neither overflows nor vanishes in all rows, whatever the state (its parts lie
+    between -1 and 1, the last is 1); then the greatest need not be taken off first."""
+    reach = np.abs(w[..., :-1]).sum(-1)
+    return ((w[..., -1] + reach).max(-1) < 60) & ((w[..., -1] - reach).max(-1) > -60)
+
+
+def by_class(unit: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order by class, units and classes in that order, where each class of head words begins, and their end)."""
+    cls = class_of(unit, v).astype(np.min_scalar_type(v.classes))  # short integers sort fast
     order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(v.groups + 1))
+    cls = cls[order]
+    return order, unit[order], cls, np.searchsorted(cls, np.arange(v.groups + 1))
+
+
+def output(p: dict[str, np.ndarray], h: np.ndarray, unit: np.ndarray, v: Vocabulary, at: np.ndarray | None = None) -> np.ndarray:
+    """Natural log of P(unit) for each state (each at a place of ``at``, if given): of its class and, in the head,
+    of the word within it."""
+    out, (wc, ww) = np.empty(len(unit), h.dtype), output_layers(p)
+    order, unit, cls, cuts = by_class(unit, v)
+    s = np.ones((HIDDEN + 1, len(unit)), h.dtype)
+    np.take(h.T, order if at is None else at[order], axis=1, out=s[:-1])
+
+    room, count = np.empty(max(len(wc), GROUP) * BLOCK, h.dtype), np.arange(BLOCK)
+
+    def logs(w: np.ndarray, plain: bool, a: int, b: int, row: np.ndarray) -> np.ndarray:
+        line = room[:len(w) * (b - a)]
+        z = np.matmul(w, s[:, a:b], out=line.reshape(len(w), b - a))
+        if not plain:
+            z -= z.max(0)
+        got = line[row * np.int64(b - a) + count[:b - a]]
+        return got - np.log(np.exp(z, out=z).sum(0))
+
+    plain, in_class, found = bounded(wc), bounded(ww), np.empty(len(unit), h.dtype)
+    for a in range(0, len(unit), BLOCK):
+        b = min(a + BLOCK, len(unit))
+        found[a:b] = logs(wc, plain, a, b, cls[a:b])
     for g in range(v.groups):
-        at = order[cuts[g]:cuts[g + 1]]
-        if len(at):
-            y = h[at] @ p["ww"][g].T + p["bw"][g]
-            most = y.max(1)
-            out[at] += y[np.arange(len(at)), unit[at] % GROUP] - most - np.log(np.exp(y - most[:, None]).sum(1))
+        for a in range(cuts[g], cuts[g + 1], BLOCK):
+            b = min(a + BLOCK, cuts[g + 1])
+            found[a:b] += logs(ww[g], in_class[g], a, b, unit[a:b] % GROUP)
+    out[order] = found
     return out
 
 
+@np.errstate(over="ignore")
 def gradients(p: dict[str, np.ndarray], units: np.ndarray, targets: np.ndarray, live: np.ndarray, h0: np.ndarray, reset: np.ndarray, v: Vocabulary) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Of one window (steps x lanes): gradients of the mean negative log-likelihood, and the last state.
-    ``reset``: lanes whose document starts at a step; ``live``: tokens that count."""
-    n, (steps, lanes) = HIDDEN, units.shape
-    x = p["emb"][units]
-    xt = x @ p["wx"] + p["b"]
-    h, kept = h0, []
-    hs = np.zeros((steps, lanes, n), np.float32)
+    ``reset``: lanes whose document starts at a step; ``live``: tokens that count. Arrays hold a row for each
+    feature, tokens in order of steps and lanes (at the output layers in order of their class)."""
+    n, (steps, lanes), kind = HIDDEN, units.shape, p["wh"].dtype
+    table = p["emb"] @ p["wx"] + p["b"]
+    xt = np.ascontiguousarray(table[units].transpose(0, 2, 1))
+    fresh, going = reset.any(1).tolist(), (~reset).astype(kind)
+    h, kept, hs = h0.T, [], np.empty((steps, n, lanes), kind)
     for t in range(steps):
-        h = np.where(reset[t][:, None], 0, h).astype(np.float32)
-        new, gates, cand, rec = step(xt[t], h, p["wh"])
-        kept.append((h, gates, cand, rec))
-        h = hs[t] = new
-    at = np.flatnonzero(live.reshape(-1))
-    s, unit = hs.reshape(-1, n)[at], targets.reshape(-1)[at]
-    scale = np.float32(1 / max(1, len(at)))
-    cls = class_of(unit, v)
-    z = s @ p["wc"] + p["bc"]
-    z = np.exp(z - z.max(1, keepdims=True))
-    z /= z.sum(1, keepdims=True)
-    z[np.arange(len(at)), cls] -= 1
-    z *= scale
-    g = {"wc": s.T @ z, "bc": z.sum(0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-    ds = z @ p["wc"].T
-    for c in np.unique(cls[cls < v.groups]):
-        k = np.flatnonzero(cls == c)
-        y = s[k] @ p["ww"][c].T + p["bw"][c]
-        y = np.exp(y - y.max(1, keepdims=True))
-        y /= y.sum(1, keepdims=True)
-        y[np.arange(len(k)), unit[k] % GROUP] -= 1
-        y *= scale
-        g["ww"][c], g["bw"][c] = y.T @ s[k], y.sum(0)
-        ds[k] += y @ p["ww"][c]
-    dhs = np.zeros((steps * lanes, n), np.float32)
-    dhs[at] = ds
-    dhs = dhs.reshape(steps, lanes, n)
-    dxt, dh = np.zeros_like(xt), np.zeros((lanes, n), np.float32)
-    g["wh"] = np.zeros_like(p["wh"])
+        if fresh[t]:
+            h = h * going[t]
+        new, gates, cand, rec = step(xt[t].T, h.T, p["wh"])
+        kept.append((h, gates.T, cand.T, rec.T))
+        h = hs[t] = new.T
+    at = np.flatnonzero(live)
+    order, unit, cls, cuts = by_class(targets.reshape(-1)[at], v)
+    at, m = at[order], len(at)
+    s = np.ones((n + 1, m), kind)
+    np.take(hs.transpose(1, 0, 2).reshape(n, -1), at, axis=1, out=s[:-1], mode="clip")
+    wc, ww = output_layers(p)
+    ds, gc, gw = np.zeros((n, m + 1), kind), np.zeros_like(wc), np.zeros_like(ww)
+    room, count, share = np.empty(max(len(wc), GROUP) * BLOCK, kind), np.arange(BLOCK), kind.type(1 / max(1, m))
+
+    def back(w: np.ndarray, grad: np.ndarray, plain: bool, a: int, b: int, row: np.ndarray) -> np.ndarray:
+        line, x = room[:len(w) * (b - a)], s[:, a:b]
+        z = np.matmul(w, x, out=line.reshape(len(w), b - a))
+        if not plain:
+            z -= z.max(0)
+        np.exp(z, out=z)
+        total = z.sum(0)
+        line[row * np.int64(b - a) + count[:b - a]] -= total
+        scale = share / total
+        grad += ((x * scale) @ z.T).T
+        sent = w[:, :-1].T @ z
+        sent *= scale
+        return sent
+
+    plain, in_class = bounded(wc), bounded(ww)
+    for a in range(0, m, BLOCK):
+        b = min(a + BLOCK, m)
+        ds[:, a:b] = back(wc, gc, plain, a, b, cls[a:b])
+    for c in range(v.groups):
+        if cuts[c] < cuts[c + 1]:
+            for a in range(cuts[c], cuts[c + 1], BLOCK):
+                b = min(a + BLOCK, cuts[c + 1])
+                ds[:, a:b] += back(ww[c], gw[c], in_class[c], a, b, unit[a:b] % GROUP)
+    place = np.full(steps * lanes, m)  # tokens that don't count take the last column, zero
+    place[at] = np.arange(m)
+    dhs = np.ascontiguousarray(ds.take(place, axis=1, mode="clip").reshape(n, steps, lanes).transpose(1, 0, 2))
+    # sent back to the input part of candidate and gates, and to the recurrent part of gates and candidate
+    sent, dh, wh = np.empty((steps, 4 * n, lanes), kind), np.zeros((n, lanes), kind), np.zeros_like(p["wh"])
     for t in range(steps - 1, -1, -1):
         h, gates, cand, rec = kept[t]
-        r, u = gates[:, :n], gates[:, n:]
-        d = dh + dhs[t]
-        dc = d * (1 - u) * (1 - cand * cand)
-        du = d * (h - cand) * u * (1 - u)
-        dr = dc * rec * r * (1 - r)
-        da = np.concatenate([dr, du, dc * r], axis=1)
-        dxt[t] = np.concatenate([dr, du, dc], axis=1)
-        g["wh"] += h.T @ da
-        dh = np.where(reset[t][:, None], 0, d * u + da @ p["wh"].T)
-    flat_x = dxt.reshape(-1, 3 * n)
-    g["wx"], g["b"] = x.reshape(-1, n).T @ flat_x, flat_x.sum(0)
-    g["emb"] = np.zeros_like(p["emb"])
-    np.add.at(g["emb"], units.reshape(-1), flat_x @ p["wx"].T)
-    return g, hs[-1]
+        r, u, (cand_, r_, u_, rec_) = gates[:n], gates[n:], sent[t].reshape(4, n, lanes)
+        d = dhs[t]
+        d += dh
+        stay = d * u
+        d -= stay
+        np.subtract(h, cand, out=u_)
+        cand *= cand
+        np.subtract(1, cand, out=cand)
+        np.multiply(d, cand, out=cand_)
+        np.multiply(cand_, r, out=rec_)
+        np.multiply(rec_, rec, out=r_)
+        np.subtract(1, gates, out=gates)
+        u_ *= stay
+        sent[t, n:3 * n] *= gates
+        da = sent[t, n:]
+        wh += h @ da.T
+        dh = p["wh"] @ da
+        dh += stay
+        if fresh[t]:
+            dh *= going[t]
+    g = {"wh": wh, "wc": gc[:, :n].T, "bc": gc[:, n], "ww": gw[..., :n], "bw": gw[..., n]}
+    # the input layers by unit: what all places of a unit send back is added up first
+    line = units.reshape(-1)
+    order = np.argsort(line.astype(np.min_scalar_type(v.units)), kind="stable")
+    line = line[order]
+    starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    by_unit = np.zeros((3 * n, v.units + 1), kind)
+    sums = np.add.reduceat(sent[:, :3 * n].transpose(1, 0, 2).reshape(3 * n, -1).take(order, axis=1, mode="clip"), starts, axis=1)
+    by_unit[:, line[starts]] = np.concatenate([sums[n:], sums[:n]])
+    g["wx"], g["b"], g["emb"] = (by_unit @ p["emb"]).T, by_unit.sum(1), (p["wx"] @ by_unit).T
+    return {k: g[k] for k in p}, hs[-1].T
 
 
 def train_here(p: dict[str, np.ndarray], segments: list[np.ndarray], v: Vocabulary, lanes: int = 256, steps: int = 16, rate: float = 0.01) -> tuple[dict[str, np.ndarray], int]:
@@ -301,18 +440,19 @@ def train_here(p: dict[str, np.ndarray], segments: list[np.ndarray], v: Vocabula
             starts = np.cumsum([0] + [len(d) - 1 for d in q])[:-1]
             targets[k, :len(line)], live[k, :len(line)], reset[k, starts] = line, True, True
             units[k, :len(line)] = np.concatenate([d[:-1] for d in q])
-    m, s = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
+    w = flat(p)
+    p = unflat(w, v, copy=False)
+    m, s = np.zeros_like(w), np.zeros_like(w)
     h = np.zeros((lanes, HIDDEN), np.float32)
     for t, a in enumerate(range(0, size, steps), 1):
         cut = slice(a, a + steps)
-        g, h = gradients(p, units[:, cut].T, targets[:, cut].T, live[:, cut].T, h, reset[:, cut].T, v)
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        clip = min(1.0, 1.0 / (norm + 1e-9))
-        for k, x in g.items():
-            x *= clip
-            m[k] += 0.1 * (x - m[k])
-            s[k] += 0.01 * (x * x - s[k])
-            p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-6)
+        parts, h = gradients(p, units[:, cut].T, targets[:, cut].T, live[:, cut].T, h, reset[:, cut].T, v)
+        g = flat(parts)
+        g *= min(1.0, 1.0 / (float(np.sqrt(g @ g)) + 1e-9))
+        m += np.float32(0.1) * (g - m)
+        g *= g
+        s += np.float32(0.01) * (g - s)
+        w -= np.float32(rate / (1 - 0.9**t)) * m / (np.sqrt(s / np.float32(1 - 0.99**t)) + np.float32(1e-6))
     return p, int(live.sum())
 
 
@@ -332,21 +472,22 @@ def training_units(docs: DataFrame, v: Vocabulary, groups: int) -> DataFrame:
     kind = np.uint16 if v.units < 1 << 16 else np.int32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
         for b in pieces(batches, 4 << 20):
-            keys, times, parts, units = [], [], [], []
-            for i, t in zip(b.column(b.schema.get_field_index("doc_id")).to_pylist(), text_bytes(b), strict=True):
-                key = zlib.crc32(t, zlib.crc32(str(i).encode()))
-                seen[key] += 1
-                line = np.concatenate([[v.units], units_of(tokens(t), v)[0]]).astype(kind)
-                for a in range(0, len(line) - 1, SEGMENT):
-                    keys.append(key)
-                    times.append((seen[key] - 1) // 8)
-                    parts.append(a)
-                    units.append(line[a:a + SEGMENT + 1].tobytes())
-            yield out_batch(key=pa.array(keys, pa.int64()), times=pa.array(times, pa.int64()), part=pa.array(parts, pa.int64()), units=pa.array(units, pa.binary()))
-
-    rows = docs.where(is_training()).select("doc_id", "text").mapInArrow(run, "key bigint, times bigint, part bigint, units binary")
+            flags, deals = column(b, "learn"), column(b, "deal")
+            for r, sizes, places, _, unit, _ in chunk_lines(b, v):
+                keys, times, parts, units = [], [], [], []
+                line, deal = unit.astype(kind)[places], np.frombuffer(deals[r], np.int64).reshape(-1, 2).tolist()
+                ends = np.cumsum(sizes)
+                for d in np.flatnonzero(np.frombuffer(flags[r], bool)).tolist():
+                    one = np.concatenate([np.array([v.units], kind), line[ends[d] - sizes[d]:ends[d]]])
+                    for a in range(0, len(one) - 1, SEGMENT):
+                        keys.append(deal[d][0])
+                        times.append(deal[d][1])
+                        parts.append(a)
+                        units.append(one[a:a + SEGMENT + 1].tobytes())
+                yield out_batch(key=pa.array(keys, pa.int64()), times=pa.array(times, pa.int64()), part=pa.array(parts, pa.int64()), units=pa.array(units, pa.binary()))
+
+    rows = as_chunks(docs).select("learn", "deal", "sizes", "places", "words").mapInArrow(run, "key bigint, times bigint, part bigint, units binary")
     key = F.xxhash64("key", "times", "part")
     return rows.select(F.pmod(key, F.lit(groups)).alias("grp"), key.alias("key"), "units")
 
@@ -358,7 +499,7 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int, budget: int) -> np.ndarra
     weights = flat(start_weights(v))
     groups = max(1, -(-v.total // budget))
     kind = np.uint16 if v.units < 1 << 16 else np.int32
-    source = stored(training_units(docs, v, groups), "lm_units")
+    source = training_units(docs, v, groups)
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
@@ -402,6 +543,7 @@ def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out_batch(n=pa.array([n], pa.int64()), w=pa.array([w.tobytes()], pa.binary()))
 
 
+@np.errstate(over="ignore")
 def log_likelihoods(p: dict[str, np.ndarray], docs: list[np.ndarray], v: Vocabulary, lanes: int = 512) -> np.ndarray:
     """Natural log of the probability of each document's units. Whole documents stand one after another in
     lanes (longest first, to the shortest lane); all lanes step together and drop out as they end."""
@@ -435,20 +577,32 @@ def log_likelihoods(p: dict[str, np.ndarray], docs: list[np.ndarray], v: Vocabul
             fresh[:, 0] = True
         inputs = np.concatenate([before[:n, None], unit[:, :-1]], axis=1)
         inputs[fresh] = v.units
-        before, h = unit[:, -1].copy(), h[:n]
-        states = np.empty((n, size, HIDDEN), np.float32)
+        before, h = unit[:, -1].copy(), np.ascontiguousarray(h[:n].T).T
+        states, inputs, begin = np.empty((HIDDEN, size, n), np.float32), inputs.T, [np.flatnonzero(x) for x in fresh.T]
         for t in range(size):
-            if fresh[:, t].any():
-                h = np.where(fresh[:, t, None], np.float32(0), h)
-            h = states[:, t] = step(table[inputs[:, t]], h, p["wh"])[0]
-        live = doc >= 0
-        got = output(p, states[live], unit[live], v)
+            if t % 16 == 0:
+                xt = np.ascontiguousarray(table[inputs[t:t + 16]].transpose(0, 2, 1))
+            h[begin[t]] = 0
+            h = step(xt[t % 16].T, h, p["wh"])[0]
+            states[:, t] = h.T
+        doc = doc.T.reshape(-1)
+        live = np.flatnonzero(doc >= 0)
+        got = output(p, states.reshape(HIDDEN, -1).T, unit.T.reshape(-1)[live], v, live)
         out += np.bincount(doc[live], weights=got, minlength=len(docs))
     return out
 
 
 # -- the operator -----------------------------------------------------------
 
+def rare_words(places: np.ndarray, sizes: np.ndarray, words: list[bytes], rare: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Of each document of a chunk: its distinct rare words, and how often it holds each."""
+    at = np.flatnonzero(rare[places])
+    doc = np.repeat(np.arange(len(sizes)), sizes)[at]
+    pair, times = np.unique(doc * len(words) + places[at], return_counts=True)
+    ends = pa.array(np.searchsorted(pair, np.arange(len(sizes) + 1) * len(words)).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(words, pa.binary()).take(pa.array(pair % len(words)))), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int64)))
+
+
 def score_documents(docs: DataFrame, known: int = 100_000, head: int = 512, rounds: int = 1, budget: int = 960_000, chunk: int = 3_000_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out (crc32 of the id's text mod 7 is 2; not learned from),
     n_tokens, n_known, train_tokens, base_score (smoothed unigrams) and score (the model), both log10 of the
@@ -461,50 +615,50 @@ def score_documents(docs: DataFrame, known: int = 100_000, head: int = 512, roun
     ``budget``: tokens of a group, learned from between two averages; every training token is in one group.
     ``known``: words whose counts go to every task; counts of all others are joined."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = stored(count_words(docs), "word_counts")
+    chunks = stored(split_texts(docs), "lm_chunks")
+    counts = stored(count_words(chunks), "word_counts")
     v = vocabulary(counts, known, head)
-    weights = train(docs, v, rounds, budget)
-    logs = np.log10(v.counts + 1.0)
+    weights = train(chunks, v, rounds, budget)
+    logs = np.append(np.log10(v.counts + 1.0), 0.0)  # a word not known here: its count comes by the join
     beyond = -np.log10(v.form_tokens + v.form_words + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, part, row = unflat(weights, v), TaskContext.get().partitionId() << 40, 0
-        ids, units, sums, rares = [], [], [], []
+        p = unflat(weights, v)
+        units, rows = [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal ids, units, sums, rares, row
-            if ids:
+            if units:
                 ll = log_likelihoods(p, units, v) / LN10
-                n, known_, base, tail = (np.array(x) for x in zip(*sums, strict=True))
-                yield out_batch(row=pa.array(range(part + row, part + row + len(ids)), pa.int64()), doc_id=pa.array(ids, pa.int64()), n_tokens=pa.array(n.astype(np.int64)), n_known=pa.array(known_.astype(np.int64)),
-                                base=base, score=ll + tail, rare=pa.array(rares, pa.list_(pa.binary())))
-                row += len(ids)
-                ids, units, sums, rares = [], [], [], []
+                for a, row, ids, (n, known_, base, tail), rare, times in rows:
+                    yield out_batch(row=pa.array(np.arange(row, row + len(ids))), doc_id=pa.array(ids, pa.int64()), n_tokens=pa.array(n), n_known=pa.array(known_),
+                                    base=pa.array(base), score=pa.array(ll[a:a + len(ids)] + tail), rare=rare, times=times)
+                units.clear()
+                rows.clear()
 
         size = 0
-        for b in pieces(batches):
-            for i, t in zip(b.column(b.schema.get_field_index("doc_id")).to_pylist(), text_bytes(b), strict=True):
-                unit, at, rare = units_of(tokens(t), v)
+        for b in pieces(batches, 4 << 20):
+            starts, ids = column(b, "row"), column(b, "ids")
+            for r, sizes, places, words, unit, at in chunk_lines(b, v):
+                begin = np.cumsum(sizes) - sizes
                 far = unit >= v.head
-                seen = at[at >= 0]
-                base = float(logs[seen].sum())
-                # beyond the head: the chance within the class of form; what unknown words count comes by the join
-                tail = float(logs[at[far & (at >= 0)]].sum() + beyond[unit[far] - v.head].sum())
-                ids.append(i)
-                units.append(unit.astype(np.int32))
-                sums.append((len(unit), len(seen), base, tail))
-                rares.append(rare)
-                size += len(unit)
+                # beyond the head: the chance within the class of form
+                tail = np.where(far, logs[at] + beyond[np.where(far, unit - v.head, 0)], 0.0)
+                sums = sizes, *(np.add.reduceat(x[places], begin) for x in ((at >= 0).astype(np.int64), logs[at], tail))
+                rows.append((len(units), starts[r], ids[r], sums, *rare_words(places, sizes, words, at < 0)))
+                units.extend(np.split(unit.astype(np.int32)[places], begin[1:]))
+                size += len(places)
                 if size >= chunk:
                     yield from flush()
                     size = 0
         yield from flush()
 
-    scored = stored(docs.mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<binary>"), "lm_scores")
-    rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
-    more = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
+    source = chunks.select("row", "ids", "sizes", "places", "words")
+    scored = stored(source.mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<binary>, times array<bigint>"), "lm_scores")
+    rare = scored.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    # distinct words spread evenly by hash, so the counts of a task's share fit it and need no sorting
+    more = rare.join(counts.hint("shuffle_hash"), "word").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
     z = float(np.log10(v.total + v.distinct + 1.0))
     logs_ = F.coalesce("logs", F.lit(0.0))
-    return scored.drop("rare").join(more, "row", "left").select(
+    return scored.drop("rare", "times").join(more, "row", "left").select(
         "doc_id", (id_crc32(F.col("doc_id")) % 7 == 2).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(v.total).cast("bigint").alias("train_tokens"), (F.col("base") + logs_ - F.col("n_tokens") * z).alias("base_score"), (F.col("score") + logs_).alias("score"))

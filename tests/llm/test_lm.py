@@ -110,6 +110,44 @@ def test_counts_match_brute_force(spark, make_docs, rng, known, head):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def test_texts_are_split_once(spark, make_docs, rng):
+    """Counting, training and scoring need the chunks only; these hold every token, also of a text with more
+    distinct words than a short integer counts, and of empty, null and repeated ones."""
+    rows = [*rows_of(rng), (400, " ".join(f"x{k}" for k in range(70_000))), (None, None), (400, "x1 x1 É")]
+    docs = make_docs(rows).select("doc_id", "text").repartition(3)
+    chunks = L.stored(L.split_texts(docs), "chunks").drop("text")
+    got = []
+    for r in chunks.collect():
+        words, sizes = r.words.split(b" "), np.frombuffer(r.sizes, np.int64)
+        places = np.frombuffer(r.places, L.place_kind(len(words)))
+        learn, tally = np.frombuffer(r.learn, bool), np.frombuffer(r.tally, np.int64)
+        assert len(r.ids) == len(sizes) == len(learn) and len(set(words)) == len(words) == len(tally)
+        at = np.split(places, np.cumsum(sizes)[:-1])
+        got += [(i, [words[k] for k in x]) for i, x in zip(r.ids, at, strict=True)]
+        assert tally.tolist() == sum((np.bincount(x, minlength=len(words)) for x, k in zip(at, learn, strict=True) if k), np.zeros(len(words), int)).tolist()
+    assert sorted(got, key=str) == sorted([(i, L.tokens((t or "").encode())) for i, t in rows], key=str)
+    counts = {bytes(r.word): r.n for r in L.count_words(chunks).collect()}
+    assert counts == {bytes(r.word): r.n for r in L.count_words(docs).collect()} and sum(counts.values()) == brute(rows)[0][4]
+    v = L.vocabulary(L.count_words(chunks), 1000, 64)
+    assert L.train(chunks, v, 1, 1 << 20) == pytest.approx(L.train(docs, v, 1, 1 << 20), abs=1e-5)
+
+
+def test_large_weights():
+    """Beyond the bound within which exp neither overflows nor vanishes, the greatest is taken off first."""
+    v = small_vocabulary()
+    p, rng = random_weights(v), np.random.default_rng(5)
+    p["bc"][:3] += 200
+    p["wc"][:, 5] *= 300
+    p["bw"][0, 4] += 300
+    wc, ww = L.output_layers(p)
+    assert not L.bounded(wc) and not L.bounded(ww)[0]
+    h = rng.uniform(-1, 1, (1, L.HIDDEN)).astype(np.float32)
+    assert np.exp(L.output(p, np.repeat(h, v.units, 0), np.arange(v.units), v)).sum() == pytest.approx(1, abs=1e-4)
+    units = rng.integers(0, v.units, (6, 4))
+    g, last = L.gradients(p, units, units, np.ones((6, 4), bool), np.zeros((4, L.HIDDEN), np.float32), np.zeros((6, 4), bool), v)
+    assert all(np.isfinite(x).all() for x in (*g.values(), last))
+
+
 def test_gain_on_held_out_documents(spark):
     got = L.score_documents(table(spark, SF, "documents")).where("held_out").collect()
     gain = sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got)
