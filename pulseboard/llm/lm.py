@@ -21,6 +21,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,21 @@ def form(word: bytes) -> int:
     return 19 + (second & 15) * 2 + (last in (b".", b",") or (last < b"\x80" and not last.isalnum()))
 
 
+ALNUM = np.array([bytes([k]).isalnum() for k in range(256)])
+
+
+def forms(joined: bytes, words: list[bytes]) -> np.ndarray:
+    """The form of each word of a list (also given joined by spaces)."""
+    text = np.frombuffer(b" " + joined + b" ", np.uint8)
+    gaps = np.flatnonzero(text == 32)
+    begin, end = gaps[:-1] + 1, gaps[1:]
+    last, second = text[end - 1].astype(np.int64), text[np.maximum(end - 2, 0)].astype(np.int64)
+    out = np.where(ALNUM[last], (last * 3 + np.where(end - begin > 1, second * 7, 0)) % 16, np.where(last == 46, 16, np.where(last == 44, 17, 18)))
+    for k in np.flatnonzero(np.maximum.reduceat(text, begin) >= 128).tolist():
+        out[k] = form(words[k])
+    return out
+
+
 def is_training() -> F.Column:
     return id_crc32(F.col("doc_id")) % 7 != 2
 
@@ -119,9 +135,9 @@ def as_chunks(docs: DataFrame) -> DataFrame:
 def chunk_lines(b: pa.RecordBatch, v: Vocabulary) -> Iterator[tuple]:
     """Per chunk of a batch: (its row in the batch, tokens of each document, places of all tokens, words, units and
     known places of the words)."""
-    for r, (sizes, places, words) in enumerate(zip(column(b, "sizes"), column(b, "places"), column(b, "words"), strict=True)):
-        words = words.split(b" ")
-        yield r, np.frombuffer(sizes, np.int64), np.frombuffer(places, place_kind(len(words))), words, *units_of(words, v)[:2]
+    for r, (sizes, places, joined) in enumerate(zip(column(b, "sizes"), column(b, "places"), column(b, "words"), strict=True)):
+        words = joined.split(b" ")
+        yield r, np.frombuffer(sizes, np.int64), np.frombuffer(places, place_kind(len(words))), words, *units_of(joined, words, v)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -164,8 +180,6 @@ class Vocabulary:
 
     def __post_init__(self):
         self.place = {w: k for k, w in enumerate(self.words)}
-        # unit of each known place: itself in the head, head + form beyond
-        self.unit = np.array([k if k < self.head else self.head + form(w) for k, w in enumerate(self.words)], np.int64)
 
     @property
     def groups(self) -> int:
@@ -180,7 +194,7 @@ class Vocabulary:
         return self.groups + FORMS
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("place", "unit")}
+        return {k: v for k, v in self.__dict__.items() if k != "place"}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -365,7 +379,7 @@ def gradients(p: dict[str, np.ndarray], units: np.ndarray, targets: np.ndarray,
         total = z.sum(0)
         line[row * np.int64(b - a) + count[:b - a]] -= total
         scale = share / total
-        grad += ((x * scale) @ z.T).T
+        grad += z @ (x * scale).T
         sent = w[:, :-1].T @ z
         sent *= scale
         return sent
@@ -456,14 +470,10 @@ def train_here(p: dict[str, np.ndarray], segments: list[np.ndarray], v: Vocabula
     return p, int(live.sum())
 
 
-def units_of(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(units, places among the known words or -1, words not known) of a document."""
-    at = np.fromiter(map(v.place.get, words, [-1] * len(words)), np.int64, len(words))
-    unit = v.unit[at] if len(v.unit) else np.zeros(len(at), np.int64)
-    rare = [words[k] for k in np.flatnonzero(at < 0)]
-    if rare:
-        unit[at < 0] = v.head + np.array([form(w) for w in rare])
-    return unit, at, rare
+def units_of(joined: bytes, words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(units, places among the known words or -1) of the words of a list."""
+    at = np.fromiter(map(v.place.get, words, repeat(-1)), np.int64, len(words))
+    return np.where((at >= 0) & (at < v.head), at, v.head + forms(joined, words)), at
 
 
 def training_units(docs: DataFrame, v: Vocabulary, groups: int) -> DataFrame:

@@ -110,6 +110,12 @@ def test_counts_match_brute_force(spark, make_docs, rng, known, head):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def test_forms_of_a_list():
+    words = [L.END, b"a", b"ab", b"ab.", b"c,", b"-", b".", b"7", "Été".lower().encode(), "日本.".encode(), b"x\x00", b"e9", "é".encode(), b"B2)"]
+    assert L.forms(b" ".join(words), words).tolist() == [L.form(w) for w in words]
+    assert L.forms(b"", [b""]).tolist() == [L.form(b"")]
+
+
 def test_texts_are_split_once(spark, make_docs, rng):
     """Counting, training and scoring need the chunks only; these hold every token, also of a text with more
     distinct words than a short integer counts, and of empty, null and repeated ones."""
