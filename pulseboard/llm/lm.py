@@ -37,7 +37,7 @@ FORMS = 16 + 3 + 32
 HIDDEN = 20
 SEGMENT = 1024  # tokens of a document that are learned from in one lane; longer ones go on in another
 WINDOW = 64  # steps scored between two visits of the output layer
-BLOCK = 1024  # states whose chances are worked out at once: they stay in the processor's cache
+BLOCK = 512  # states whose chances are worked out at once: they stay in the processor's cache
 LN10 = float(np.log(10.0))
 
 
