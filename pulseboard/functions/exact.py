@@ -126,6 +126,11 @@ def accumulators(i: int) -> list[Column]:
             F.expr(f"sum(IF({_special(x)}, {x}, NULL))").alias(f"__odd{i}"), F.expr(f"count({x})").alias(f"__n{i}")]
 
 
+def far_rows(n: int) -> Column:
+    """Aggregate: how many rows have a value of ``__x0`` to ``__x{n-1}`` that is kept in parts."""
+    return F.expr("count_if(" + " OR ".join(_is_far(f"__x{i}") for i in range(n)) + ")")
+
+
 def merged_accumulators(i: int) -> list[Column]:
     """What ``accumulators`` of many parts come to; the digits are carried by ``finished``."""
     wide = [F.expr(f"sum(cast(__{c}{i} AS decimal(28,0)))").alias(f"__{c}{i}") for c in ("high", "mid", "low")]

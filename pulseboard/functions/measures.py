@@ -57,7 +57,7 @@ class IntMean:
 
 @dataclass
 class Best:
-    """``label`` of the row with the smallest ``order`` (a struct that no two rows share)."""
+    """``label`` of the row with the smallest ``order`` (a struct that no two rows share, its first field ``score``)."""
 
     name: str
     label: Column
@@ -67,6 +67,19 @@ class Best:
     def column(self) -> Column:
         return F.coalesce(F.min_by(self.label, self.order), F.lit(self.missing)).alias(self.name)
 
+    @property
+    def first_name(self) -> str:
+        return f"{self.name}__first"
+
+    def first(self) -> Column:
+        """The smallest score of a part's rows."""
+        return F.min(self.order["score"]).alias(self.first_name)
+
+    def at_first(self) -> Column:
+        """Whether a row beside ``first`` can be the best of its part: at that score, or without one (missing scores
+        come first in a struct)."""
+        return self.order["score"].eqNullSafe(F.col(self.first_name)) | self.order["score"].isNull()
+
     def partial(self) -> list[Column]:
         return [F.min(F.struct(self.order.alias("order"), self.label.alias("label"))).alias(self.name)]
 

@@ -35,10 +35,13 @@ def medians(df: DataFrame, columns: dict[str, Column], by=()) -> DataFrame:
 
 def value_counts(df: DataFrame, columns: dict[str, Column], by=()) -> DataFrame:
     """(g, name, x, c): how often each value of each column stands in each group (g: struct of ``by``)."""
-    keys = [F.col(f"`{b}`") for b in by]
-    pairs = F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("x")) for n, c in columns.items()])
-    long = df.select(F.struct(*keys, F.lit(0).alias("all")).alias("g"), F.inline(pairs)).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    return long.groupBy("g", "name", "x").agg(F.count(F.lit(1)).alias("c"))
+    keys = [f"__g{j}" for j in range(len(by))]
+    values = F.array(*[c.cast("double") for c in columns.values()])
+    # rows are counted by the place of a column's name, not by its text
+    long = df.select(*[F.col(f"`{b}`").alias(k) for b, k in zip(by, keys, strict=True)], F.posexplode(values).alias("__at", "x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    counts = long.groupBy(*keys, "__at", "x").agg(F.count(F.lit(1)).alias("c"))
+    group = F.struct(*[F.col(k).alias(b) for b, k in zip(by, keys, strict=True)], F.lit(0).alias("all"))
+    return counts.select(group.alias("g"), F.element_at(F.array(*[F.lit(n) for n in columns]), F.col("__at") + 1).alias("name"), "x", "c")
 
 
 def medians_of_counts(counts: DataFrame, columns, by=()) -> DataFrame:

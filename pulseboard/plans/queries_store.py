@@ -10,7 +10,7 @@ from ..operators import keyed as KY
 from ..operators import lists as L
 from ..operators import state as ST
 from ..operators import updates as U
-from ..session import new_output_path
+from ..session import new_output_path, wide_writes
 from ..sources import driver, store
 from ..sources.files import remove
 from ..sources.tabs import ROW, q
@@ -29,15 +29,17 @@ def q_kpi_refresh(spark, sf):
     folder = new_output_path(spark, "projects_files")
     app = spark.sparkContext.applicationId
     state = _STATE.setdefault(app, new_output_path(spark, "kpi_state"))  # the other tabs' files keep theirs from call to call
-    now = cat.stored_projects(spark, sf).withColumn("part", F.pmod(F.xxhash64(ROW), F.lit(8)).cast("int"))
+    now = cat.projects(spark, sf).withColumn("part", F.pmod(F.xxhash64(ROW), F.lit(8)).cast("int"))
     other = now.where("part = 0").select(*[(-2_000_000_000_000 - F.col(ROW)).alias(ROW) if c == ROW else F.lit(8).alias(c) if c == "part" else q(c) for c in now.columns])
     before = now.where("part <> 3").withColumn("Revenue", F.when(F.col("part") == 5, F.lit("$1")).otherwise(q("Revenue"))).unionByName(other)
-    before.write.partitionBy("part").parquet(folder)
+    with wide_writes(spark):
+        before.write.options(**store.PLAIN_CELLS).partitionBy("part").parquet(folder)
     folders = {"projects": folder}
     for tab, load in (("pipeline", cat.typed_pipeline), ("risks", cat.typed_risks), ("staff", cat.typed_staff), ("exec_activity", cat.typed_activity)):
-        folders[tab] = cat.files(spark, sf, tab, load(spark, sf))
+        folders[tab] = cat.files(spark, sf, tab, load(spark, sf), store.PLAIN_CELLS)
     ST.refresh_bundle(spark, folders, state, AS_OF)
-    now.where("part in (3, 5)").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(folder)
+    with wide_writes(spark):
+        now.where("part in (3, 5)").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**store.PLAIN_CELLS).partitionBy("part").parquet(folder)
     remove(spark, f"{folder}/part=8")
     ST.refresh_bundle(spark, folders, state, AS_OF)
     return ST.bundle_from_state(spark, folders, state, AS_OF)

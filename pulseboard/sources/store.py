@@ -34,6 +34,9 @@ from .tabs import ROW
 
 MAPPING_VERSION = "10"
 RANGE = "__range"
+#: For wide tabs of which jobs read a few columns: most cells are unlike, and dictionaries of them cost more to build
+#: than all else of a write.
+PLAIN_CELLS = {"compression": "zstd", "parquet.enable.dictionary": "false", "parquet.block.size": 32 << 20}
 #: Ranges of a stored tab: one for this many bytes, within bounds that keep folders few.
 RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 128 << 20, 8, 4096
 _PATHS: dict = {}
@@ -58,9 +61,9 @@ def mapped(spark: SparkSession, sf_dir: str, name: str, build, sources=()) -> Da
         return _FRAMES[k]
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame, sources=()) -> str:
-    """Folder with a parquet copy of ``rows``, written as they come on first use in this session and again once one
-    of the tables ``sources`` below ``sf_dir`` has changed."""
+def stored(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame, sources=(), options=None) -> str:
+    """Folder with a parquet copy of ``rows``, written as they come (by the writer's ``options``) on first use in this
+    session and again once one of the tables ``sources`` below ``sf_dir`` has changed."""
     k = state_of(spark, sf_dir, name, sources)
     with _LOCK:
         if k not in _PATHS:
@@ -69,7 +72,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame, sources
             t0 = time.perf_counter()
             # row groups of some megabytes: a file splits over tasks and statistics prune finely
             with wide_writes(spark):
-                rows.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(path)
+                rows.write.mode("overwrite").options(**{"compression": "zstd", "parquet.block.size": 8 << 20} | (options or {})).parquet(path)
             INGEST_SECONDS[name] = round(time.perf_counter() - t0, 3)
             _PATHS[k] = path
         return _PATHS[k]

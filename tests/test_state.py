@@ -91,3 +91,56 @@ def test_files_without_rows(spark, place):
     assert len(S.refresh(spark, folder, state, FRAME, families)) == 5
     assert S.refresh(spark, folder, state, FRAME, families) == []
     same(spark, folder, state)
+
+
+def test_rows_without_cells_in_parts_are_not_read_for_them(spark, tmp_path, monkeypatch):
+    folder, state = str(tmp_path / "in"), str(tmp_path / "state")
+    near = [dict(r, **{"Revenue": "$1,000.50", "Total Project Score": "1.25"}) for r in rows(30, 1)]
+    write(spark, folder, "a", near, 0)
+    read = []
+    cells = S.exact.cells
+    monkeypatch.setattr(S.exact, "cells", lambda df, keys, n: read.append(sorted(os.path.basename(p) for p in df.inputFiles())) or cells(df, keys, n))
+    S.refresh(spark, folder, state, FRAME, families)
+    assert read == []
+    same(spark, folder, state)
+    read.clear()  # the whole bundle, worked out anew, looks for them in all rows
+    write(spark, folder, "b", rows(30, 2), 1000)
+    write(spark, folder, "c", [dict(r, **{"Project Name": f"c{i}"}) for i, r in enumerate(near)], 2000)
+    assert len(S.refresh(spark, folder, state, FRAME, families)) == 2
+    assert read == [["b.parquet"]]
+    same(spark, folder, state)
+    assert sorted(os.listdir(state)) == ["cells", "counts", "facts"]  # nothing is left of the work
+
+
+def test_no_row_is_sorted_to_be_grouped_by_its_file(spark):
+    df = FRAME(tab(spark, "Project Inventory", rows(5, 1)))
+    bests = [a for f in families(df) for a in f.aggs if isinstance(a, S.Best)]
+    plan = df.groupBy("Client").agg(*[b.first() for b in bests])._jdf.queryExecution().executedPlan().toString()
+    assert len(bests) == 4 and "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_extremes_with_ties_and_without_scores(spark, tmp_path):
+    """Typed columns come as they are stored: a missing score stands before all others, in every file."""
+    frame, fams = K.BUNDLE["pipeline"]
+    of = lambda df: fams(df, D, K.DEFAULT_TARGETS)
+    folder, state = str(tmp_path / "in"), str(tmp_path / "state")
+    data = [{"Account": f"a{i}", "Opportunity Created Date": "2025-01-01", "Closed Won Date": "2025-01-09", "Pipeline Score": str(i % 3), "Total Deal Score": "-0" if i % 2 else "0"} for i in range(12)]
+    t = frame(tab(spark, "Pipeline", data))
+    t = t.withColumn("__pscore", F.when(F.col("_row") != 7, F.col("__pscore"))).withColumn("__tscore", F.when(F.col("_row") % 5 != 4, F.col("__tscore")))
+    for k in range(3):
+        t.where(F.col("_row") % 3 == k).coalesce(1).write.parquet(f"{folder}/{k}")
+    assert len(S.refresh(spark, folder, state, frame, of, t.schema)) == 3
+    df = spark.read.schema(t.schema).option("recursiveFileLookup", "true").parquet(folder)
+    assert S.merged(spark, folder, state, frame, of, t.schema).first() == K.run(df, of(df)).first()
+
+
+def test_the_refresh_maps_project_inventory_once_per_write(spark, tmp_path, monkeypatch):
+    from pulseboard.plans import catalog as cat
+    from test_mapped import lines, orders
+
+    orders(spark, tmp_path)
+    sf = lines(spark, tmp_path)
+    spark.createDataFrame([(k, k % 3, "call", 1.5 * k) for k in range(9)], "event_id long, user_id long, event_type string, value double").write.parquet(f"{sf}/events.parquet")
+    for name in ("stored_projects", "filed_projects"):
+        monkeypatch.setattr(cat, name, lambda *a: pytest.fail("Project Inventory is written as files before it is written as files"))
+    assert cat.QUERIES["kpi_refresh"](spark, sf).collect() == cat.QUERIES["kpi_all"](spark, sf).collect()
