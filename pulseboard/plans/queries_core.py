@@ -297,7 +297,7 @@ def q_pipeline_extremes(spark, sf):
 
 @query("kpi_risk", w("risks", frames=[RF]) + "\n" + s_run("rf", s_risk()))
 def q_kpi_risk(spark, sf):
-    return K.kpi_risk(cat.typed_risks(spark, sf))
+    return K.kpi_risk(cat.risk_numbers(spark, sf))
 
 
 @query("kpi_satisfaction", w("projects", "staff", frames=[PF, SF]) + "\nSELECT * FROM ("
